@@ -17,8 +17,54 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality import MEASURES, filtered
+
+    return filtered(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "host", "shrunk_rate")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.pii import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.toxicity import predictions
+
+    return predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.bpe import public_vocabulary
+    from sievework.llm.secrets import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_vocabulary())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.contamination import find
+
+    return find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.bpe import public_vocabulary
+    from sievework.llm.lengths import context_totals
+
+    return context_totals(_table(spark, sf_dir, "documents"), public_vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_pii": op3_pii,
+        "op4_toxicity": op4_toxicity,
+        "op5_secrets": op5_secrets,
+        "op9_decontamination": op9_decontamination,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
