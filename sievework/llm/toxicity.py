@@ -1,9 +1,10 @@
 """Operator 4: toxic passages by maximum-scoring segments of token log-odds.
 
-Tokens are runs of ASCII letters, digits and bytes of other scripts, lower-cased, hashed into ``2**BITS``
-features. Their log-odds between toxic and clean labelled documents use an informative Dirichlet prior
-(the frequencies of all labelled documents); features whose z-score is small count as neutral, and every
-token costs a small drift, so that random text scores negative. A linear-time scan finds all maximal-scoring
+Tokens are runs of ASCII letters, digits and bytes of other scripts, lower-cased. A token has as features
+itself and its beginnings of ``STEMS`` bytes, hashed into ``2**BITS``. Their log-odds between toxic and clean
+labelled documents use an informative Dirichlet prior (the frequencies of all labelled documents); a document
+counts a feature once, a text counts once for each class, and features whose z-score is small count as neutral. A token scores as its most telling feature does, and every token
+costs a small drift, so that random text scores negative. A linear-time scan finds all maximal-scoring
 segments of a document. A segment's significance follows from extreme-value theory: lambda solves
 sum p*exp(lambda*s) = 1 over the clean token scores, and S counts as lambda*S - ln(K*m) in a document
 of m tokens. Documents add up their significant segments; a logistic curve maps that to a probability.
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from sievework.llm.common import texts
 from sievework.llm.kernels import LOWER, byte_values, prefix, slices, span_hashes, utf8
 
-BITS = 18
-DRIFT = 0.05
-MIN_Z = 3.0
+BITS = 20
+STEMS = (4, 5, 6)
+DRIFT = 0.5
+MIN_Z = 3.5
+#: Evidence beyond this says nothing more.
+MOST = 20.0
 PRIOR_TOKENS = 10_000.0
 FOLDS = 5
 
@@ -40,8 +44,8 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature, start and end of each token of a slice, and the number of tokens before each row."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features (of the token, and of its beginnings), start and end of each token of a slice, and the number of tokens before each row."""
     inside = _TOKEN[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
@@ -50,8 +54,18 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     start[off[:-1][full]] = inside[off[:-1][full]]
     end[off[1:][full] - 1] = inside[off[1:][full] - 1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    features = span_hashes(prefix(byte_values(LOWER[data])), start, end) >> np.uint64(64 - BITS)
-    return features.astype(np.int64), start, end, np.searchsorted(start, off)
+    sums = prefix(byte_values(LOWER[data]))
+    hashes = [span_hashes(sums, start, end), *(span_hashes(sums, start, np.minimum(start + k, end)) + np.uint64(k) for k in STEMS)]
+    return [(h >> np.uint64(64 - BITS)).astype(np.int64) for h in hashes], start, end, np.searchsorted(start, off)
+
+
+def token_scores(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """The weight that is furthest from 0 among a token's features, less the drift."""
+    out = weights[features[0]]
+    for f in features[1:]:
+        other = weights[f]
+        out = np.where(np.abs(other) > np.abs(out), other, out)
+    return out - np.float32(DRIFT)
 
 
 @dataclass(frozen=True)
@@ -120,7 +134,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labels: int, training_only
     if training_only:
         kept = kept.where(~held_out())
     picked = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    return docs.join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)  # max_labels rows of 16 bytes
+    found = docs.join(F.broadcast(picked), "doc_id")  # max_labels rows of 16 bytes
+    return found.where(F.length("text") > 0).dropDuplicates(["text", "toxic"])
 
 
 def held_out() -> F.Column:
@@ -138,16 +153,18 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, train
             toxic = b["toxic"].to_numpy() > 0
             for i, j in slices(off):
                 features, _, _, before = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                of = np.repeat(toxic[i:j], np.diff(before))
+                row = np.repeat(np.arange(i, j), np.diff(before))
+                once = np.unique(np.concatenate([row << BITS | f for f in features])) if len(row) else np.zeros(0, np.int64)
+                of = toxic[once >> BITS]
                 for k in (0, 1):
-                    found[k] += np.bincount(features[of == k], minlength=1 << BITS)
+                    found[k] += np.bincount(once[of == k] & ((1 << BITS) - 1), minlength=1 << BITS)
         used = np.flatnonzero(found.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[0, used]), pa.array(found[1, used])], names=["feature", "clean", "toxic"])
 
     # 2**BITS rows at most, whatever the input.
-    rows = sample.select("text", "toxic").mapInArrow(counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = sample.select("text", "toxic").mapInArrow(counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    clean[rows["feature"]], toxic[rows["feature"]] = rows["clean"], rows["toxic"]
+    clean[rows["feature"].to_numpy()], toxic[rows["feature"].to_numpy()] = rows["clean"].to_numpy(), rows["toxic"].to_numpy()
     if not clean.sum() or not toxic.sum():
         share = float(bool(toxic.sum()))
         return Model(np.zeros(1 << BITS, np.float32).tobytes(), 1.0, 0.0, 30.0 if share else -30.0, 0.0)
@@ -156,16 +173,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, train
     y1, y0 = toxic + prior, clean + prior
     odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
     z = odds / np.sqrt(1 / y1 + 1 / y0)
-    weights = (np.where(np.abs(z) >= MIN_Z, odds, 0.0) - DRIFT).astype(np.float32)
-    rate, log_k = _extreme_values(weights, clean / clean.sum())
+    weights = np.where(np.abs(z) >= MIN_Z, odds, 0.0).astype(np.float32)
+    rate, log_k = _extreme_values(weights - DRIFT, clean / clean.sum())
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.rint(10 * np.clip(_evidence(b["text"], weights, rate, log_k), -50, 50)).astype(np.int64)
+            x = np.rint(10 * _evidence(b["text"], weights, rate, log_k)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x), b["toxic"]], names=["bin", "toxic"])
 
-    # 1001 bins at most.
-    table = sample.select("text", "toxic").mapInArrow(bins, "bin long, toxic int").groupBy("bin").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic")).toPandas()
+    # 401 bins at most.
+    table = sample.select("text", "toxic").mapInArrow(bins, "bin long, toxic int").groupBy("bin").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic")).toArrow()
     intercept, slope = _logistic(table["bin"].to_numpy() / 10, table["toxic"].to_numpy(), table["n"].to_numpy())
     return Model(weights.tobytes(), rate, log_k, intercept, slope)
 
@@ -204,8 +221,8 @@ def _evidence(column: pa.Array, weights: np.ndarray, rate: float, log_k: float)
     out = np.zeros(len(off) - 1)
     for i, j in slices(off):
         features, _, _, before = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        out[i:j] = evidence(weights[features], before, rate, log_k)
-    return out
+        out[i:j] = evidence(token_scores(weights, features), before, rate, log_k)
+    return np.clip(out, -MOST, MOST)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +231,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.scores()
         for b in batches:
-            x = model.intercept + model.slope * np.clip(_evidence(b["text"], weights, model.rate, model.log_k), -50, 50)
+            x = model.intercept + model.slope * _evidence(b["text"], weights, model.rate, model.log_k)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, score double")
@@ -230,7 +247,7 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             out = []
             for i, j in slices(off):
                 features, start, end, before = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                scores = weights[features]
+                scores = token_scores(weights, features)
                 best = model.rate * best_segments(scores, before) - model.log_k - np.log(np.maximum(np.diff(before), 1))
                 for k in np.flatnonzero(best > 0):
                     at, m = before[k], before[k + 1] - before[k]
@@ -249,7 +266,7 @@ def flagged(docs: DataFrame, model: Model, text_col: str = "text") -> F.Column:
     def rows(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = model.scores()
         for c in column:
-            x = model.intercept + model.slope * np.clip(_evidence(c, weights, model.rate, model.log_k), -50, 50)
+            x = model.intercept + model.slope * _evidence(c, weights, model.rate, model.log_k)
             yield pa.array(x >= 0)
 
     return F.arrow_udf(rows, "boolean", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
