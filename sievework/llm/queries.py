@@ -42,6 +42,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.substrings import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.neardup import near_duplicates
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
+        "op6_substrings": op6_substrings,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
