@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import block_count, in_blocks, texts
+from sievework.llm.common import block_count, dealt, in_blocks, pack, pack_words, texts, unpack, unpack_words, unpacked
 from sievework.llm.kernels import gathered, pretoken_codes
 
 ENCODED = "doc_id long, ids array<int>"
@@ -74,42 +73,29 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
     return Vocabulary.read(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _word_parts(column, vocabulary: Vocabulary, n: int):
+def _word_parts(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, n: int):
     """Codes, distinct words, their own token (or -1), and for each of n parts the places of its words, in order.
 
     The words of a part are the same in the same order however the rows of the block are ordered.
     """
-    codes, words, before = pretoken_codes(column)
+    codes, words, before = pretoken_codes(data, off)
     ranks = vocabulary.ranks()
     raw = words.cast(pa.binary()).to_pylist()
-    single = np.fromiter((ranks.get(w, -1) for w in raw), np.int64, len(raw))
-    rest = sorted((raw[i], i) for i in np.flatnonzero(single < 0))
-    places: list[list[int]] = [[] for _ in range(n)]
-    from zlib import crc32
+    single = np.fromiter((ranks.get(w, -1) for w in raw), np.int32, len(raw))
+    return codes, raw, single, before, dealt(raw, np.flatnonzero(single < 0), n)
 
-    for w, i in rest:
-        places[crc32(w) % n].append(i)
-    return codes, raw, single, before, places
 
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids, as tiktoken's encode_ordinary gives them, for every row."""
-    docs = texts(docs, id_col, text_col)
+def _encode(docs: DataFrame, vocabulary: Vocabulary, finish: Callable[[pa.Array, pa.Array], pa.Table], schema: str) -> DataFrame:
+    """``finish`` gets the doc_ids and ids of a block."""
     n = block_count(docs)
     blocks = in_blocks(docs, n)
+    kind = np.uint16 if max(vocabulary.ranks().values()) < 1 << 16 else np.uint32
 
     def words(table: pa.Table) -> pa.Table:
-        _, raw, _, _, places = _word_parts(table["text"], vocabulary, n)
+        _, data, off = unpacked(table)
+        _, raw, _, _, places = _word_parts(data, off, vocabulary, n)
         block = table["block"][0].as_py()
-        rows = [(p, block, _pack(np.array([len(raw[i]) for i in x], np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(raw[i] for i in x))) for p, x in enumerate(places) if x]
+        rows = [(p, block, *pack_words([raw[i] for i in x])) for p, x in enumerate(places) if x]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()), (3, pa.binary()))], names=["part", "block", "sizes", "words"])
 
     def ids_of(table: pa.Table) -> pa.Table:
@@ -117,34 +103,36 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         known: dict[bytes, np.ndarray] = {}
         out = []
         for sizes, joined in zip(table["sizes"], table["words"], strict=True):
-            sizes, joined = np.frombuffer(_unpack(sizes.as_py()), np.uint32), _unpack(joined.as_py())
-            ends = np.cumsum(sizes, dtype=np.int64)
             ids = []
-            for a, b in zip(ends - sizes, ends, strict=True):
-                if (x := known.get(w := joined[a:b])) is None:
-                    x = known[w] = np.array(encoding._encode_single_piece(w), np.uint32)
+            for w in unpack_words(sizes, joined):
+                if (x := known.get(w)) is None:
+                    x = known[w] = np.array(encoding._encode_single_piece(w), kind)
                 ids.append(x)
-            out.append((_pack(np.array([len(x) for x in ids], np.uint32)), _pack(np.concatenate(ids))))
+            out.append((pack(np.array([len(x) for x in ids], np.uint32)), pack(np.concatenate(ids))))
         return pa.table([table["block"], table["part"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "part", "sizes", "ids"])
 
     def assembled(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-        codes, raw, single, before, places = _word_parts(table["text"], vocabulary, n)
+        doc_ids, data, off = unpacked(table)
+        codes, raw, single, before, places = _word_parts(data, off, vocabulary, n)
         size, begin = np.ones(len(raw), np.int64), np.arange(len(raw), dtype=np.int64)
         values, end = [np.maximum(single, 0)], len(raw)
         for p, sizes, ids in zip(back["part"], back["sizes"], back["ids"], strict=True):
             at = np.array(places[p.as_py()], np.int64)
-            sizes, ids = np.frombuffer(_unpack(sizes.as_py()), np.uint32), np.frombuffer(_unpack(ids.as_py()), np.uint32)
+            sizes, ids = unpack(sizes, np.uint32), unpack(ids, kind)
             size[at], begin[at] = sizes, end + np.cumsum(sizes, dtype=np.int64) - sizes
-            values.append(ids.astype(np.int64))
+            values.append(ids.astype(np.int32))
             end += len(ids)
-        flat, ends = gathered(np.concatenate(values).astype(np.int32), begin, size, codes)
-        return pa.table([table["doc_id"], pa.ListArray.from_arrays(pa.array(ends[before].astype(np.int32)), pa.array(flat))], names=["doc_id", "ids"])
+        flat, ends = gathered(np.concatenate(values), begin, size, codes)
+        return finish(doc_ids, pa.ListArray.from_arrays(pa.array(ends[before].astype(np.int32)), pa.array(flat)))
 
     asked = blocks.groupBy("block").applyInArrow(words, "part int, block int, sizes binary, words binary")
     back = asked.groupBy("part").applyInArrow(ids_of, "block int, part int, sizes binary, ids binary")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assembled, ENCODED)
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assembled, schema)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids, as tiktoken's encode_ordinary gives them, for every row."""
+    return _encode(texts(docs, id_col, text_col), vocabulary, lambda i, x: pa.table([i, x], names=["doc_id", "ids"]), ENCODED)
 
 
 def token_bytes(ids: pa.Array, vocabulary: Vocabulary) -> list[bytes]:
@@ -173,25 +161,21 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """For each document the number of ids, and the SHA-256 of the ids and of the bytes they decode to."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b["ids"]
-            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
-            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(sizes)
-            digests = [hashlib.sha256(flat[a:e]).hexdigest() for a, e in zip(ends - sizes, ends, strict=True)]
-            decoded = [hashlib.sha256(x).hexdigest() for x in token_bytes(ids, vocabulary)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(doc_ids: pa.Array, ids: pa.Array) -> pa.Table:
+        flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        digests = [hashlib.sha256(flat[a:e]).hexdigest() for a, e in zip(ends - sizes, ends, strict=True)]
+        decoded = [hashlib.sha256(x).hexdigest() for x in token_bytes(ids, vocabulary)]
+        return pa.table([doc_ids, pa.array(sizes), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, vocabulary).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encode(texts(docs), vocabulary, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, ids and decoded text, for the pipeline's last stage."""
+    """doc_id, ids and decoded text of every row."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            back = [x.decode("utf-8") for x in token_bytes(b["ids"], vocabulary)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+    def finish(doc_ids: pa.Array, ids: pa.Array) -> pa.Table:
+        return pa.table([doc_ids, ids, pa.array([x.decode("utf-8") for x in token_bytes(ids, vocabulary)], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encode(docs, vocabulary).mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
+    return _encode(texts(docs), vocabulary, finish, "doc_id long, ids array<int>, decoded string")

@@ -12,11 +12,19 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Texts that a task gathers before it packs them by block.
+GATHERED_BYTES = 32 << 20
+PACKED = "block int, ids array<long>, sizes binary, data binary"
 
 _own_folder: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
@@ -69,5 +77,76 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, wanted, math.ceil(total / block_bytes))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(data: bytes | pa.Scalar, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data if isinstance(data, bytes) else data.as_py()), kind)
+
+
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    """The documents of ``texts`` dealt to n blocks, packed: a row holds what one task has for one block, compressed."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= GATHERED_BYTES:
+                yield from _by_block(held)
+                held, size = [], 0
+        if held:
+            yield from _by_block(held)
+
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.mapInArrow(packed, PACKED).repartition(n, "block")
+
+
+def _by_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from sievework.llm.kernels import utf8
+
+    table = pa.Table.from_batches(held)
+    blocks = table["block"].to_numpy()
+    order = np.argsort(blocks, kind="stable")
+    table, blocks = table.take(pa.array(order)), blocks[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = table.slice(a, b - a)
+        data, off = utf8(part["text"])
+        ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), part["doc_id"].combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([blocks[a]], pa.int32()), ids, pa.array([pack(np.diff(off).astype(np.uint32))], pa.binary()), pa.array([pack(data)], pa.binary())], names=["block", "ids", "sizes", "data"])
+
+
+def unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, bytes and row offsets of all documents in the packed rows."""
+    ids = pa.concat_arrays([x.flatten() for x in table["ids"].chunks])
+    off = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(np.concatenate([unpack(x, np.uint32) for x in table["sizes"]]), out=off[1:])
+    data = np.empty(off[-1], np.uint8)
+    at = 0
+    for x in table["data"]:
+        part = unpack(x)
+        data[at : at + len(part)] = part
+        at += len(part)
+    return ids, data, off
+
+
+def dealt(words: list[bytes], which: Iterable[int], n: int) -> list[list[int]]:
+    """The places of the chosen distinct words, dealt to n parts by a hash; those of a part are in the words' order."""
+    places: list[list[int]] = [[] for _ in range(n)]
+    for w, i in sorted((words[i], i) for i in which):
+        places[crc32(w) % n].append(i)
+    return places
+
+
+def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Sizes and joined bytes of words."""
+    return pack(np.array([len(w) for w in words], np.uint32)), zstandard.ZstdCompressor(level=6).compress(b"".join(words))
+
+
+def unpack_words(sizes: bytes | pa.Scalar, joined: bytes | pa.Scalar) -> list[bytes]:
+    data = unpack(joined).tobytes()
+    ends = np.cumsum(unpack(sizes, np.uint32), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]

@@ -166,9 +166,8 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (found if at is None else at[found]), np.searchsorted(found, rows)
 
 
-def pretoken_codes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def pretoken_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """A code for each match of the pattern, the distinct matches, and the number of matches before each row."""
-    data, off = utf8(column)
     starts, before, n = [], [np.zeros(1, np.int64)], 0
     for i, j in slices(off):
         found, rows = pretokens(data[off[i] : off[j]], off[i : j + 1] - off[i])

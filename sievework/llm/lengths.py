@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Vocabulary
 from sievework.llm.common import staged, texts
-from sievework.llm.kernels import pretoken_codes
+from sievework.llm.kernels import pretoken_codes, utf8
 
 BIN = 1024
 _KNOWN_WORDS = 1 << 18
@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         ranks, encoding = vocabulary.ranks(), vocabulary.encoding()
         known: dict[bytes, int] = {}
         for b in batches:
-            codes, words, before = pretoken_codes(b["text"])
+            codes, words, before = pretoken_codes(*utf8(b["text"]))
             size = np.ones(len(words), np.int64)
             for i, w in enumerate(words.cast(pa.binary()).to_pylist()):
                 if w not in ranks:
