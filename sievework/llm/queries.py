@@ -48,6 +48,12 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.lm import scored
+
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.neardup import near_duplicates
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_substrings": op6_substrings,
+        "op7_language_model": op7_language_model,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
