@@ -200,6 +200,6 @@ def contaminated(benchmark: DataFrame, text_col: str = "text", part_words: int =
                                 out[i + row] = True
                 yield pa.array(out)
 
-        return F.arrow_udf(rows, "boolean", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
+        return F.arrow_udf(rows, "boolean")(F.col(text_col))
 
     return reduce(lambda a, b: a | b, [one(p) for p in parts])

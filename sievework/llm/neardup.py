@@ -325,3 +325,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     linked_rows = found.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "key_a", "key_b").join(of_class, ["key_a", "key_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = found.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_rows.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: one of each component, and all rows without id or words.
+
+    Of several rows with one id the one with the smallest text stays.
+    """
+    found = staged(near_duplicates(documents, id_col, text_col).select("doc_id", "n_shingles", "kept"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    out = documents.join(gone, id_col, "left_anti")
+    again = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not again.limit(1).count():
+        return out
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+    some = out.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return out.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").unionByName(some)

@@ -92,7 +92,7 @@ def masked(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
         for c in column:
             yield pa.array([None if t is None else masked_text(t, spans(t, vocabulary)) for t in c.to_pylist()], pa.string())
 
-    return docs.withColumn(text_col, F.arrow_udf(rows, "string", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(text_col, F.arrow_udf(rows, "string")(F.col(text_col)))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -269,7 +269,7 @@ def flagged(docs: DataFrame, model: Model, text_col: str = "text") -> F.Column:
             x = model.intercept + model.slope * _evidence(c, weights, model.rate, model.log_k)
             yield pa.array(x >= 0)
 
-    return F.arrow_udf(rows, "boolean", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
+    return F.arrow_udf(rows, "boolean")(F.col(text_col))
 
 
 def predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
