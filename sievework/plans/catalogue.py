@@ -1,15 +1,583 @@
-"""The named queries, and the same queries in DuckDB's SQL."""
+"""The named queries on the star tables, each with the same query in DuckDB's SQL where SQL has it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievework.functions import exprs, records
+from sievework.operators import anchors, findings, graphs, lines, relations, rollouts, verdicts
+from sievework.operators.anchors import Anchor
+from sievework.operators.findings import Rule
+from sievework.sources.sinks import upserted
+from sievework.sources.tables import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+#: An instrument over the prose of ``documents`` and ``conversations``; ASCII patterns that Java and RE2 read alike.
+ANCHORS = (
+    Anchor("symbols", 1, "[#*$%&]{3}"),
+    Anchor("symbols", 2, "!!"),
+    Anchor("table", 1, "[|]"),
+    Anchor("short", 1, "(?i)\\bthe\\b"),
+    Anchor("short", 2, "(?i)\\bde\\b"),
+)
+TALK = (
+    Anchor("g_the", 1, "(?i)\\bthe\\b"),
+    Anchor("g_and", 1, "(?i)\\band\\b"),
+    Anchor("g_and", 2, "(?i)\\bund\\b"),
+    Anchor("g_of", 1, "(?i)\\bof\\b"),
+    Anchor("g_is", 1, "(?i)\\bis\\b"),
+    Anchor("g_with", 1, "(?i)\\bwith\\b"),
+)
+
+
+def _groups_sql(column: str, instrument: tuple[Anchor, ...]) -> str:
+    """A DuckDB list of the groups that match a column."""
+    groups = sorted({a.group_id for a in instrument})
+    each = (f"CASE WHEN {' OR '.join(f'''regexp_matches({column}, '{a.pattern}')''' for a in instrument if a.group_id == g)} THEN '{g}' END" for g in groups)
+    return f"list_filter([{', '.join(each)}], lambda x: x IS NOT NULL)"
+
+
+def _values_sql(instrument: tuple[Anchor, ...]) -> str:
+    return "(VALUES " + ", ".join(f"('{a.group_id}', {a.ord}, '{a.pattern}')" for a in instrument) + ") a(group_id, ord, pattern)"
+
+
+def _verdict_rows(documents: DataFrame) -> DataFrame:
+    """A rule's verdict on each document: what it finds, and where it looked."""
+    text = F.col("text")
+    classes = F.array_compact(F.array(F.when(text.rlike("[#*$%&]{3}"), "symbols"), F.when(text.rlike("[|]"), "table"), F.when(F.length(text) < 900, "short")))
+    return documents.select("doc_id", "lang", classes.alias("classes"), F.substring(text, 1, 600).alias("locus")).withColumn("verdict", F.when(F.size("classes") > 0, "reject").otherwise("approve"))
+
+
+_VERDICT_SQL = """SELECT doc_id, lang, substring(text, 1, 600) AS locus, list_filter([CASE WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'symbols' END,
+    CASE WHEN regexp_matches(text, '[|]') THEN 'table' END, CASE WHEN length(text) < 900 THEN 'short' END], lambda x: x IS NOT NULL) AS classes FROM documents"""
+_CLASS = "element_at(array('symbols', 'table', 'short'), CAST(doc_id % 3 AS INT) + 1) AS class"
+_CLASS_SQL = "['symbols', 'table', 'short'][doc_id % 3 + 1]"
+
+
+@query(
+    "q01_must_catch",
+    f"""WITH v AS ({_VERDICT_SQL}), r AS (SELECT doc_id, {_CLASS_SQL} AS class FROM labels WHERE quality = 0),
+    b AS (SELECT r.doc_id, r.class, v.lang, v.classes, v.doc_id IS NULL AS none, {_groups_sql("v.locus", ANCHORS)} AS seen FROM r LEFT JOIN v USING (doc_id)),
+    d AS (SELECT lang, unnest(CASE WHEN none THEN ['no_verdict'] WHEN len(classes) = 0 THEN ['approved'] ELSE list_filter([
+        CASE WHEN NOT list_contains(classes, class) THEN 'class_missed' END, CASE WHEN NOT list_contains(seen, class) THEN 'signal_missed' END], lambda x: x IS NOT NULL) END) AS defect FROM b)
+    SELECT lang, defect, count(*) AS n FROM d GROUP BY lang, defect""",
+)
+def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _verdict_rows(table(spark, sf_dir, "documents"))
+    registry = table(spark, sf_dir, "labels").where("quality = 0").selectExpr("doc_id", _CLASS)
+    missed = verdicts.must_catch(registry, found, "doc_id", ANCHORS)
+    return missed.join(found.select("doc_id", "lang"), "doc_id", "left").groupBy("lang", "defect").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q02_false_block",
+    f"""WITH v AS ({_VERDICT_SQL}) SELECT l.doc_id, CASE WHEN v.doc_id IS NULL THEN 'no_verdict' ELSE 'reject' END AS verdict
+    FROM labels l LEFT JOIN v USING (doc_id) WHERE l.quality = 1 AND (v.doc_id IS NULL OR len(v.classes) > 0)""",
+)
+def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.false_blocks(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), _verdict_rows(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query(
+    "q03_registry_agreement",
+    """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'unexpected' ELSE 'missing' END AS defect
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
+)
+def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.agreement(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(
+    "q04_grounding",
+    """SELECT 'supplier' AS corpus, l_suppkey AS key FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey)
+    UNION ALL SELECT 'customer', user_id FROM (SELECT DISTINCT user_id FROM events) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)""",
+)
+def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(corpus: str, cited: str, cites: str, key: str) -> DataFrame:
+        found = relations.ungrounded(table(spark, sf_dir, cited).select(F.col(cites).alias("key")), table(spark, sf_dir, corpus).select(F.col(key).alias("key")), "key")
+        return found.select(F.lit(corpus).alias("corpus"), "key")
+
+    return of("supplier", "lineitem", "l_suppkey", "s_suppkey").unionAll(of("customer", "events", "user_id", "c_custkey"))
+
+
+@query("q05_anchor_matches", f"SELECT doc_id, group_id, ord, regexp_extract(text, pattern) AS matched FROM documents, {_values_sql(ANCHORS)} WHERE regexp_matches(text, pattern)")
+def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ANCHORS).drop("text")
+
+
+@query("q06_first_match", f"SELECT doc_id, group_id, arg_min(regexp_extract(text, pattern), ord) AS matched FROM documents, {_values_sql(ANCHORS)} WHERE regexp_matches(text, pattern) GROUP BY doc_id, group_id")
+def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.first_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ANCHORS).drop("text")
+
+
+@query(
+    "q07_coverage",
+    f"""WITH h AS (SELECT source, group_id, count(DISTINCT ord) AS m, count(DISTINCT doc_id) AS u FROM documents, {_values_sql(ANCHORS)} WHERE regexp_matches(text, pattern) GROUP BY ALL)
+    SELECT s.source, g.group_id, g.required, coalesce(m, 0) AS matched_anchors, coalesce(u, 0) AS matching_units, coalesce(m, 0) >= g.needed AND coalesce(u, 0) >= 2 AS covered
+    FROM (SELECT DISTINCT source FROM documents) s, (VALUES ('symbols', true, 2), ('table', false, 1), ('short', true, 2), ('absent', true, 2)) g(group_id, required, needed)
+    LEFT JOIN h ON h.source = s.source AND h.group_id = g.group_id""",
+)
+def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return anchors.coverage(documents, "doc_id", "text", ANCHORS, {"symbols": True, "table": False, "short": True, "absent": True}, {"table": 1}, by=["source"])
+
+
+@query(
+    "q08_licensing",
+    f"""WITH a AS (SELECT c.conv_id, c.turn, a.group_id, arg_min(regexp_extract(text, pattern), ord) AS matched FROM conversations c, {_values_sql(TALK)}
+        WHERE role = 'assistant' AND regexp_matches(text, pattern) GROUP BY ALL),
+    s AS (SELECT conv_id, {_groups_sql("text", TALK)} AS groups FROM conversations WHERE role = 'user'),
+    o AS (SELECT conv_id, list(DISTINCT group_id) AS asserted FROM a GROUP BY conv_id),
+    l AS (SELECT DISTINCT conv_id, unnest(groups) AS group_id FROM s JOIN o USING (conv_id) WHERE len(list_intersect(groups, asserted)) <= 2)
+    SELECT conv_id, turn, group_id, matched FROM a ANTI JOIN l USING (conv_id, group_id)""",
+)
+def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    units = talk.where("role = 'assistant'").select("conv_id", "turn", "text")
+    return anchors.unlicensed(units, talk.where("role = 'user'"), "conv_id", "text", TALK).drop("text")
+
+
+@query(
+    "q09_stuffing_recall",
+    f"""WITH m AS (SELECT conv_id, {_groups_sql("text", TALK)} AS groups FROM conversations), f AS (SELECT DISTINCT conv_id, unnest(groups) AS group_id FROM m WHERE len(groups) <= 2)
+    SELECT conv_id, group_id FROM (SELECT * FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('g_the'), ('g_and'), ('g_of'), ('g_is'), ('g_with')) g(group_id)) x ANTI JOIN f USING (conv_id, group_id)""",
+)
+def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    return anchors.missed_groups(talk.select("conv_id").distinct(), talk, "conv_id", "text", TALK)
+
+
+@query(
+    "q10_constraint_carried",
+    f"""WITH j AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, {_groups_sql("joined", TALK)} AS groups FROM j)
+    SELECT conv_id, group_id FROM m, (VALUES ('g_the'), ('g_and'), ('g_of'), ('g_is'), ('g_with')) g(group_id) WHERE NOT list_contains(groups, group_id)""",
+)
+def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.not_carried(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", TALK)
+
+
+@query(
+    "q11_schema_battery",
+    """SELECT o_orderkey AS entity_id, 'orders' AS gate, 'total_out_of_range' AS defect, '' AS detail FROM orders WHERE o_totalprice > 400000 OR o_totalprice <= 0
+    UNION ALL SELECT o_orderkey, 'orders', 'status_unknown', o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+    UNION ALL SELECT event_id, 'events', 'value_missing', event_type FROM events WHERE value IS NULL OR value < 1
+    UNION ALL SELECT event_id, 'events', 'props_blank', '' FROM events WHERE props IS NULL OR trim(props) = ''""",
+)
+def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total, value = F.col("o_totalprice"), F.col("value")
+    orders = findings.check(table(spark, sf_dir, "orders"), "o_orderkey", "orders", [Rule("total_out_of_range", (total > 400000) | (total <= 0)), Rule("status_unknown", exprs.not_in_domain(F.col("o_orderstatus"), ["O", "F"]), F.col("o_orderstatus"))])
+    events = findings.check(table(spark, sf_dir, "events"), "event_id", "events", [Rule("value_missing", value.isNull() | (value < 1), F.col("event_type")), Rule("props_blank", exprs.blank(F.col("props")))])
+    return findings.union(orders, events)
+
+
+@query(
+    "q12_enums",
+    """SELECT 'o_orderpriority' AS field, o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL
+    UNION ALL SELECT 'event_type', event_type, count(*) FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY ALL""",
+)
+def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name: str, field: str, *domain: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).where(exprs.not_in_domain(F.col(field), domain))
+        return rows.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).select(F.lit(field).alias("field"), "value", "n")
+
+    return of("orders", "o_orderpriority", "1-URGENT", "2-HIGH", "3-MEDIUM").unionAll(of("events", "event_type", "click", "view"))
+
+
+@query(
+    "q13_keys",
+    """SELECT event_id AS entity_id, 'events' AS gate, 'unknown_key' AS defect, unnest(list_filter(json_keys(props), lambda x: x NOT IN ('v'))) AS detail FROM events
+    UNION ALL SELECT event_id, 'events', 'missing_key', unnest(list_filter(['v', 'k'], lambda x: NOT list_contains(json_keys(props), x))) FROM events""",
+)
+def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return findings.union(
+        findings.keys_as_findings(events, "event_id", "events", "unknown_key", exprs.keys_outside(F.col("props"), ["v"])),
+        findings.keys_as_findings(events, "event_id", "events", "missing_key", exprs.missing_keys(F.col("props"), ["v", "k"])),
+    )
+
+
+@query("q14_json_getters", "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_sum, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_max, count(*) FILTER (json_extract(props, '$.none') IS NULL) AS n_none FROM events GROUP BY event_type")
+def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"), F.count_if(F.get_json_object("props", "$.none").isNull()).alias("n_none"))
+
+
+@query("q15_multiset_equality", "SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey HAVING list_sort(list(l_linenumber)) <> range(1, count(*) + 1)")
+def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber").cast("long")).alias("numbers"), F.count("*").alias("n"), F.max("l_linenumber").alias("last"))
+    return rows.where(~exprs.same_multiset(F.col("numbers"), F.sequence(F.lit(1).cast("long"), F.col("n")))).select("l_orderkey", "n", "last")
+
+
+@query("q16_duplicates", "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.duplicates(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256")), "sha256")
+
+
+@query(
+    "q17_pins",
+    """WITH m AS (SELECT doc_id, sha256(text) AS w FROM documents WHERE doc_id % 7 <> 3), p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || ' ' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 2)
+    SELECT coalesce(m.doc_id, p.doc_id) AS doc_id, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL THEN 'stray' ELSE 'drifted' END AS defect FROM m FULL JOIN p ON m.doc_id = p.doc_id WHERE h IS NULL OR w IS NULL OR h <> w""",
+)
+def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest that lacks some documents against a copy in which some are missing and some have drifted."""
+    documents = table(spark, sf_dir, "documents")
+    pinned = documents.where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    present = documents.where("doc_id % 11 <> 2").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("sha256"))
+    return relations.pin_findings(pinned, present, "doc_id")
+
+
+@query(
+    "q18_completeness",
+    """SELECT o_orderkey AS key, 'unanswered' AS defect FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+    UNION ALL SELECT DISTINCT l_orderkey, 'foreign' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""",
+)
+def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "key")
+    unanswered = relations.incomplete(orders, "key", items.where("l_quantity > 30"), items.where("l_returnflag = 'R'"))
+    foreign = relations.ungrounded(items, orders, "key")
+    return unanswered.withColumn("defect", F.lit("unanswered")).unionByName(foreign.withColumn("defect", F.lit("foreign")))
+
+
+@query(
+    "q19_row_grading",
+    """SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_items IS NULL THEN 'no_items' WHEN c_custkey IS NULL THEN 'no_customer' WHEN returned > 0 THEN 'returned' WHEN o_totalprice < 1000 THEN 'small' ELSE 'pass' END AS status
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_items, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey) GROUP BY status""",
+)
+def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_items"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    customers = orders.select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+    cases = [(F.col("n_items").isNull(), "no_items"), (F.col("c_custkey").isNull(), "no_customer"), (F.col("returned") > 0, "returned"), (F.col("o_totalprice") < 1000, "small")]
+    return relations.graded(orders, "o_orderkey", [items, customers], cases, "pass").groupBy("status").agg(F.count("*").alias("n"))
+
+
+_BASELINES = [("Brand#11", 12), ("Brand#12", 9), ("Brand#13", 9), ("Brand#22", 400), ("Brand#99", 1)]
+
+
+@query(
+    "q20_regression_floor",
+    f"""WITH s AS (SELECT p_brand AS brand, count(*) FILTER (p_size > 25) AS solved FROM part GROUP BY p_brand), b AS (SELECT * FROM (VALUES {", ".join(map(str, _BASELINES))}) t(brand, baseline))
+    SELECT brand, solved, CAST(baseline AS BIGINT) AS baseline, CASE WHEN baseline IS NULL THEN 'blocked' WHEN solved < baseline - 2 THEN 'fail' ELSE 'pass' END AS status FROM s LEFT JOIN b USING (brand)""",
+)
+def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    solved = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count_if(F.col("p_size") > 25).alias("solved"))
+    return verdicts.regression_floor(solved, spark.createDataFrame(_BASELINES, "brand string, baseline long"), "brand")
+
+
+_FAMILY_BASELINES = [("BUILDING", "1-URGENT", 10), ("BUILDING", "2-HIGH", 20), ("MACHINERY", "1-URGENT", 5)]
+
+
+@query(
+    "q21_matching_family",
+    f"""WITH r AS (SELECT DISTINCT c_mktsegment AS family, o_orderpriority AS task FROM orders JOIN customer ON c_custkey = o_custkey), b AS (SELECT * FROM (VALUES {", ".join(map(str, _FAMILY_BASELINES))}) t(family, task, baseline))
+    SELECT family, task, CAST(baseline AS BIGINT) AS baseline, CASE WHEN baseline IS NOT NULL THEN 'found' WHEN family NOT IN (SELECT family FROM b) THEN 'family_missing' ELSE 'benchmark_missing' END AS state FROM r LEFT JOIN b USING (family, task)""",
+)
+def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("family"), F.col("o_orderpriority").alias("task")).distinct()
+    return verdicts.matching_baseline(runs, spark.createDataFrame(_FAMILY_BASELINES, "family string, task string, baseline long"))
+
+
+@query(
+    "q22_grid",
+    """WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, user_id FROM events) SELECT event_type, day FROM (SELECT * FROM (SELECT DISTINCT event_type FROM e), (SELECT DISTINCT day FROM e)) x
+    ANTI JOIN (SELECT DISTINCT event_type, day FROM e WHERE user_id % 7 = 0) USING (event_type, day)""",
+)
+def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    return relations.unseen_grid(events.where("user_id % 7 = 0"), [events.select("event_type"), events.select("day")])
+
+
+@query(
+    "q23_k_of_n",
+    """SELECT o_custkey, count(*) FILTER (o_totalprice > 150000) AS n_passed, count(*) AS n_results, 2 AS need, 3 AS "of",
+    CASE WHEN count(*) < 3 THEN 'INVALID' WHEN count(*) FILTER (o_totalprice > 150000) >= 2 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM orders GROUP BY o_custkey""",
+)
+def q23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.k_of_n(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_totalprice") > 150000, F.lit(2), F.lit(3))
+
+
+_DISPOSITIONS = {"total": "fix_and_rerun", "status": "blocked"}
+
+
+@query(
+    "q24_failures_by_gate",
+    """WITH f AS (SELECT c_nationkey AS e, 'total' AS gate FROM customer WHERE c_acctbal < -900 UNION ALL SELECT c_nationkey, 'segment' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_nationkey, 'status' FROM customer WHERE c_acctbal > 9900)
+    SELECT gate, count(DISTINCT e) AS n_failed, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT e AS x FROM f g WHERE g.gate = f.gate)) AS failed,
+    CASE gate WHEN 'total' THEN 'fix_and_rerun' WHEN 'status' THEN 'blocked' ELSE 'no_deploy' END AS disposition FROM f GROUP BY gate""",
+)
+def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    found = findings.union(
+        findings.check(customers, "c_nationkey", "total", [Rule("low", F.col("c_acctbal") < -900)]),
+        findings.check(customers, "c_nationkey", "segment", [Rule("segment", F.col("c_mktsegment") == "BUILDING")]),
+        findings.check(customers, "c_nationkey", "status", [Rule("high", F.col("c_acctbal") > 9900)]),
+    )
+    return verdicts.failures_by_gate(found, _DISPOSITIONS, "no_deploy")
+
+
+@query("q25_median_baseline", "SELECT p_brand, p_size, median(p_retailprice) AS baseline, count(*) AS n_reps FROM part GROUP BY ALL")
+def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts.median_baseline(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_retailprice")
+
+
+@query("q26_rep_numbering", "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rep FROM events")
+def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts.numbered(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.col("ts"), F.col("event_id")).select("event_id", "user_id", "event_type", "rep")
+
+
+@query(
+    "q27_durations",
+    """SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds, coalesce(max(value) FILTER (event_type = 'purchase'), max(value)) AS best,
+    sum(value) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id""",
+)
+def q27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    start, end = (f(F.col("ts").cast("timestamp")) for f in (F.min, F.max))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(exprs.seconds_between(start, end).alias("seconds"), F.coalesce(F.max(of("purchase")), F.max("value")).alias("best"), F.sum(of("error")).alias("errors"))
+
+
+@query(
+    "q28_first_survivors",
+    """WITH w AS (SELECT p_brand, p_partkey, p_size >= 20 AS ok, sum(CASE WHEN p_size >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+    SELECT p_brand, p_partkey, CASE WHEN ok THEN 'kept' ELSE 'excluded' END AS status FROM w WHERE n < 25 OR (n = 25 AND ok)""",
+)
+def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.first_survivors(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")], F.col("p_size") >= 20, 25).select("p_brand", "p_partkey", "status")
+
+
+@query(
+    "q29_sequence",
+    "SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS expected FROM conversations WHERE role <> 'system') WHERE turn <> expected",
+)
+def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn")
+    return lines.out_of_sequence(rows, "conv_id", "turn", "turn", first=0)
+
+
+@query(
+    "q30_closure",
+    """WITH s AS (SELECT DISTINCT conv_id || '/' || turn AS node FROM conversations WHERE role = 'assistant'), e AS (SELECT DISTINCT conv_id || '/' || turn AS node, conv_id || '/' || (turn - 1) AS needs FROM conversations WHERE turn > 0)
+    SELECT node, needs FROM e WHERE node IN (SELECT node FROM s) AND needs NOT IN (SELECT node FROM s)""",
+)
+def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    node = lambda n: F.concat_ws("/", "conv_id", n)
+    edges = talk.where("turn > 0").select(node(F.col("turn")).alias("node"), node(F.col("turn") - 1).alias("needs")).distinct()
+    return relations.open_prerequisites(edges, talk.where("role = 'assistant'").select(node(F.col("turn")).alias("node")).distinct(), "node", "needs")
+
+
+@query(
+    "q31_cycles",
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS node, (c_custkey % 25)::INT AS needs FROM customer WHERE c_custkey <= 40),
+    walk(start, pos, path, n) AS (SELECT node, needs, [node], 1 FROM e UNION ALL SELECT w.start, e.needs, list_append(w.path, w.pos), w.n + 1 FROM walk w JOIN e ON e.node = w.pos WHERE w.pos <> w.start AND NOT list_contains(w.path, w.pos) AND w.n < 6)
+    SELECT start AS node, CAST(min(n) AS INT) AS length FROM walk WHERE pos = start GROUP BY start""",
+)
+def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of up to six edges in a small graph of nations."""
+    edges = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("node"), (F.col("c_custkey") % 25).cast("int").alias("needs")).distinct()
+    return graphs.cycle_paths(edges, 6)
+
+
+@query(
+    "q32_line_kinds",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+    k AS (SELECT doc_id, no, CASE WHEN trim(line) = '' THEN 'blank' WHEN starts_with(trim(line), '#') THEN 'comment' ELSE 'other' END AS kind FROM l),
+    b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY no) AS prev FROM k)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kind = 'blank') AS n_blank, count(*) FILTER (kind = 'comment') AS n_comment, count(*) FILTER (kind = 'other') AS n_other,
+    count(*) FILTER (kind = 'blank' AND prev IS DISTINCT FROM 'blank') AS n_blank_runs FROM b GROUP BY doc_id""",
+)
+def q32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_summary(lines.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query(
+    "q33_coherence",
+    """SELECT lang, count(*) AS n, count(*) FILTER (n_chars <> length(text)) AS n_wrong, sum(n_chars) AS claimed, sum(length(text)) AS counted, count(quality) AS n_labelled, count(*) FILTER (quality = 1) AS n_good
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
+)
+def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "documents").withColumn("counted", F.length("text")).select("doc_id", "lang", "n_chars", "counted").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") != F.col("counted")).alias("n_wrong"), F.sum("n_chars").alias("claimed"), F.sum("counted").alias("counted"), F.count("quality").alias("n_labelled"), F.count_if(F.col("quality") == 1).alias("n_good"))
+
+
+@query(
+    "q34_contained_items",
+    """SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text) AND len(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> '')) >= 8""",
+)
+def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
+
+
+def _grams_sql(name: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, list_aggregate(w[i:i+7], 'string_agg', ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM
+    (SELECT {key}, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {name}) WHERE len(w) >= 8)"""
+
+
+@query("q35_shared_shingles", f"WITH d AS ({_grams_sql('documents', 'doc_id')}), b AS ({_grams_sql('benchmark', 'item_id')}) SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (gram) GROUP BY ALL")
+def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.shared_shingles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 8)
+
+
+@query(
+    "q36_blocks",
+    """SELECT page_id, len(regexp_extract_all(html, '<script')) AS n_scripts, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links,
+    array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ') AS links FROM pages""",
+)
+def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<script"), 0)).cast("long").alias("n_scripts"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
+
+
+@query("q37_redaction", r"""SELECT page_id, regexp_replace(url, '\?.*$', '?<redacted>') AS url, regexp_replace(replace(url, 'https://', 'https://user:pw@'), '://([^:/@]+):([^@]+)@', '://\1:<redacted>@', 'g') AS dsn FROM pages""")
+def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dsn = F.replace("url", F.lit("https://"), F.lit("https://user:pw@"))
+    return table(spark, sf_dir, "pages").select("page_id", exprs.redacted_query(F.col("url")).alias("url"), exprs.redacted(dsn).alias("dsn"))
+
+
+@query("q38_sentences", r"SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '[.!?]\s+|[.!?]$'), lambda x: trim(x) <> '')) AS n_sentences FROM documents")
+def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", exprs.sentence_count(F.col("text")).cast("long").alias("n_sentences"))
+
+
+@query(
+    "q39_catch_rates",
+    f"""WITH v AS ({_VERDICT_SQL}), b AS (SELECT lang, quality = 0 AS bad, len(classes) > 0 AS flagged FROM labels JOIN v USING (doc_id)),
+    n AS (SELECT lang, count(*) FILTER (bad) AS n_bad, count(*) FILTER (bad AND flagged) AS n_caught, count(*) FILTER (flagged) AS n_flagged FROM b GROUP BY lang)
+    SELECT *, round(n_caught / nullif(n_bad, 0), 6) AS catch_rate, round((n_flagged - n_caught) / nullif(n_flagged, 0), 6) AS over_flag_rate FROM n""",
+)
+def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "labels").join(_verdict_rows(table(spark, sf_dir, "documents")), "doc_id")
+    return verdicts.catch_rates(both, F.col("quality") == 0, F.col("verdict") == "reject", "lang")
+
+
+@query(
+    "q40_status_rollup",
+    """WITH s AS (SELECT o_orderkey, CASE WHEN count(l_orderkey) FILTER (l_linestatus = 'F') = 0 THEN 'planned' WHEN count(l_orderkey) FILTER (l_linestatus = 'F') = count(l_orderkey) THEN 'completed' ELSE 'in_progress' END AS status
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+    SELECT coalesce(status, 'total') AS status, count(*) AS n FROM s GROUP BY ROLLUP(status)""",
+)
+def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    done = F.coalesce("done", F.lit(0))
+    status = F.when(done == 0, "planned").when(done == F.col("n"), "completed").otherwise("in_progress")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left").select(status.alias("status"))
+    return rows.rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+
+
+@query(
+    "q41_content_swap",
+    """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN p_name || ' x' ELSE upper(replace(p_name, ' ', '-')) END AS p_name, p_brand FROM part UNION ALL SELECT -p_partkey, p_name, p_brand FROM part WHERE p_partkey % 50 = 0)
+    SELECT s.p_partkey, CASE WHEN r.p_partkey IS NULL THEN 'invented' ELSE 'content_swap' END AS defect FROM s LEFT JOIN part r USING (p_partkey)
+    WHERE r.p_partkey IS NULL OR lower(translate(s.p_name, '-_', '  ')) <> lower(translate(r.p_name, '-_', '  ')) OR lower(s.p_brand) <> lower(r.p_brand)""",
+)
+def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with other spelling (the same), with another name (swapped) and with keys of their own (invented)."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    spelled = F.when(F.col("p_partkey") % 9 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.upper(F.translate("p_name", " ", "-")))
+    selection = parts.withColumn("p_name", spelled).unionByName(parts.where("p_partkey % 50 = 0").withColumn("p_partkey", -F.col("p_partkey")))
+    return relations.swapped(selection, parts, "p_partkey", ["p_name", "p_brand"], lambda c: F.lower(F.translate(c, "-_", "  ")))
+
+
+@query(
+    "q42_set_operations",
+    """SELECT 'suppliers_without_items' AS what, count(*) AS n FROM (SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem)
+    UNION ALL SELECT 'shared_keys', count(*) FROM (SELECT s_suppkey FROM supplier INTERSECT SELECT p_partkey FROM part)
+    UNION ALL SELECT 'floor_missing', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)
+    UNION ALL SELECT 'either', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""",
+)
+def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = lambda name, key: table(spark, sf_dir, name).select(F.col(key).cast("long").alias("key"))
+    suppliers, nations = keys("supplier", "s_suppkey"), keys("customer", "c_nationkey")
+    found = {
+        "suppliers_without_items": suppliers.subtract(keys("lineitem", "l_suppkey")),
+        "shared_keys": suppliers.intersect(keys("part", "p_partkey")),
+        "floor_missing": keys("nation", "n_nationkey").subtract(nations),
+        "either": nations.union(keys("supplier", "s_nationkey")).distinct(),
+    }
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, rows in found.items()]
+    return findings.union(*counts)
+
+
+@query(
+    "q43_upsert",
+    """WITH old AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey),
+    new AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY o_custkey)
+    SELECT * FROM old ANTI JOIN new USING (o_custkey) UNION ALL SELECT * FROM new""",
+)
+def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = lambda rows: rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    orders, cut = table(spark, sf_dir, "orders"), F.lit("1998-01-01").cast("timestamp_ntz")
+    return upserted(totals(orders.where(F.col("o_orderdate") < cut)), totals(orders.where(F.col("o_orderdate") >= cut)), "o_custkey")
+
+
+@query(
+    "q44_linkage",
+    """SELECT p_partkey AS key, 'part_without_items' AS defect FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+    UNION ALL SELECT c_custkey, 'customer_without_orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT DISTINCT l_partkey, 'item_without_part' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)""",
+)
+def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = lambda rows, key: rows.select(F.col(key).alias("key"))
+    items, parts = table(spark, sf_dir, "lineitem"), keys(table(spark, sf_dir, "part"), "p_partkey")
+    pairs = {
+        "part_without_items": relations.incomplete(parts, "key", keys(items.where("l_quantity > 45"), "l_partkey")),
+        "customer_without_orders": relations.incomplete(keys(table(spark, sf_dir, "customer"), "c_custkey"), "key", keys(table(spark, sf_dir, "orders"), "o_custkey")),
+        "item_without_part": relations.ungrounded(keys(items, "l_partkey"), parts, "key"),
+    }
+    return findings.union(*(rows.withColumn("defect", F.lit(name)) for name, rows in pairs.items()))
+
+
+@query("q45_latency", "SELECT event_type, round(min(value), 2) AS min_s, round(median(value), 2) AS median_s, round(max(value), 2) AS max_s, count(*) AS n FROM events GROUP BY event_type")
+def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("q46_normal_form")
+def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(records.normalised(F.col("text")), 256).alias("normal_sha256"))
+
+
+@query("q47_citations")
+def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cited at several depths of a record made of each conversation turn, and whether they are turns."""
+    talk = table(spark, sf_dir, "conversations")
+    record = F.to_json(F.struct(F.array(F.concat(F.lit("turn-"), F.col("turn"))).alias("source_documents"), F.struct(F.concat(F.lit("turn-"), F.col("turn") + 1).alias("document")).alias("citation")))
+    cited = talk.select("conv_id", F.explode(records.cited(record)).alias("c")).select("conv_id", "c.name", "c.kind")
+    return relations.ungrounded(cited.select(F.col("name")), talk.select(F.concat(F.lit("turn-"), F.col("turn")).alias("name")), "name")
+
+
+@query("q48_response_payloads")
+def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade over responses that wrap each conversation turn in several ways."""
+    talk = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    body = F.to_json(F.struct("conv_id", "turn"))
+    fence = F.lit("```")
+    wrapped = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"), body)).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("<think>x</think>\n"), fence, F.lit("json\n"), body, F.lit("\n"), fence)).when(F.col("conv_id") % 4 == 2, F.concat(body, F.lit(" and more"))).otherwise(F.col("text"))
+    found = talk.select("conv_id", "turn", records.payload(wrapped).alias("p")).select("conv_id", "turn", "p.*")
+    return found.groupBy("state", "source", "thinking").agg(F.count("*").alias("n"))
