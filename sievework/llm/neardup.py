@@ -310,7 +310,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["cluster"], b["rep"], pa.array([s.tobytes() for s in shingle_sets(b["text"])], pa.binary())], names=["cluster", "rep", "shingles"])
 
-    members = docs.join(clusters.select(F.col("rep").alias("doc_id"), "cluster").distinct(), "doc_id").select("cluster", F.col("doc_id").alias("rep"), "text")
+    # The ids grow with the corpus, so they are never broadcast; as the build side of a hash join they spare the texts a sort.
+    members = docs.join(clusters.select(F.col("rep").alias("doc_id"), "cluster").distinct().hint("shuffle_hash"), "doc_id").select("cluster", F.col("doc_id").alias("rep"), "text")
     members = members.mapInArrow(sets, "cluster long, rep long, shingles binary").where(F.length("shingles") > 0).dropDuplicates(["cluster", "rep", "shingles"])
     some_large = large.limit(1).count() > 0
     if some_large:
@@ -334,7 +335,7 @@ def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = staged(near_duplicates(documents, id_col, text_col).select("doc_id", "n_shingles", "kept"))
     gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = documents.join(gone, id_col, "left_anti")
+    out = documents.join(gone.hint("shuffle_hash"), id_col, "left_anti")
     again = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if not again.limit(1).count():
         return out

@@ -13,8 +13,8 @@ Labels are a bounded sample: up to ``max_labels`` labelled rows, picked by a has
 be sent to all tasks. The model has a fixed size. All documents are scored, over their whole texts.
 
 Defined results: null or empty text scores as a document without any evidence; labels that are null are left
-out and of several for one id the highest holds; without both classes every score is the share of toxic
-labels (0 if none); repeated rows give repeated rows.
+out and of several for one id the highest holds; without labelled texts of both classes nothing can be told and
+every score is near 0; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -166,8 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, train
     clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     clean[rows["feature"].to_numpy()], toxic[rows["feature"].to_numpy()] = rows["clean"].to_numpy(), rows["toxic"].to_numpy()
     if not clean.sum() or not toxic.sum():
-        share = float(bool(toxic.sum()))
-        return Model(np.zeros(1 << BITS, np.float32).tobytes(), 1.0, 0.0, 30.0 if share else -30.0, 0.0)
+        return Model(np.zeros(1 << BITS, np.float32).tobytes(), 1.0, 0.0, -30.0, 0.0)
     prior = PRIOR_TOKENS * (clean + toxic) / (clean + toxic).sum() + 1e-9
     n1, n0 = toxic.sum() + PRIOR_TOKENS, clean.sum() + PRIOR_TOKENS
     y1, y0 = toxic + prior, clean + prior

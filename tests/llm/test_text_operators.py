@@ -1,0 +1,182 @@
+"""Operators 1, 2, 3, 5 and 10 against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sievework.llm import bpe, kernels, lengths, pii, quality, secrets
+
+PIECES = st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'t", "'m", "1", "²", "é", "漢", "!", "..", "\x1c", "\x85", "😀", "٣", "l", "e", "r", "　"]), max_size=30).map("".join)
+
+
+def vocabulary():
+    return bpe.public_vocabulary()
+
+
+def same(rows, brute, names):
+    got = collections.Counter((r["doc_id"], *(r[n] for n in names)) for r in rows)
+    assert got == collections.Counter(brute)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=5))
+def test_pretokens_are_the_patterns_matches(texts):
+    import pyarrow as pa
+    import public_tokenizers
+    import regex
+
+    codes, words, before = kernels.pretoken_codes(*kernels.utf8(pa.array(texts)))
+    words = words.to_pylist()
+    for i, t in enumerate(texts):
+        assert [words[c] for c in codes[before[i] : before[i + 1]]] == regex.findall(public_tokenizers.PATTERN, t)
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample"])
+def test_encoding_is_tiktokens_and_decodes(request, name):
+    docs = request.getfixturevalue(name)
+    encoding = vocabulary().encoding()
+    rows = docs.select("doc_id", "text").collect()
+    ids = [encoding.encode_ordinary(r["text"] or "") for r in rows]
+    brute = [(r["doc_id"], len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r, x in zip(rows, ids, strict=True)]
+    same(bpe.round_trip_digests(docs, vocabulary()).collect(), brute, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    if name == "awkward":
+        encoded = bpe.encode(docs, vocabulary())
+        same(bpe.decode(encoded, vocabulary()).collect(), [(r["doc_id"], (r["text"] or "").encode()) for r in rows], ["decoded"])
+
+
+def test_encoding_nothing(nothing):
+    assert bpe.round_trip_digests(nothing, vocabulary()).count() == 0
+
+
+def measures(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    c = collections.Counter(zip(w, w[1:], w[2:]))
+    marked = {k + d for k, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for d in range(3)}
+    return len(w), sum(map(len, w)), sum(t.count(s) for s in quality.SYMBOLS), dup, len(marked)
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample"])
+def test_quality_measures(request, name):
+    docs = request.getfixturevalue(name)
+    rows = quality.filtered(docs).collect()
+    same(rows, [(r["doc_id"], *measures(r["text"])) for r in docs.select("doc_id", "text").collect()], quality.MEASURES)
+    for r in rows:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_hosts_of_bad_documents_are_rejected(spark, nothing):
+    good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
+    rows = [(i, good, f"good{i % 30}") for i in range(900)] + [(1000 + i, bad, "bad") for i in range(40)] + [(2000, good, "bad"), (2001, good, None), (2002, bad, "good1"), (2003, good, "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in quality.filtered(docs).where("kept").collect()}
+    assert kept == {i for i in range(900)} | {2001, 2003}
+    assert quality.filtered(nothing).count() == 0
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def personal(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_personal_spans_are_those_of_the_patterns():
+    r = random.Random(2)
+    parts = ["1", "2", "25", "0", "000", ".", " ", "-", "@", "a", "b.c", "+", "(", ")", "4111 1111 1111 1111", "x@y.z", "é", "://", "account 12345678"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 22)))
+        assert [s for s in pii.spans(t) if s[1] < 4] == personal(t), t
+
+
+def test_personal_data_that_the_method_adds():
+    t = "Account no. 12-345678 and IBAN DE89 3704 0044 0532 0130 00, see https://ann:pw@host.example/x"
+    found = [(pii.KINDS[k], t[a:b]) for a, k, b in pii.spans(t) if k > 3]
+    assert found == [("account", "12-345678"), ("iban", "DE89 3704 0044 0532 0130 00"), ("url_user", "ann:pw@host.example")]
+    assert [s for s in pii.spans("an account of 1990 events") if s[1] > 3] == []
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample"])
+def test_personal_digests(request, name):
+    docs = request.getfixturevalue(name)
+    brute = []
+    for r in docs.select("doc_id", "text").collect():
+        s = personal(r["text"] or "")
+        brute.append((r["doc_id"], *(sum(x[1] == k for x in s) for k in range(4)), hashlib.sha256(pii.written(s).encode()).hexdigest()))
+    same(pii.digests(docs).collect(), brute, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
+
+
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_spans_are_those_of_the_patterns():
+    r = random.Random(3)
+    parts = ["password", "ToKen", "api_key", "apiKEY", "K", " ", "=", ":", '"', "'", "abc123", "AKIA", "ABCDEFGHIJ012345", "0123456789abcdef", "fe", "x", "/", "é"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 16)))
+        assert [s for s in secrets.spans(t, vocabulary()) if s[1] < 3] == secret(t), t
+
+
+def test_random_strings_are_found_and_names_are_not():
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.spans(t, vocabulary())]
+    assert kinds("key is zQ9xK2vB7nM4tR8wL1pJ6c here") == ["random"]
+    for t in ("internationalization_of_documents2", "https://example.com/a/very/long/path/of/pages.html", "123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "2024-01-01T00:00:00.000000", "4111111111111111111111"):
+        assert kinds(t) == [], t
+    assert secrets.masked_text("a token=abcdef1 b", secrets.spans("a token=abcdef1 b", vocabulary())) == "a [SECRET] b"
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample"])
+def test_secret_digests_and_masking(request, name):
+    docs = request.getfixturevalue(name)
+    brute = []
+    for r in docs.select("doc_id", "text").collect():
+        s = secret(r["text"] or "")
+        brute.append((r["doc_id"], *(sum(x[1] == k for x in s) for k in range(3)), hashlib.sha256(pii.written(s, secrets.KINDS).encode()).hexdigest()))
+    same(secrets.digests(docs, vocabulary()).collect(), brute, ["n_assign", "n_access", "n_hex", "base_sha256"])
+    masked = secrets.masked(docs, vocabulary())
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert masked.where("text IS NULL").count() == docs.where("text IS NULL").count()
+    assert not [r for r in masked.where("text IS NOT NULL").collect() if secret(r["text"])]
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample"])
+def test_context_totals(request, name):
+    docs = request.getfixturevalue(name)
+    sizes = [len(vocabulary().encoding().encode_ordinary(r["text"] or "")) for r in docs.collect()]
+    rows = lengths.context_totals(docs, vocabulary()).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted(set(sizes))
+    for r in rows:
+        n = r["n_tokens"]
+        longer = [s for s in sizes if s >= n]
+        assert (r["n_docs"], r["tokens"], r["docs_at_least"], r["tokens_at_least"]) == (sizes.count(n), n * sizes.count(n), len(longer), sum(longer))
+        assert r["truncated_tokens"] == sum(min(s, n) for s in sizes)
+        assert abs(r["quantile"] - sum(s <= n for s in sizes) / len(sizes)) < 1e-12
+
+
+def test_no_documents(nothing):
+    for found in (pii.digests(nothing), secrets.digests(nothing, vocabulary()), lengths.context_totals(nothing, vocabulary())):
+        assert found.count() == 0
