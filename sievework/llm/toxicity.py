@@ -6,7 +6,8 @@ labelled documents use an informative Dirichlet prior (the frequencies of all la
 counts a feature once, a text counts once for each class, and features whose z-score is small count as neutral. A token scores as its most telling feature does, and every token
 costs a small drift, so that random text scores negative. A linear-time scan finds all maximal-scoring
 segments of a document. A segment's significance follows from extreme-value theory: lambda solves
-sum p*exp(lambda*s) = 1 over the clean token scores, and S counts as lambda*S - ln(K*m) in a document
+sum p*exp(lambda*s) = 1 over the clean token scores (with the prior, so that words which no clean document
+has don't lack a chance), and S counts as lambda*S - ln(K*m) in a document
 of m tokens. Documents add up their significant segments; a logistic curve maps that to a probability.
 
 Labels are a bounded sample: up to ``max_labels`` labelled rows, picked by a hash of the id, so their ids can
@@ -173,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, train
     odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
     z = odds / np.sqrt(1 / y1 + 1 / y0)
     weights = np.where(np.abs(z) >= MIN_Z, odds, 0.0).astype(np.float32)
-    rate, log_k = _extreme_values(weights - DRIFT, clean / clean.sum())
+    rate, log_k = _extreme_values(weights - DRIFT, y0 / y0.sum())
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
