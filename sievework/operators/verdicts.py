@@ -56,6 +56,21 @@ def k_of_n(results: DataFrame, groups: Sequence[str], passed: Column, need: Colu
     return counts.withColumn("outcome", outcome)
 
 
+def gate_outcomes(results: DataFrame, rules: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """outcome of every gate of ``rules`` (suite, gate, need, of) by results (suite, gate, passed).
+
+    Gates without enough results are INVALID; gates in ``blocked`` (suite, gate) are BLOCKED whatever their results say.
+    """
+    counts = results.groupBy("suite", "gate").agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n_results"))
+    both = rules.join(counts, ["suite", "gate"], "left").fillna(0, ["n_passed", "n_results"])
+    broken = F.lit(False)
+    if blocked is not None:
+        both = both.join(blocked.select("suite", "gate", F.lit(True).alias("_blocked")).distinct(), ["suite", "gate"], "left")
+        broken = F.coalesce("_blocked", F.lit(False))
+    outcome = F.when(broken, "BLOCKED").when(F.col("n_results") < F.col("of"), "INVALID").when(F.col("n_passed") >= F.col("need"), "PASS").otherwise("FAIL")
+    return both.select("suite", "gate", "need", "of", "n_passed", "n_results", outcome.alias("outcome"))
+
+
 def suite_verdict(gates: DataFrame, suite: str) -> DataFrame:
     """PASS if every gate of a suite passes; else BLOCKED before INVALID before FAIL."""
     worst = F.max(F.when(F.col("outcome") == "BLOCKED", 3).when(F.col("outcome") == "INVALID", 2).when(F.col("outcome") == "FAIL", 1).otherwise(0))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import exprs, records
-from sievework.operators import anchors, findings, graphs, lines, relations, rollouts, verdicts
+from sievework.operators import anchors, contracts, findings, graphs, lines, relations, rollouts, verdicts
 from sievework.operators.anchors import Anchor
+from sievework.operators.contracts import Field
 from sievework.operators.findings import Rule
 from sievework.sources.sinks import upserted
 from sievework.sources.tables import table
@@ -581,3 +582,28 @@ def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"), body)).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("<think>x</think>\n"), fence, F.lit("json\n"), body, F.lit("\n"), fence)).when(F.col("conv_id") % 4 == 2, F.concat(body, F.lit(" and more"))).otherwise(F.col("text"))
     found = talk.select("conv_id", "turn", records.payload(wrapped).alias("p")).select("conv_id", "turn", "p.*")
     return found.groupBy("state", "source", "thinking").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q49_contract",
+    """SELECT event_id AS entity_id, 'props' AS gate, 'missing_key' AS defect, 'v' AS detail FROM events WHERE NOT list_contains(json_keys(props), 'v')
+    UNION ALL SELECT event_id, 'props', 'below_least', 'k' FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 10
+    UNION ALL SELECT event_id, 'props', 'above_most', 'k' FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90
+    UNION ALL SELECT event_id, 'props', 'unknown_key', array_to_string(list_sort(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'v'))), ',') FROM events WHERE len(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'v'))) > 0""",
+)
+def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (Field("k", "int", least=10, most=90), Field("v", "string"))
+    return contracts.violations(table(spark, sf_dir, "events"), "event_id", "props", "props", fields, closed=True)
+
+
+_RULES = [("O", "1-URGENT", 100, 200), ("O", "2-HIGH", 1000000, 10), ("F", "1-URGENT", 1, 1000000000), ("F", "9-NONE", 1, 1)]
+
+
+@query(
+    "q50_gate_outcomes",
+    f"""WITH r AS (SELECT * FROM (VALUES {", ".join(map(str, _RULES))}) t(suite, gate, need, "of")), c AS (SELECT o_orderstatus AS suite, o_orderpriority AS gate, count(*) FILTER (o_totalprice > 100000) AS p, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT suite, gate, need, "of", coalesce(p, 0) AS n_passed, coalesce(n, 0) AS n_results, CASE WHEN coalesce(n, 0) < "of" THEN 'INVALID' WHEN p >= need THEN 'PASS' ELSE 'FAIL' END AS outcome FROM r LEFT JOIN c USING (suite, gate)""",
+)
+def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("suite"), F.col("o_orderpriority").alias("gate"), (F.col("o_totalprice") > 100000).alias("passed"))
+    return verdicts.gate_outcomes(results, spark.createDataFrame(_RULES, "suite string, gate string, need int, of int"))
