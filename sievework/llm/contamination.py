@@ -1,10 +1,11 @@
-"""Operator 9: benchmark passages in documents, found by spaced seeds.
+"""Operator 9: benchmark passages in documents, found by counting windows of three words on each diagonal.
 
-Fixed masks pick some of the words in a window and ignore the others, so a substituted word does not hide
-a passage. The hashes of all windows of the test items are joined with those of every document window inside
-the tasks; around each hit, item and document are compared word by word on the hit's diagonal.
 A pair is reported if a stretch of the item is found in which matches count 1 and other words -2, with a sum
-of ``MIN_SCORE`` or more, or of 80 % of a shorter item. Items shorter than the masks are sought word by word.
+of ``MIN_SCORE`` or more, or of 80 % of a shorter item. In such a stretch the s other words part the m matches into
+s + 1 runs, and a run of r words holds r - 2 or more windows of three; m - 2s being the sum, at least the sum less 2 of
+the windows match. So no passage is missed, wherever the other words stand: the hashes of all windows of the test
+items are joined with those of every document window inside the tasks, and every diagonal (of an item in a document)
+with that many common windows is compared word by word.
 
 The items go to the tasks in parts of up to ``part_words`` words (about 12 bytes each), one pass over
 the documents for each part; a benchmark of usual size is one part.
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from sievework.llm.common import texts
 from sievework.llm.kernels import LOWER, byte_values, mixed, prefix, slices, span_hashes, utf8, word_spans
 
-#: Which words of a window count.
-MASKS = ("111010110111", "110110101111", "111111111")
+#: Words in a window. The count of common windows follows from this and from the score of other words, -2.
+WINDOW = 3
 MIN_SCORE = 12
 MIN_ITEM = 5
 PART_WORDS = 2_000_000
+#: Pairs of an item's window and a document's that are held at a time.
+PAIRS = 1 << 22
 FOUND = "doc_id long, item_id long, n_matched long, n_item_words long, first_word long"
 
 
@@ -52,19 +55,19 @@ def word_hashes(column: pa.Array, most: int | None = None) -> Iterator[tuple[int
         yield i, span_hashes(prefix(byte_values(LOWER[own])), start, end), before
 
 
-def _masks(size: int) -> list[np.ndarray]:
-    fitting = [m for m in MASKS if len(m) <= size]
-    return [np.flatnonzero([c == "1" for c in m]) for m in fitting] or [np.arange(size)]
+def least_score(size: int) -> int:
+    """The sum that a stretch of an item of so many words must have."""
+    return min(MIN_SCORE, math.ceil(0.8 * size))
 
 
-def _window_keys(codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def _window_keys(words: np.ndarray) -> np.ndarray:
     """One hash for each window; windows that run over the end are left out."""
-    n = len(codes) - int(mask[-1])
+    n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    key = np.full(n, len(mask) * 1000 + int(mask[-1]), np.uint64)
-    for k in mask:
-        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    key = np.full(n, WINDOW, np.uint64)
+    for k in range(WINDOW):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
         key ^= key >> np.uint64(29)
     return mixed(key)
 
@@ -74,55 +77,44 @@ class _Index:
 
     def __init__(self, items: Items):
         self.items = items
-        keys, item, place = [], [], []
         sizes = np.diff(items.before)
-        self.masks = {tuple(m): m for s in np.unique(sizes[sizes >= MIN_ITEM]) for m in _masks(int(s))}
-        for i in np.flatnonzero(sizes >= MIN_ITEM):
-            words = items.words[items.before[i] : items.before[i + 1]]
-            for m in _masks(len(words)):
-                k = _window_keys(words, m)
-                keys.append(k)
-                item.append(np.full(len(k), i))
-                place.append(np.arange(len(k)))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        keys = _window_keys(items.words)
+        place = np.arange(len(keys))
+        item = np.searchsorted(items.before, place, "right") - 1
+        place -= items.before[item]
+        inside = (sizes[item] >= MIN_ITEM) & (place + WINDOW <= sizes[item])
+        self.keys, self.item, self.place = keys[inside], item[inside], place[inside]
         order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.keys, self.item, self.place = self.keys[order], self.item[order], self.place[order]
+        #: The windows that a diagonal of each item must share with a document.
+        self.needed = np.array([least_score(int(n)) - (WINDOW - 1) for n in sizes], np.int64)
         self.bits = max(16, len(self.keys).bit_length() + 4)
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.keys >> np.uint64(64 - self.bits)] = True
-        self.word_table = np.zeros(1 << 18, bool)
-        self.word_table[items.words >> np.uint64(64 - 18)] = True
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, document word minus item word) of every window that both have, each once."""
-        known = np.concatenate([[0], np.cumsum(self.word_table[words >> np.uint64(64 - 18)])])
-        items, shifts = [], []
-        for m in self.masks.values():
-            span = int(m[-1]) + 1
-            if len(words) < span or not len(self.keys):
-                continue
-            # Only windows in which as many words as the mask has are words of some item.
-            at = np.flatnonzero(known[span:] - known[:-span] >= len(m))
-            if not len(at):
-                continue
-            key = np.full(len(at), len(m) * 1000 + int(m[-1]), np.uint64)
-            for k in m:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
-                key ^= key >> np.uint64(29)
-            key = mixed(key)
-            maybe = self.table[key >> np.uint64(64 - self.bits)]
-            at, key = at[maybe], key[maybe]
-            a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            n = b - a
-            one = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            items.append(self.item[one])
-            shifts.append(np.repeat(at, n) - self.place[one])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(items), np.concatenate(shifts)]), axis=1)
-        return both[0], both[1]
+        """(item, document word minus item word) of every diagonal with enough common windows, each once."""
+        key = _window_keys(words)
+        at = np.flatnonzero(self.table[key >> np.uint64(64 - self.bits)]) if len(self.keys) else np.zeros(0, np.int64)
+        key = key[at]
+        a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        at, a, n = at[b > a], a[b > a], (b - a)[b > a]
+        # A diagonal is numbered by item and shift; shifts run from 1 - (words of the longest item) to the last word.
+        longest = int(np.diff(self.items.before).max(initial=0))
+        width = len(words) + longest
+        ends = np.cumsum(n)
+        found, counts, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            m = n[i:j]
+            one = np.repeat(a[i:j] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            own, k = np.unique(self.item[one] * width + np.repeat(at[i:j], m) - self.place[one] + longest, return_counts=True)
+            found, back = np.unique(np.concatenate([found, own]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, k]), len(found)).astype(np.int64)
+            i = j
+        item, shift = found // width, found % width - longest
+        enough = counts >= self.needed[item]
+        return item[enough], shift[enough]
 
     def verified(self, words: np.ndarray, item: int, shift: int) -> tuple[int, int] | None:
         """Matches and first document word of the best stretch on the diagonal, if it is long enough."""
@@ -132,7 +124,7 @@ class _Index:
         sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
         gain = sums[1:] - np.minimum.accumulate(sums[:-1])
         end = int(np.argmax(gain))
-        if gain[end] < min(MIN_SCORE, math.ceil(0.8 * len(own))):
+        if gain[end] < least_score(len(own)):
             return None
         start = int(np.argmin(sums[: end + 1]))
         return int(same[start : end + 1].sum()), a + start + shift

@@ -263,6 +263,43 @@ def test_exact_passages_are_always_found(spark, sample):
     assert exact <= {(r["doc_id"], r["item_id"]) for r in contamination.find(sample, benchmark).collect()}
 
 
+def test_every_passage_that_counts_is_found(spark):
+    """All diagonals by brute force, for other words in periods and at random."""
+    r = random.Random(12)
+    fresh = iter(range(10**9))
+    items, docs = [], []
+    for n in [*range(5, 20), 30, 50, 60, 150, 400]:
+        for kind in ("every 3", "every 4", "every 5", "every 6", "every 7", "mmxmmmx", 0.1, 0.15, 0.2, 0.25):
+            item = [f"w{r.randrange(40)}" if n % 2 else f"i{next(fresh)}" for _ in range(n)]
+            put = [k % int(kind[6:]) == int(kind[6:]) - 1 if str(kind).startswith("every") else "mmxmmmx"[k % 7] == "x" if kind == "mmxmmmx" else r.random() < kind for k in range(n)]
+            noise = lambda: [f"w{r.randrange(40)}" for _ in range(r.randrange(30))]
+            docs.append((len(docs), " ".join([*noise(), *(f"x{next(fresh)}" if p else w for p, w in zip(put, item, strict=True)), *noise()])))
+            items.append((len(items), " ".join(item)))
+    brute = set()
+    split = [[hash(w) for w in t.split()] for _, t in docs]
+    for i, t in items:
+        item = np.array([hash(w) for w in t.split()])
+        for d, w in enumerate(split):
+            w = np.array(w)
+            if len(set(w.tolist()) & set(item.tolist())) == 0:
+                continue
+            for shift in range(1 - len(item), len(w)):
+                a, b = max(0, -shift), min(len(item), len(w) - shift)
+                same, best, now = item[a:b] == w[a + shift : b + shift], 0, 0
+                if same.sum() < 4:
+                    continue
+                for x in same.tolist():
+                    now = max(0, now + (1 if x else -2))
+                    best = max(best, now)
+                if best >= min(12, math.ceil(0.8 * len(item))):
+                    brute.add((d, i))
+                    break
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark).collect()} == brute
+    assert {x["doc_id"] for x in table.where(contamination.contaminated(benchmark)).collect()} == {d for d, _ in brute}
+
+
 # The pipeline.
 
 
