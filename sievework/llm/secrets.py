@@ -3,6 +3,9 @@
 Besides assignments, access keys and long hex strings, strings of ``MIN_RANDOM`` characters or more that a
 BPE vocabulary spends many tokens on (under ``MAX_RATIO`` characters a token) are taken for random, unless
 they are digests of a known length, UUIDs, dates, plain numbers or names in one letter case without digits.
+A run of characters is tested in what the fixed forms leave of it, as a whole (with digits), in all windows of tokens of
+each segment between / . and =, and in windows over several segments if they hold both letter cases and digits, as
+base64 does and most paths don't. So words around a random string don't hide it; a window is widened to the next of / . =.
 
 Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null.
 """
@@ -11,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,18 +38,97 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.+/_=-]+|[0-9]{4}-[0-9]{2}-[0-9]{2}T?.*")
+_KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.+/_=-]+")
+#: Forms that are left out wherever they stand by themselves; the rest of the run is tested.
+_APART = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_]?[0-9][0-9.+-]*Z?)?|"
+    + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in DIGEST_LENGTHS)
+    + r")(?![A-Za-z0-9])"
+)
+_PARTED = "/.="
+_SEGMENT = re.compile("[^/.=]{20,}")
+
+
+def _mixed(value: str) -> bool:
+    """Whether it is neither a number nor a name in one letter case without digits."""
+    lower, upper = any(c.islower() for c in value), any(c.isupper() for c in value)
+    return (lower and upper) or ((lower or upper) and any(c.isdigit() for c in value))
+
+
+def _of_all_kinds(value: str) -> bool:
+    return any(c.islower() for c in value) and any(c.isupper() for c in value) and any(c.isdigit() for c in value)
 
 
 def looks_random(value: str, vocabulary: Vocabulary) -> bool:
     """Whether the vocabulary spends so many tokens on it that it can't be made of words."""
-    if len(value) < MIN_RANDOM or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+    if len(value) < MIN_RANDOM or not _mixed(value):
         return False
     if _KNOWN.fullmatch(value) or (len(value) in DIGEST_LENGTHS and re.fullmatch("[0-9a-fA-F]+", value)):
         return False
     return len(value) < MAX_RATIO * len(vocabulary.encoding().encode_ordinary(value))
 
 
+def _window(tokens: list[int], gains: list[float]) -> tuple[int, int] | None:
+    """The tokens with the largest sum of gains that have MIN_RANDOM characters or more; None without a gain."""
+    sums, ends = [0.0, *accumulate(gains)], [0, *accumulate(tokens)]
+    best, found = 0.0, None
+    first, i = 0, -1  # the least sum before the windows that may end here
+    for j in range(1, len(ends)):
+        while ends[j] - ends[i + 1] >= MIN_RANDOM:
+            i += 1
+            if sums[i] < sums[first]:
+                first = i
+        if i >= 0 and sums[j] - sums[first] > best:
+            best, found = sums[j] - sums[first], (first, j)
+    return found
+
+
+def _windows(value: str, vocabulary: Vocabulary, telling: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """The windows of tokens that look random, the best first and then what stands beside it."""
+    if len(value) < MIN_RANDOM or not telling(value):
+        return []
+    encoding = vocabulary.encoding()
+    sizes = [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(value)]
+    ends = [0, *accumulate(sizes)]
+    out, left = [], [(0, len(sizes))]
+    while left:
+        x, y = left.pop()
+        if ends[y] - ends[x] < MIN_RANDOM or not (w := _window(sizes[x:y], [MAX_RATIO - n for n in sizes[x:y]])):
+            continue
+        i, j = x + w[0], x + w[1]
+        left += [(x, i), (j, y)]
+        a, b = ends[i], ends[j]
+        if telling(value[a:b]):
+            while a and value[a - 1] not in _PARTED and value[a] not in _PARTED:
+                a -= 1
+            while b < len(value) and value[b] not in _PARTED and value[b - 1] not in _PARTED:
+                b += 1
+            out.append((a, b))
+    return out
+
+
+def random_spans(value: str, vocabulary: Vocabulary) -> list[tuple[int, int]]:
+    """Where random strings stand in a run of characters."""
+    if len(value) < MIN_RANDOM:
+        return []
+    if any(c.isdigit() for c in value) and looks_random(value, vocabulary):
+        return [(0, len(value))]
+    out = _windows(value, vocabulary, _of_all_kinds)
+    for m in _SEGMENT.finditer(value):
+        out += [(m.start() + a, m.start() + b) for a, b in _windows(m[0], vocabulary, _mixed)]
+    return merged(out)
+
+
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans(text: str, vocabulary: Vocabulary) -> list[Span]:
     """(start, number of the kind, end) of all spans, by start and kind, in code points."""
     out = []
@@ -58,8 +141,11 @@ def spans(text: str, vocabulary: Vocabulary) -> list[Span]:
         found = [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20] if "AKIA" in run[0] else []
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text, a, b)]
         out += found
-        if not found and not any(x < b and a < y for x, y in taken) and looks_random(run[0], vocabulary):
-            out.append((a, 3, b))
+        apart = [(x, y) for x, y in taken if x < b and a < y] + [(x, y) for x, _, y in found] + [m.span() for m in _APART.finditer(text, a, b)]
+        at = a
+        for x, y in [*merged(apart), (b, b)]:
+            out += [(at + i, 3, at + j) for i, j in random_spans(text[at:x], vocabulary)]
+            at = max(at, y)
     return sorted(out)
 
 
