@@ -133,6 +133,15 @@ def test_language_model_base_and_held_out_gain(spark, sample):
         assert x["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and x["score"] < 0
 
 
+def test_the_end_is_counted_where_many_words_are_more_frequent(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    rows = [(i, " ".join(f"w{k}" for k in range(2100) for _ in range(3))) for i in ids]
+    for x in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        n, v = 2 * 6301, 2101
+        assert (x["train_tokens"], x["n_tokens"], x["n_known"]) == (n, 6301, 6301)
+        assert math.isclose(x["base_score"], 6300 * math.log10(7 / (n + v + 1)) + math.log10(3 / (n + v + 1)), rel_tol=1e-9)
+
+
 def test_language_model_learns_order(spark):
     r = random.Random(0)
     rows = [(i, " ".join(f"a{k} b{k}" for k in (r.randrange(20) for _ in range(400)))) for i in range(60)]
