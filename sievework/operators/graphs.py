@@ -35,15 +35,22 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return left.select("node").distinct() if n else left.select("node").limit(0)
 
 
-def cycle_paths(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes that reach themselves, with the length of the shortest way; paths of up to ``most`` edges over the nodes on cycles."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, at, path, n) AS (
-            SELECT node, needs, array(node), 1 FROM _edges
-            UNION ALL
-            SELECT w.start, e.needs, concat(w.path, array(w.at)), w.n + 1
-            FROM walk w JOIN _edges e ON e.node = w.at
-            WHERE w.at <> w.start AND NOT array_contains(w.path, w.at) AND w.n < {most})
-        SELECT start AS node, min(n) AS length FROM walk WHERE at = start GROUP BY start""")
+def cycle_paths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes that reach themselves, with the length of the shortest way, of any length or of up to ``most`` edges.
+
+    Breadth-first from all nodes that ``on_cycles`` leaves: a row for each start and node that it reaches, none for each
+    path. A start whose way is found goes no further. Rounds are written, so the plan does not grow.
+    """
+    nodes = staged(on_cycles(edges))
+    inner = staged(edges.select("node", "needs").distinct().join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs"))
+    n = 1
+    front = seen = staged(inner.select(F.col("node").alias("start"), F.col("needs").alias("at"), F.lit(n).alias("n")))
+    while most is None or n < most:
+        n += 1
+        going = front.join(front.where("start = at").select("start"), "start", "left_anti").select("start", F.col("at").alias("node"))
+        reached = going.join(inner, "node").select("start", F.col("needs").alias("at")).distinct()
+        front = staged(reached.join(seen, ["start", "at"], "left_anti").withColumn("n", F.lit(n)))
+        if front.isEmpty():
+            break
+        seen = staged(seen.unionByName(front))
+    return seen.where("start = at").select(F.col("start").alias("node"), F.col("n").alias("length"))

@@ -607,3 +607,10 @@ _RULES = [("O", "1-URGENT", 100, 200), ("O", "2-HIGH", 1000000, 10), ("F", "1-UR
 def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("suite"), F.col("o_orderpriority").alias("gate"), (F.col("o_totalprice") > 100000).alias("passed"))
     return verdicts.gate_outcomes(results, spark.createDataFrame(_RULES, "suite string, gate string, need int, of int"))
+
+
+@query("q51_all_cycles")
+def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of any length in the graph of nations, over all customers."""
+    edges = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("node"), (F.col("c_custkey") % 25).cast("int").alias("needs")).distinct()
+    return graphs.cycle_paths(edges)

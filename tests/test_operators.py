@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import exprs, records
 from sievework.operators import contracts, graphs, lines, relations, rollouts, verdicts
 from sievework.operators.contracts import Field
+from sievework.plans import catalogue
 from sievework.sources import records as scans
 from sievework.sources import sinks
 
@@ -117,6 +119,38 @@ def test_graphs(spark):
     assert [r["node"] for r in graphs.roots(edges, nodes).collect()] == [6]
 
 
+def _shortest_cycles(edges):
+    after, found = {}, {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for start in after:
+        seen, front, n = set(), {start}, 0
+        while front and start not in seen:
+            front = {b for a in front for b in after.get(a, ())} - seen
+            seen, n = seen | front, n + 1
+        if start in seen:
+            found[start] = n
+    return found
+
+
+def test_cycles_of_any_length(spark):
+    r = random.Random(31)
+    ring = [(i, (i + 1) % 70) for i in range(70)]
+    dense = [(a, b) for a in range(14) for b in range(14) if a != b]
+    some = [(r.randrange(40), r.randrange(40)) for _ in range(55)]
+    for edges in (ring, dense, some, [(1, 1), (1, 2)], [(1, 2)], [*some, (None, 1), (2, None)]):
+        got = graphs.cycle_paths(spark.createDataFrame(edges, "node int, needs int")).collect()
+        assert len(got) == len({x["node"] for x in got})
+        assert {x["node"]: x["length"] for x in got} == _shortest_cycles([e for e in edges if None not in e])
+
+
+def test_cycles_over_all_customers(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_nationkey", "c_custkey").collect()
+    got = {x["node"]: x["length"] for x in catalogue.queries()["q51_all_cycles"](spark, sf).collect()}
+    assert got == _shortest_cycles([(x["c_nationkey"], x["c_custkey"] % 25) for x in rows])
+
+
 def test_pins_and_last_rows(spark):
     want = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, sha256 string")
     have = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "k string, sha256 string")
