@@ -24,10 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: it is computed once, and survives lost executors."""
+def staged(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written to the shared folder (a folder for each value of ``by``) and read again: it is computed once, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/sievework/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _staged.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
