@@ -6,7 +6,9 @@ vocabulary (a table of fixed size), the others are dealt by a hash, so that each
 of the corpus is encoded once, and the ids are joined back to the blocks and put in order of position.
 Decoding joins the ids with the token-byte table and concatenates the bytes in order.
 
-Defined results: null or empty text has no ids; repeated rows give repeated rows; other columns are ignored.
+Defined results: null or empty text has no ids; repeated rows give repeated rows; ids may be null; an empty table gives no
+rows; other columns are ignored, whatever their names; a text of any length is encoded whole, in one task. Which rows
+share a block changes nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import block_count, dealt, in_blocks, pack, pack_words, texts, unpack, unpack_words, unpacked
+from sievework.llm.common import block_count, by_part, dealt, in_blocks, pack, pack_words, parts_of, texts, unpack, unpack_words, unpacked
 from sievework.llm.kernels import gathered, pretoken_codes
 
 ENCODED = "doc_id long, ids array<int>"
+#: Distinct words of a part that a task remembers at a time; the others are encoded again.
+KNOWN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,7 @@ def _word_parts(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary, n: in
 def _encode(docs: DataFrame, vocabulary: Vocabulary, finish: Callable[[pa.Array, pa.Array], pa.Table], schema: str) -> DataFrame:
     """``finish`` gets the doc_ids and ids of a block."""
     n = block_count(docs)
-    blocks = in_blocks(docs, n)
+    blocks, n = in_blocks(docs, n), parts_of(n)
     kind = np.uint16 if max(vocabulary.ranks().values()) < 1 << 16 else np.uint32
 
     def words(table: pa.Table) -> pa.Table:
@@ -98,18 +102,22 @@ def _encode(docs: DataFrame, vocabulary: Vocabulary, finish: Callable[[pa.Array,
         rows = [(p, block, *pack_words([raw[i] for i in x])) for p, x in enumerate(places) if x]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()), (3, pa.binary()))], names=["part", "block", "sizes", "words"])
 
-    def ids_of(table: pa.Table) -> pa.Table:
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary.encoding()
         known: dict[bytes, np.ndarray] = {}
-        out = []
-        for sizes, joined in zip(table["sizes"], table["words"], strict=True):
-            ids = []
-            for w in unpack_words(sizes, joined):
-                if (x := known.get(w)) is None:
-                    x = known[w] = np.array(encoding._encode_single_piece(w), kind)
-                ids.append(x)
-            out.append((pack(np.array([len(x) for x in ids], np.uint32)), pack(np.concatenate(ids))))
-        return pa.table([table["block"], table["part"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "part", "sizes", "ids"])
+        part = None
+        for b in batches:
+            out = []
+            for p, sizes, joined in zip(b["part"].to_pylist(), b["sizes"], b["words"], strict=True):
+                if p != part or len(known) > KNOWN:
+                    known, part = {}, p
+                ids = []
+                for w in unpack_words(sizes, joined):
+                    if (x := known.get(w)) is None:
+                        x = known[w] = np.array(encoding._encode_single_piece(w), kind)
+                    ids.append(x)
+                out.append((pack(np.array([len(x) for x in ids], np.uint32)), pack(np.concatenate(ids))))
+            yield pa.RecordBatch.from_arrays([b["block"], b["part"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "part", "sizes", "ids"])
 
     def assembled(table: pa.Table, back: pa.Table) -> pa.Table:
         doc_ids, data, off = unpacked(table)
@@ -126,7 +134,7 @@ def _encode(docs: DataFrame, vocabulary: Vocabulary, finish: Callable[[pa.Array,
         return finish(doc_ids, pa.ListArray.from_arrays(pa.array(ends[before].astype(np.int32)), pa.array(flat)))
 
     asked = blocks.groupBy("block").applyInArrow(words, "part int, block int, sizes binary, words binary")
-    back = asked.groupBy("part").applyInArrow(ids_of, "block int, part int, sizes binary, ids binary")
+    back = by_part(asked, n, ids_of, "block int, part int, sizes binary, ids binary")
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assembled, schema)
 
 

@@ -1,70 +1,38 @@
 """Staged tables and document blocks that several operators share.
 
-A *block* is a set of documents picked by a hash of their id and text, of about ``BLOCK_BYTES`` of text.
-Operators that need one fact about every distinct word (or q-gram) of the corpus first make the distinct
-keys of each block, deal those by key, settle each key once, and send the answers back to the blocks.
-So a frequent key costs one row for each block and never one for each occurrence.
+A *block* is a set of documents picked by a hash of their id and text, of about ``BLOCK_BYTES`` of text; rows that
+are alike are spread over several blocks once they hold ``ALIKE_BYTES``. Operators that need one fact about every
+distinct word (or q-gram) of the corpus first make the distinct keys of each block, deal those to *parts* by key, settle
+each key once, and send the answers back to the blocks. So a frequent key costs one row for each block and never one for
+each occurrence. Words have ``PARTS`` parts at most, however many blocks there are, and a part's messages are
+streamed, so the number of messages grows with the blocks alone and no task holds more than a part's distinct words.
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.sources.staging import release_staged, shared_folder, staged
+
+__all__ = ["release_staged", "shared_folder", "staged"]
+
 BLOCK_BYTES = 8 << 20
 #: Texts that a task gathers before it packs them by block.
 GATHERED_BYTES = 32 << 20
+ALIKE_BYTES = 1 << 20
+PARTS = 1024
+#: Partitions of a table of blocks; more blocks share them.
+TASKS = 1 << 14
 PACKED = "block int, ids array<long>, sizes binary, data binary"
 
-_own_folder: list[str] = []
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; without that setting a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="sievework-"))
-    return "file://" + _own_folder[0]
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: it is computed once, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/sievework/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release_staged() -> None:
-    """Deletes all staged tables; results that were not written before can't be read any more."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended
-            return
-
-
-atexit.register(release_staged)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null as empty; other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -85,8 +53,16 @@ def unpack(data: bytes | pa.Scalar, kind: type = np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data if isinstance(data, bytes) else data.as_py()), kind)
 
 
+def parts_of(n: int) -> int:
+    """Parts for the distinct words of n blocks."""
+    return min(n, PARTS)
+
+
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """The documents of ``texts`` dealt to n blocks, packed: a row holds what one task has for one block, compressed."""
+    """The documents of ``texts`` dealt to n blocks, packed: a row holds what one task has for one block, compressed.
+
+    ``docs`` should be a table (or staged), so that a task that is run again has the same rows.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -95,23 +71,36 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
             held.append(b)
             size += b.nbytes
             if size >= GATHERED_BYTES:
-                yield from _by_block(held)
+                yield from _by_block(held, n)
                 held, size = [], 0
         if held:
-            yield from _by_block(held)
+            yield from _by_block(held, n)
 
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    return docs.mapInArrow(packed, PACKED).repartition(n, "block")
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(packed, PACKED).repartition(min(n, TASKS), "block")
 
 
-def _by_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(keys: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """The block of each row: by its key, and by a number that goes up with every ALIKE_BYTES of rows with that key."""
+    from sievework.llm.kernels import mixed
+
+    order = np.argsort(keys, kind="stable")
+    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+    turn = np.empty(len(keys), np.int64)
+    turn[order] = (np.arange(len(keys)) - start) * sizes[order] // ALIKE_BYTES
+    return (mixed(keys.astype(np.uint64) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int32)
+
+
+def _by_block(held: list[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     from sievework.llm.kernels import utf8
 
     table = pa.Table.from_batches(held)
-    blocks = table["block"].to_numpy()
+    if not table.num_rows:
+        return
+    blocks = _blocks(table["key"].to_numpy(), np.diff(utf8(table["text"])[1]), n)
     order = np.argsort(blocks, kind="stable")
     table, blocks = table.take(pa.array(order)), blocks[order]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else [0]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         part = table.slice(a, b - a)
         data, off = utf8(part["text"])
@@ -119,6 +108,11 @@ def _by_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([blocks[a]], pa.int32()), ids, pa.array([pack(np.diff(off).astype(np.uint32))], pa.binary()), pa.array([pack(data)], pa.binary())], names=["block", "ids", "sizes", "data"])
 
 
+def by_part(messages: DataFrame, n: int, answer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *order: str) -> DataFrame:
+    """``answer`` streams the messages, those of a part one after another, by ``order``; nothing holds a whole part."""
+    return messages.repartition(n, "part").sortWithinPartitions("part", *order).mapInArrow(answer, schema)
+
+
 def unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Ids, bytes and row offsets of all documents in the packed rows."""
     ids = pa.concat_arrays([x.flatten() for x in table["ids"].chunks])

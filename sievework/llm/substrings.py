@@ -388,7 +388,7 @@ def _kept(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
 
 def _deduplicated(documents: DataFrame, finish: Callable, schema: str, id_col: str, text_col: str, hot: int, block_bytes: int) -> DataFrame:
     docs = texts(documents, id_col, text_col)
-    n = min(block_count(docs, block_bytes), 1 << 15)
+    n = block_count(docs, block_bytes)
     blocks = in_blocks(docs, n)
     by_block = lambda: blocks.groupBy("block")
     back = by_block().applyInArrow(lambda t: _ask_shared(t, n), MESSAGE).groupBy("part").applyInArrow(_tell_shared, MESSAGE)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sievework.llm import contamination, lm, neardup, substrings, toxicity
+from sievework.llm import common, contamination, lm, neardup, substrings, toxicity
 
 
 def lower(t):
@@ -143,18 +143,60 @@ def test_the_end_is_counted_where_many_words_are_more_frequent(spark):
 
 
 def test_language_model_learns_order(spark):
+    """Every b follows from its a, so half of the bits can be known."""
     r = random.Random(0)
     rows = [(i, " ".join(f"a{k} b{k}" for k in (r.randrange(20) for _ in range(400)))) for i in range(60)]
     got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
-    assert got and all(x["score"] > x["base_score"] * 0.97 for x in got)
+    assert got and all(x["score"] > x["base_score"] * 0.5 for x in got)
 
 
-def test_model_table_is_normalised():
-    model = lm.Model((b"\n", b"", b"x", b"y"), (5, 7, 9, 2), 23, 6)
-    assert np.allclose((10.0 ** model.log10_table().astype(np.float64)).sum(1), 1, atol=1e-5)
-    trained = lm.contrastive_steps(model, np.array([0 * 4 + 2, 2 * 4 + 3, 3 * 4 + 0]), np.array([10, 10, 10]), 4096 * 60, 0)
-    table = lm.Model(model.words, model.counts, 23, 6, trained.astype(np.float32).tobytes()).log10_table()
-    assert table[0].argmax() == 2 and table[2].argmax() == 3 and table[3].argmax() == 0
+def test_language_model_of_unseen_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in lm.scored(docs).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in held)
+    # log10 a token; what the base score gives, and the model's gain on documents that it never saw.
+    assert (sum(r["score"] for r in held) - sum(r["base_score"] for r in held)) / tokens >= 0.1
+
+
+def test_scores_do_not_depend_on_partitions(spark, sample):
+    found = [{(r["doc_id"], r["score"]) for r in lm.scored(d, block_bytes=100_000).collect()} for d in (sample.coalesce(1), sample.repartition(8))]
+    assert found[0] == found[1]
+
+
+def a_vocabulary(r, size):
+    counts = np.sort(r.randint(1, 1000, size))[::-1]
+    return lm.Vocabulary({b"w%d" % i: i for i in range(3, size)}, np.array([1, 2]), counts, np.ones(size, np.int64), int(counts.sum()), size)
+
+
+def test_chances_are_normalised():
+    r = np.random.RandomState(0)
+    v = a_vocabulary(r, 23)
+    p = lm.Parameters(v, lm.Parameters(v).values + r.normal(0, 0.5, len(lm.Parameters(v).values)))
+    around = np.repeat(np.array([[4], [7], [0]]), v.size, 1)
+    assert math.isclose((10 ** lm.log10_chances(v, p, np.arange(v.size), around)).sum(), 1, abs_tol=1e-5)
+    far = lm.Parameters(v, lm.Parameters(v).values * 100)
+    assert math.isclose((10 ** lm.log10_chances(v, far, np.arange(v.size), around)).sum(), 1, abs_tol=1e-5)
+
+
+def test_contrastive_steps_find_what_follows():
+    r = np.random.RandomState(0)
+    v = a_vocabulary(r, 23)
+    tokens = np.concatenate([[(k := r.randint(3, 13)), k + 10] for _ in range(5000)])
+    p = lm.Parameters(v, lm.contrastive_steps(v, None, tokens, np.zeros(len(tokens), np.int64), 300, 0))
+    around = lm.contexts(tokens, np.zeros(len(tokens), np.int64))
+    assert np.median(lm.log10_chances(v, p, tokens, around)[1::2]) > math.log10(0.5)
+
+
+def test_contexts_end_at_the_beginning():
+    assert lm.contexts(np.array([5, 6, 0, 7, 8, 0]), np.array([0, 0, 0, 3, 3, 3])).tolist() == [[0, 5, 6, 0, 7, 8], [0, 0, 5, 0, 0, 7], [0, 0, 0, 0, 0, 0]]
+
+
+def test_equal_rows_are_spread_over_blocks():
+    keys, sizes = np.full(50_000, 7, np.int64), np.full(50_000, 300)
+    found = common._blocks(keys, sizes, 8)
+    assert len(set(found.tolist())) >= 6
+    few = common._blocks(np.array([7, 8, 7, 9]), np.full(4, 300), 8)
+    assert few[0] == few[2]  # a few equal rows stay together
 
 
 def test_language_model_of_awkward_rows(awkward, nothing):
