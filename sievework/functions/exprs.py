@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.records import FENCE
+
+#: Where a sentence ends, and an address with user and password.
+SENTENCE_END = r"[.!?]\s+|[.!?]$"
+PASSWORD = "://([^:/@]+):([^@]+)@"
+
 
 def sentence_count(text: Column) -> Column:
     """Parts between sentence ends that are not blank."""
-    return F.size(F.filter(F.split(F.trim(text), r"[.!?]\s+|[.!?]$"), lambda x: F.trim(x) != ""))
+    return F.size(F.filter(F.split(F.trim(text), SENTENCE_END), lambda x: F.trim(x) != ""))
 
 
 def blank(text: Column) -> Column:
@@ -64,7 +70,7 @@ def null_unless_any(*fields: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     """The password of an address with user and password is left out."""
-    return F.regexp_replace(text, "://([^:/@]+):([^@]+)@", "://$1:<redacted>@")
+    return F.regexp_replace(text, PASSWORD, "://$1:<redacted>@")
 
 
 def redacted_query(url: Column) -> Column:
@@ -73,7 +79,7 @@ def redacted_query(url: Column) -> Column:
 
 def first_fence(text: Column) -> Column:
     """What the first fenced block holds."""
-    return F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
+    return F.regexp_extract(text, "(?s)" + FENCE, 1)
 
 
 def blocks_of(text: Column, kind: str) -> Column:
@@ -96,8 +102,15 @@ def undeclared(text: Column, keyword: str, names: Sequence[str]) -> Column:
     return F.array_compact(F.array(*(F.when(~code.rlike(rf"\b{keyword}\s+{n}\b"), F.lit(n)) for n in names)))
 
 
-def header_field(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, f"(?m){pattern}", 1)
+def header_field(text: Column, pattern: str, last: bool = False) -> Column:
+    """What the pattern's group finds, null without a match; the first or the last one."""
+    found = F.regexp_extract_all(text, F.lit(f"(?m){pattern}"), 1)
+    return F.try_element_at(found, F.lit(-1 if last else 1))
+
+
+def header_counts(text: Column, pattern: str, groups: int) -> Column:
+    """The whole numbers of a header line's groups, null without a match."""
+    return F.when(text.rlike(f"(?m){pattern}"), F.array(*(F.regexp_extract(text, f"(?m){pattern}", k + 1).try_cast("int") for k in range(groups))))
 
 
 def lines_without(text: Column, pattern: str) -> Column:

@@ -5,23 +5,34 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The code points of dashes, blanks and quotes that are written in one way.
+#: Dashes, blanks and quotes that are written in one way.
 FOLDED = {
-    "-": (0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212),
-    " ": (0x00A0, 0x2009, 0x202F),
-    "'": (0x2018, 0x2019),
-    '"': (0x201C, 0x201D),
+    "\u2010": "-",
+    "\u2011": "-",
+    "\u2012": "-",
+    "\u2013": "-",
+    "\u2014": "-",
+    "\u2015": "-",
+    "\u2212": "-",
+    "\u00a0": " ",
+    "\u2009": " ",
+    "\u202f": " ",
+    "\u2018": "'",
+    "\u2019": "'",
+    "\u201c": '"',
+    "\u201d": '"',
 }
-_FOLD = {point: to for to, points in FOLDED.items() for point in points}
-_FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)\n?\s*```", re.DOTALL)
-_CODE = re.compile(r"```(?:python|py)?[ \t]*\n(.*?)```", re.DOTALL)
-_THINK = re.compile(r"</?think>")
+#: What a fence with JSON and a fence with a program look like.
+FENCE = r"```(?:json)?\s*\n?(.*?)\n?\s*```"
+CODE = r"```(?:python|py)?[ \t]*\n(.*?)```"
+#: A whole fence (to the end of the text if nothing closes it), or a tag outside of fences.
+_FENCE_OR_TAG = re.compile(r"```.*?(?:```|\Z)|<think>|</think>", re.DOTALL)
 
 
 def _column(f: Callable, kind: pa.DataType, schema: str) -> Callable[[Column], Column]:
@@ -56,10 +67,8 @@ def _canonical(text: str) -> str | None:
 
 
 def _yaml(text: str) -> str | None:
-    try:
-        import yaml
-    except ImportError:
-        return None
+    import yaml
+
     try:
         found = yaml.safe_load(text)
         return json.dumps(found, default=str) if isinstance(found, dict) else None
@@ -67,117 +76,137 @@ def _yaml(text: str) -> str | None:
         return None
 
 
+def _toml(text: str) -> str | None:
+    import tomllib
+
+    try:
+        return json.dumps(tomllib.loads(text), default=str)
+    except tomllib.TOMLDecodeError:
+        return None
+
+
 def normal_form(text: str) -> str:
     """NFKC, case folding, and one form of dashes, quotes and blanks."""
-    return unicodedata.normalize("NFKC", text).casefold().translate(_FOLD)
+    return unicodedata.normalize("NFKC", text).casefold().translate(str.maketrans(FOLDED))
+
+
+def _tags(text: str) -> list[re.Match]:
+    return [m for m in _FENCE_OR_TAG.finditer(text) if not m[0].startswith("`")]
+
+
+#: What the tags of a text, in their order, say about its thinking; all others have several blocks.
+_OUTCOMES = {"": "no_think_block", "<think></think>": "ok", "<think>": "unterminated_think_block", "</think><think>": "think_block_out_of_order"}
 
 
 def split_thinking(text: str) -> tuple[str, str, str]:
-    """('ok', thinking, the rest), or what is wrong with the one think block; tags in fences are content."""
-    tags, at = [], 0
-    for k, part in enumerate(text.split("```")):
-        if k % 2 == 0:
-            tags += [(m[0], at + m.start(), at + m.end()) for m in _THINK.finditer(part)]
-        at += len(part) + 3
-    opened, closed = [t for t in tags if t[0] == "<think>"], [t for t in tags if t[0] != "<think>"]
-    if not opened:
-        return "no_think_block", "", text
-    if len(opened) > 1 or len(closed) > 1:
-        return "several_think_blocks", "", text
-    if not closed:
-        return "unterminated_think_block", "", text
-    if closed[0][1] < opened[0][1]:
-        return "think_block_out_of_order", "", text
-    return "ok", text[opened[0][2] : closed[0][1]], text[: opened[0][1]] + text[closed[0][2] :]
+    """(outcome, thinking, the rest): 'ok' where tags outside of fences enclose one block, else what is wrong and the text as it is."""
+    tags = _tags(text)
+    order = "".join(m[0] for m in tags)
+    outcome = _OUTCOMES.get(order if "<think>" in order else "", "several_think_blocks")
+    if outcome != "ok":
+        return outcome, "", text
+    first, last = tags
+    return outcome, text[first.end() : last.start()], text[: first.start()] + text[last.end() :]
 
 
 def balanced_object(text: str) -> str | None:
-    """The first object with balanced braces, strings and escapes heeded."""
-    start = text.find("{")
-    depth, quoted, escaped = 0, False, False
-    for i in range(max(start, 0), len(text) if start >= 0 else 0):
-        c = text[i]
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, c != '"' or escaped
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : i + 1]
+    """The first part of the text that is a whole JSON object."""
+    decoder = json.JSONDecoder()
+    for m in re.finditer("{", text):
+        try:
+            return text[m.start() : decoder.raw_decode(text, m.start())[1]]
+        except (ValueError, RecursionError):
+            continue
     return None
 
 
 def response_payload(text: str) -> dict:
     """The object of a response: what follows the thinking as a whole, else its first fence, else an object it begins with.
 
-    A fence that holds broken JSON ends the search.
+    A fence that holds anything else than an object ends the search.
     """
     thinking, _, rest = split_thinking(text)
     body = rest.strip()
-    fence = _FENCE.search(body)
-    if (found := _strict(body)) is not None:
-        source = "whole"
-    elif fence:
-        found, source = _strict(fence[1]), "fence"
-    else:
-        try:
-            found, source = json.dumps(json.JSONDecoder().raw_decode(body)[0]), "leading"
-        except (ValueError, RecursionError):
-            found, source = None, "none"
-    state = "ok" if found and found.startswith("{") else "not_object" if found else "unparseable"
+    found, source = _strict(body), "whole"
+    if not (found or "").startswith("{"):
+        if fence := re.search(FENCE, rest, re.DOTALL):
+            found, source = _strict(fence[1].strip()), "fence"
+        elif body.startswith("{") and (leading := _leading(body)):
+            found, source = leading, "leading"
+        elif found is None:
+            source = "none"
+    state = "ok" if (found or "").startswith("{") else "unparseable" if found is None else "not_object"
     return {"state": state, "source": source, "json": found if state == "ok" else None, "thinking": thinking}
 
 
+def _leading(text: str) -> str | None:
+    try:
+        return json.dumps(json.JSONDecoder().raw_decode(text)[0])
+    except (ValueError, RecursionError):
+        return None
+
+
 def any_object(text: str) -> str | None:
     """The JSON object in a fence, else the first balanced one; null if neither can be parsed."""
-    for candidate in (m[1] if (m := _FENCE.search(text)) else None, balanced_object(text)):
+    for candidate in (m[1] if (m := re.search(FENCE, text, re.DOTALL)) else None, balanced_object(text)):
         if candidate and (found := _strict(candidate)) and found.startswith("{"):
             return found
     return None
 
 
 def program_of(text: str) -> str | None:
-    """The first Python fence, else the whole text if it is a program."""
+    """The first fence with a program, else the trimmed text and a line end if that is a program."""
     import ast
 
-    if m := _CODE.search(text):
+    if m := re.search(CODE, text, re.DOTALL):
         return m[1]
+    text = text.strip()
     try:
         ast.parse(text)
-        return text if text.strip() else None
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return None
+    return text + "\n" if text else None
+
+
+def _named(x: object) -> list[str]:
+    """Names in a list of names, or of objects with a filename."""
+    items = x if isinstance(x, list) else []
+    return [i for i in items if isinstance(i, str) and i.strip()] + [i["filename"] for i in items if isinstance(i, dict) and isinstance(i.get("filename"), str)]
+
+
+#: The fields that cite documents, and how each names them.
+CITING = {
+    "document": lambda x: [x] if isinstance(x, str) else [],
+    "cited_docs": _named,
+    "source_documents": _named,
+    "suggested_context_files": lambda x: [i for i in (x if isinstance(x, list) else []) if isinstance(i, str) and i.endswith(".md")],
+}
+
+
+def _objects(x: object) -> Iterator[dict]:
+    """All objects in a value, at any depth."""
+    left = [x]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict):
+            yield x
+        left += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
 
 
 def citations(text: str) -> list[dict]:
-    """Every document that a record cites, at any depth, with the field that cites it."""
-    out: set[tuple[str, str]] = set()
+    """Every document that a record cites, at any depth, with the field that cites it, each once."""
     try:
-        left = [loads(text)]
+        record = loads(text)
     except ValueError:
         return []
-    while left:
-        x = left.pop()
-        if isinstance(x, list):
-            left += x
-        elif isinstance(x, dict):
-            left += x.values()
-            for field in ("cited_docs", "source_documents"):
-                for item in x[field] if isinstance(x.get(field), list) else ():
-                    name = item.get("filename") if isinstance(item, dict) else item
-                    if isinstance(name, str) and (isinstance(item, dict) or name.strip()):
-                        out.add((name, field))
-            files = x.get("suggested_context_files")
-            out |= {(f, "suggested_context_files") for f in (files if isinstance(files, list) else ()) if isinstance(f, str) and f.endswith(".md")}
-            if isinstance(x.get("document"), str):
-                out.add((x["document"], "document"))
-    return [{"name": n, "kind": k} for n, k in sorted(out)]
+    found = {(name, field) for x in _objects(record) for field, read in CITING.items() for name in read(x.get(field))}
+    return [{"name": n, "kind": k} for n, k in sorted(found)]
 
 
 strict_json = _column(_strict, pa.string(), "string")
 canonical_json = _column(_canonical, pa.string(), "string")
 yaml_json = _column(_yaml, pa.string(), "string")
+toml_json = _column(_toml, pa.string(), "string")
 normalised = _column(normal_form, pa.string(), "string")
 first_object = _column(any_object, pa.string(), "string")
 program = _column(program_of, pa.string(), "string")
@@ -185,7 +214,16 @@ payload = _column(response_payload, pa.struct([("state", pa.string()), ("source"
 cited = _column(citations, pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string())])), "array<struct<name: string, kind: string>>")
 
 
+def _with_reasoning(content: str | None, reasoning: str | None) -> str | None:
+    if not reasoning or any(m[0] == "<think>" for m in _tags(content or "")):
+        return content
+    return f"<think>{reasoning}</think>\n{content or ''}"
+
+
 def response_text(content: Column, reasoning: Column) -> Column:
-    """The content, after its reasoning in a think block if it has none of its own."""
-    own = F.contains(content, F.lit("<think>"))
-    return F.when(reasoning.isNull() | (F.trim(reasoning) == "") | own, content).otherwise(F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n"), content))
+    """The content, after its reasoning in a think block if no such block begins in it outside of fences."""
+
+    def rows(contents: pa.Array, reasons: pa.Array) -> pa.Array:
+        return pa.array([_with_reasoning(c, r) for c, r in zip(contents.to_pylist(), reasons.to_pylist(), strict=True)], pa.string())
+
+    return F.arrow_udf(rows, "string")(content, reasoning)

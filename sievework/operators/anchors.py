@@ -41,18 +41,18 @@ def matched_groups(text: Column, anchors: Sequence[Anchor]) -> Column:
 
 def matches(units: DataFrame, text: str, anchors: Sequence[Anchor]) -> DataFrame:
     """Units with group_id, ord and matched for every pattern that matches."""
-    each = [F.when(F.col(text).rlike(a.pattern), F.struct(F.lit(a.group_id).alias("group_id"), F.lit(a.ord).alias("ord"), F.regexp_extract(text, a.pattern, 0).alias("matched"))) for a in anchors]
-    return units.withColumn("_m", F.explode(F.array_compact(F.array(*each)))).select(*units.columns, "_m.group_id", "_m.ord", "_m.matched")
+    each = F.array(*(F.struct(F.lit(a.group_id).alias("group_id"), F.lit(a.ord).alias("ord"), F.regexp_substr(text, F.lit(a.pattern)).alias("matched")) for a in anchors))
+    found = units.select(*units.columns, F.explode(each).alias("helper__m")).select(*units.columns, "helper__m.group_id", "helper__m.ord", "helper__m.matched")
+    return found.where("matched IS NOT NULL")
 
 
 def first_matches(units: DataFrame, text: str, anchors: Sequence[Anchor]) -> DataFrame:
     """For each unit and group, what its first pattern that matches has found."""
     groups = sorted({a.group_id for a in anchors})
-    firsts = []
-    for g in groups:
-        own = [F.when(F.col(text).rlike(a.pattern), F.regexp_extract(text, a.pattern, 0)) for a in sorted(anchors, key=lambda a: a.ord) if a.group_id == g]
-        firsts.append(F.when(F.coalesce(*own).isNotNull(), F.struct(F.lit(g).alias("group_id"), F.coalesce(*own).alias("matched"))))
-    return units.withColumn("_m", F.explode(F.array_compact(F.array(*firsts)))).select(*units.columns, "_m.group_id", "_m.matched")
+    first = lambda g: F.coalesce(*(F.regexp_substr(text, F.lit(a.pattern)) for a in sorted(anchors, key=lambda a: a.ord) if a.group_id == g))
+    each = F.array(*(F.struct(F.lit(g).alias("group_id"), first(g).alias("matched")) for g in groups))
+    found = units.select(*units.columns, F.explode(each).alias("helper__m")).select(*units.columns, "helper__m.group_id", "helper__m.matched")
+    return found.where("matched IS NOT NULL")
 
 
 def coverage(units: DataFrame, unit: str, text: str, anchors: Sequence[Anchor], required: dict[str, bool], min_distinct: dict[str, int] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -88,8 +88,8 @@ def missed_groups(entities: DataFrame, items: DataFrame, entity: str, text: str,
     return entities.select(entity, F.explode(every).alias("group_id")).join(fired_groups(items, entity, text, anchors, most), [entity, "group_id"], "left_anti")
 
 
-def not_carried(parts: DataFrame, entity: str, order: str, text: str, anchors: Sequence[Anchor]) -> DataFrame:
-    """Groups that don't match the joined text of an entity."""
-    joined = parts.groupBy(entity).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("joined"))
+def not_carried(parts: DataFrame, entity: str, text: str, anchors: Sequence[Anchor]) -> DataFrame:
+    """Groups that match none of an entity's parts (entity, text); parts are matched one by one, so none is joined to a long text."""
     every = F.array(*(F.lit(g) for g in sorted({a.group_id for a in anchors})))
-    return joined.select(entity, F.explode(F.array_except(every, matched_groups(F.col("joined"), anchors))).alias("group_id"))
+    carried = parts.select(entity, F.explode(matched_groups(F.col(text), anchors)).alias("group_id")).distinct()
+    return parts.select(entity).distinct().select(entity, F.explode(every).alias("group_id")).join(carried, [entity, "group_id"], "left_anti")

@@ -14,15 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.exprs import sentence_count
-from sievework.operators.findings import Rule, check
+from sievework.operators.findings import Rule, check, union
 
 #: How schema_of_variant names the type of a value, by kind; JSON numbers are whole, decimal or binary.
 KINDS = {"string": "STRING", "int": "BIGINT", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "boolean": "BOOLEAN", "list": "ARRAY<.*", "object": "OBJECT<.*"}
+#: Lists whose elements all have one kind.
+ELEMENTS = {"strings": "STRING", "objects": "OBJECT<.*"}
+
+
+#: The column that holds the record as VARIANT.
+RECORD = "contract__record"
 
 
 @dataclass(frozen=True)
 class Field:
-    """least and most bound a number, the characters of a string or the elements of a list."""
+    """``kind`` is one of KINDS or ELEMENTS; least and most bound a number, the characters of a string or the elements of a list."""
 
     name: str
     kind: str
@@ -45,11 +51,15 @@ def _rules(record: Column, keys: Column, f: Field) -> list[Rule]:
     kind = F.schema_of_variant(value)
     there = F.array_contains(keys, f.name)
     null = there & ((kind == "VOID") | value.isNull())
-    right = F.coalesce(kind.rlike(f"^({KINDS[f.kind]})$"), F.lit(False))
+    listed = f.kind == "list" or f.kind in ELEMENTS
+    right = kind.rlike(f"^({KINDS['list' if listed else f.kind]})$")
+    if f.kind in ELEMENTS:
+        right = right & F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x).rlike(f"^({ELEMENTS[f.kind]})$"), F.lit(False)))
+    right = F.coalesce(right, F.lit(False))
     text = F.when(right, F.try_variant_get(record, path, "string")) if f.kind == "string" else F.lit(None).cast("string")
     if f.kind == "string":
         size = F.length(text)
-    elif f.kind == "list":
+    elif listed:
         size = F.when(right, F.size(F.try_variant_get(record, path, "array<variant>")))
     else:
         size = F.when(right, F.try_variant_get(record, path, "double"))
@@ -72,34 +82,56 @@ def _rules(record: Column, keys: Column, f: Field) -> list[Rule]:
 def violations(rows: DataFrame, entity: str, json: str, gate: str, fields: Sequence[Field], closed: bool = False, denied: Sequence[str] = (), extra: Sequence[Rule] = ()) -> DataFrame:
     """Findings of each row's record; a closed contract allows no other keys, ``denied`` keys are never allowed.
 
-    A value that is no object has the one finding not_object.
+    A value that is no object has the one finding not_object. Conditions of ``extra`` may use ``RECORD``, the record as VARIANT.
     """
-    rows = rows.withColumn("_v", variant(F.col(json)))
-    rows = rows.withColumn("_object", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
-    keys = F.json_object_keys(json)
-    rows = rows.withColumn("_keys", F.when(F.col("_object"), keys))
-    rules = [r for f in fields for r in _rules(F.col("_v"), F.col("_keys"), f)]
-    unknown = F.array_except("_keys", F.array(*(F.lit(f.name) for f in fields))) if closed else F.array().cast("array<string>")
-    forbidden = F.array_intersect("_keys", F.array(*map(F.lit, denied))) if denied else F.array().cast("array<string>")
+    rows = rows.withColumn(RECORD, variant(F.col(json)))
+    rows = rows.withColumn("contract__object", F.coalesce(F.schema_of_variant(RECORD).startswith("OBJECT"), F.lit(False)))
+    rows = rows.withColumn("contract__keys", F.when(F.col("contract__object"), F.json_object_keys(json)))
+    rules = [r for f in fields for r in _rules(F.col(RECORD), F.col("contract__keys"), f)]
+    unknown = F.array_except("contract__keys", F.array(*(F.lit(f.name) for f in fields))) if closed else F.array().cast("array<string>")
+    forbidden = F.array_intersect("contract__keys", F.array(*map(F.lit, denied))) if denied else F.array().cast("array<string>")
     rules += [Rule("unknown_key", F.size(unknown) > 0, F.array_join(F.array_sort(unknown), ",")), Rule("forbidden_key", F.size(forbidden) > 0, F.array_join(F.array_sort(forbidden), ","))]
-    rules = [Rule(r.defect, F.col("_object") & r.failed, r.detail) for r in [*rules, *extra]]
-    return check(rows, entity, gate, [Rule("not_object", ~F.col("_object")), *rules])
+    rules = [Rule(r.defect, F.col("contract__object") & r.failed, r.detail) for r in [*rules, *extra]]
+    return check(rows, entity, gate, [Rule("not_object", ~F.col("contract__object")), *rules])
 
 
 def children(rows: DataFrame, keys: Sequence[str], json: str, path: str) -> DataFrame:
     """The elements of the list at a path (such as ``$.epics``): keys, position (from 1) and json of each."""
     inner = F.try_variant_get(variant(F.col(json)), path, "array<variant>")
-    return rows.select(*keys, F.posexplode(inner).alias("position", "_c")).select(*keys, (F.col("position") + 1).alias("position"), F.to_json("_c").alias("json"))
+    found = rows.select(*keys, F.posexplode(inner).alias("position", "contract__child"))
+    return found.select(*keys, (F.col("position") + 1).alias("position"), F.coalesce(F.to_json("contract__child"), F.lit("null")).alias("json"))
+
+
+def elements(rows: DataFrame, entity: str, json: str, field: str) -> DataFrame:
+    """The elements of a list as records of their own: entity_id (``<entity>.<field>[<place from 0>]``) and json."""
+    found = children(rows.select(F.col(entity).cast("string").alias("entity_id"), F.col(json).alias("json")), ["entity_id"], "json", f"$['{field}']")
+    return found.select(F.format_string(f"%s.{field}[%d]", "entity_id", F.col("position") - 1).alias("entity_id"), "json")
 
 
-def citation_findings(rows: DataFrame, entity: str, json: str, gate: str, most_quote: int = 200) -> DataFrame:
-    """Citations: a document, at least one section, lines in order and a short quote."""
-    line = lambda k: F.try_variant_get(F.col("_v"), f"$.{k}", "long")
-    fields = (Field("document", "string", not_blank=True), Field("section_path", "list", least=1), Field("quote", "string", required=False, nullable=True, most=most_quote))
+def entries(rows: DataFrame, entity: str, json: str, field: str) -> DataFrame:
+    """The values of an object's keys as records: entity_id (``<entity>.<field>.<key>``) and json."""
+    inner = F.try_variant_get(variant(F.col(json)), f"$['{field}']", "map<string, variant>")
+    found = rows.select(F.col(entity).cast("string").alias("entity_id"), F.explode(inner).alias("contract__key", "contract__child"))
+    return found.select(F.format_string(f"%s.{field}.%s", "entity_id", "contract__key").alias("entity_id"), F.coalesce(F.to_json("contract__child"), F.lit("null")).alias("json"))
+
+
+def citation_findings(rows: DataFrame, entity: str, json: str, gate: str, most_quote: int | None = 200) -> DataFrame:
+    """Citations: a document, at least one section, lines in order and a short quote; without ``most_quote`` a long one may be cut later."""
+    line = lambda k: F.try_variant_get(RECORD, f"$.{k}", "long")
+    fields = (Field("document", "string"), Field("section_path", "strings", least=1), Field("quote", "string", required=False, nullable=True, most=most_quote))
     fields += tuple(Field(k, "int", required=False, nullable=True) for k in ("line_start", "line_end"))
     return violations(rows, entity, json, gate, fields, extra=[Rule("lines_out_of_order", line("line_end") < line("line_start"))])
 
 
+def field_citation_findings(rows: DataFrame, entity: str, json: str, gate: str, most_quote: int | None = 200, field: str = "field_citations") -> DataFrame:
+    """Citations of single fields: an object that has a list of citations for each field; a record without the object is right."""
+    lists = entries(rows, entity, json, field)
+    not_list = lists.select("entity_id", F.coalesce(F.schema_of_variant(variant(F.col("json"))).startswith("ARRAY"), F.lit(False)).alias("listed"))
+    single = lists.select("entity_id", F.posexplode(F.try_variant_get(variant(F.col("json")), "$", "array<variant>")).alias("place", "contract__child"))
+    single = single.select(F.format_string("%s[%d]", "entity_id", "place").alias("entity_id"), F.coalesce(F.to_json("contract__child"), F.lit("null")).alias("json"))
+    return union(check(not_list, "entity_id", gate, [Rule("not_a_list", ~F.col("listed"))]), citation_findings(single, "entity_id", "json", gate, most_quote))
+
+
 def flattening_findings(rows: DataFrame, entity: str, whole: str, parts: str, gate: str) -> DataFrame:
     """Two arrays of ids that must hold the same ids equally often, each id once."""
     twice = F.size(F.array_distinct(whole)) < F.size(whole)

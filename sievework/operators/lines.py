@@ -36,17 +36,17 @@ def classified(df: DataFrame, key: str) -> DataFrame:
     w = running(df, key)
     s = F.trim("line")
     mark = F.when(s.startswith('"""'), '"""').when(s.startswith("```"), "```")
-    rows = df.withColumn("_mark", mark).withColumn("kind", line_kind(F.col("line")))
+    rows = df.withColumn("helper__mark", mark).withColumn("kind", line_kind(F.col("line")))
     # Which marks open or close depends on those before them: a fold over the key's few marks.
-    marks = rows.where("_mark IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "_mark"))).alias("_m"))
-    step = lambda acc, m: F.when(acc["open"] == "", F.struct(m["_mark"].alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).when(acc["open"] == m["_mark"], F.struct(F.lit("").alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).otherwise(acc)
-    turns = F.aggregate("_m", F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("turns")), step)["turns"]
-    rows = rows.join(marks.select(key, turns.alias("_turns")), key, "left")
-    turned = F.coalesce(F.array_contains("_turns", F.col("line_no")), F.lit(False))
-    rows = rows.withColumn("_turned", turned).withColumn("_odd", F.sum(F.col("_turned").cast("int")).over(w) % 2 == 1)
-    rows = rows.withColumn("quoted", F.col("_odd") & ~F.col("_turned"))
+    marks = rows.where("helper__mark IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "helper__mark"))).alias("helper__m"))
+    step = lambda acc, m: F.when(acc["open"] == "", F.struct(m["helper__mark"].alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).when(acc["open"] == m["helper__mark"], F.struct(F.lit("").alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).otherwise(acc)
+    turns = F.aggregate("helper__m", F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("turns")), step)["turns"]
+    rows = rows.join(marks.select(key, turns.alias("helper__turns")), key, "left")
+    turned = F.coalesce(F.array_contains("helper__turns", F.col("line_no")), F.lit(False))
+    rows = rows.withColumn("helper__turned", turned).withColumn("helper__odd", F.sum(F.col("helper__turned").cast("int")).over(w) % 2 == 1)
+    rows = rows.withColumn("quoted", F.col("helper__odd") & ~F.col("helper__turned"))
     block = F.when(~F.col("quoted") & F.col("kind").startswith("block:"), F.substring("kind", 7, 100))
-    return rows.withColumn("block", F.last(block, ignorenulls=True).over(w)).drop("_mark", "_turns", "_turned", "_odd")
+    return rows.withColumn("block", F.last(block, ignorenulls=True).over(w)).drop("helper__mark", "helper__turns", "helper__turned", "helper__odd")
 
 
 def scenario_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,38 +54,40 @@ def scenario_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = classified(lines(texts, key, text), key).where(~F.col("quoted"))
     w = running(rows, key)
     is_block = lambda *names: F.col("kind").isin(*(f"block:{n}" for n in names))
-    rows = rows.withColumn("_features", F.count_if(is_block("Feature")).over(w))
+    rows = rows.withColumn("helper__features", F.count_if(is_block("Feature")).over(w))
     # A feature ends the scenario before it, so steps and text count again from each new block.
     opened = F.last(F.when(is_block("Feature", "Background", "Scenario", "Scenario Outline"), F.col("line_no")), ignorenulls=True).over(w)
     inside = F.last(F.when(is_block("Background", "Scenario", "Scenario Outline"), True).when(is_block("Feature"), False), ignorenulls=True).over(w)
-    rows = rows.withColumn("_inside", F.coalesce(inside, F.lit(False))).withColumn("_opened", F.coalesce(opened, F.lit(0)))
+    rows = rows.withColumn("helper__inside", F.coalesce(inside, F.lit(False))).withColumn("helper__opened", F.coalesce(opened, F.lit(0)))
     started = F.max(F.when((F.col("kind") == "step") | is_block("Examples"), F.col("line_no"))).over(w)
-    rows = rows.withColumn("_started", F.col("_inside") & (F.coalesce(started, F.lit(0)) > F.col("_opened")))
+    rows = rows.withColumn("helper__started", F.col("helper__inside") & (F.coalesce(started, F.lit(0)) > F.col("helper__opened")))
     defect = (
-        F.when(is_block("Feature") & (F.col("_features") > 1), "multiple_feature_blocks")
+        F.when(is_block("Feature") & (F.col("helper__features") > 1), "multiple_feature_blocks")
         .when(is_block("Rule"), "rule_block_not_in_contract")
         .when((F.col("kind") == "tag") & F.exists(F.split(F.trim("line"), r"\s+"), lambda t: ~t.startswith("@")), "malformed_tag_line")
-        .when((F.col("kind") == "step") & ~F.col("_inside"), "step_outside_scenario")
-        .when((F.col("kind") == "other") & (F.col("_features") == 0), "text_before_feature")
-        .when((F.col("kind") == "other") & F.col("_started"), "wrapped_step_continuation")
+        .when((F.col("kind") == "step") & ~F.col("helper__inside"), "step_outside_scenario")
+        .when((F.col("kind") == "other") & (F.col("helper__features") == 0), "text_before_feature")
+        .when((F.col("kind") == "other") & F.col("helper__started"), "wrapped_step_continuation")
     )
     found = rows.select(key, defect.alias("defect"), "line_no").where("defect IS NOT NULL")
-    none = rows.groupBy(key).agg(F.max("_features").alias("n")).where("n = 0").select(key, F.lit("no_feature_block").alias("defect"), F.lit(None).cast("int").alias("line_no"))
+    none = rows.groupBy(key).agg(F.max("helper__features").alias("n")).where("n = 0").select(key, F.lit("no_feature_block").alias("defect"), F.lit(None).cast("int").alias("line_no"))
     return found.unionByName(none)
 
 
-def line_summary(rows: DataFrame, key: str) -> DataFrame:
-    """Lines by coarse kind, and the number of blank-line runs."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    kind = F.when(F.trim("line") == "", "blank").when(F.trim("line").startswith("#"), "comment").otherwise("other")
-    rows = rows.withColumn("kind", kind).withColumn("_before", F.lag("kind").over(w))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(F.col("kind") == "blank").alias("n_blank"),
-        F.count_if(F.col("kind") == "comment").alias("n_comment"),
-        F.count_if(F.col("kind") == "other").alias("n_other"),
-        F.count_if((F.col("kind") == "blank") & ~F.col("_before").eqNullSafe("blank")).alias("n_blank_runs"),
-    )
+def line_summary(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """For each text its lines by coarse kind and its runs of blank lines; all inside the row, without a shuffle."""
+    coarse = lambda x: F.when(F.trim(x) == "", "blank").when(F.trim(x).startswith("#"), "comment").otherwise("other")
+    kinds = F.transform(F.split(F.col(text), "\n"), coarse)
+    state = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("n_blank", "n_comment", "n_other", "n_blank_runs")), F.lit("").alias("before"))
+    one = lambda c: c.cast("long")
+
+    def step(acc: Column, k: Column) -> Column:
+        counts = [(acc[f"n_{n}"] + one(k == n)).alias(f"n_{n}") for n in ("blank", "comment", "other")]
+        return F.struct(*counts, (acc["n_blank_runs"] + one((k == "blank") & (acc["before"] != "blank"))).alias("n_blank_runs"), k.alias("before"))
+
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.aggregate(kinds, state, step).alias("helper__s"))
+    total = F.col("helper__s.n_blank") + F.col("helper__s.n_comment") + F.col("helper__s.n_other")
+    return rows.select(key, total.alias("n_lines"), "helper__s.n_blank", "helper__s.n_comment", "helper__s.n_other", "helper__s.n_blank_runs")
 
 
 def out_of_sequence(rows: DataFrame, group: str, number: str, order: str, first: int = 1) -> DataFrame:

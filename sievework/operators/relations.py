@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.sources.staging import staged
+
 
 def ungrounded(cited: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Distinct cited keys that the corpus does not have."""
@@ -15,21 +18,21 @@ def ungrounded(cited: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
 
 def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of one side only, and which side."""
-    left, right = a.select(key).distinct().withColumn("_a", F.lit(True)), b.select(key).distinct().withColumn("_b", F.lit(True))
+    left, right = a.select(key).distinct().withColumn("helper__a", F.lit(True)), b.select(key).distinct().withColumn("helper__b", F.lit(True))
     both = left.join(right, key, "full_outer")
-    return both.where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_a").isNull(), "unexpected").otherwise("missing").alias("defect"))
+    return both.where("helper__a IS NULL OR helper__b IS NULL").select(key, F.when(F.col("helper__a").isNull(), "unexpected").otherwise("missing").alias("defect"))
 
 
 def last_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
     """Of several rows with one key the last."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("_r")).select(key, "_r.*")
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("helper__r")).select(key, "helper__r.*")
 
 
 def pin_findings(pinned: DataFrame, present: DataFrame, key: str, content: str = "sha256") -> DataFrame:
     """missing, drifted and stray keys by content hash."""
-    a, b = pinned.select(key, F.col(content).alias("_want")), present.select(key, F.col(content).alias("_have"))
-    defect = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "stray").when(F.col("_want") != F.col("_have"), "drifted")
+    a, b = pinned.select(key, F.col(content).alias("helper__want")), present.select(key, F.col(content).alias("helper__have"))
+    defect = F.when(F.col("helper__have").isNull(), "missing").when(F.col("helper__want").isNull(), "stray").when(F.col("helper__want") != F.col("helper__have"), "drifted")
     return a.join(b, key, "full_outer").select(key, defect.alias("defect")).where("defect IS NOT NULL")
 
 
@@ -43,12 +46,12 @@ def incomplete(expected: DataFrame, key: str, *answers: DataFrame) -> DataFrame:
 
 def swapped(selection: DataFrame, reference: DataFrame, key: str, compared: Sequence[str], normal=lambda c: c) -> DataFrame:
     """Selected keys that the reference does not have (invented) or has with other content (content_swap)."""
-    theirs = reference.select(key, *(normal(F.col(c)).alias(f"_{c}") for c in compared), F.lit(True).alias("_there"))
+    theirs = reference.select(key, *(normal(F.col(c)).alias(f"helper__{c}") for c in compared), F.lit(True).alias("helper__there"))
     differs = F.lit(False)
     for c in compared:
-        differs = differs | ~normal(F.col(c)).eqNullSafe(F.col(f"_{c}"))
+        differs = differs | ~normal(F.col(c)).eqNullSafe(F.col(f"helper__{c}"))
     both = selection.join(theirs, key, "left")
-    return both.select(key, F.when(F.col("_there").isNull(), "invented").when(differs, "content_swap").alias("defect")).where("defect IS NOT NULL")
+    return both.select(key, F.when(F.col("helper__there").isNull(), "invented").when(differs, "content_swap").alias("defect")).where("defect IS NOT NULL")
 
 
 def open_prerequisites(edges: DataFrame, selected: DataFrame, node: str, needs: str) -> DataFrame:
@@ -57,11 +60,20 @@ def open_prerequisites(edges: DataFrame, selected: DataFrame, node: str, needs:
     return own.join(selected.select(F.col(node).alias(needs)), needs, "left_anti").select(node, needs)
 
 
-def unseen_grid(seen: DataFrame, axes: Sequence[DataFrame]) -> DataFrame:
-    """Combinations of the axes (each a few distinct values) that were not seen."""
-    grid = axes[0].distinct()
-    for a in axes[1:]:
-        grid = grid.join(F.broadcast(a.distinct()))  # the axes are tasks, repetitions, days or types
+def unseen_grid(seen: DataFrame, axes: Sequence[DataFrame], most: int = 1_000_000) -> DataFrame:
+    """Combinations of the axes (each a few distinct values) that were not seen.
+
+    The axes are counted first; a grid of more than ``most`` combinations is refused.
+    """
+    axes = [a.distinct() for a in axes]
+    size = math.prod(a.count() for a in axes)
+    if size > most:
+        raise ValueError(f"the grid has {size} combinations, which is more than {most}")
+    grid = axes[0].groupBy().agg(F.collect_list(F.struct(*axes[0].columns)).alias("helper__0"))
+    for k, a in enumerate(axes[1:], 1):
+        grid = grid.join(F.broadcast(a.groupBy().agg(F.collect_list(F.struct(*a.columns)).alias(f"helper__{k}"))))  # one row each
+    for k, a in enumerate(axes):
+        grid = grid.withColumn(f"helper__{k}", F.explode(f"helper__{k}")).select("*", *(F.col(f"helper__{k}.{c}").alias(c) for c in a.columns)).drop(f"helper__{k}")
     return grid.join(seen.select(*grid.columns).distinct(), grid.columns, "left_anti")
 
 
@@ -76,19 +88,26 @@ def graded(rows: DataFrame, key: str, facts: Sequence[DataFrame], cases: Sequenc
     return out.withColumn("status", status)
 
 
-def shared_shingles(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int) -> DataFrame:
+def shared_shingles(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """For each document and item: how many distinct word n-grams they share.
 
-    Each side is distinct before the join, which is by hash and then by the words themselves.
+    Documents that have no gram of any item fall out first: 64-bit hashes of all grams meet those of the items (which are
+    broadcast if they are few by count). Only the others' grams are written out as words, and joined by these.
     """
 
-    def grams(df: DataFrame, key: str) -> DataFrame:
+    def grams(df: DataFrame, key: str, form) -> DataFrame:
         words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-        rows = df.select(key, words.alias("w")).where(F.size("w") >= size)
-        at = F.sequence(F.lit(1), F.size("w") - (size - 1))
-        return rows.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, F.lit(size)), " ")))).alias("gram"))
+        rows = df.select(key, words.alias("helper__w")).where(F.size("helper__w") >= size)
+        at = F.sequence(F.lit(1), F.size("helper__w") - (size - 1))
+        return rows.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: form(F.slice("helper__w", i, F.lit(size)))))).alias("gram"))
 
-    return grams(docs, doc_key).join(grams(items, item_key), "gram").groupBy(doc_key, item_key).agg(F.count("*").alias("n_shared"))
+    hashes = staged(grams(items, item_key, F.xxhash64).select("gram").distinct())
+    few = hashes.count() <= broadcast_rows
+    near = staged(grams(docs, doc_key, F.xxhash64).join(F.broadcast(hashes) if few else hashes, "gram", "left_semi").select(doc_key).distinct())
+    near = F.broadcast(near) if near.count() <= broadcast_rows else near
+    joined = lambda g: F.array_join(g, " ")
+    own = grams(docs.select(doc_key, text).join(near, doc_key, "left_semi"), doc_key, joined)
+    return own.join(grams(items, item_key, joined), "gram").groupBy(doc_key, item_key).agg(F.count("*").alias("n_shared"))
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int = 8) -> DataFrame:
@@ -99,9 +118,9 @@ def contained(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, te
     """
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     k = size - 2
-    own = items.select(item_key, F.col(text).alias("_item"), F.xxhash64(F.array_join(F.slice(words, 2, k), " ")).alias("_key")).where(F.size(F.filter(F.split("_item", r"\s+"), lambda w: w != "")) >= size)
-    rows = docs.select(doc_key, words.alias("_w")).where(F.size("_w") >= size)
-    at = F.sequence(F.lit(2), F.size("_w") - k)
-    keyed = rows.select(doc_key, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(k)), " "))))).alias("_key"))
-    pairs = keyed.join(own.select(item_key, "_key"), "_key").select(doc_key, item_key).distinct()
-    return docs.select(doc_key, text).join(pairs, doc_key).join(own.select(item_key, "_item"), item_key).where(F.contains(F.col(text), F.col("_item"))).select(doc_key, item_key)
+    own = items.select(item_key, F.col(text).alias("helper__item"), F.xxhash64(F.array_join(F.slice(words, 2, k), " ")).alias("helper__key")).where(F.size(F.filter(F.split("helper__item", r"\s+"), lambda w: w != "")) >= size)
+    rows = docs.select(doc_key, words.alias("helper__w")).where(F.size("helper__w") >= size)
+    at = F.sequence(F.lit(2), F.size("helper__w") - k)
+    keyed = rows.select(doc_key, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("helper__w", i, F.lit(k)), " "))))).alias("helper__key"))
+    pairs = keyed.join(own.select(item_key, "helper__key"), "helper__key").select(doc_key, item_key).distinct()
+    return docs.select(doc_key, text).join(pairs, doc_key).join(own.select(item_key, "helper__item"), item_key).where(F.contains(F.col(text), F.col("helper__item"))).select(doc_key, item_key)

@@ -4,13 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.anchors import Anchor, matched_groups
 
 #: What a failed gate means for a run.
 OUTCOMES = ("FAIL", "INVALID", "BLOCKED")
+#: The gates of each suite (suite, gate, passes needed, results needed).
+SUITE_RULES = (
+    ("po", "G1", 12, 12),
+    ("po", "G2", 12, 12),
+    ("po", "G3", 2, 3),
+    ("po", "G4", 3, 3),
+    ("po", "G5", 3, 3),
+    ("po-idea", "G-I1", 6, 6),
+    ("po-idea", "G-I2", 3, 3),
+    ("po-idea", "G-I3", 3, 3),
+    ("po-idea", "G-I4", 3, 3),
+    ("po-spec", "G-S1", 6, 6),
+    ("po-spec", "G-S2", 3, 3),
+    ("po-spec", "G-S3", 3, 3),
+    ("po-spec", "G-S4", 3, 3),
+    ("po-spec", "G-S5", 3, 3),
+    ("arch", "G-A1", 6, 6),
+    ("arch", "G-A2", 3, 3),
+    ("arch", "G-A3", 3, 3),
+    ("coach", "G-C1", 6, 6),
+    ("coach", "G-C2", 3, 3),
+    ("coach", "G-C3", 3, 3),
+    ("coach", "G-C4", 3, 3),
+    ("qav", "G-Q1", 6, 6),
+    ("qav", "G-Q2", 3, 3),
+    ("qav", "G-Q3", 3, 3),
+    ("qav", "G-Q4", 3, 3),
+    ("qav", "G-Q5", 1, 1),
+    ("gc", "G-G1", 6, 6),
+    ("gc", "G-G2", 3, 3),
+    ("gc", "G-G3", 3, 3),
+    ("gc", "G-G4", 1, 1),
+    ("dcl", "author-1", 2, 3),
+    ("dcl", "author-2", 2, 3),
+    ("dcl", "author-3", 2, 3),
+    ("dcl", "repair", 3, 3),
+)
+#: Gates that test the instrument: where they fail, nothing is judged.
+INSTRUMENT_GATES = (("qav", "G-Q5"), ("gc", "G-G4"))
+
+
+def suite_rules(spark: SparkSession) -> DataFrame:
+    """SUITE_RULES as a table for ``gate_outcomes``."""
+    return spark.createDataFrame(SUITE_RULES, "suite string, gate string, need int, of int")
 
 
 def must_catch(registry: DataFrame, verdicts: DataFrame, key: str, anchors: Sequence[Anchor]) -> DataFrame:
@@ -43,10 +87,10 @@ def regression_floor(solved: DataFrame, baselines: DataFrame, key: str, margin:
 
 def matching_baseline(runs: DataFrame, baselines: DataFrame) -> DataFrame:
     """For each run (family, task) its baseline, or which part has none; baselines of other families never count."""
-    families = baselines.select("family").distinct().withColumn("_known", F.lit(True))
+    families = baselines.select("family").distinct().withColumn("verdict__known", F.lit(True))
     both = runs.join(baselines, ["family", "task"], "left").join(families, "family", "left")
-    state = F.when(F.col("baseline").isNotNull(), "found").when(F.col("_known").isNull(), "family_missing").otherwise("benchmark_missing")
-    return both.withColumn("state", state).drop("_known")
+    state = F.when(F.col("baseline").isNotNull(), "found").when(F.col("verdict__known").isNull(), "family_missing").otherwise("benchmark_missing")
+    return both.withColumn("state", state).drop("verdict__known")
 
 
 def k_of_n(results: DataFrame, groups: Sequence[str], passed: Column, need: Column, of: Column) -> DataFrame:
@@ -65,8 +109,8 @@ def gate_outcomes(results: DataFrame, rules: DataFrame, blocked: DataFrame | Non
     both = rules.join(counts, ["suite", "gate"], "left").fillna(0, ["n_passed", "n_results"])
     broken = F.lit(False)
     if blocked is not None:
-        both = both.join(blocked.select("suite", "gate", F.lit(True).alias("_blocked")).distinct(), ["suite", "gate"], "left")
-        broken = F.coalesce("_blocked", F.lit(False))
+        both = both.join(blocked.select("suite", "gate", F.lit(True).alias("verdict__blocked")).distinct(), ["suite", "gate"], "left")
+        broken = F.coalesce("verdict__blocked", F.lit(False))
     outcome = F.when(broken, "BLOCKED").when(F.col("n_results") < F.col("of"), "INVALID").when(F.col("n_passed") >= F.col("need"), "PASS").otherwise("FAIL")
     return both.select("suite", "gate", "need", "of", "n_passed", "n_results", outcome.alias("outcome"))
 
@@ -77,13 +121,24 @@ def suite_verdict(gates: DataFrame, suite: str) -> DataFrame:
     return gates.groupBy(suite).agg(F.element_at(F.array(*map(F.lit, ("PASS", *OUTCOMES))), worst + 1).alias("verdict"), F.count("*").alias("n_gates"))
 
 
+def failed_entities(findings: DataFrame) -> DataFrame:
+    """gate and entity_id of every failure, each once; of any number."""
+    return findings.select("gate", "entity_id").distinct()
+
+
 def failures_by_gate(findings: DataFrame, dispositions: dict[str, str], default: str) -> DataFrame:
-    """For each gate its number of failed entities, their sorted list, and what the failure means."""
+    """For each gate its number of failed entities and what the failure means; ``failed_entities`` has their names."""
     known = F.create_map(*(F.lit(x) for kv in dispositions.items() for x in kv))
-    grouped = findings.groupBy("gate").agg(F.count_distinct("entity_id").alias("n_failed"), F.array_join(F.transform(F.array_sort(F.collect_set("entity_id")), lambda x: x.cast("string")), ",").alias("failed"))
+    grouped = failed_entities(findings).groupBy("gate").agg(F.count("*").alias("n_failed"))
     return grouped.withColumn("disposition", F.coalesce(known[F.col("gate")], F.lit(default)))
 
 
+def failure_report(findings: DataFrame, dispositions: dict[str, str], default: str) -> DataFrame:
+    """The same with the sorted names in one list, for the report of a run of bounded size."""
+    names = failed_entities(findings).groupBy("gate").agg(F.array_join(F.transform(F.array_sort(F.collect_list("entity_id")), lambda x: x.cast("string")), ",").alias("failed"))
+    return failures_by_gate(findings, dispositions, default).join(names, "gate")
+
+
 def catch_rates(expected_and_found: DataFrame, bad: Column, flagged: Column, *groups: str) -> DataFrame:
     """Share of the bad that are flagged, and of the flagged that are not bad."""
     n = expected_and_found.groupBy(*groups).agg(F.count_if(bad).alias("n_bad"), F.count_if(bad & flagged).alias("n_caught"), F.count_if(flagged).alias("n_flagged"))
@@ -97,5 +152,5 @@ def first_survivors(rows: DataFrame, group: Sequence[str], order: Sequence[Colum
     """
     w = Window.partitionBy(*group).orderBy(*order)
     n = F.sum(passed.cast("int")).over(w)
-    out = rows.withColumn("_n", n).withColumn("_p", passed)
-    return out.where((F.col("_n") < most) | ((F.col("_n") == most) & F.col("_p"))).withColumn("status", F.when(F.col("_p"), "kept").otherwise("excluded")).drop("_n", "_p")
+    out = rows.withColumn("verdict__n", n).withColumn("verdict__p", passed)
+    return out.where((F.col("verdict__n") < most) | ((F.col("verdict__n") == most) & F.col("verdict__p"))).withColumn("status", F.when(F.col("verdict__p"), "kept").otherwise("excluded")).drop("verdict__n", "verdict__p")

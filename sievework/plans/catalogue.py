@@ -71,10 +71,10 @@ def _verdict_rows(documents: DataFrame) -> DataFrame:
     """A rule's verdict on each document: what it finds, and where it looked."""
     text = F.col("text")
     classes = F.array_compact(F.array(F.when(text.rlike("[#*$%&]{3}"), "symbols"), F.when(text.rlike("[|]"), "table"), F.when(F.length(text) < 900, "short")))
-    return documents.select("doc_id", "lang", classes.alias("classes"), F.substring(text, 1, 600).alias("locus")).withColumn("verdict", F.when(F.size("classes") > 0, "reject").otherwise("approve"))
+    return documents.select("doc_id", "lang", classes.alias("classes"), F.col("text").alias("locus")).withColumn("verdict", F.when(F.size("classes") > 0, "reject").otherwise("approve"))
 
 
-_VERDICT_SQL = """SELECT doc_id, lang, substring(text, 1, 600) AS locus, list_filter([CASE WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'symbols' END,
+_VERDICT_SQL = """SELECT doc_id, lang, text AS locus, list_filter([CASE WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'symbols' END,
     CASE WHEN regexp_matches(text, '[|]') THEN 'table' END, CASE WHEN length(text) < 900 THEN 'short' END], lambda x: x IS NOT NULL) AS classes FROM documents"""
 _CLASS = "element_at(array('symbols', 'table', 'short'), CAST(doc_id % 3 AS INT) + 1) AS class"
 _CLASS_SQL = "['symbols', 'table', 'short'][doc_id % 3 + 1]"
@@ -179,7 +179,7 @@ def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, group_id FROM m, (VALUES ('g_the'), ('g_and'), ('g_of'), ('g_is'), ('g_with')) g(group_id) WHERE NOT list_contains(groups, group_id)""",
 )
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors.not_carried(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", TALK)
+    return anchors.not_carried(table(spark, sf_dir, "conversations"), "conv_id", "text", TALK)
 
 
 @query(
@@ -339,7 +339,7 @@ def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
         findings.check(customers, "c_nationkey", "segment", [Rule("segment", F.col("c_mktsegment") == "BUILDING")]),
         findings.check(customers, "c_nationkey", "status", [Rule("high", F.col("c_acctbal") > 9900)]),
     )
-    return verdicts.failures_by_gate(found, _DISPOSITIONS, "no_deploy")
+    return verdicts.failure_report(found, _DISPOSITIONS, "no_deploy")
 
 
 @query("q25_median_baseline", "SELECT p_brand, p_size, median(p_retailprice) AS baseline, count(*) AS n_reps FROM part GROUP BY ALL")
@@ -414,7 +414,7 @@ def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (kind = 'blank' AND prev IS DISTINCT FROM 'blank') AS n_blank_runs FROM b GROUP BY doc_id""",
 )
 def q32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_summary(lines.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return lines.line_summary(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(

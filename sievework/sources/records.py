@@ -5,12 +5,10 @@ All scans are distributed reads of a glob; a file that is missing or broken beco
 
 from __future__ import annotations
 
-import tomllib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.records import strict_json, yaml_json
+from sievework.functions.records import strict_json, toml_json, yaml_json
 
 
 def texts(spark: SparkSession, glob: str, key_pattern: str, *keys: str) -> DataFrame:
@@ -59,17 +57,11 @@ def retrieval_items(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.sum(F.when(F.col("json").isNotNull(), items)).alias("retrieval_items"))
 
 
-def tables_of_toml(spark: SparkSession, texts_by_key: DataFrame, key: str, schema: str, pick: tuple[str, ...]) -> DataFrame:
-    """One row for each TOML text: the table at ``pick`` read by schema. Task descriptors are few; they are parsed on the driver."""
-    rows = []
-    for r in texts_by_key.select(key, "value").toLocalIterator():
-        found = tomllib.loads(r["value"])
-        for p in pick:
-            found = found.get(p, {})
-        rows.append((r[key], {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in found.items()}))
-    out = spark.createDataFrame(rows, f"{key} string, fields map<string,string>")
-    names = [x.strip().split(" ") for x in schema.split(",")]
-    return out.select(key, *(F.col("fields")[n].cast(t).alias(n) for n, t in names))
+def tables_of_toml(texts_by_key: DataFrame, key: str, schema: str, pick: tuple[str, ...]) -> DataFrame:
+    """One row for each TOML text: the table at ``pick`` read by schema; a text that is no TOML gives nulls."""
+    path = "$" + "".join(f".{p}" for p in pick)
+    rows = texts_by_key.select(key, F.get_json_object(toml_json(F.col("value")), path).alias("toml__json"))
+    return rows.select(key, F.from_json("toml__json", schema).alias("toml__fields")).select(key, "toml__fields.*")
 
 
 def yaml_records(rows: DataFrame, text: str = "value") -> DataFrame:

@@ -98,7 +98,7 @@ def test_responses():
     assert records.any_object('x {"a": "}"} y') == '{"a": "}"}'
     assert records.any_object("none {") is None
     assert records.normal_form("– １ßÉ") == "- 1ssé"
-    assert records.program_of("x = 1") == "x = 1" and records.program_of("not a program") is None
+    assert records.program_of("  x = 1") == "x = 1\n" and records.program_of("not a program") is None
     assert records.citations('{"a": [{"document": "d", "cited_docs": ["x", " "]}]}') == [{"name": "d", "kind": "document"}, {"name": "x", "kind": "cited_docs"}]
 
 
