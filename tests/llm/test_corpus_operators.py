@@ -298,9 +298,9 @@ def test_passages_of_the_benchmark(spark, awkward, nothing):
     got = {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark).collect()}
     # Three substitutions in thirty words may leave no long stretch; nearly all are found and nothing else.
     assert got <= planted and len(got) >= 0.9 * len(planted)
-    assert {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark, part_words=100).collect()} == got
-    flagged = {x["doc_id"] for x in table.where(contamination.contaminated(benchmark)).collect()}
-    assert flagged == {i for i, _ in got}
+    assert {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark, broadcast_rows=0).collect()} == got
+    left = {x["doc_id"] for x in contamination.clean(table, benchmark).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in got}
     assert contamination.find(awkward, benchmark).count() == 0
     assert contamination.find(nothing, benchmark).count() == 0
     assert contamination.find(table, benchmark.limit(0)).count() == 0
@@ -348,7 +348,51 @@ def test_every_passage_that_counts_is_found(spark):
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark).collect()} == brute
-    assert {x["doc_id"] for x in table.where(contamination.contaminated(benchmark)).collect()} == {d for d, _ in brute}
+    assert {(x["doc_id"], x["item_id"]) for x in contamination.find(table, benchmark, broadcast_rows=100).collect()} == brute
+    assert {x["doc_id"] for x in contamination.clean(table, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in brute}
+
+
+def most_without_a_seed(masks, limit):
+    """The highest sum of a row of matches (1) and other words (-2) in which no mask fits, over all histories of such rows."""
+    span = max(map(len, masks))
+    picks = [sum(1 << (len(m) - 1 - k) for k, c in enumerate(m) if c == "1") for m in masks]
+    best = {0: 0}  # the highest sum by the last words
+    while True:
+        after = dict(best)
+        for history, total in best.items():
+            for same in (0, 1):
+                full = history << 1 | same
+                if not any(full & p == p for p in picks):
+                    now, x = full & ((1 << (span - 1)) - 1), total + (1 if same else -2)
+                    after[now] = max(after.get(now, 0), x)
+        if after == best or max(after.values()) > limit:
+            return max(after.values())
+        best = after
+
+
+def test_no_stretch_that_counts_is_without_a_seed():
+    assert most_without_a_seed(contamination.MASKS, 30) == 6
+    assert all(contamination.least_score(n) > 6 for n in range(contamination.SHORT, 100))
+    # With one other word a shorter item has less than it needs, or it has a run of four beside it.
+    for n in range(contamination.MIN_ITEM, contamination.SHORT):
+        for row in range(1 << n):
+            bits = [row >> k & 1 for k in range(n)]
+            best = now = 0
+            for x in bits:
+                now = max(0, now + (1 if x else -2))
+                best = max(best, now)
+            assert best < contamination.least_score(n) or "1111" in "".join(map(str, bits))
+
+
+def test_clean_documents_keep_their_columns(awkward, nothing, spark):
+    benchmark = spark.createDataFrame([(1, awkward.where("doc_id = 8").first()["text"]), (2, None)], "item_id long, text string")
+    left = contamination.clean(awkward, benchmark)
+    assert left.columns == awkward.columns
+    gone = {r["doc_id"] for r in contamination.find(awkward, benchmark).collect()}
+    assert gone >= {8, 50, 51, 52, 60, None} and 7 not in gone
+    assert left.count() == sum(1 for r in awkward.collect() if not (r["doc_id"] in gone and r["text"]))
+    assert contamination.clean(nothing, benchmark).count() == 0
+    assert contamination.clean(awkward, benchmark.limit(0)).count() == awkward.count()
 
 
 # The pipeline.
