@@ -20,7 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.quality import MEASURES, filtered
 
-    return filtered(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "host", "shrunk_rate")
+    return filtered(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "host", "shrunk_rate", "suspect")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
