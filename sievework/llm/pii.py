@@ -2,16 +2,19 @@
 
 One Aho-Corasick pass finds at-signs, schemes, plus signs, digits and identifier cues; small parsers expand
 each anchor to the left and right and validate what they find. Base kinds are email, ip, card and phone;
-the method adds url_user (credentials in an address), iban and account (a number after a cue).
+the method adds url_user (credentials in an address), iban and account (a number after a cue: 6 to 17 digits that are neither a
+date nor a telephone number, and no IBAN with a wrong checksum).
 
-Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null.
+Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null; an empty table gives no rows;
+spans of different kinds may overlap, those at one place come in the order of the kinds; a text of any length is searched
+whole, in one task; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -30,6 +33,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[\x20]*(?:(?:no|nr|number)\.?)?[\x20]*[:#=]?[\x20]*([A-Z]{0,2}[0-9](?:[\x20-]?[0-9A-Z]){5,30})(?![0-9A-Za-z])")
 _USER = re.compile(r"([A-Za-z0-9._%+-]+):([^\s:/@]+)@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Numbers that are no account: dates, and telephone numbers without a plus.
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-\x20]?(?:0[1-9]|1[0-2])[-\x20]?(?:0[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0[1-9]|[12][0-9]|3[01])[-\x20](?:0[1-9]|1[0-2])[-\x20](?:19|20)[0-9]{2}(?![0-9])")
+_LOCAL_PHONE = re.compile(r"(?:[0-9]{3}[-\x20])?[0-9]{3}[-\x20][0-9]{4}")
+LEAST_DIGITS, MOST_DIGITS = 6, 17
 Span = tuple[int, int, int]
 
 
@@ -116,6 +123,15 @@ def phones(text: str, plus: list[int]) -> list[Span]:
     return [(m.start(), 3, m.end()) for m in found if m and 10 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
+def number_kind(value: str) -> int | None:
+    """Whether what follows a cue is an IBAN (5), an account (6) or neither."""
+    if _IBAN.fullmatch(value):
+        return 5 if iban_valid(re.sub("[ -]", "", value)) else None
+    if _DATE.match(value) or _LOCAL_PHONE.fullmatch(value):
+        return None
+    return 6 if LEAST_DIGITS <= sum(c.isdigit() for c in value) <= MOST_DIGITS else None
+
+
 def spans(text: str) -> list[Span]:
     """(start, number of the kind, end) of all spans, by start and kind, in code points."""
     at: list[list[int]] = [[], [], [], [], []]
@@ -133,9 +149,8 @@ def spans(text: str) -> list[Span]:
         if m := _USER.match(text, p):
             out.append((m.start(), 4, m.end()))
     for p in cues if digits else ():
-        if (m := _NUMBER.match(text, p)) and sum(c.isdigit() for c in m[1]) >= 6:
-            value = re.sub("[ -]", "", m[1])
-            out.append((m.start(1), 5 if _IBAN.fullmatch(m[1]) and iban_valid(value) else 6, m.end(1)))
+        if (m := _NUMBER.match(text, p)) and (kind := number_kind(m[1])):
+            out.append((m.start(1), kind, m.end(1)))
     return sorted(set(out))
 
 
@@ -155,19 +170,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """For each document the number of each base kind, the SHA-256 of its base spans, and all spans."""
+def span_digests(docs: DataFrame, spans_of: Callable[[str], list[Span]], base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """For each document the number of each base kind, the SHA-256 of its base spans, and all spans, in one pass over the texts."""
+    names = ["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, base, every = [[], [], [], []], [], []
-            for found in b["spans"].to_pylist():
-                own = [(x["start"], KINDS.index(x["kind"]), x["end"]) for x in found]
-                first = [x for x in own if x[1] < len(BASE)]
-                for k, c in enumerate(counts):
-                    c.append(sum(x[1] == k for x in first))
-                base.append(hashlib.sha256(written(first).encode()).hexdigest())
-                every.append(written(own))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-
-    return find(docs).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+            found = [spans_of(t) for t in b["text"].to_pylist()]
+            first = [[x for x in own if x[1] < len(base)] for own in found]
+            counts = [pa.array([sum(x[1] == k for x in own) for own in first], pa.int64()) for k in range(len(base))]
+            hashes = pa.array([hashlib.sha256(written(own, kinds).encode()).hexdigest() for own in first], pa.string())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *counts, hashes, pa.array([written(own, kinds) for own in found], pa.string())], names=names)
+
+    return texts(docs).mapInArrow(rows, "doc_id long, " + ", ".join(f"{n} long" for n in names[1:-2]) + ", base_sha256 string, spans string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    return span_digests(docs, spans, BASE, KINDS)
