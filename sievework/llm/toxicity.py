@@ -8,19 +8,21 @@ costs a small drift, so that random text scores negative. A linear-time scan fin
 segments of a document. A segment's significance follows from extreme-value theory: lambda solves
 sum p*exp(lambda*s) = 1 over the clean token scores (with the prior, so that words which no clean document
 has don't lack a chance), and S counts as lambda*S - ln(K*m) in a document
-of m tokens. Documents add up their significant segments; a logistic curve maps that to a probability.
+of m tokens; K is read off the tail of clean documents. Documents add up their significant segments; a logistic curve maps that to a
+probability. K and the curve come from documents that had no part in the odds they are scored with (two folds).
 
-Labels are a bounded sample: up to ``max_labels`` labelled rows, picked by a hash of the id, so their ids can
+Labels are a bounded sample: about ``max_labels`` labelled rows, those below a bound of a hash of the id, so their ids can
 be sent to all tasks. The model has a fixed size. All documents are scored, over their whole texts.
 
 Defined results: null or empty text scores as a document without any evidence; labels that are null are left
 out and of several for one id the highest holds; without labelled texts of both classes nothing can be told and
-every score is near 0; repeated rows give repeated rows.
+every score is near 0; of one text with several labels the highest holds; repeated rows give repeated rows; a null doc_id is not held
+out; an empty table gives no rows; a text of any length is scored whole, in one task; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import texts
+from sievework.llm.common import staged, texts
 from sievework.llm.kernels import LOWER, byte_values, prefix, slices, span_hashes, utf8
 
 BITS = 20
@@ -39,6 +41,8 @@ MIN_Z = 3.5
 MOST = 20.0
 PRIOR_TOKENS = 10_000.0
 FOLDS = 5
+#: K is read off where this share of the clean documents lies below, between bounds for samples that have no such tail.
+TAIL, LOG_K = 0.95, (-7.0, 3.0)
 
 #: Bytes that are part of a token.
 _TOKEN = np.zeros(256, bool)
@@ -131,75 +135,119 @@ def evidence(scores: np.ndarray, before: np.ndarray, rate: float, log_k: float)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_labels: int, training_only: bool) -> DataFrame:
+    """Distinct labelled texts with their class and fold; about ``max_labels`` ids, those below a bound of a hash."""
     kept = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if training_only:
         kept = kept.where(~held_out())
-    picked = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    found = docs.join(F.broadcast(picked), "doc_id")  # max_labels rows of 16 bytes
-    return found.where(F.length("text") > 0).dropDuplicates(["text", "toxic"])
+    n = kept.count()
+    if n > max_labels:
+        kept = kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit((max_labels << 31) // n))
+    found = docs.join(F.broadcast(kept), "doc_id")  # about max_labels rows of 16 bytes
+    return found.where(F.length("text") > 0).groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
+
+
+@dataclass(frozen=True)
+class _Odds:
+    """Weights of the features and lambda, from the documents of some folds."""
+
+    weights: np.ndarray
+    rate: float
+
+    @classmethod
+    def of(cls, clean: np.ndarray, toxic: np.ndarray) -> _Odds:
+        if not clean.sum() or not toxic.sum():
+            return cls(np.zeros(1 << BITS, np.float32), 1.0)
+        prior = PRIOR_TOKENS * (clean + toxic) / (clean + toxic).sum() + 1e-9
+        n1, n0 = toxic.sum() + PRIOR_TOKENS, clean.sum() + PRIOR_TOKENS
+        y1, y0 = toxic + prior, clean + prior
+        odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
+        z = odds / np.sqrt(1 / y1 + 1 / y0)
+        weights = np.where(np.abs(z) >= MIN_Z, odds, 0.0).astype(np.float32)
+        return cls(weights, _rate(weights - DRIFT, y0 / y0.sum()))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, training_only: bool = True) -> Model:
-    """Two passes over the labelled sample: token counts by class, then a histogram of the evidence."""
+    """Passes over the labelled sample: feature counts by class and fold; then, on documents that had no part in the odds they are scored with, the best segments of clean ones (which give K) and a histogram of the evidence (which gives the logistic curve)."""
     sample = _labelled(texts(documents), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), max_labels, training_only)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, 1 << BITS), np.int64)
+        found = np.zeros((4, 1 << BITS), np.int64)
         for b in batches:
             data, off = utf8(b["text"])
-            toxic = b["toxic"].to_numpy() > 0
+            group = 2 * b["fold"].to_numpy() + (b["toxic"].to_numpy() > 0)
             for i, j in slices(off):
                 features, _, _, before = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 row = np.repeat(np.arange(i, j), np.diff(before))
                 once = np.unique(np.concatenate([row << BITS | f for f in features])) if len(row) else np.zeros(0, np.int64)
-                of = toxic[once >> BITS]
-                for k in (0, 1):
+                of = group[once >> BITS]
+                for k in range(4):
                     found[k] += np.bincount(once[of == k] & ((1 << BITS) - 1), minlength=1 << BITS)
         used = np.flatnonzero(found.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[0, used]), pa.array(found[1, used])], names=["feature", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in found)], names=["feature", "g0", "g1", "g2", "g3"])
 
     # 2**BITS rows at most, whatever the input.
-    rows = sample.select("text", "toxic").mapInArrow(counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    clean, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    clean[rows["feature"].to_numpy()], toxic[rows["feature"].to_numpy()] = rows["clean"].to_numpy(), rows["toxic"].to_numpy()
-    if not clean.sum() or not toxic.sum():
-        return Model(np.zeros(1 << BITS, np.float32).tobytes(), 1.0, 0.0, -30.0, 0.0)
-    prior = PRIOR_TOKENS * (clean + toxic) / (clean + toxic).sum() + 1e-9
-    n1, n0 = toxic.sum() + PRIOR_TOKENS, clean.sum() + PRIOR_TOKENS
-    y1, y0 = toxic + prior, clean + prior
-    odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
-    z = odds / np.sqrt(1 / y1 + 1 / y0)
-    weights = np.where(np.abs(z) >= MIN_Z, odds, 0.0).astype(np.float32)
-    rate, log_k = _extreme_values(weights - DRIFT, y0 / y0.sum())
+    sample = staged(sample)
+    rows = sample.mapInArrow(counts, "feature long, g0 long, g1 long, g2 long, g3 long").groupBy("feature").agg(*(F.sum(f"g{k}").alias(f"g{k}") for k in range(4))).toArrow()
+    found = np.zeros((4, 1 << BITS))
+    for k in range(4):
+        found[k, rows["feature"].to_numpy()] = rows[f"g{k}"].to_numpy()
+    whole = _Odds.of(found[0] + found[2], found[1] + found[3])
+    if not (found[0] + found[2]).sum() or not (found[1] + found[3]).sum():
+        return Model(whole.weights.tobytes(), 1.0, 0.0, -30.0, 0.0)
+    others = [_Odds.of(found[2], found[3]), _Odds.of(found[0], found[1])]  # for the documents of fold 0 and of fold 1
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b["fold"].to_numpy()
+            x = np.zeros(b.num_rows)
+            for f, odds in enumerate(others):
+                own = np.flatnonzero(fold == f)
+                x[own] = _by_slices(b["text"].take(pa.array(own)), odds.weights, lambda s, m, odds=odds: odds.rate * best_segments(s, m) - np.log(np.maximum(np.diff(m), 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.rint(10 * np.clip(x, -MOST, MOST)).astype(np.int64))], names=["bin"])
+
+    # 401 bins at most, as below.
+    clean = sample.where("toxic <= 0").mapInArrow(best, "bin long").groupBy("bin").count().orderBy("bin").toArrow()
+    log_k = _log_k(clean["bin"].to_numpy() / 10, clean["count"].to_numpy())
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.rint(10 * _evidence(b["text"], weights, rate, log_k)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x), b["toxic"]], names=["bin", "toxic"])
-
-    # 401 bins at most.
-    table = sample.select("text", "toxic").mapInArrow(bins, "bin long, toxic int").groupBy("bin").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic")).toArrow()
+            fold = b["fold"].to_numpy()
+            x = np.zeros(b.num_rows)
+            for f, odds in enumerate(others):
+                own = np.flatnonzero(fold == f)
+                x[own] = _evidence(b["text"].take(pa.array(own)), odds.weights, odds.rate, log_k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.rint(10 * x).astype(np.int64)), b["toxic"]], names=["bin", "toxic"])
+
+    table = sample.mapInArrow(bins, "bin long, toxic int").groupBy("bin").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic")).orderBy("bin").toArrow()
     intercept, slope = _logistic(table["bin"].to_numpy() / 10, table["toxic"].to_numpy(), table["n"].to_numpy())
-    return Model(weights.tobytes(), rate, log_k, intercept, slope)
+    return Model(whole.weights.tobytes(), whole.rate, log_k, intercept, slope)
 
 
-def _extreme_values(weights: np.ndarray, p: np.ndarray) -> tuple[float, float]:
-    """lambda with sum p*exp(lambda*s) = 1, and ln K from the mean score (K = |mean| as a bound for a lattice-free walk)."""
+def _log_k(x: np.ndarray, n: np.ndarray) -> float:
+    """ln K from the upper tail of lambda*S - ln(m) over clean documents: P(above x) = 1 - exp(-K*exp(-x)) at its ``TAIL`` quantile."""
+    if not len(x):
+        return 0.0
+    at = x[np.searchsorted(np.cumsum(n), TAIL * n.sum())]
+    return float(np.clip(at + np.log(-np.log(TAIL)), *LOG_K))
+
+
+def _rate(weights: np.ndarray, p: np.ndarray) -> float:
+    """lambda with sum p*exp(lambda*s) = 1."""
     used = p > 0
     s, p = weights[used].astype(np.float64), p[used]
     if s.max() <= 0:
-        return 1.0, 0.0
+        return 1.0
     low, high = 1e-6, 1.0
     while (p * np.exp(np.minimum(high * s, 700))).sum() < 1 and high < 1e3:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(np.minimum(mid * s, 700))).sum() < 1 else (low, mid)
-    return low, float(np.log(max(abs((p * s).sum()), 1e-6)))
+    return low
 
 
 def _logistic(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -216,13 +264,18 @@ def _logistic(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, f
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def _evidence(column: pa.Array, weights: np.ndarray, rate: float, log_k: float) -> np.ndarray:
+def _by_slices(column: pa.Array, weights: np.ndarray, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """f of the token scores, and the tokens before each row, of every row."""
     data, off = utf8(column)
     out = np.zeros(len(off) - 1)
     for i, j in slices(off):
         features, _, _, before = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        out[i:j] = evidence(token_scores(weights, features), before, rate, log_k)
-    return np.clip(out, -MOST, MOST)
+        out[i:j] = f(token_scores(weights, features), before)
+    return out
+
+
+def _evidence(column: pa.Array, weights: np.ndarray, rate: float, log_k: float) -> np.ndarray:
+    return np.clip(_by_slices(column, weights, lambda s, m: evidence(s, m, rate, log_k)), -MOST, MOST)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
