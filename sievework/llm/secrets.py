@@ -3,16 +3,17 @@
 Besides assignments, access keys and long hex strings, strings of ``MIN_RANDOM`` characters or more that a
 BPE vocabulary spends many tokens on (under ``MAX_RATIO`` characters a token) are taken for random, unless
 they are digests of a known length, UUIDs, dates, plain numbers or names in one letter case without digits.
-A run of characters is tested in what the fixed forms leave of it, as a whole (with digits), in all windows of tokens of
-each segment between / . and =, and in windows over several segments if they hold both letter cases and digits, as
+A run of characters is tested in what the fixed forms leave of it: as a whole (with digits, and without / . = inside), in all
+windows of tokens of each segment between / . and =, and in windows over several segments if they hold both letter cases and digits, as
 base64 does and most paths don't. So words around a random string don't hide it; a window is widened to the next of / . =.
 
-Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null.
+Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null; an empty table gives no rows;
+spans of different kinds may overlap, those at one place come in the order of the kinds; a text of any length is searched
+whole, in one task; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Vocabulary
 from sievework.llm.common import texts
-from sievework.llm.pii import Span, written
+from sievework.llm.pii import Span, span_digests
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -46,6 +47,7 @@ _APART = re.compile(
     + r")(?![A-Za-z0-9])"
 )
 _PARTED = "/.="
+_PARTS = re.compile("[/.]|=(?!=*$)")
 _SEGMENT = re.compile("[^/.=]{20,}")
 
 
@@ -111,7 +113,7 @@ def random_spans(value: str, vocabulary: Vocabulary) -> list[tuple[int, int]]:
     """Where random strings stand in a run of characters."""
     if len(value) < MIN_RANDOM:
         return []
-    if any(c.isdigit() for c in value) and looks_random(value, vocabulary):
+    if not _PARTS.search(value) and any(c.isdigit() for c in value) and looks_random(value, vocabulary):
         return [(0, len(value))]
     out = _windows(value, vocabulary, _of_all_kinds)
     for m in _SEGMENT.finditer(value):
@@ -183,17 +185,4 @@ def masked(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """For each document the number of each base kind, the SHA-256 of its base spans, and all spans."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, base, every = [[], [], []], [], []
-            for found in b["spans"].to_pylist():
-                own = [(x["start"], KINDS.index(x["kind"]), x["end"]) for x in found]
-                first = [x for x in own if x[1] < len(BASE)]
-                for k, c in enumerate(counts):
-                    c.append(sum(x[1] == k for x in first))
-                base.append(hashlib.sha256(written(first, KINDS).encode()).hexdigest())
-                every.append(written(own, KINDS))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return find(docs, vocabulary).mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return span_digests(docs, lambda t: spans(t, vocabulary), BASE, KINDS)
