@@ -49,6 +49,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_a_null_id_is_not_held_out(spark, awkward):
+    docs, labels = toxic_tables(spark)
+    rows = toxicity.predictions(docs.unionByName(awkward.select("doc_id", "text")), labels).collect()
+    assert len(rows) == docs.count() + awkward.count()
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_labels_are_about_as_many_as_allowed(spark):
+    docs, labels = toxic_tables(spark)
+    n = toxicity._labelled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), 200, True).count()
+    assert 150 <= n <= 250
+
+
 def test_toxic_passages_lie_where_the_words_are(spark):
     docs, labels = toxic_tables(spark)
     model = toxicity.fit(docs, labels)

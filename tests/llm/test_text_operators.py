@@ -64,7 +64,8 @@ def measures(t):
             seen.add(line)
     c = collections.Counter(zip(w, w[1:], w[2:]))
     marked = {k + d for k, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for d in range(3)}
-    return len(w), sum(map(len, w)), sum(t.count(s) for s in quality.SYMBOLS), dup, len(marked)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) for line in t.split("\n"))
+    return len(w), sum(map(len, w)), sum(t.count(s) for s in quality.SYMBOLS), dup, len(marked), lines
 
 
 @pytest.mark.parametrize("name", ["awkward", "sample"])
@@ -77,6 +78,62 @@ def test_quality_measures(request, name):
         assert not (r["base_failed"] and r["kept"])
 
 
+def brute_kept(rows):
+    """kept by (doc_id, text, host), with the hosts' verdicts told one by one."""
+    fails = {
+        "short": lambda m: m[0] < 50,
+        "repeats": lambda m: 100 * m[4] > 50 * m[0],
+        "symbols": lambda m: 10 * m[2] > m[0],
+        "dup_lines": lambda m: 10 * m[3] > 3 * m[5],
+        "word_length": lambda m: m[1] < 3 * m[0] or m[1] > 10 * m[0],
+    }
+    fails["base"] = lambda m: fails["short"](m) or fails["repeats"](m)
+    of = collections.defaultdict(list)
+    for _, t, h in rows:
+        if h is not None:
+            of[h].append(measures(t))
+    verdict = {}
+    for r, f in fails.items():
+        counts = {h: (len(ms), sum(map(f, ms))) for h, ms in of.items()}
+        rates = [k / n for n, k in counts.values()]
+        m = sum(rates) / max(1, len(rates))
+        a = b = 1.0
+        if 0 < m < 1:
+            v = sum((x - m) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / n for n, _ in counts.values()) / len(counts)
+            total = max(m * (1 - m) / max(v, 1e-4 * m * (1 - m)) - 1, 1e-3)
+            a, b = m * total, (1 - m) * total
+        for h, (n, k) in counts.items():
+            verdict[h, r] = (k + a) / (n + a + b), a / (a + b) + (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+    out = []
+    for i, t, h in rows:
+        own = measures(t)
+        suspect = any(fails[r](own) and h is not None and verdict[h, r][0] > verdict[h, r][1] for r in ("symbols", "dup_lines", "word_length"))
+        out.append((i, not fails["base"](own) and (h is None or verdict[h, "base"][0] < 0.5) and not suspect))
+    return out
+
+
+@pytest.mark.parametrize("name", ["awkward", "sample", "made"])
+def test_kept_documents(request, spark, name):
+    if name == "made":  # hosts of several kinds, so that every verdict occurs
+        r = random.Random(3)
+        good = lambda: " ".join(f"word{r.randrange(10**6)}" for _ in range(80))
+        rows = []
+        for i in range(600):
+            h = f"h{i % 12}"
+            k = r.random()
+            junk = {"h1": 0.6, "h2": 0.3, "h3": 0.9}.get(h, 0.05)
+            t = good() + (" ####" * 30 if k < junk else "") if h != "h3" else good() if k > junk else "short"
+            rows.append((i, t, h))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    else:
+        docs = request.getfixturevalue(name)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    got = quality.filtered(docs).collect()
+    same(got, brute_kept(rows), ["kept"])
+    if name == "made":
+        assert sum(r["suspect"] and not r["base_failed"] for r in got) > 10 and any(r["shrunk_rate"] >= 0.5 for r in got)
+
+
 def test_hosts_of_bad_documents_are_rejected(spark, nothing):
     good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
     rows = [(i, good, f"good{i % 30}") for i in range(900)] + [(1000 + i, bad, "bad") for i in range(40)] + [(2000, good, "bad"), (2001, good, None), (2002, bad, "good1"), (2003, good, "new")]
@@ -98,6 +155,15 @@ def personal(t):
     return sorted(out)
 
 
+def test_numbers_that_are_no_account():
+    kinds = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.spans(t) if k > 4]
+    for t in ("Account 2024-01-15 12345", "account 555-123-4567", "acct 20240115", "IBAN DE88370400440532013000", "account 12345", "account 123456789012345678"):
+        assert kinds(t) == [], t
+    assert kinds("account no: 12345678") == [("account", "12345678")]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("ssn 123-45-6789") == [("account", "123-45-6789")]
+
+
 def test_personal_spans_are_those_of_the_patterns():
     r = random.Random(2)
     parts = ["1", "2", "25", "0", "000", ".", " ", "-", "@", "a", "b.c", "+", "(", ")", "4111 1111 1111 1111", "x@y.z", "é", "://", "account 12345678"]
