@@ -11,7 +11,9 @@ streamed, so the number of messages grows with the blocks alone and no task hold
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -79,6 +81,81 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(packed, PACKED).repartition(min(n, TASKS), "block")
 
 
+# Messages (part, block, data) between blocks and parts where a part has to see all of its messages at once.
+
+MESSAGE = "part int, block int, data binary"
+#: Up to so many blocks and parts, a block sends a row to each part; beyond, rows go in bundles by way of a hop.
+DIRECT = 2048
+#: Blocks whose messages one part takes, beyond DIRECT.
+SHARE = 16
+REGROUPED_BYTES = 64 << 20
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """n blocks and n parts that send each other messages; about n * sqrt(n) rows, not n * n, beyond ``direct``."""
+
+    blocks: int
+    direct: int = DIRECT
+
+    @property
+    def parts(self) -> int:
+        return self.blocks if self.blocks <= self.direct else max(self.direct, math.ceil(self.blocks / SHARE))
+
+    @property
+    def bundled(self) -> bool:
+        return self.blocks > self.direct
+
+    def rows(self, sender: int, messages: dict[int, bytes], to: str) -> pa.Table:
+        """One block's messages by part (to = 'part'), or one part's by block."""
+        if self.bundled:
+            width = math.isqrt(self.parts if to == "part" else self.blocks) + 1
+            bundles: dict[int, list[tuple[int, bytes]]] = {}
+            for k, m in messages.items():
+                bundles.setdefault(k // width, []).append((k, m))
+            messages = {k: pickle.dumps(x, 5) for k, x in bundles.items()}
+        keys, senders, data = pa.array(list(messages), pa.int32()), pa.array([sender] * len(messages), pa.int32()), pa.array(list(messages.values()), pa.binary())
+        return pa.table([keys, senders, data] if to == "part" else [senders, keys, data], names=["part", "block", "data"])
+
+    def arrived(self, messages: DataFrame, to: str) -> DataFrame:
+        """The messages, those to one receiver in a few rows; ``read`` takes them apart."""
+        if not self.bundled:
+            return messages
+        sender = "block" if to == "part" else "part"
+
+        def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            size, bundle = 0, None
+
+            def rows() -> pa.RecordBatch:
+                keys = pa.array(list(held), pa.int32())
+                nobody = pa.array([-1] * len(held), pa.int32())
+                data = pa.array([pickle.dumps(x, 5) for x in held.values()], pa.binary())
+                return pa.RecordBatch.from_arrays([keys, nobody, data] if to == "part" else [nobody, keys, data], names=["part", "block", "data"])
+
+            for b in batches:
+                for own, who, data in zip(b[to].to_pylist(), b[sender].to_pylist(), b["data"], strict=True):
+                    if held and (own != bundle or size >= REGROUPED_BYTES):
+                        yield rows()
+                        held, size = {}, 0
+                    bundle = own
+                    for k, m in pickle.loads(data.as_buffer()):
+                        held.setdefault(k, []).append((who, m))
+                        size += len(m)
+            if held:
+                yield rows()
+
+        width = math.isqrt(self.parts if to == "part" else self.blocks) + 1
+        return messages.repartition(width, to).sortWithinPartitions(to, sender).mapInArrow(regroup, MESSAGE)
+
+    def read(self, table: pa.Table, to: str) -> list[tuple[int, bytes]]:
+        """(sender, message) of the rows of one receiver, by sender."""
+        if not self.bundled:
+            sender = "block" if to == "part" else "part"
+            return sorted(zip(table[sender].to_pylist(), table["data"].to_pylist(), strict=True))
+        return sorted(x for data in table["data"] for x in pickle.loads(data.as_buffer()))
+
+
 def _blocks(keys: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """The block of each row: by its key, and by a number that goes up with every ALIKE_BYTES of rows with that key."""
     from sievework.llm.kernels import mixed

@@ -1,23 +1,27 @@
-"""Operator 6: removes repeated 50-byte strings, by suffix buckets that are refined with those of later offsets.
+"""Operator 6: removes repeated 50-byte strings, by bucket-pointer refinement of q-gram buckets.
 
 Sorting all suffixes by 50 bytes would move every byte of the corpus. Instead a sparse set of suffixes is kept:
 in every 50-byte string the q-gram (``Q`` bytes) with the smallest hash is an anchor, so equal strings have equal
-anchors at equal offsets. Buckets of anchors are then refined step by step, and only suffixes whose bucket is still
+anchors at equal offsets. The initial buckets are those of the anchors' q-grams, and only suffixes whose bucket is still
 shared go on:
 
 1. The bucket of an anchor is its q-gram. Buckets that lie in one document only are done.
-2. It is refined by the buckets of the offsets before and after, up to all strings that can hold the anchor
-   (the context). A context that a smaller doc_id has too settles its strings at once. So does a bucket with
-   a single context.
-3. Where a bucket has several contexts, the first document of each compares its single strings, within the bucket;
-   the strings of buckets with more than ``HOT`` contexts are dealt by their own hash, so that no bucket is large.
+2. Copies are taken together: anchors with the same context (all bytes of the strings that can hold the anchor) count as
+   one, which belongs to the smallest doc_id that has it. A context that a smaller doc_id has too settles its strings at once;
+   so does a bucket with a single context.
+3. Buckets with several contexts are refined. In a part, every offset of its contexts begins with the bucket of its first
+   8 bytes. Offsets of shared buckets are then sorted by their bucket identifier and that of the offset 8 later, which
+   gives identifiers of 16 bytes; these are used again for 32 bytes and for all 50. Then each string's bucket tells the smallest
+   doc_id that has it. Identifiers stand for the bytes themselves, so no two strings are confused.
+   A bucket with more than ``HOT`` contexts would be too large for a part; its strings are dealt by a 128-bit hash instead.
 
 Each step deals the distinct keys of a block once (a frequent one costs a row for each block), and the answer goes
-back to the block. Buckets are 48-bit hashes (a clash costs only work); contexts and strings are compared by
-64-bit hashes within their bucket.
+back to the block. Bucket numbers are 48-bit hashes, where a clash costs only work; contexts are compared by 128-bit hashes.
+Above some thousands of blocks, messages travel in bundles (``common.Exchange``).
 
 Defined results: null or empty text is kept as it is; documents with the same doc_id don't remove from each other;
-a null doc_id counts as the largest; repeated rows give repeated rows.
+a null doc_id counts as the largest; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored,
+whatever their names; a text of any length is handled whole, in one task.
 """
 
 from __future__ import annotations
@@ -31,25 +35,27 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import BLOCK_BYTES, block_count, in_blocks, texts, unpacked
+from sievework.llm.common import BLOCK_BYTES, DIRECT, MESSAGE, Exchange, block_count, in_blocks, texts, unpacked
 from sievework.llm.kernels import byte_values, mixed, prefix, slices, span_hashes
 
 SIZE, Q = 50, 26
 W = SIZE - Q + 1
 HOT = 2000
 _TOP = np.uint64(16)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _ODD_TOO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_OTHER = np.random.RandomState(77).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-MESSAGE = "part int, block int, data binary"
+#: The bytes that identifiers stand for, by round; each is made of two of the round before.
+FIRST, ROUNDS = 8, (16, 32, SIZE)
 
 
 def _dump(**arrays: object) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, 5))
 
 
-def _load(data: pa.Scalar) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_py()))
+def _load(data: bytes) -> dict:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -95,7 +101,8 @@ class _Anchors:
         self.ids = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         self.doc_ids = ids
         found = [self._slice(i, j) for i, j in slices(self.off)]
-        self.at, self.row, self.bucket, self.context, self.left, self.right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)
+        self.at, self.row, self.bucket, self.context, self.other, self.left, self.right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(kinds))
         self.id = self.ids[self.row]
         self.buckets, self.of_bucket = np.unique(self.bucket, return_inverse=True)
 
@@ -103,7 +110,7 @@ class _Anchors:
         data, off = self.data[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
         none = np.zeros(0, np.int64)
         if len(data) < SIZE:
-            return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
+            return none, none, *[none.astype(np.uint64)] * 3, none, none
         sums = prefix(byte_values(data))
         n = len(data) - Q + 1
         start = np.arange(n)
@@ -119,61 +126,70 @@ class _Anchors:
         left = np.minimum(W - 1, at - off[row])
         right = np.minimum(SIZE, off[row + 1] - at)
         context = mixed(span_hashes(sums, at - left, at + right) + left.astype(np.uint64) * _ODD)
-        return at + self.off[i], row + i, h[at] >> _TOP, context, left, right
+        other = span_hashes(prefix(_OTHER[data]), at - left, at + right)
+        return at + self.off[i], row + i, h[at] >> _TOP, context, other, left, right
 
     def pairs(self, shared: np.ndarray) -> None:
         """The distinct (bucket, context) of the anchors in shared buckets, and the smallest id of each."""
         self.kept = np.flatnonzero(shared[self.of_bucket])
-        key = mixed(self.context[self.kept] + self.bucket[self.kept] * _ODD)
-        self.keys, self.first, self.of_key = np.unique(key, return_index=True, return_inverse=True)
-        self.first = self.kept[self.first]
+        key, other = mixed(self.context[self.kept] + self.bucket[self.kept] * _ODD), self.other[self.kept]
+        first, self.of_key = _distinct(key, other)
+        self.keys, self.others = key[first], other[first]
+        self.first = self.kept[first]
         self.least = np.full(len(self.keys), _NO_ID)
         np.minimum.at(self.least, self.of_key, self.id[self.kept])
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the distinct pairs, in order, the place of one with each; and the pair of every place."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def _edges(values: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Where each of n equal ranges of hashes begins in sorted values."""
     bounds = np.array([-(-(k << bits) // n) for k in range(n)], np.uint64)
     return np.append(np.searchsorted(values, bounds), len(values))
 
 
-def _send(block: int, messages: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(range(len(messages)), pa.int32()), pa.array([block] * len(messages), pa.int32()), pa.array(messages, pa.binary())], names=["part", "block", "data"])
+def _answers(exchange: Exchange, back: pa.Table) -> list[dict]:
+    return [_load(m) for _, m in exchange.read(back, "block")]
 
 
-def _answer(table: pa.Table, data: list[bytes]) -> pa.Table:
-    return pa.table([table["part"], table["block"], pa.array(data, pa.binary())], names=["part", "block", "data"])
+def _asked(exchange: Exchange, table: pa.Table) -> tuple[list[int], list[dict]]:
+    """The blocks that ask a part, and their messages."""
+    found = exchange.read(table, "part")
+    return [b for b, _ in found], [_load(m) for _, m in found]
 
 
-def _answers(table: pa.Table) -> list[dict]:
-    order = np.argsort(table["part"].to_numpy())
-    return [_load(table["data"][int(i)]) for i in order]
+# What blocks ask (a list of messages, one for each part) and what parts tell (one for each block that asked).
 
 
-def _ask_shared(table: pa.Table, n: int) -> pa.Table:
+def _ask_shared(table: pa.Table, parts: int) -> list[bytes]:
     a = _Anchors(table)
     low, high = np.full(len(a.buckets), _NO_ID), np.full(len(a.buckets), -1)
     np.minimum.at(low, a.of_bucket, a.row)
     np.maximum.at(high, a.of_bucket, a.row)
-    e = _edges(a.buckets, n, 48)
-    return _send(table["block"][0].as_py(), [_dump(b=_steps(a.buckets[s:t]), m=_bits(low[s:t] != high[s:t])) for s, t in zip(e[:-1], e[1:], strict=True)])
+    e = _edges(a.buckets, parts, 48)
+    return [_dump(b=_steps(a.buckets[s:t]), m=_bits(low[s:t] != high[s:t])) for s, t in zip(e[:-1], e[1:], strict=True)]
 
 
-def _tell_shared(table: pa.Table) -> pa.Table:
-    asked = [_load(x) for x in table["data"]]
+def _tell_shared(asked: list[dict]) -> list[bytes]:
     each = [_of_steps(x["b"]) for x in asked]
     buckets, of, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
     counts[of[np.concatenate([_of_bits(x["m"]) for x in asked])]] += 1
     shared = counts[of] > 1
     ends = np.cumsum([len(x) for x in each])
-    return _answer(table, [_dump(s=_bits(shared[t - len(x) : t])) for x, t in zip(each, ends, strict=True)])
+    return [_dump(s=_bits(shared[t - len(x) : t])) for x, t in zip(each, ends, strict=True)]
 
 
-def _ask_contexts(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
-    if not table.num_rows:
-        return _send(0, [])
+def _ask_contexts(table: pa.Table, told: list[dict], parts: int) -> list[bytes]:
     a = _Anchors(table)
-    shared = np.concatenate([_of_bits(x["s"]) for x in _answers(back)])
+    shared = np.concatenate([_of_bits(x["s"]) for x in told])
     a.pairs(shared)
     # Of each shared bucket: its contexts here, and the least and greatest short hash of them.
     place = np.searchsorted(a.buckets, a.bucket[a.first])
@@ -182,59 +198,60 @@ def _ask_contexts(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
     np.add.at(count, place, 1)
     np.minimum.at(low, place, short)
     np.maximum.at(high, place, short)
-    e = _edges(a.buckets, n, 48)
+    by_bucket, by_key = _edges(a.buckets, parts, 48), _edges(a.keys, parts, 64)
     out = []
-    for s, t in zip(e[:-1], e[1:], strict=True):
+    for k in range(parts):
+        s, t = by_bucket[k : k + 2]
         own = s + np.flatnonzero(shared[s:t])
         several = low[own] != high[own]
-        out.append(_dump(b=_steps(a.buckets[own]), c=np.minimum(count[own], 60_000).astype(np.uint16), l=low[own].astype(np.uint32), h=high[own][several].astype(np.uint32), v=_bits(several), s=_bits(shared[s:t])))
-    e = _edges(a.keys, n, 64)
-    out += [_dump(k=_steps(a.keys[s:t]), d=_planes(a.least[s:t])) for s, t in zip(e[:-1], e[1:], strict=True)]
-    return _send(table["block"][0].as_py(), out)
-
-
-def _tell_contexts(table: pa.Table, hot_contexts: int) -> pa.Table:
-    asked = [_load(x) for x in table["data"]]
-    if "k" in asked[0]:
-        each = [_of_steps(x["k"]) for x in asked]
-        ids = [_of_planes(x["d"], np.int64) for x in asked]
-        keys, of = np.unique(np.concatenate(each), return_inverse=True)
-        least = np.full(len(keys), _NO_ID)
-        np.minimum.at(least, of, np.concatenate(ids))
-        ends, out = np.cumsum([len(x) for x in each]), []
-        for x, own, t in zip(each, ids, ends, strict=True):
-            found = least[of[t - len(x) : t]]
-            out.append(_dump(o=_bits(found == own), d=_planes(found[found != own])))
-        return _answer(table, out)
+        u, v = by_key[k : k + 2]
+        out.append(
+            _dump(
+                b=_steps(a.buckets[own]), c=np.minimum(count[own], 60_000).astype(np.uint16), l=low[own].astype(np.uint32), h=high[own][several].astype(np.uint32), v=_bits(several), s=_bits(shared[s:t]),
+                k=_steps(a.keys[u:v]), q=_planes(a.others[u:v]), d=_planes(a.least[u:v]),
+            )
+        )
+    return out
+
+
+def _tell_contexts(asked: list[dict], hot_contexts: int) -> list[bytes]:
+    own = [_of_planes(x["d"], np.int64) for x in asked]
+    first, of = _distinct(np.concatenate([_of_steps(x["k"]) for x in asked]), np.concatenate([_of_planes(x["q"]) for x in asked]))
+    least = np.full(len(first), _NO_ID)
+    np.minimum.at(least, of, np.concatenate(own))
+    key_ends = np.cumsum([len(x) for x in own])
     each = [_of_steps(x["b"]) for x in asked]
-    buckets, of = np.unique(np.concatenate(each), return_inverse=True)
+    buckets, in_bucket = np.unique(np.concatenate(each), return_inverse=True)
     total, low, high = np.zeros(len(buckets), np.int64), np.full(len(buckets), _NO_ID), np.full(len(buckets), -1)
     lows = [x["l"].astype(np.int64) for x in asked]
     highs = []
-    for x, least in zip(asked, lows, strict=True):
-        greatest = least.copy()
+    for x, smallest in zip(asked, lows, strict=True):
+        greatest = smallest.copy()
         greatest[_of_bits(x["v"])] = x["h"]
         highs.append(greatest)
-    np.add.at(total, of, np.concatenate([x["c"] for x in asked]))
-    np.minimum.at(low, of, np.concatenate(lows))
-    np.maximum.at(high, of, np.concatenate(highs))
-    several, hot = (low != high)[of], ((low != high) & (total > hot_contexts))[of]
-    ends = np.cumsum([len(x) for x in each])
-    return _answer(table, [_dump(m=_bits(several[t - len(x) : t]), h=_bits(hot[t - len(x) : t]), s=q["s"]) for x, t, q in zip(each, ends, asked, strict=True)])
+    np.add.at(total, in_bucket, np.concatenate([x["c"] for x in asked]))
+    np.minimum.at(low, in_bucket, np.concatenate(lows))
+    np.maximum.at(high, in_bucket, np.concatenate(highs))
+    several, hot = (low != high)[in_bucket], ((low != high) & (total > hot_contexts))[in_bucket]
+    ends, out = np.cumsum([len(x) for x in each]), []
+    for x, t, q, ids, u in zip(each, ends, asked, own, key_ends, strict=True):
+        found = least[of[u - len(ids) : u]]
+        out.append(_dump(m=_bits(several[t - len(x) : t]), h=_bits(hot[t - len(x) : t]), s=q["s"], o=_bits(found == ids), d=_planes(found[found != ids])))
+    return out
 
 
 class _State:
     """What a block knows after the answers on contexts."""
 
-    def __init__(self, table: pa.Table, told: list[dict], n: int):
+    def __init__(self, table: pa.Table, told: list[dict]):
         self.a = a = _Anchors(table)
-        shared = np.concatenate([_of_bits(x["s"]) for x in told[:n]])
+        shared = np.concatenate([_of_bits(x["s"]) for x in told])
         a.pairs(shared)
         several, hot = np.zeros(len(shared), bool), np.zeros(len(shared), bool)
-        several[shared] = np.concatenate([_of_bits(x["m"]) for x in told[:n]])
-        hot[shared] = np.concatenate([_of_bits(x["h"]) for x in told[:n]])
-        self.least = np.concatenate([self._least(x) for x in told[n:]]) if len(told) > n else np.zeros(0, np.int64)
-        own = np.concatenate([_of_bits(x["o"]) for x in told[n:]])
+        several[shared] = np.concatenate([_of_bits(x["m"]) for x in told])
+        hot[shared] = np.concatenate([_of_bits(x["h"]) for x in told])
+        self.least = np.concatenate([self._least(x) for x in told])
+        own = np.concatenate([_of_bits(x["o"]) for x in told])
         self.least[own] = a.least[own]
         place = a.of_bucket[a.first]
         self.ask = own & several[place] & ~hot[place]
@@ -255,8 +272,8 @@ class _State:
         asked = asked[np.argsort(self.a.bucket[self.a.first[asked]], kind="stable")]
         return asked, self.a.first[asked]
 
-    def singles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct strings of the contexts in hot buckets and the smallest id that has each; and for every (key, offset) its string."""
+    def singles(self) -> tuple[np.ndarray, ...]:
+        """Distinct strings (two hashes) of the contexts in hot buckets and the smallest id that has each; and for every (key, offset) its string."""
         asked = np.flatnonzero(self.ask_single)
         keys, offsets, starts = [], [], []
         for o, valid in _offsets(self.a.left[self.a.first[asked]], self.a.right[self.a.first[asked]]):
@@ -264,10 +281,11 @@ class _State:
             offsets.append(np.full(len(valid), o))
             starts.append(self.a.at[self.a.first[asked[valid]]] - o)
         keys, offsets, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, offsets, starts))
-        found, of = np.unique(_string_hashes(self.a.data, starts), return_inverse=True)
-        least = np.full(len(found), _NO_ID)
+        found, other = _string_hashes(self.a.data, starts)
+        first, of = _distinct(found, other)
+        least = np.full(len(first), _NO_ID)
         np.minimum.at(least, of, self.a.least[keys])
-        return found, least, keys, offsets, of
+        return found[first], other[first], least, keys, offsets, of
 
 
 def _offsets(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -276,67 +294,95 @@ def _offsets(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield o, np.flatnonzero((left >= o) & (right >= SIZE - o))
 
 
-def _string_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hashes of the strings that begin at start, place by place."""
-    total = np.zeros(len(start), np.uint64)
+def _string_hashes(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the strings that begin at start, place by place."""
+    a, b = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
     for k in range(SIZE):
-        total = (total + byte_values(data[start + k])) * _ODD
-    return mixed(total)
-
-
-def _ask_strings(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
-    if not table.num_rows:
-        return _send(0, [])
-    told = _answers(back)
-    state = _State(table, told, n)
+        own = data[start + k]
+        a, b = (a + byte_values(own)) * _ODD, (b + _OTHER[own]) * _ODD_TOO
+    return mixed(a), mixed(b)
+
+
+def refined(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A bucket identifier of each 50-byte string of data that begins at start: the same for the same bytes, and only then.
+
+    Offsets begin in the bucket of their first 8 bytes. In each round, offsets whose bucket is shared are sorted by their
+    identifier and that of the bytes which follow; the new identifiers serve the next round. What is alone in its bucket stays so.
+    """
+    padded = np.concatenate([data, np.zeros(SIZE, np.uint8)])
+    code = np.zeros(len(data), np.uint64)
+    for k in range(FIRST):
+        code = code << np.uint64(8) | padded[k : k + len(data)]
+    bucket, counts = np.unique(code, return_inverse=True, return_counts=True)[1:]
+    length = FIRST
+    for size in ROUNDS:
+        # Only offsets in shared buckets can have a fellow; the others keep an identifier of their own.
+        active = np.flatnonzero(counts[bucket] > 1)
+        later = bucket[np.minimum(active + (size - length), len(data) - 1)]
+        key = bucket[active] * np.int64(len(counts)) + later
+        found, of, own = np.unique(key, return_inverse=True, return_counts=True)
+        alone = np.ones(len(data), bool)
+        alone[active] = False
+        new = np.empty(len(data), np.int64)
+        new[active] = of
+        new[alone] = len(found) + np.arange(alone.sum())
+        bucket, counts, length = new, np.concatenate([own, np.ones(alone.sum(), own.dtype)]), size
+    return bucket[start]
+
+
+def _ask_strings(table: pa.Table, told: list[dict], parts: int) -> list[bytes]:
+    state = _State(table, told)
     a = state.a
     asked, anchor = state.contexts()
     buckets, left, right = a.bucket[anchor], a.left[anchor], a.right[anchor]
     size = left + right
     ends = np.concatenate([[0], np.cumsum(size)])
     held = a.data[np.repeat(a.at[anchor] - left - ends[:-1], size) + np.arange(ends[-1])]
-    e = _edges(buckets, n, 48)
-    out = [_dump(b=_steps(buckets[s:t]), l=left[s:t].astype(np.uint8), r=right[s:t].astype(np.uint8), d=_planes(a.least[asked[s:t]]), x=held[ends[s] : ends[t]], e=told[k]) for k, (s, t) in enumerate(zip(e[:-1], e[1:], strict=True))]
-    found, least = state.singles()[:2]
-    e = _edges(found, n, 64)
-    out += [_dump(k=_steps(found[s:t]), d=_planes(least[s:t]), e=told[n + k]) for k, (s, t) in enumerate(zip(e[:-1], e[1:], strict=True))]
-    return _send(table["block"][0].as_py(), out)
-
-
-def _tell_strings(table: pa.Table) -> pa.Table:
-    asked = [_load(x) for x in table["data"]]
-    if "k" in asked[0]:
-        each = [_of_steps(x["k"]) for x in asked]
-        ids = np.concatenate([_of_planes(x["d"], np.int64) for x in asked])
-        keys, of = np.unique(np.concatenate(each), return_inverse=True)
-        least = np.full(len(keys), _NO_ID)
-        np.minimum.at(least, of, ids)
-        earlier = least[of] < ids
-        ends = np.cumsum([len(x) for x in each])
-        return _answer(table, [_dump(c=_bits(earlier[t - len(x) : t]), e=q["e"]) for x, t, q in zip(each, ends, asked, strict=True)])
-    each = [_of_steps(x["b"]) for x in asked]
-    buckets = np.concatenate(each)
+    found, other, least = state.singles()[:3]
+    by_bucket, by_string = _edges(buckets, parts, 48), _edges(found, parts, 64)
+    out = []
+    for k in range(parts):
+        (s, t), (u, v) = by_bucket[k : k + 2], by_string[k : k + 2]
+        own = dict(l=left[s:t].astype(np.uint8), r=right[s:t].astype(np.uint8), d=_planes(a.least[asked[s:t]]), x=held[ends[s] : ends[t]], e=told[k])
+        out.append(_dump(k=_steps(found[u:v]), q=_planes(other[u:v]), i=_planes(least[u:v]), **own))
+    return out
+
+
+def _tell_strings(asked: list[dict]) -> list[bytes]:
+    ids = np.concatenate([_of_planes(x["i"], np.int64) for x in asked])
+    first, of = _distinct(np.concatenate([_of_steps(x["k"]) for x in asked]), np.concatenate([_of_planes(x["q"]) for x in asked]))
+    least = np.full(len(first), _NO_ID)
+    np.minimum.at(least, of, ids)
+    earlier = least[of] < ids
+    single_ends = np.cumsum([len(_of_steps(x["k"])) for x in asked])
+
     left, right = (np.concatenate([x[k] for x in asked]).astype(np.int64) for k in "lr")
-    ids = np.concatenate([_of_planes(x["d"], np.int64) for x in asked])
+    owners = np.concatenate([_of_planes(x["d"], np.int64) for x in asked])
     data = np.concatenate([x["x"] for x in asked])
     begin = np.cumsum(left + right) - left - right
-    mask = np.zeros(len(buckets), np.uint32)
-    # Equal strings have their anchor at the same offset, so each offset is settled by itself.
+    mask = np.zeros(len(left), np.uint32)
+    which, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for o, valid in _offsets(left, right):
-        if len(valid):
-            keys = mixed(_string_hashes(data, begin[valid] + left[valid] - o) + buckets[valid] * _ODD)
-            keys, of = np.unique(keys, return_inverse=True)
-            least = np.full(len(keys), _NO_ID)
-            np.minimum.at(least, of, ids[valid])
-            mask[valid[least[of] < ids[valid]]] |= np.uint32(1 << o)
-    ends = np.cumsum([len(x) for x in each])
-    return _answer(table, [_dump(c=mask[t - len(x) : t], e=q["e"]) for x, t, q in zip(each, ends, asked, strict=True)])
-
-
-def _removed(table: pa.Table, back: pa.Table, n: int) -> tuple[_Anchors, np.ndarray]:
+        which.append(valid)
+        offset.append(np.full(len(valid), o))
+    which, offset = np.concatenate(which), np.concatenate(offset)
+    if len(which):
+        bucket = refined(data, begin[which] + left[which] - offset)
+        smallest = np.full(bucket.max() + 1, _NO_ID)
+        np.minimum.at(smallest, bucket, owners[which])
+        hit = smallest[bucket] < owners[which]
+        np.bitwise_or.at(mask, which[hit], np.uint32(1) << offset[hit].astype(np.uint32))
+    ends, out = np.cumsum([len(x["l"]) for x in asked]), []
+    start = 0
+    for x, t, u in zip(asked, ends, single_ends, strict=True):
+        out.append(_dump(c=mask[t - len(x["l"]) : t], g=_bits(earlier[start:u]), e=x["e"]))
+        start = u
+    return out
+
+
+def _removed(table: pa.Table, told: list[dict]) -> tuple[_Anchors, np.ndarray]:
     """The block, and which of its bytes go."""
-    told = _answers(back)
-    state = _State(table, [x["e"] for x in told], n)
+    state = _State(table, [x["e"] for x in told])
     a = state.a
     change = np.zeros(len(a.data) + 1, np.int64)
 
@@ -353,10 +399,10 @@ def _removed(table: pa.Table, back: pa.Table, n: int) -> tuple[_Anchors, np.ndar
     asked, _ = state.contexts()
     mask = np.zeros(len(a.keys), np.uint32)
     if len(asked):
-        mask[asked] = np.concatenate([x["c"] for x in told[:n]])
-    found, least, keys, offsets, of = state.singles()
+        mask[asked] = np.concatenate([x["c"] for x in told])
+    _, _, least, keys, offsets, of = state.singles()
     if len(keys):
-        earlier = np.concatenate([_of_bits(x["c"]) for x in told[n:]])
+        earlier = np.concatenate([_of_bits(x["g"]) for x in told])
         hit = earlier[of] | (a.least[keys] > least[of])
         np.bitwise_or.at(mask, keys[hit], np.uint32(1) << offsets[hit].astype(np.uint32))
     rest = np.flatnonzero(~state.covered)
@@ -367,41 +413,59 @@ def _removed(table: pa.Table, back: pa.Table, n: int) -> tuple[_Anchors, np.ndar
     return a, np.cumsum(change[:-1]) > 0
 
 
-def _digested(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
+def _digested(table: pa.Table, told: list[dict]) -> pa.Table:
     rows = []
     if table.num_rows:
-        a, gone = _removed(table, back, n)
+        a, gone = _removed(table, told)
         for i, (s, t) in enumerate(zip(a.off[:-1], a.off[1:], strict=True)):
             own = gone[s:t]
             rows.append((a.doc_ids[i].as_py(), t - s, own.sum(), (np.diff(own.astype(np.int8), prepend=0) > 0).sum(), hashlib.sha256(a.data[s:t][~own].tobytes()).hexdigest()))
     return pa.table([pa.array([r[k] for r in rows], pa.string() if k == 4 else pa.int64()) for k in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept(table: pa.Table, back: pa.Table, n: int) -> pa.Table:
+def _kept(table: pa.Table, told: list[dict]) -> pa.Table:
     ids, out = [], []
     if table.num_rows:
-        a, gone = _removed(table, back, n)
+        a, gone = _removed(table, told)
         ids = a.doc_ids.to_pylist()
         out = [a.data[s:t][~gone[s:t]].tobytes() for s, t in zip(a.off[:-1], a.off[1:], strict=True)]
     return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "kept"])
 
 
-def _deduplicated(documents: DataFrame, finish: Callable, schema: str, id_col: str, text_col: str, hot: int, block_bytes: int) -> DataFrame:
+def _deduplicated(documents: DataFrame, finish: Callable, schema: str, id_col: str, text_col: str, hot: int, block_bytes: int, direct: int) -> DataFrame:
     docs = texts(documents, id_col, text_col)
-    n = block_count(docs, block_bytes)
-    blocks = in_blocks(docs, n)
-    by_block = lambda: blocks.groupBy("block")
-    back = by_block().applyInArrow(lambda t: _ask_shared(t, n), MESSAGE).groupBy("part").applyInArrow(_tell_shared, MESSAGE)
-    back = by_block().cogroup(back.groupBy("block")).applyInArrow(lambda t, b: _ask_contexts(t, b, n), MESSAGE).groupBy("part").applyInArrow(lambda t: _tell_contexts(t, hot), MESSAGE)
-    back = by_block().cogroup(back.groupBy("block")).applyInArrow(lambda t, b: _ask_strings(t, b, n), MESSAGE).groupBy("part").applyInArrow(_tell_strings, MESSAGE)
-    return by_block().cogroup(back.groupBy("block")).applyInArrow(lambda t, b: finish(t, b, n), schema)
+    exchange = Exchange(block_count(docs, block_bytes), direct)
+    parts = exchange.parts
+    blocks = in_blocks(docs, exchange.blocks)
+
+    def asks(ask: Callable) -> Callable:
+        def rows(table: pa.Table, back: pa.Table | None = None) -> pa.Table:
+            if not table.num_rows:
+                return exchange.rows(0, {}, "part")
+            told = () if back is None else (_answers(exchange, back),)
+            return exchange.rows(table["block"][0].as_py(), dict(enumerate(ask(table, *told, parts))), "part")
+
+        return rows if ask is not _ask_shared else lambda table: rows(table)
+
+    def tells(messages: DataFrame, tell: Callable) -> DataFrame:
+        def rows(table: pa.Table) -> pa.Table:
+            who, asked = _asked(exchange, table)
+            return exchange.rows(table["part"][0].as_py(), dict(zip(who, tell(asked), strict=True)), "block")
+
+        return exchange.arrived(exchange.arrived(messages, "part").groupBy("part").applyInArrow(rows, MESSAGE), "block")
+
+    own = lambda: blocks.groupBy("block")
+    back = tells(own().applyInArrow(asks(_ask_shared), MESSAGE), _tell_shared)
+    back = tells(own().cogroup(back.groupBy("block")).applyInArrow(asks(_ask_contexts), MESSAGE), lambda x: _tell_contexts(x, hot))
+    back = tells(own().cogroup(back.groupBy("block")).applyInArrow(asks(_ask_strings), MESSAGE), _tell_strings)
+    return own().cogroup(back.groupBy("block")).applyInArrow(lambda t, b: finish(t, _answers(exchange, b)), schema)
 
 
-def remaining(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remaining(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_bytes: int = BLOCK_BYTES, direct: int = DIRECT) -> DataFrame:
     """doc_id and the bytes that remain, of every row."""
-    return _deduplicated(documents, _kept, "doc_id long, kept binary", id_col, text_col, hot, block_bytes)
+    return _deduplicated(documents, _kept, "doc_id long, kept binary", id_col, text_col, hot, block_bytes, direct)
 
 
-def digests(documents: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def digests(documents: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYTES, direct: int = DIRECT) -> DataFrame:
     """For each document its bytes, the removed bytes and runs, and the SHA-256 of what remains."""
-    return _deduplicated(documents, _digested, RESULT, "doc_id", "text", hot, block_bytes)
+    return _deduplicated(documents, _digested, RESULT, "doc_id", "text", hot, block_bytes, direct)

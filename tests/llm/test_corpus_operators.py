@@ -112,8 +112,21 @@ def removed(rows):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("hot", [0, 3, substrings.HOT])
-def test_removed_strings(spark, hot):
+def test_refined_buckets_are_the_strings():
+    r = random.Random(8)
+    for _ in range(30):
+        data = "".join(r.choice(["ab", "a", "b", "abab" * 9, "c"]) for _ in range(r.randint(20, 300))).encode()
+        if len(data) < 60:
+            continue
+        start = np.array([r.randrange(len(data) - 50 + 1) for _ in range(60)])
+        bucket = substrings.refined(np.frombuffer(data, np.uint8), start)
+        for i in range(60):
+            for j in range(i):
+                assert (bucket[i] == bucket[j]) == (data[start[i] : start[i] + 50] == data[start[j] : start[j] + 50])
+
+
+@pytest.mark.parametrize(("hot", "direct"), [(0, substrings.DIRECT), (3, substrings.DIRECT), (substrings.HOT, substrings.DIRECT), (3, 1)])
+def test_removed_strings(spark, hot, direct):
     r = random.Random(5)
     base = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
     rows = []
@@ -121,7 +134,7 @@ def test_removed_strings(spark, hot):
         parts = [(b := r.choice(base))[(s := r.randint(0, 380)) : s + r.randint(5, 160)] + r.choice(["", "x", "é", "a" * 70]) for _ in range(r.randint(0, 8))]
         rows.append((i, "".join(parts)))
     r.shuffle(rows)
-    got = substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, block_bytes=20_000).collect()
+    got = substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, block_bytes=2_000 if direct == 1 else 20_000, direct=direct).collect()
     assert collections.Counter(tuple(x) for x in got) == removed(rows)
 
 
