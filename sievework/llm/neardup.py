@@ -8,21 +8,27 @@ minwise tokens; larger nodes branch on, and what has not come apart after ``LEVE
 node's smallest class. That gives candidate clusters; in these the full sets are compared, so that every link
 is exact. A pair at the threshold is missed by all trees with a chance of about 0.25**16 in small nodes.
 
-Within a cluster a pivot is compared with all members at once, until every class outside the largest component
-has been a pivot. So a group of m copies that differ costs about m comparisons and never all pairs. Clusters
-with more than ``CLUSTER_SHINGLES`` shingles don't go to one task: their pivots are joined with the members.
+Within a cluster some pivots are compared with all members at once, so that a group of m copies that differ costs about m
+comparisons. What they leave apart is compared by prefixes: the shingles of a set in order of their frequency in the cluster, of which
+sets that link share one of the first quarter. So pages that share a template, but not enough to link, are not compared pair by pair.
+Clusters with more than ``CLUSTER_SHINGLES`` shingles don't go to one task: there the prefixes of growing numbers of pivots are joined
+with those of all members by (cluster, shingle), so no task holds a cluster.
+
+Nodes with many classes are few; their numbers are broadcast (up to ``BROADCAST_ROWS``), so that their rows are never brought together.
 
 Defined results: null or empty text, or text without words, has no shingles and is linked with nothing; a null
-doc_id can't name a component, so such a row has a null component and is kept; repeated doc_ids share a component.
+doc_id can't name a component, so such a row has a null component and is kept; repeated doc_ids share a component; an empty
+table gives no rows; a text of any length is shingled whole, in one task; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import staged, texts
@@ -33,8 +39,10 @@ COORDINATES, TREES, LEVELS, LEAF = 64, 16, 4, 64
 #: Pairs whose minwise tokens agree in a smaller share are no candidates: 4.6 standard deviations below the threshold.
 CANDIDATE = 0.5
 CLUSTER_SHINGLES = 4_000_000
-#: Pivots of a large cluster in one round.
-PIVOTS = 16
+#: Pivots that a small cluster begins with, and a large one in its first round; it takes four times as many in each later round.
+PIVOTS = 32
+#: Tables of nodes of 16 bytes a row are sent to all tasks up to this size.
+BROADCAST_ROWS = 1_000_000
 
 _random = np.random.RandomState(8)
 _TIMES = _random.randint(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,27 +193,31 @@ def _leaf_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that tie together all that the trees bring together; classes has rep and sketch."""
-    rows = classes.mapInArrow(_first_nodes, "node long, rep long")
+    rows = staged(classes.mapInArrow(_first_nodes, "node long, rep long"))
     edges = None
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = staged(rows.join(sizes, "node"))
-        most = sized.agg(F.max("n").alias("n")).first()["n"]
+        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
+        most, of_large = sizes.agg(F.max("n"), F.count_if(F.col("n") > LEAF)).first()
         if most is None:
             break
-        leaves = sized.where(F.col("n") <= LEAF).select("node", "rep").join(classes, "rep")
-        n = leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        found = leaves.repartition(int(n), "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
-        large = sized.where(F.col("n") > LEAF)
-        if level == LEVELS:
-            smallest = large.groupBy("node").agg(F.min("rep").alias("a"))
-            found = found.unionAll(large.join(smallest, "node").select("a", F.col("rep").alias("b")))
+        # Large nodes are told by a broadcast, so that only the rows of leaves are dealt by their node.
+        crowded = _small(sizes.where(F.col("n") > LEAF).select("node", "least"), of_large)
+        in_leaves = rows.join(crowded, "node", "left_anti").join(sizes.where(F.col("n") <= LEAF).select("node"), "node")
+        leaves = in_leaves.select("node", "rep").join(classes, "rep")
+        found = leaves.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
+        if level == LEVELS and most > LEAF:
+            found = found.unionAll(rows.join(crowded, "node").select(F.col("least").alias("a"), F.col("rep").alias("b")))
         edges = found if edges is None else edges.unionAll(found)
         if most <= LEAF:
             break
-        rows = large.select("node", "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct()
+        rows = staged(rows.join(crowded, "node", "left_semi").select("node", "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
     if edges is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")
     return edges.where("a <> b").distinct()
@@ -230,30 +242,88 @@ def linked(n_shared: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     return 100 * n_shared >= THRESHOLD * (n + m - n_shared)
 
 
-def exact_components(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the smallest place that links lead to; pivots are taken until only the largest component is left."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    shared = counts[ids] > 1
-    owner = np.repeat(np.arange(m), size)[shared]
-    ids = ids[shared]
-    at = np.searchsorted(owner, np.arange(m + 1))
-    label, tested = np.arange(m), np.zeros(m, bool)
-    mark = np.zeros(len(counts), bool)
-    while True:
-        largest = np.bincount(label, minlength=m).argmax()
-        left = np.flatnonzero(~tested & (label != largest))
+def prefix_size(size: np.ndarray) -> np.ndarray:
+    """Sets that link share one of so many first shingles, in any order that holds for all sets."""
+    return size - -(-THRESHOLD * size // 100) + 1
+
+
+class _Cluster:
+    """Sets as numbers of the shingles that two or more of them have; label is the component of each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        m = len(sets)
+        self.size = np.array([len(s) for s in sets])
+        ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        shared = counts[ids] > 1
+        self.owner, ids = np.repeat(np.arange(m), self.size)[shared], ids[shared]
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        self.ids = self.rank[ids]  # numbered by frequency, the rarest first
+        self.at = np.searchsorted(self.owner, np.arange(m + 1))
+        self.label, self.tested, self.mark = np.arange(m), np.zeros(m, bool), np.zeros(len(counts), bool)
+
+    def join(self, p: int, others: np.ndarray, n_shared: np.ndarray) -> None:
+        joined = np.unique(self.label[np.append(others[linked(n_shared, self.size[others], int(self.size[p]))], p)])
+        if len(joined) > 1:
+            self.label[np.isin(self.label, joined)] = joined[0]
+
+    def apart(self) -> np.ndarray:
+        """What is not tested and not in the largest component; the rest needs no test of its own."""
+        largest = np.bincount(self.label).argmax()
+        return np.flatnonzero(~self.tested & (self.label != largest))
+
+    def by_pivots(self) -> None:
+        every = np.arange(len(self.size))
+        for _ in range(PIVOTS):
+            left = self.apart()
+            if not len(left):
+                return
+            p = left[0]
+            self.tested[p] = True
+            own = self.ids[self.at[p] : self.at[p + 1]]
+            self.mark[own] = True
+            self.join(p, every, np.bincount(self.owner[self.mark[self.ids]], minlength=len(every)))
+            self.mark[own] = False
+
+    def by_prefixes(self) -> None:
+        left = self.apart()
         if not len(left):
-            return label
-        p = left[0]
-        tested[p] = True
-        own = ids[at[p] : at[p + 1]]
-        mark[own] = True
-        overlap = np.bincount(owner[mark[ids]], minlength=m)
-        mark[own] = False
-        joined = np.unique(label[np.append(np.flatnonzero(linked(overlap, size, int(size[p]))), p)])
-        label[np.isin(label, joined)] = joined[0]
+            return
+        order = np.lexsort((self.ids, self.owner))
+        ids = self.ids[order]
+        # Shingles that no other set has come first in every order; what a prefix has left for shared ones.
+        n_shared = np.diff(self.at)
+        most = np.maximum(0, prefix_size(self.size) - (self.size - n_shared))
+        place = np.arange(len(ids)) - self.at[self.owner]
+        inside = place < most[self.owner]
+        prefix, owner = ids[inside], self.owner[inside]
+        begin = np.searchsorted(owner, np.arange(len(self.size) + 1))
+        by_token = np.argsort(prefix, kind="stable")
+        tokens, owners = prefix[by_token], owner[by_token]
+        for p in left:
+            if self.tested[p]:
+                continue
+            self.tested[p] = True
+            own = prefix[begin[p] : begin[p + 1]]
+            a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            near = [owners[x:y] for x, y in zip(a, b, strict=True)]
+            others = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+            small, large = np.minimum(self.size[others], self.size[p]), np.maximum(self.size[others], self.size[p])
+            others = others[(self.label[others] != self.label[p]) & (100 * small >= THRESHOLD * large)]
+            if len(others):
+                whole = self.ids[self.at[p] : self.at[p + 1]]
+                self.mark[whole] = True
+                counts = np.array([self.mark[self.ids[self.at[o] : self.at[o + 1]]].sum() for o in others])
+                self.mark[whole] = False
+                self.join(p, others, counts)
+
+
+def exact_components(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the smallest place that links lead to."""
+    cluster = _Cluster(sets)
+    cluster.by_pivots()
+    cluster.by_prefixes()
+    return cluster.label
 
 
 def _cluster_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,23 +347,33 @@ def _large_components(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["cluster"], b["rep"], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], names=["cluster", "rep", "shingles"])
 
     sets = staged(members.select("cluster", "rep", "shingles").mapInArrow(arrays, "cluster long, rep long, shingles array<long>"))
+    tokens = sets.select("cluster", "rep", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("cluster", "token").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = tokens.join(shared, ["cluster", "token"]).groupBy("cluster", "rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))  # one set
+    most = F.greatest(F.lit(0), F.expr(f"size - ceil({THRESHOLD} * size / 100) + 1 - (size - size(s))")).cast("int")
+    prefixes = staged(ranked.select("cluster", "rep", "size", F.explode(F.slice("s", F.lit(1), most)).alias("x")).select("cluster", "rep", "size", F.col("x.token").alias("token")))
     state = staged(sets.select("cluster", "rep", F.col("rep").alias("component"), F.lit(False).alias("tested")))
+    wanted = PIVOTS
     while True:
-        sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most")).select("cluster", F.col("most.component").alias("largest"))
-        left = state.join(largest, "cluster").where("NOT tested AND component <> largest")
-        order = F.row_number().over(Window.partitionBy("cluster").orderBy("rep"))
-        pivots = staged(left.withColumn("k", order).where(F.col("k") <= PIVOTS).select("cluster", F.col("rep").alias("pivot")))
-        if not pivots.limit(1).count():
+        counts = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most")).select("cluster", F.col("most.component").alias("largest"))
+        left = staged(state.join(largest, "cluster").where("NOT tested AND component <> largest").select("cluster", "rep", "component"))
+        n = left.count()
+        if not n:
             return state.select("rep", "component")
-        with_sets = pivots.join(sets.withColumnRenamed("rep", "pivot").withColumnRenamed("shingles", "own"), ["cluster", "pivot"])
-        overlap = F.size(F.array_intersect("shingles", "own"))
-        near = sets.join(with_sets, "cluster").where(F.col("rep") != F.col("pivot")).where(100 * overlap >= THRESHOLD * (F.size("shingles") + F.size("own") - overlap)).select("rep", "pivot")
-        of = state.select("rep", "component")
-        edges = near.join(of, "rep").join(of.select(F.col("rep").alias("pivot"), F.col("component").alias("b")), "pivot").select(F.col("component").alias("a"), "b").where("a <> b")
+        # A round's pivots are picked by a hash; whole groups that link are one component before most of their members would be pivots.
+        pivots = staged(left.where(F.pmod(F.xxhash64("rep", F.lit(wanted)), F.lit(max(1, n // wanted))) == 0))
+        wanted *= 4
+        own = prefixes.join(pivots.select("rep", F.col("component").alias("own")), "rep").select("cluster", "token", F.col("rep").alias("pivot"), F.col("size").alias("pivot_size"), "own")
+        sized = (100 * F.least("size", "pivot_size") >= THRESHOLD * F.greatest("size", "pivot_size")) & (F.col("rep") != F.col("pivot"))
+        pairs = own.join(prefixes, ["cluster", "token"]).where(sized).select("pivot", "own", "rep").distinct()
+        pairs = pairs.join(state.select("rep", "component"), "rep").where("own <> component")
+        overlap = F.size(F.array_intersect("shingles", "theirs"))
+        with_sets = pairs.join(sets.select("rep", "shingles"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
+        edges = with_sets.where(100 * overlap >= THRESHOLD * (F.size("shingles") + F.size("theirs") - overlap)).select(F.col("component").alias("a"), F.col("own").alias("b"))
         merged = components(edges).select(F.col("node").alias("component"), F.col("component").alias("next"))
-        now = pivots.select("cluster", F.col("pivot").alias("rep"), F.lit(True).alias("now"))
-        state = staged(state.join(merged, "component", "left").join(now, ["cluster", "rep"], "left").select("cluster", "rep", F.coalesce("next", "component").alias("component"), (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested")))
+        now = pivots.select("rep", F.lit(True).alias("now"))
+        state = staged(state.join(merged, "component", "left").join(now, "rep", "left").select("cluster", "rep", F.coalesce("next", "component").alias("component"), (F.col("tested") | F.coalesce("now", F.lit(False))).alias("tested")))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
@@ -334,11 +414,15 @@ def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Of several rows with one id the one with the smallest text stays.
     """
     found = staged(near_duplicates(documents, id_col, text_col).select("doc_id", "n_shingles", "kept"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = documents.join(gone.hint("shuffle_hash"), id_col, "left_anti")
-    again = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    mark = f"n_{uuid.uuid4().hex}"
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
+    own = F.col(id_col).cast("long")
+    out = documents.join(gone.hint("shuffle_hash"), own == F.col(mark), "left_anti")
+    again = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark))
     if not again.limit(1).count():
         return out
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
-    some = out.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
-    return out.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").unionByName(some)
+    # The smallest text of each id that is there more than once; of equal rows one.
+    rows = out.join(again, own == F.col(mark), "left_semi")
+    order = F.struct(F.col(text_col).isNull().alias("a"), F.col(text_col).alias("b"), F.xxhash64(F.to_json(F.struct(*out.columns))).alias("c"))
+    some = rows.groupBy(own.alias(mark)).agg(F.min_by(F.struct(*out.columns), order).alias(f"{mark}_r")).select(f"{mark}_r.*")
+    return out.join(again, own == F.col(mark), "left_anti").unionByName(some)

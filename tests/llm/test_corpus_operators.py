@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -291,6 +292,41 @@ def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def brute_labels(sets):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_clusters_that_hardly_link(monkeypatch):
+    """Templates with parts of their own, near the threshold and on both sides of it, beside groups that link."""
+    r = np.random.RandomState(5)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    for share in (0.5, 0.74, 0.8, 0.86, 0.9):
+        template = r.randint(0, 1 << 62, 200, dtype=np.uint64)
+        sets = []
+        for _ in range(70):
+            n = int(200 * share)
+            kept = r.permutation(200)[: n + r.randint(0, 5)]
+            sets.append(np.unique(np.concatenate([template[kept], r.randint(0, 1 << 62, 200 - n, dtype=np.uint64)])))
+        sets += [np.unique(np.append(sets[0], r.randint(0, 1 << 62, 3, dtype=np.uint64))) for _ in range(10)]
+        assert neardup.exact_components(sets).tolist() == brute_labels(sets)
+
+
+def test_many_templates_are_not_compared_pair_by_pair():
+    r = np.random.RandomState(6)
+    template = r.randint(0, 1 << 62, 140, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template, r.randint(0, 1 << 62, 60, dtype=np.uint64)])) for _ in range(4000)]
+    start = time.time()
+    assert len(set(neardup.exact_components(sets).tolist())) == 4000
+    assert time.time() - start < 20
+
+
 def test_representatives(awkward, nothing):
     kept = neardup.representatives(awkward)
     assert kept.columns == awkward.columns
