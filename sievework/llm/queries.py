@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+# What SQL can say of the operators, as queries of their own.
+
+
+def llm_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality import MEASURES, base_failed, measure
+
+    return measure(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, base_failed().alias("base_failed"))
+
+
+def llm_personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def llm_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def llm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.lm import base_scores
+
+    return base_scores(_table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 3))
+
+
+def llm_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.common import texts
+    from sievework.llm.neardup import signatures
+
+    return signatures(texts(_table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, k: CASE WHEN b % 2 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
+_LUHN = """list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT)
+    WHEN substr(c, length(c) + 1 - CAST(i AS INT), 1) > '4' THEN 2 * CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT) - 9 ELSE 2 * CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT) END))"""
+
+_SQL = {
+    "llm_measures": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM w WHERE len(w) > 2),
+        twice AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1), m AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM g JOIN twice USING (doc_id, g), range(3) r(d) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+        len(l) AS n_lines, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN m USING (doc_id)""",
+    "llm_personal_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+        list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: try_cast(p AS UTINYINT) IS NULL)) = 0) AS ips,
+        list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda c: length(c) BETWEEN 14 AND 19) AS cards,
+        list_filter(list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda c: length(c) BETWEEN 10 AND 15) AS phones FROM d)
+        SELECT doc_id, n_email, len(ips) AS n_ip, len(list_filter(cards, lambda c: {_LUHN} % 10 = 0)) AS n_card, len(phones) AS n_phone FROM f""",
+    "llm_secret_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""",
+    "llm_base_scores": rf"""WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+        SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 3) AS base_score
+        FROM t LEFT JOIN c USING (x), n GROUP BY doc_id""",
+    "llm_shingle_counts": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents)
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS n_shingles FROM d""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -85,8 +146,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "llm_measures": llm_measures,
+        "llm_personal_counts": llm_personal_counts,
+        "llm_secret_counts": llm_secret_counts,
+        "llm_base_scores": llm_base_scores,
+        "llm_shingle_counts": llm_shingle_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
