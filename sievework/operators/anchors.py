@@ -93,3 +93,8 @@ def not_carried(parts: DataFrame, entity: str, text: str, anchors: Sequence[Anch
     every = F.array(*(F.lit(g) for g in sorted({a.group_id for a in anchors})))
     carried = parts.select(entity, F.explode(matched_groups(F.col(text), anchors)).alias("group_id")).distinct()
     return parts.select(entity).distinct().select(entity, F.explode(every).alias("group_id")).join(carried, [entity, "group_id"], "left_anti")
+
+
+def leaks(files: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Files in which a pattern occurs that must not."""
+    return files.where(F.col(text).rlike(pattern))

@@ -124,3 +124,31 @@ def contained(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, te
     keyed = rows.select(doc_key, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("helper__w", i, F.lit(k)), " "))))).alias("helper__key"))
     pairs = keyed.join(own.select(item_key, "helper__key"), "helper__key").select(doc_key, item_key).distinct()
     return docs.select(doc_key, text).join(pairs, doc_key).join(own.select(item_key, "helper__item"), item_key).where(F.contains(F.col(text), F.col("helper__item"))).select(doc_key, item_key)
+
+
+def cited_subset(files: DataFrame, cited: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The cited files, and the cited keys that have no file."""
+    names = cited.select(key).distinct()
+    return files.join(names, key, "left_semi"), names.join(files.select(key), key, "left_anti")
+
+
+def record_differences(a: DataFrame, b: DataFrame, key: str, json: str) -> DataFrame:
+    """Fields of JSON records that differ (key, field, defect); a record on one side only has a null field. The order of an object's keys does not matter."""
+    left, right = (d.select(key, F.from_json(json, "map<string, string>").alias(f"helper__{s}")) for d, s in ((a, "l"), (b, "r")))
+    both = left.join(right, key, "full_outer")
+    names = F.array_union(F.map_keys("helper__l"), F.map_keys("helper__r"))
+    gone = F.when(F.col("helper__r").isNull(), "missing").when(F.col("helper__l").isNull(), "unexpected")
+    whole = both.select(key, F.lit(None).cast("string").alias("field"), gone.alias("defect"))
+    each = both.where("helper__l IS NOT NULL AND helper__r IS NOT NULL").select(key, F.explode(names).alias("field"), "helper__l", "helper__r")
+    in_l, in_r = F.map_contains_key("helper__l", F.col("field")), F.map_contains_key("helper__r", F.col("field"))
+    same = F.col("helper__l")[F.col("field")].eqNullSafe(F.col("helper__r")[F.col("field")])
+    defect = F.when(~in_r, "missing").when(~in_l, "unexpected").when(~same, "differs")
+    return whole.unionAll(each.select(key, "field", defect.alias("defect"))).where("defect IS NOT NULL")
+
+
+def contamination_verdict(docs: DataFrame, held: DataFrame, controls: Sequence[DataFrame], doc_key: str, item_key: str, text: str, size: int) -> str:
+    """blocked if the check misses one of the poisoned controls, else contaminated or clean."""
+    found = lambda d: shared_shingles(d, held, doc_key, item_key, text, size).limit(1).count() > 0
+    if not all(found(c) for c in controls):
+        return "blocked"
+    return "contaminated" if found(docs) else "clean"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.records import strict_json, toml_json, yaml_json
+from sievework.operators.anchors import Anchor, anchor_list
 
 
 def texts(spark: SparkSession, glob: str, key_pattern: str, *keys: str) -> DataFrame:
@@ -17,6 +18,77 @@ def texts(spark: SparkSession, glob: str, key_pattern: str, *keys: str) -> DataF
     return rows.select("path", "value", *(F.regexp_extract("path", key_pattern, i + 1).alias(k) for i, k in enumerate(keys)))
 
 
+def folders(spark: SparkSession, root: str, needed: str) -> DataFrame:
+    """name and complete of every folder under the root: whether it holds the file ``needed``; empty folders are there too.
+
+    A listing of one level, by the file system that holds the root.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [(s.getPath().getName(), found.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), needed))) for s in found.listStatus(path) if s.isDirectory()]
+    return spark.createDataFrame(rows, "name string, complete boolean").orderBy("name")
+
+
+def folders_with(spark: SparkSession, root: str, needed: str) -> list[str]:
+    """The names of the folders that hold the file, sorted."""
+    return [r["name"] for r in folders(spark, root, needed).where("complete").orderBy("name").collect()]
+
+
+def required_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file; raises FileNotFoundError where it is absent or empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    if row is None or not row["value"]:
+        raise FileNotFoundError(f"{path} is empty")
+    return row["value"]
+
+
+def rows_of(texts_by_key: DataFrame, schema: str, *keys: str, path: str = "rows") -> DataFrame:
+    """The rows of the list at ``path`` in each JSON text, with their position (from 1)."""
+    inner = F.from_json("value", f"struct<{path}: array<struct<{schema}>>>")[path]
+    return texts_by_key.select(*keys, F.posexplode(inner).alias("position", "scan__r")).select(*keys, (F.col("position") + 1).alias("position"), "scan__r.*")
+
+
+def registry(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows of ``rows_of`` the last for each key."""
+    rest = [c for c in rows.columns if c not in (key, "position")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "position").alias("scan__r")).select(key, "scan__r.*")
+
+
+def with_optional(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Expected keys with what was scanned for them, null where nothing was."""
+    return expected.join(found, key, "left")
+
+
+def anchors_of(spark: SparkSession, path: str) -> list[Anchor]:
+    """The anchors of an instrument: a JSON file of groups with their alternates in order."""
+    groups = F.from_json("value", "struct<groups: array<struct<id: string, alternates: array<string>>>>")["groups"]
+    each = spark.read.text(path, wholetext=True).select(F.explode(groups).alias("g")).select(F.col("g.id").alias("group_id"), F.posexplode("g.alternates").alias("ord", "pattern"))
+    return anchor_list(each.withColumn("ord", F.col("ord") + 1))
+
+
+def recorded_runs(spark: SparkSession, glob: str, kind: str, suffix: str = ".json") -> DataFrame:
+    """run, rep, task, name and value of the files ``<run>/rep-<n>/<task>/<kind>/<name><suffix>``."""
+    pattern = rf"([^/]+)/rep-(\d+)/([^/]+)/{kind}/([^/]+){suffix.replace('.', chr(92) + '.')}$"
+    found = texts(spark, f"{glob}/rep-*/*/{kind}/*{suffix}", pattern, "run", "rep", "task", "name")
+    return found.withColumn("rep", F.col("rep").cast("int"))
+
+
+def suites(tasks: DataFrame, suite: str) -> DataFrame:
+    """The task descriptors of a suite, in order."""
+    return tasks.where(F.col("suite") == suite).orderBy("id")
+
+
+def single_files(files: DataFrame, key: str) -> DataFrame:
+    """Keys that don't have exactly one file, with their number."""
+    return files.groupBy(key).agg(F.count("*").alias("n")).where("n <> 1")
+
+
 def load_state(text: Column, kind: str = "object") -> Column:
     """'missing', 'unparseable', 'not_<kind>' or null for a text that should hold one JSON value."""
     json = strict_json(text)

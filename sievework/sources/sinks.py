@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.records import canonical_json
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a line, with null fields written; an existing folder is refused unless mode says otherwise."""
@@ -23,3 +25,10 @@ def with_content_hash(df: DataFrame, *columns: str, name: str = "sha256") -> Dat
 
 def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def write_pinned(rows: DataFrame, json: str, path: str, *by: str) -> DataFrame:
+    """Writes rows with the SHA-256 of their canonical JSON, a folder for each value of ``by``; never over what is there."""
+    pinned = rows.withColumn("sha256", F.sha2(F.encode(canonical_json(F.col(json)), "UTF-8"), 256))
+    pinned.write.partitionBy(*by).mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.parquet(path)

@@ -32,10 +32,17 @@ def staged(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_staged() -> None:
-    """Deletes all staged tables; results that were not written before can't be read any more."""
-    while _staged:
-        spark, path = _staged.pop()
+def staged_so_far() -> int:
+    """A mark for ``release_staged``."""
+    return len(_staged)
+
+
+def release_staged(since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables staged since a mark, but for the last ``keep``; results that were not written before can't be read any more."""
+    last = len(_staged) - keep
+    gone = _staged[since:last]
+    del _staged[since:last]
+    for spark, path in gone:
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
