@@ -1,7 +1,9 @@
 """A training-text pipeline of five stages; each works on what the stage before it kept.
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and gives the documents that go on. The first four
-keep the columns of ``documents``, the last gives ids and decoded text. Null texts and ids pass all stages.
+keep the columns of ``documents`` (and any others), the last gives ids and decoded text. Null texts and ids pass all stages; of
+repeated rows with an id and words one stays, and of an id's several texts the smallest; a tie at a threshold is decided as in the
+stage's operator; an empty table stays empty; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import bpe, common, contamination, neardup, secrets, toxicity
 from sievework.sources.shipping import ship_package
+from sievework.sources.staging import release_staged, staged_so_far
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage gives is written to the shared folder and read again."""
+    """The last stage's rows; what each stage gives is written to the shared folder and read again, and the tables it made for itself go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = staged_so_far()
     for _, stage in STAGES:
+        mark = staged_so_far()
         docs = common.staged(stage(spark, docs, sf_dir))
+        release_staged(mark, keep=1)
+        release_staged(before, keep=1)  # what the stage before gave has been read
     return docs

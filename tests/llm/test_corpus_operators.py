@@ -12,7 +12,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sievework.llm import common, contamination, lm, neardup, substrings, toxicity
+from pyspark.sql import functions as F
+
+from sievework.llm import bpe, common, contamination, lm, neardup, pii, quality, secrets, substrings, toxicity
 
 
 def lower(t):
@@ -486,3 +488,40 @@ def test_pipeline_of_awkward_rows(spark, awkward, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count()
+
+
+@pytest.mark.parametrize("name", ["awkward", "nothing"])
+def test_pipeline_keeps_other_columns(spark, request, tmp_path, name):
+    docs = request.getfixturevalue(name)
+    docs.limit(0).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).select(F.col("doc_id").alias("item_id"), "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+    n = docs.count()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(out) == n and (n > 0) == (name == "awkward")
+
+
+def test_very_long_texts(spark):
+    """One document of three million characters beside short ones."""
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(3000)}" for _ in range(500_000)) + " " + "x" * 100_000
+    rows = [(1, "a short one"), (2, long), (3, long[:5000]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("h")).repartition(2)
+    vocabulary = bpe.public_vocabulary()
+    ids = {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip_digests(docs, vocabulary).collect()}
+    assert ids[2] == len(vocabulary.encoding().encode_ordinary(long))
+    assert {r["doc_id"]: r["n_words"] for r in quality.filtered(docs).collect()}[2] == 500_001
+    assert pii.digests(docs).count() == 4 == secrets.digests(docs, vocabulary).count()
+    gone = {r["doc_id"]: r["n_removed"] for r in substrings.digests(docs).collect()}
+    assert gone[3] == 5000 and gone[1] == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.scored(docs).collect()} == {1: 4, 2: 500_002, 3: len(long[:5000].split()) + 1, 4: 1}
+    sizes = {r["doc_id"]: r["n_shingles"] for r in neardup.near_duplicates(docs).collect()}
+    words_ = long.split()
+    assert sizes[2] == len(set(zip(*(words_[k:] for k in range(5)))))
+    item = spark.createDataFrame([(1, " ".join(words_[-200:]))], "item_id long, text string")
+    assert [(x["doc_id"], x["n_matched"]) for x in contamination.find(docs, item).collect()] == [(2, 200)]
+    none = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.predictions(docs, none).count() == 4
