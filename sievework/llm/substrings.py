@@ -48,6 +48,8 @@ _NO_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: The bytes that identifiers stand for, by round; each is made of two of the round before.
 FIRST, ROUNDS = 8, (16, 32, SIZE)
+#: Contexts that are refined at a time.
+REFINED_BYTES = 1 << 20
 
 
 def _dump(**arrays: object) -> bytes:
@@ -343,11 +345,44 @@ def _ask_strings(table: pa.Table, told: list[dict], parts: int) -> list[bytes]:
     out = []
     for k in range(parts):
         (s, t), (u, v) = by_bucket[k : k + 2], by_string[k : k + 2]
-        own = dict(l=left[s:t].astype(np.uint8), r=right[s:t].astype(np.uint8), d=_planes(a.least[asked[s:t]]), x=held[ends[s] : ends[t]], e=told[k])
+        own = dict(b=_steps(buckets[s:t]), l=left[s:t].astype(np.uint8), r=right[s:t].astype(np.uint8), d=_planes(a.least[asked[s:t]]), x=held[ends[s] : ends[t]], e=told[k])
         out.append(_dump(k=_steps(found[u:v]), q=_planes(other[u:v]), i=_planes(least[u:v]), **own))
     return out
 
 
+def _by_whole_buckets(buckets: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The contexts of some buckets at a time, about ``REFINED_BYTES``; a bucket is never parted."""
+    order = np.argsort(buckets, kind="stable")
+    if not len(order):
+        return
+    first = np.concatenate([[True], buckets[order][1:] != buckets[order][:-1]])
+    before = np.cumsum(size[order]) - size[order]
+    turn = np.maximum.accumulate(np.where(first, before // REFINED_BYTES, 0))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(turn)) + 1, [len(order)]])
+    for s, t in zip(edges[:-1], edges[1:], strict=True):
+        yield order[s:t]
+
+
+def _covered(data: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each context a bit for each offset whose string a smaller document has too."""
+    size = left + right
+    start = np.cumsum(size) - size
+    own = data[np.repeat(begin - start, size) + np.arange(size.sum())]
+    which, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for o, valid in _offsets(left, right):
+        which.append(valid)
+        offset.append(np.full(len(valid), o))
+    which, offset = np.concatenate(which), np.concatenate(offset)
+    mask = np.zeros(len(left), np.uint32)
+    if len(which):
+        bucket = refined(own, start[which] + left[which] - offset)
+        smallest = np.full(bucket.max() + 1, _NO_ID)
+        np.minimum.at(smallest, bucket, owners[which])
+        hit = smallest[bucket] < owners[which]
+        np.bitwise_or.at(mask, which[hit], np.uint32(1) << offset[hit].astype(np.uint32))
+    return mask
+
+
 def _tell_strings(asked: list[dict]) -> list[bytes]:
     ids = np.concatenate([_of_planes(x["i"], np.int64) for x in asked])
     first, of = _distinct(np.concatenate([_of_steps(x["k"]) for x in asked]), np.concatenate([_of_planes(x["q"]) for x in asked]))
@@ -361,17 +396,8 @@ def _tell_strings(asked: list[dict]) -> list[bytes]:
     data = np.concatenate([x["x"] for x in asked])
     begin = np.cumsum(left + right) - left - right
     mask = np.zeros(len(left), np.uint32)
-    which, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for o, valid in _offsets(left, right):
-        which.append(valid)
-        offset.append(np.full(len(valid), o))
-    which, offset = np.concatenate(which), np.concatenate(offset)
-    if len(which):
-        bucket = refined(data, begin[which] + left[which] - offset)
-        smallest = np.full(bucket.max() + 1, _NO_ID)
-        np.minimum.at(smallest, bucket, owners[which])
-        hit = smallest[bucket] < owners[which]
-        np.bitwise_or.at(mask, which[hit], np.uint32(1) << offset[hit].astype(np.uint32))
+    for own in _by_whole_buckets(np.concatenate([_of_steps(x["b"]) for x in asked]), left + right):
+        mask[own] = _covered(data, begin[own], left[own], right[own], owners[own])
     ends, out = np.cumsum([len(x["l"]) for x in asked]), []
     start = 0
     for x, t, u in zip(asked, ends, single_ends, strict=True):
