@@ -208,16 +208,17 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if most is None:
             break
         # Large nodes are told by a broadcast, so that only the rows of leaves are dealt by their node.
-        crowded = _small(sizes.where(F.col("n") > LEAF).select("node", "least"), of_large)
-        in_leaves = rows.join(crowded, "node", "left_anti").join(sizes.where(F.col("n") <= LEAF).select("node"), "node")
-        leaves = in_leaves.select("node", "rep").join(classes, "rep")
+        told = rows.join(_small(sizes.where(F.col("n") > LEAF).select("node", "least"), of_large), "node", "left")
+        crowded = told.where("least IS NOT NULL")
+        in_leaves = told.where("least IS NULL").select("node", "rep").join(sizes.where(F.col("n") <= LEAF).select("node"), "node")
+        leaves = in_leaves.join(classes, "rep")
         found = leaves.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
         if level == LEVELS and most > LEAF:
-            found = found.unionAll(rows.join(crowded, "node").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+            found = found.unionAll(crowded.select(F.col("least").alias("a"), F.col("rep").alias("b")))
         edges = found if edges is None else edges.unionAll(found)
         if most <= LEAF:
             break
-        rows = staged(rows.join(crowded, "node", "left_semi").select("node", "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
+        rows = staged(crowded.select("node", "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
     if edges is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")
     return edges.where("a <> b").distinct()
