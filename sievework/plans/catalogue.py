@@ -241,15 +241,15 @@ def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q17_pins",
-    """WITH m AS (SELECT doc_id, sha256(text) AS w FROM documents WHERE doc_id % 7 <> 3), p AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || ' ' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 2)
-    SELECT coalesce(m.doc_id, p.doc_id) AS doc_id, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL THEN 'stray' ELSE 'drifted' END AS defect FROM m FULL JOIN p ON m.doc_id = p.doc_id WHERE h IS NULL OR w IS NULL OR h <> w""",
+    """WITH m AS (SELECT o_orderkey AS key, sha256(o_orderstatus) AS w FROM orders), p AS (SELECT l_orderkey + 1 AS key, sha256(CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END) AS h FROM lineitem GROUP BY l_orderkey)
+    SELECT coalesce(m.key, p.key) AS key, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL THEN 'stray' ELSE 'drifted' END AS defect FROM m FULL JOIN p ON m.key = p.key WHERE h IS NULL OR w IS NULL OR h <> w""",
 )
 def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest that lacks some documents against a copy in which some are missing and some have drifted."""
-    documents = table(spark, sf_dir, "documents")
-    pinned = documents.where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    present = documents.where("doc_id % 11 <> 2").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("sha256"))
-    return relations.pin_findings(pinned, present, "doc_id")
+    """The status of every order against what its predecessor's lines say: some are as pinned, some drifted, some are missing or stray."""
+    pinned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.sha2("o_orderstatus", 256).alias("sha256"))
+    lines_of = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"))
+    present = lines_of.select((F.col("l_orderkey") + 1).alias("key"), F.sha2(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("P"), 256).alias("sha256"))
+    return relations.pin_findings(pinned, present, "key")
 
 
 @query(
@@ -306,12 +306,13 @@ def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q22_grid",
-    """WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, user_id FROM events) SELECT event_type, day FROM (SELECT * FROM (SELECT DISTINCT event_type FROM e), (SELECT DISTINCT day FROM e)) x
-    ANTI JOIN (SELECT DISTINCT event_type, day FROM e WHERE user_id % 7 = 0) USING (event_type, day)""",
+    """WITH e AS (SELECT event_type, user_id, CAST(dayofweek(ts) AS INT) AS day FROM events) SELECT event_type, user_id, day FROM (SELECT * FROM (SELECT DISTINCT event_type FROM e), (SELECT DISTINCT user_id FROM e), (SELECT DISTINCT day FROM e)) x
+    ANTI JOIN (SELECT DISTINCT event_type, user_id, day FROM e) USING (event_type, user_id, day)""",
 )
 def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
-    return relations.unseen_grid(events.where("user_id % 7 = 0"), [events.select("event_type"), events.select("day")])
+    """Kinds of events that a user never had on a day of the week."""
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", (F.dayofweek("ts") - 1).alias("day"))
+    return relations.unseen_grid(events, [events.select("event_type"), events.select("user_id"), events.select("day")])
 
 
 @query(
@@ -395,14 +396,14 @@ def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q31_cycles",
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS node, (c_custkey % 25)::INT AS needs FROM customer WHERE c_custkey <= 40),
-    walk(start, pos, path, n) AS (SELECT node, needs, [node], 1 FROM e UNION ALL SELECT w.start, e.needs, list_append(w.path, w.pos), w.n + 1 FROM walk w JOIN e ON e.node = w.pos WHERE w.pos <> w.start AND NOT list_contains(w.path, w.pos) AND w.n < 6)
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS node, (c_custkey % 25)::INT AS needs FROM customer),
+    walk(start, pos, n) AS (SELECT node, needs, 1 FROM e UNION SELECT w.start, e.needs, w.n + 1 FROM walk w JOIN e ON e.node = w.pos WHERE w.pos <> w.start AND w.n < 25)
     SELECT start AS node, CAST(min(n) AS INT) AS length FROM walk WHERE pos = start GROUP BY start""",
 )
 def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles of up to six edges in a small graph of nations."""
-    edges = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("node"), (F.col("c_custkey") % 25).cast("int").alias("needs")).distinct()
-    return graphs.cycle_paths(edges, 6)
+    """Cycles of any length in the graph of nations, over all customers; 25 nodes have none longer than 25 edges."""
+    edges = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("node"), (F.col("c_custkey") % 25).cast("int").alias("needs")).distinct()
+    return graphs.cycle_paths(edges)
 
 
 @query(
