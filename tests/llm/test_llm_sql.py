@@ -1,11 +1,13 @@
 """What SQL can say of the operators, against DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 from sievework.llm import queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
