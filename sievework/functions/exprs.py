@@ -142,3 +142,13 @@ def content_of(response: Column) -> Column:
 
 def finish_of(response: Column) -> Column:
     return F.get_json_object(response, "$.choices[0].finish_reason")
+
+
+def config_record(**fields: Column) -> Column:
+    """A record of settings as JSON, its keys in order and nulls written, so that equal settings have equal texts."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
+
+
+def environment(**variables: Column) -> Column:
+    """A map of environment variables; every one is a text."""
+    return F.create_map(*(x for k, v in sorted(variables.items()) for x in (F.lit(k), v.cast("string"))))

@@ -65,6 +65,13 @@ def coverage(units: DataFrame, unit: str, text: str, anchors: Sequence[Anchor],
     return counts.withColumn("covered", (F.col("matched_anchors") >= F.col("needed")) & (F.col("matching_units") >= 2)).drop("needed")
 
 
+def uncovered(areas: DataFrame) -> DataFrame:
+    """The required areas of ``coverage`` that are not covered, in order."""
+    required = [c for c in areas.columns if c == "required"]
+    found = areas.where(~F.col("covered"))
+    return (found.where("required") if required else found).orderBy("group_id")
+
+
 def unlicensed(units: DataFrame, statements: DataFrame, entity: str, text: str, anchors: Sequence[Anchor], most: int = STUFFING_MAX) -> DataFrame:
     """Groups that an entity's units assert and no statement of it licenses, with the unit and what matched.
 

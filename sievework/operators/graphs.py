@@ -17,6 +17,12 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(edges.select("node"), "node", "left_anti")
 
 
+def first_chain(edges: DataFrame) -> DataFrame:
+    """The first node (and what it needs) whose prerequisite has a prerequisite of its own; no row without one."""
+    inner = edges.select(F.col("node").alias("needs")).distinct()
+    return edges.join(inner, "needs", "left_semi").select("node", "needs").orderBy("node", "needs").limit(1)
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle or between cycles: what remains when nodes without open edges on either side are taken away.
 

@@ -65,6 +65,12 @@ def verdict_findings(rows: DataFrame, entity: str, json: str, gate: str, grammar
     return union(broken, whole, check(each, "entity_id", gate, rules))
 
 
+def other_verdicts(rows: DataFrame, entity: str, json: str, gate: str, verdict: str) -> DataFrame:
+    """Records whose verdict is not the one that must be given."""
+    own = F.get_json_object(json, "$.verdict")
+    return check(rows, entity, gate, [Rule("other_verdict", ~own.eqNullSafe(F.lit(verdict)), own)])
+
+
 def found_text(json: Column, grammar: Grammar = VERDICT) -> Column:
     """The text that anchors are matched in: class and texts of all findings, a line each."""
     items = F.filter(F.coalesce(F.try_variant_get(variant(json), "$.findings", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))

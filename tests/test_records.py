@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import exprs, records
-from sievework.operators import anchors, benchmarks, contracts, relations, roadmaps, specs, verdict_records, verdicts
+from sievework.operators import anchors, benchmarks, contracts, graphs, relations, roadmaps, specs, verdict_records, verdicts
 from sievework.operators.anchors import Anchor
 from sievework.sources import records as scans
 from sievework.sources import sinks
@@ -439,3 +439,30 @@ def test_leaks_and_instruments(spark):
 def test_helper_names_do_not_clash(spark):
     rows = table_of(spark, {"id": "a"}).withColumn("_v", F.lit(1)).withColumn("_keys", F.lit(2)).withColumn("helper", F.lit(3))
     assert [r["defect"] for r in contracts.violations(rows, "id", "json", "g", (contracts.Field("id", "int"),)).collect()] == ["wrong_type"]
+
+
+def test_small_gates(spark):
+    edges = spark.createDataFrame([(3, 2), (2, 1), (5, 9)], "node int, needs int")
+    assert [tuple(r) for r in graphs.first_chain(edges).collect()] == [(3, 2)] and graphs.first_chain(edges.where("node = 5")).count() == 0
+    areas = spark.createDataFrame([("b", True, False), ("a", True, False), ("c", False, False), ("d", True, True)], "group_id string, required boolean, covered boolean")
+    assert [r["group_id"] for r in anchors.uncovered(areas).collect()] == ["a", "b"]
+    rows = table_of(spark, {"verdict": "revise"}, {"verdict": "approve"}, {})
+    assert defects(verdict_records.other_verdicts(rows, "id", "json", "g", "revise")) == [("other_verdict", 1), ("other_verdict", 2)]
+    got = spark.range(1).select(exprs.config_record(b=F.lit(1), a=F.lit(None).cast("string")).alias("c"), exprs.environment(X=F.lit(True), A=F.lit(5)).alias("e")).first()
+    assert got["c"] == '{"a":null,"b":1}' and got["e"] == {"A": "5", "X": "true"}
+    tasks = spark.createDataFrame([("b", "s"), ("a", "s"), ("c", "t")], "id string, suite string")
+    assert [r["id"] for r in scans.suites(tasks, "s").collect()] == ["a", "b"]
+    files = spark.createDataFrame([("k", "a"), ("k", "b"), ("m", "c")], "key string, file string")
+    assert [tuple(r) for r in scans.single_files(files, "key").collect()] == [("k", 2)]
+
+
+def test_what_a_spec_invents(spark):
+    """Units of scenario files against the assumptions of their manifest."""
+    texts = spark.createDataFrame([("k", SPEC)], "key string, text string")
+    own = [Anchor("sql", 1, "SELECT"), Anchor("base", 1, "a base")]
+    said = lambda *t: spark.createDataFrame([("k", x) for x in t], "key string, text string")
+    units = specs.requirement_units(texts, "key", "text")
+    find = lambda s: sorted((r["unit"], r["group_id"]) for r in anchors.unlicensed(units, s, "key", "text", own).collect())
+    assert find(said("we run SELECT")) == [("background", "base")]
+    assert find(said("we run SELECT on a base")) == []
+    assert find(said("nothing")) == [("background", "base"), ("scenario:second", "sql")]
