@@ -246,6 +246,6 @@ def find(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
 def clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows that hold no long stretch of any item, with all their columns."""
     key = f"row_{uuid.uuid4().hex}"
-    found = staged(_found(docs, benchmark, broadcast_rows, id_col, text_col, item_id_col, item_text_col).select("row_key", "doc_id").distinct()).select(F.col("row_key").alias(key))
-    found = _small(found, found.count(), broadcast_rows)
-    return docs.join(found, row_key(id_col, text_col) == F.col(key), "left_anti")
+    found = staged(_found(docs, benchmark, broadcast_rows, id_col, text_col, item_id_col, item_text_col).select("row_key", "doc_id").distinct())
+    found = _small(found.select(F.col("row_key").alias(key), F.col("doc_id").alias(f"{key}_id")), found.count(), broadcast_rows)
+    return docs.join(found, (row_key(id_col, text_col) == F.col(key)) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{key}_id")), "left_anti")
