@@ -96,23 +96,37 @@ def _sliding(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
 
 
 class _Anchors:
-    """The anchors of a block: place, row, bucket, context, and the bytes before and after that belong to it."""
+    """The anchors of a block: place, row and bucket; and, once it is known where they are, context and the bytes before and after that belong to it.
 
-    def __init__(self, table: pa.Table):
+    The first step finds the anchors; the answers bring their places back as bits, so later steps only hash what they need.
+    """
+
+    def __init__(self, table: pa.Table, told: list[dict] | None = None):
         ids, self.data, self.off = unpacked(table)
         self.ids = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         self.doc_ids = ids
-        found = [self._slice(i, j) for i, j in slices(self.off)]
+        bits = None if told is None else np.unpackbits(np.frombuffer(b"".join(x["p"] for x in told), np.uint8), count=len(self.data)).astype(bool)
+        found = [self._first(i, j) if bits is None else self._known(bits, i, j) for i, j in slices(self.off)]
         kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)
-        self.at, self.row, self.bucket, self.context, self.other, self.left, self.right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(kinds))
+        self.at, self.row, self.bucket, *rest = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(kinds[: 3 if bits is None else 7]))
+        if bits is not None:
+            self.context, self.other, self.left, self.right = rest
         self.id = self.ids[self.row]
         self.buckets, self.of_bucket = np.unique(self.bucket, return_inverse=True)
 
-    def _slice(self, i: int, j: int) -> tuple[np.ndarray, ...]:
+    def places(self, parts: int) -> list[bytes]:
+        """The anchors' places as bits, cut into a piece for each part."""
+        bits = np.zeros(len(self.data), bool)
+        bits[self.at] = True
+        packed = np.packbits(bits).tobytes()
+        size = -(-len(packed) // parts)
+        return [packed[k * size : (k + 1) * size] for k in range(parts)]
+
+    def _first(self, i: int, j: int) -> tuple[np.ndarray, ...]:
         data, off = self.data[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
         none = np.zeros(0, np.int64)
         if len(data) < SIZE:
-            return none, none, *[none.astype(np.uint64)] * 3, none, none
+            return none, none, none.astype(np.uint64)
         sums = prefix(byte_values(data))
         n = len(data) - Q + 1
         start = np.arange(n)
@@ -124,12 +138,18 @@ class _Anchors:
         pad = np.zeros(W - 1, np.uint64)
         high = _sliding(np.concatenate([pad, low, pad]), np.maximum)  # of the strings that hold this q-gram
         at = np.flatnonzero((h == high) & (start + Q <= end[:n]) & (high > 0))
+        return at + self.off[i], np.searchsorted(off, at, "right") - 1 + i, h[at] >> _TOP
+
+    def _known(self, bits: np.ndarray, i: int, j: int) -> tuple[np.ndarray, ...]:
+        data, off = self.data[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
+        at = np.flatnonzero(bits[self.off[i] : self.off[j]])
         row = np.searchsorted(off, at, "right") - 1
         left = np.minimum(W - 1, at - off[row])
         right = np.minimum(SIZE, off[row + 1] - at)
+        sums = prefix(byte_values(data))
         context = mixed(span_hashes(sums, at - left, at + right) + left.astype(np.uint64) * _ODD)
         other = span_hashes(prefix(_OTHER[data]), at - left, at + right)
-        return at + self.off[i], row + i, h[at] >> _TOP, context, other, left, right
+        return at + self.off[i], row + i, span_hashes(sums, at, at + Q) >> _TOP, context, other, left, right
 
     def pairs(self, shared: np.ndarray) -> None:
         """The distinct (bucket, context) of the anchors in shared buckets, and the smallest id of each."""
@@ -177,7 +197,7 @@ def _ask_shared(table: pa.Table, parts: int) -> list[bytes]:
     np.minimum.at(low, a.of_bucket, a.row)
     np.maximum.at(high, a.of_bucket, a.row)
     e = _edges(a.buckets, parts, 48)
-    return [_dump(b=_steps(a.buckets[s:t]), m=_bits(low[s:t] != high[s:t])) for s, t in zip(e[:-1], e[1:], strict=True)]
+    return [_dump(b=_steps(a.buckets[s:t]), m=_bits(low[s:t] != high[s:t]), p=p) for s, t, p in zip(e[:-1], e[1:], a.places(parts), strict=True)]
 
 
 def _tell_shared(asked: list[dict]) -> list[bytes]:
@@ -186,11 +206,11 @@ def _tell_shared(asked: list[dict]) -> list[bytes]:
     counts[of[np.concatenate([_of_bits(x["m"]) for x in asked])]] += 1
     shared = counts[of] > 1
     ends = np.cumsum([len(x) for x in each])
-    return [_dump(s=_bits(shared[t - len(x) : t])) for x, t in zip(each, ends, strict=True)]
+    return [_dump(s=_bits(shared[t - len(x) : t]), p=q["p"]) for x, t, q in zip(each, ends, asked, strict=True)]
 
 
 def _ask_contexts(table: pa.Table, told: list[dict], parts: int) -> list[bytes]:
-    a = _Anchors(table)
+    a = _Anchors(table, told)
     shared = np.concatenate([_of_bits(x["s"]) for x in told])
     a.pairs(shared)
     # Of each shared bucket: its contexts here, and the least and greatest short hash of them.
@@ -210,7 +230,7 @@ def _ask_contexts(table: pa.Table, told: list[dict], parts: int) -> list[bytes]:
         out.append(
             _dump(
                 b=_steps(a.buckets[own]), c=np.minimum(count[own], 60_000).astype(np.uint16), l=low[own].astype(np.uint32), h=high[own][several].astype(np.uint32), v=_bits(several), s=_bits(shared[s:t]),
-                k=_steps(a.keys[u:v]), q=_planes(a.others[u:v]), d=_planes(a.least[u:v]),
+                k=_steps(a.keys[u:v]), q=_planes(a.others[u:v]), d=_planes(a.least[u:v]), p=told[k]["p"],
             )
         )
     return out
@@ -238,7 +258,7 @@ def _tell_contexts(asked: list[dict], hot_contexts: int) -> list[bytes]:
     ends, out = np.cumsum([len(x) for x in each]), []
     for x, t, q, ids, u in zip(each, ends, asked, own, key_ends, strict=True):
         found = least[of[u - len(ids) : u]]
-        out.append(_dump(m=_bits(several[t - len(x) : t]), h=_bits(hot[t - len(x) : t]), s=q["s"], o=_bits(found == ids), d=_planes(found[found != ids])))
+        out.append(_dump(m=_bits(several[t - len(x) : t]), h=_bits(hot[t - len(x) : t]), s=q["s"], p=q["p"], o=_bits(found == ids), d=_planes(found[found != ids])))
     return out
 
 
@@ -246,7 +266,7 @@ class _State:
     """What a block knows after the answers on contexts."""
 
     def __init__(self, table: pa.Table, told: list[dict]):
-        self.a = a = _Anchors(table)
+        self.a = a = _Anchors(table, told)
         shared = np.concatenate([_of_bits(x["s"]) for x in told])
         a.pairs(shared)
         several, hot = np.zeros(len(shared), bool), np.zeros(len(shared), bool)
