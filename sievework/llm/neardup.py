@@ -218,7 +218,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         edges = found if edges is None else edges.unionAll(found)
         if most <= LEAF:
             break
-        rows = staged(crowded.select("node", "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
+        # Dealt by class, so that no task branches most of a large node.
+        rows = staged(crowded.select("node", "rep").repartition(n, "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
     if edges is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")
     return edges.where("a <> b").distinct()
