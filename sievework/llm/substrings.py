@@ -95,6 +95,13 @@ def _sliding(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """The packed rows of a block by what they hold, since a block's rows come in another order in each step."""
+    ids = [x.values.fill_null(_NO_ID).to_numpy(zero_copy_only=False).tobytes() for x in table["ids"]]
+    held = list(zip(table["sizes"].to_pylist(), ids, table["data"].to_pylist(), strict=True))
+    return table.take(pa.array(sorted(range(len(held)), key=held.__getitem__), pa.int64()))
+
+
 class _Anchors:
     """The anchors of a block: place, row and bucket; and, once it is known where they are, context and the bytes before and after that belong to it.
 
@@ -102,7 +109,7 @@ class _Anchors:
     """
 
     def __init__(self, table: pa.Table, told: list[dict] | None = None):
-        ids, self.data, self.off = unpacked(table)
+        ids, self.data, self.off = unpacked(_in_order(table))
         self.ids = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         self.doc_ids = ids
         bits = None if told is None else np.unpackbits(np.frombuffer(b"".join(x["p"] for x in told), np.uint8), count=len(self.data)).astype(bool)

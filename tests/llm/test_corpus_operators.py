@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -115,6 +116,20 @@ def removed(rows):
     return collections.Counter(out)
 
 
+def test_places_of_anchors_hold_for_any_order_of_rows():
+    r = random.Random(3)
+    rows = []
+    for k in range(6):
+        own = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 300))).encode() for _ in range(5)]
+        rows.append((0, [k, None, k + 1, 7, 8], common.pack(np.array([len(t) for t in own], np.uint32)), common.pack(np.frombuffer(b"".join(own), np.uint8))))
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    table = lambda x: pa.table([pa.array([y[k] for y in x], t) for k, t in enumerate(kinds)], names=["block", "ids", "sizes", "data"])
+    one, other = substrings._Anchors(table(rows)), substrings._Anchors(table(rows[::-1]))
+    assert one.places(4) == other.places(4) and one.doc_ids.equals(other.doc_ids)
+    known = substrings._Anchors(table(rows[3:] + rows[:3]), [{"p": p} for p in one.places(4)])
+    assert (known.at == one.at).all() and (known.bucket == one.bucket).all()
+
+
 def test_refined_buckets_are_the_strings():
     r = random.Random(8)
     for _ in range(30):
