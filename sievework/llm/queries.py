@@ -74,6 +74,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(_table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.alignment import alignment, public_tokenizers_pair
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers_pair())
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.sharding import placements
+
+    return placements(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.divergence import divergences
+
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can say of the operators, as queries of their own.
 
 
@@ -104,6 +122,15 @@ def llm_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures(texts(_table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles")
 
 
+def llm_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots")
+    return op12_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_rows"), *slots)
+
+
+def llm_row_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_sharding(spark, sf_dir).select("doc_id", "size")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
@@ -111,7 +138,22 @@ _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tran
 _LUHN = """list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT)
     WHEN substr(c, length(c) + 1 - CAST(i AS INT), 1) > '4' THEN 2 * CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT) - 9 ELSE 2 * CAST(substr(c, length(c) + 1 - CAST(i AS INT), 1) AS INT) END))"""
 
+_SHARE = "1 + 1000000000::HUGEINT * ({n} + 1) // ({total} + v)"
+
 _SQL = {
+    "op13_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+        w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3), langs AS (SELECT lang, sum(lang_n) AS lang_total, count(*) AS v FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL), g AS (SELECT DISTINCT lang, source FROM d), totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="coalesce(total, 0)")} AS p, {_SHARE.format(n="lang_n", total="lang_total")} AS q
+            FROM g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pairs UNION ALL FROM terms)) FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "llm_shard_sizes": """WITH d AS (SELECT count(*) AS n FROM documents) SELECT CAST(k AS INT) AS shard, n // 24 + CAST(k < n % 24 AS BIGINT) AS n_rows, 0::BIGINT AS first_slot, n // 24 + CAST(k < n % 24 AS BIGINT) - 1 AS last_slot,
+        n // 24 + CAST(k < n % 24 AS BIGINT) AS n_slots FROM d, range(24) s(k)""",
+    "llm_row_sizes": "SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size FROM documents",
     "llm_measures": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
         g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM w WHERE len(w) > 2),
         twice AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1), m AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM g JOIN twice USING (doc_id, g), range(3) r(d) GROUP BY doc_id)
@@ -146,11 +188,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_alignment": op11_alignment,
+        "op12_sharding": op12_sharding,
+        "op13_divergence": op13_divergence,
         "llm_measures": llm_measures,
         "llm_personal_counts": llm_personal_counts,
         "llm_secret_counts": llm_secret_counts,
         "llm_base_scores": llm_base_scores,
         "llm_shingle_counts": llm_shingle_counts,
+        "llm_shard_sizes": llm_shard_sizes,
+        "llm_row_sizes": llm_row_sizes,
     }
 
 
