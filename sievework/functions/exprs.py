@@ -12,15 +12,23 @@ from sievework.functions.records import FENCE
 #: Where a sentence ends, and an address with user and password.
 SENTENCE_END = r"[.!?]\s+|[.!?]$"
 PASSWORD = "://([^:/@]+):([^@]+)@"
+#: All white space of Unicode, and the control characters that part records.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def sentence_count(text: Column) -> Column:
     """Parts between sentence ends that are not blank."""
-    return F.size(F.filter(F.split(F.trim(text), SENTENCE_END), lambda x: F.trim(x) != ""))
+    return F.size(F.filter(F.split(stripped(text), SENTENCE_END), lambda x: stripped(x) != ""))
 
 
 def blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    """Null, or nothing but white space of any kind."""
+    return text.isNull() | (stripped(text) == "")
 
 
 def not_in_domain(value: Column, domain: Sequence[str]) -> Column:

@@ -30,6 +30,7 @@ FOLDED = {
 }
 #: What a fence with JSON and a fence with a program look like.
 FENCE = r"```(?:json)?\s*\n?(.*?)\n?\s*```"
+FENCED_OBJECT = r"```(?:json)?\s*(\{.*?\})\s*```"
 CODE = r"```(?:python|py)?[ \t]*\n(.*?)```"
 #: A whole fence (to the end of the text if nothing closes it), or a tag outside of fences.
 _FENCE_OR_TAG = re.compile(r"```.*?(?:```|\Z)|<think>|</think>", re.DOTALL)
@@ -44,17 +45,22 @@ def _column(f: Callable, kind: pa.DataType, schema: str) -> Callable[[Column], C
     return lambda column: F.arrow_udf(rows, schema)(column)
 
 
-def loads(text: str):
-    """Strict JSON; raises ValueError for anything else, deep nesting included."""
+def loads(text: str, **more):
+    """Strict JSON (of equal keys the last counts, nothing may follow the value); raises ValueError for anything else, deep nesting included."""
     try:
-        return json.loads(text)
+        return json.loads(text, **more)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
 
 
+#: What stands for a number that JSON can't write while a value is written, and the number that readers then see.
+_MARK, _BEYOND = "\ue000beyond\ue000", "1e999"
+
+
 def _strict(text: str) -> str | None:
+    """Normal JSON. NaN and the infinities, which some writers give, stay numbers: they become one beyond all others."""
     try:
-        return json.dumps(loads(text))
+        return json.dumps(loads(text, parse_constant=lambda _: _MARK)).replace(json.dumps(_MARK), _BEYOND)
     except ValueError:
         return None
 
@@ -109,14 +115,17 @@ def split_thinking(text: str) -> tuple[str, str, str]:
     return outcome, text[first.end() : last.start()], text[: first.start()] + text[last.end() :]
 
 
+#: Braces, and strings whose braces count for nothing; one that never ends reaches to the end.
+_BRACE = re.compile(r'[{}]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)', re.DOTALL)
+
+
 def balanced_object(text: str) -> str | None:
-    """The first part of the text that is a whole JSON object."""
-    decoder = json.JSONDecoder()
-    for m in re.finditer("{", text):
-        try:
-            return text[m.start() : decoder.raw_decode(text, m.start())[1]]
-        except (ValueError, RecursionError):
-            continue
+    """The first part of the text from a brace to the one that closes it, whether it is JSON or not."""
+    begin, depth = text.find("{"), 0
+    for m in _BRACE.finditer(text, max(begin, 0)) if begin >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return text[begin : m.end()]
     return None
 
 
@@ -147,11 +156,10 @@ def _leading(text: str) -> str | None:
 
 
 def any_object(text: str) -> str | None:
-    """The JSON object in a fence, else the first balanced one; null if neither can be parsed."""
-    for candidate in (m[1] if (m := re.search(FENCE, text, re.DOTALL)) else None, balanced_object(text)):
-        if candidate and (found := _strict(candidate)) and found.startswith("{"):
-            return found
-    return None
+    """The JSON object that a fence holds, else the first balanced part of the text; null if neither is one. No part inside of these is tried."""
+    fenced = re.search(FENCED_OBJECT, text, re.DOTALL)
+    tried = (_strict(x) for x in (fenced and fenced[1], balanced_object(text)) if x)
+    return next((x for x in tried if x and x.startswith("{")), None)
 
 
 def program_of(text: str) -> str | None:

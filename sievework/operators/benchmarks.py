@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.contracts import variant
 from sievework.operators.findings import Rule, check, union
 from sievework.operators.verdicts import first_survivors
 
@@ -72,32 +73,57 @@ def with_pins(rows: DataFrame, content: str) -> DataFrame:
 
 
 def baselines(json: DataFrame, column: str) -> DataFrame:
-    """family, task and baseline from nested maps ``{family: {task: {baseline_solved}}}``."""
-    families = json.select(F.explode(F.from_json(column, "map<string, map<string, struct<baseline_solved: int>>>")).alias("family", "tasks"))
-    return families.select("family", F.explode("tasks").alias("task", "b")).select("family", "task", F.col("b.baseline_solved").alias("baseline"))
+    """family, task and baseline of an instrument: ``{families: {family: {benchmarks: {task: {baseline_solved}}}}}``, or the same maps without these two keys."""
+    parts = lambda v, name: F.coalesce(F.try_variant_get(v, f"$.{name}", "map<string, variant>"), F.try_variant_get(v, "$", "map<string, variant>"))
+    families = json.select(F.explode(parts(variant(F.col(column)), "families")).alias("family", "f"))
+    tasks = families.select("family", F.explode(parts(F.col("f"), "benchmarks")).alias("task", "b"))
+    return tasks.select("family", "task", F.try_variant_get("b", "$.baseline_solved", "int").alias("baseline")).where("baseline IS NOT NULL")
 
 
 def is_oracle(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
 
 
-def floor_findings(grades: DataFrame, candidates: DataFrame, known: DataFrame, margin: int = 2, gate: str = "floor") -> DataFrame:
+#: So many lost rows are named in a finding.
+NAMED = 1000
+
+
+def lost_rows(grades: DataFrame) -> DataFrame:
+    """run, task and row_id of every row that is not passed."""
+    return grades.where(~F.col("status").eqNullSafe(F.lit("pass"))).select("run", "task", "row_id")
+
+
+def floor_findings(grades: DataFrame, candidates: DataFrame, known: DataFrame, margin: int = 2, gate: str = "floor", named: int = NAMED) -> DataFrame:
     """grades: run, task, row_id, status; candidates: run, family, oracle; known: family, task, baseline.
 
     An oracle must solve every row. Others may lose ``margin`` rows against the baseline of their own family; without one they can't be judged.
-    The detail names the rows that were lost.
+    The detail names the rows that were lost if they are few, else it tells their number; ``lost_rows`` has them all.
     """
-    lost = F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") != "pass", F.col("row_id").cast("string")))), ",")
-    own = grades.groupBy("run", "task").agg(F.count_if(F.col("status") == "pass").alias("solved"), F.count("*").alias("total"), lost.alias("lost"))
-    both = own.join(candidates, "run").join(known, ["family", "task"], "left")
+    own = grades.groupBy("run", "task").agg(F.count_if(F.col("status") == "pass").alias("solved"), F.count("*").alias("total"))
+    few = own.where(F.col("total") - F.col("solved") <= named).select("run", "task")
+    lost = lost_rows(grades).join(few, ["run", "task"]).groupBy("run", "task").agg(F.array_join(F.array_sort(F.collect_list(F.col("row_id").cast("string"))), ",").alias("lost"))
+    both = own.join(candidates, "run").join(known, ["family", "task"], "left").join(lost, ["run", "task"], "left")
     oracle = is_oracle(F.col("oracle"))
+    detail = F.concat_ws(":", "task", F.coalesce("lost", (F.col("total") - F.col("solved")).cast("string")))
     return check(both, "run", gate, [
-        Rule("oracle_not_total", oracle & (F.col("solved") < F.col("total")), F.concat_ws(":", "task", "lost")),
+        Rule("oracle_not_total", oracle & (F.col("solved") < F.col("total")), detail),
         Rule("no_baseline", ~oracle & F.col("baseline").isNull(), F.col("task")),
-        Rule("below_floor", ~oracle & (F.col("solved") < F.col("baseline") - margin), F.concat_ws(":", "task", "lost")),
+        Rule("below_floor", ~oracle & (F.col("solved") < F.col("baseline") - margin), detail),
     ])
 
 
+def run_findings(seen: DataFrame, tasks: DataFrame, repetitions: int, contract: DataFrame, floor: DataFrame, contract_gate: str, floor_gates: dict[str, str]) -> DataFrame:
+    """All that speaks against a run, by gate: repetitions that are missing or too many, findings of the contract and of the floor.
+
+    seen: task, rep; contract and floor: task, rep, defect, detail. A floor's gate is that of its task. ``verdicts.failures_by_gate`` tells
+    what the gates mean for the run; a run without findings passes.
+    """
+    own = lambda df, gate: df.select(F.concat_ws("/", "task", "rep").alias("entity_id"), gate.alias("gate"), "defect", "detail")
+    by_task = F.create_map(*(F.lit(x) for kv in floor_gates.items() for x in kv))
+    gaps = repetition_findings(seen, tasks, repetitions).withColumn("detail", F.lit(""))
+    return union(own(gaps, F.lit(contract_gate)), own(contract, F.lit(contract_gate)), own(floor, by_task[F.col("task")]))
+
+
 def repetition_findings(seen: DataFrame, tasks: DataFrame, repetitions: int) -> DataFrame:
     """(task, rep) that should be there and are not, or are there and should not be."""
     grid = tasks.select("task").distinct().select("task", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))

@@ -18,10 +18,20 @@ class Rule:
     detail: Column | None = None
 
 
+def failures(rules: list[Rule]) -> Column:
+    """An array of structs (defect, detail) of the rules that fail."""
+    made = [F.when(r.failed, F.struct(F.lit(r.defect).alias("defect"), (F.lit("") if r.detail is None else F.coalesce(r.detail.cast("string"), F.lit(""))).alias("detail"))) for r in rules]
+    return F.array_compact(F.array(*made))
+
+
 def check(df: DataFrame, entity: str, gate: str, rules: list[Rule]) -> DataFrame:
     """entity_id, gate, defect and detail of every rule that fails, in one pass over df."""
-    made = [F.when(r.failed, F.struct(F.lit(r.defect).alias("defect"), (F.lit("") if r.detail is None else F.coalesce(r.detail.cast("string"), F.lit(""))).alias("detail"))) for r in rules]
-    found = df.select(F.col(entity).alias("entity_id"), F.explode(F.array_compact(F.array(*made))).alias("f"))
+    return found_in(df, entity, gate, failures(rules))
+
+
+def found_in(df: DataFrame, entity: str, gate: str, failed: Column) -> DataFrame:
+    """The findings of an array of ``failures``."""
+    found = df.select(F.col(entity).alias("entity_id"), F.explode(failed).alias("f"))
     return found.select("entity_id", F.lit(gate).alias("gate"), "f.defect", "f.detail")
 
 

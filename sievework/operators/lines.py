@@ -1,82 +1,40 @@
-"""Line-level work on texts: kinds of lines, running states, and scenario files."""
+"""Line-level work on texts: lines, kinds of lines, places in a sequence, and what is out of place in scenario files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that begin a step, and blocks of a scenario file.
-STEP_WORDS = ("Given", "When", "Then", "And", "But", "*")
-BLOCKS = ("Feature", "Background", "Scenario Outline", "Scenario", "Examples", "Rule")
-
+from sievework.functions.exprs import stripped
+from sievework.functions.scenario_files import scenario_parts
+from sievework.operators.ordering import with_running
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no (from 1) and line."""
     return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def line_kind(line: Column) -> Column:
-    """The kind of a line outside quoted blocks."""
-    s = F.trim(line)
-    kind = F.when(s == "", "blank").when(s.startswith('"""') | s.startswith("```"), "quote_mark").when(s.startswith("#"), "comment").when(s.startswith("@"), "tag").when(s.startswith("|"), "table")
-    for b in BLOCKS:
-        kind = kind.when(s.startswith(f"{b}:"), f"block:{b}")
-    return kind.when(F.substring_index(s, " ", 1).isin(*STEP_WORDS), "step").otherwise("other")
-
-
-def running(df: DataFrame, key: str) -> Window:
-    return Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def scenario_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Structural defects of scenario files: key, defect, line_no, line and the scenario it is in.
 
+    No or several features, rules, junk on tag lines, quotes that never end, steps and text in the wrong place.
+    """
+    return out_of_place(scenario_parts(texts, key, text), key)
 
-def classified(df: DataFrame, key: str) -> DataFrame:
-    """Lines (key, line_no, line) with kind, the block they are in, and whether they are quoted.
 
-    A quote mark opens a block and the same mark closes it; other lines in between are quoted.
-    """
-    w = running(df, key)
-    s = F.trim("line")
-    mark = F.when(s.startswith('"""'), '"""').when(s.startswith("```"), "```")
-    rows = df.withColumn("helper__mark", mark).withColumn("kind", line_kind(F.col("line")))
-    # Which marks open or close depends on those before them: a fold over the key's few marks.
-    marks = rows.where("helper__mark IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "helper__mark"))).alias("helper__m"))
-    step = lambda acc, m: F.when(acc["open"] == "", F.struct(m["helper__mark"].alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).when(acc["open"] == m["helper__mark"], F.struct(F.lit("").alias("open"), F.concat(acc["turns"], F.array(m["line_no"])).alias("turns"))).otherwise(acc)
-    turns = F.aggregate("helper__m", F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("turns")), step)["turns"]
-    rows = rows.join(marks.select(key, turns.alias("helper__turns")), key, "left")
-    turned = F.coalesce(F.array_contains("helper__turns", F.col("line_no")), F.lit(False))
-    rows = rows.withColumn("helper__turned", turned).withColumn("helper__odd", F.sum(F.col("helper__turned").cast("int")).over(w) % 2 == 1)
-    rows = rows.withColumn("quoted", F.col("helper__odd") & ~F.col("helper__turned"))
-    block = F.when(~F.col("quoted") & F.col("kind").startswith("block:"), F.substring("kind", 7, 100))
-    return rows.withColumn("block", F.last(block, ignorenulls=True).over(w)).drop("helper__mark", "helper__turns", "helper__turned", "helper__odd")
+def out_of_place(parts: DataFrame, key: str) -> DataFrame:
+    """The same for parts that were read before."""
+    return parts.where("part = 'defect'").select(key, "defect", F.col("line").alias("line_no"), F.col("text").alias("line"), F.col("name").alias("scenario"))
 
 
-def scenario_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Structural defects of scenario files: no or several features, rules, junk on tag lines, steps and text in the wrong place."""
-    rows = classified(lines(texts, key, text), key).where(~F.col("quoted"))
-    w = running(rows, key)
-    is_block = lambda *names: F.col("kind").isin(*(f"block:{n}" for n in names))
-    rows = rows.withColumn("helper__features", F.count_if(is_block("Feature")).over(w))
-    # A feature ends the scenario before it, so steps and text count again from each new block.
-    opened = F.last(F.when(is_block("Feature", "Background", "Scenario", "Scenario Outline"), F.col("line_no")), ignorenulls=True).over(w)
-    inside = F.last(F.when(is_block("Background", "Scenario", "Scenario Outline"), True).when(is_block("Feature"), False), ignorenulls=True).over(w)
-    rows = rows.withColumn("helper__inside", F.coalesce(inside, F.lit(False))).withColumn("helper__opened", F.coalesce(opened, F.lit(0)))
-    started = F.max(F.when((F.col("kind") == "step") | is_block("Examples"), F.col("line_no"))).over(w)
-    rows = rows.withColumn("helper__started", F.col("helper__inside") & (F.coalesce(started, F.lit(0)) > F.col("helper__opened")))
-    defect = (
-        F.when(is_block("Feature") & (F.col("helper__features") > 1), "multiple_feature_blocks")
-        .when(is_block("Rule"), "rule_block_not_in_contract")
-        .when((F.col("kind") == "tag") & F.exists(F.split(F.trim("line"), r"\s+"), lambda t: ~t.startswith("@")), "malformed_tag_line")
-        .when((F.col("kind") == "step") & ~F.col("helper__inside"), "step_outside_scenario")
-        .when((F.col("kind") == "other") & (F.col("helper__features") == 0), "text_before_feature")
-        .when((F.col("kind") == "other") & F.col("helper__started"), "wrapped_step_continuation")
-    )
-    found = rows.select(key, defect.alias("defect"), "line_no").where("defect IS NOT NULL")
-    none = rows.groupBy(key).agg(F.max("helper__features").alias("n")).where("n = 0").select(key, F.lit("no_feature_block").alias("defect"), F.lit(None).cast("int").alias("line_no"))
-    return found.unionByName(none)
+def wrapped_steps(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines that go on with a step, which must stand on one line."""
+    return scenario_findings(texts, key, text).where("defect = 'wrapped_step_continuation'")
 
 
 def line_summary(texts: DataFrame, key: str, text: str) -> DataFrame:
     """For each text its lines by coarse kind and its runs of blank lines; all inside the row, without a shuffle."""
-    coarse = lambda x: F.when(F.trim(x) == "", "blank").when(F.trim(x).startswith("#"), "comment").otherwise("other")
+    coarse = lambda x: F.when(stripped(x) == "", "blank").when(stripped(x).startswith("#"), "comment").otherwise("other")
     kinds = F.transform(F.split(F.col(text), "\n"), coarse)
     state = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("n_blank", "n_comment", "n_other", "n_blank_runs")), F.lit("").alias("before"))
     one = lambda c: c.cast("long")
@@ -91,6 +49,6 @@ def line_summary(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def out_of_sequence(rows: DataFrame, group: str, number: str, order: str, first: int = 1) -> DataFrame:
-    """Rows whose number is not its place in the group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("expected", F.row_number().over(w) + (first - 1)).where(~F.col(number).eqNullSafe(F.col("expected")))
+    """Rows whose number is not its place in the group; a group may be of any size."""
+    placed = with_running(rows, [group], [order], F.lit(1), "expected")
+    return placed.withColumn("expected", (F.col("expected") + (first - 1)).cast("int")).where(~F.col(number).eqNullSafe(F.col("expected")))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.fingerprints import fingerprints
+from sievework.operators.contracts import variant
+from sievework.operators.ordering import numbered_from_zero
 from sievework.sources.staging import staged
 
 
@@ -60,21 +64,47 @@ def open_prerequisites(edges: DataFrame, selected: DataFrame, node: str, needs:
     return own.join(selected.select(F.col(node).alias(needs)), needs, "left_anti").select(node, needs)
 
 
-def unseen_grid(seen: DataFrame, axes: Sequence[DataFrame], most: int = 1_000_000) -> DataFrame:
-    """Combinations of the axes (each a few distinct values) that were not seen.
+#: Cells of a grid that a bitmap of one long holds.
+WORD = 64
+#: An axis of so many values is numbered by one task.
+SHORT_AXIS = 100_000
 
-    The axes are counted first; a grid of more than ``most`` combinations is refused.
+
+def unseen_grid(seen: DataFrame, axes: Sequence[DataFrame]) -> DataFrame:
+    """Combinations of the axes (distinct rows each) that were not seen, of any number.
+
+    The values of the longest axis are keys; the places in the grid of the other axes are numbered. What a key has been seen with are bitmaps,
+    64 places a row, and its unseen places are the bits that are not set in them. So there are as many rows before the last step as a
+    64th of the grid has cells, which are all either seen or in the result. Null is a value like any other.
     """
-    axes = [a.distinct() for a in axes]
-    size = math.prod(a.count() for a in axes)
-    if size > most:
-        raise ValueError(f"the grid has {size} combinations, which is more than {most}")
-    grid = axes[0].groupBy().agg(F.collect_list(F.struct(*axes[0].columns)).alias("helper__0"))
-    for k, a in enumerate(axes[1:], 1):
-        grid = grid.join(F.broadcast(a.groupBy().agg(F.collect_list(F.struct(*a.columns)).alias(f"helper__{k}"))))  # one row each
-    for k, a in enumerate(axes):
-        grid = grid.withColumn(f"helper__{k}", F.explode(f"helper__{k}")).select("*", *(F.col(f"helper__{k}.{c}").alias(c) for c in a.columns)).drop(f"helper__{k}")
-    return grid.join(seen.select(*grid.columns).distinct(), grid.columns, "left_anti")
+    axes = [staged(a.distinct()) for a in axes]
+    sizes = [a.count() for a in axes]
+    longest = sizes.index(max(sizes))
+    key, keys = F.struct(*axes[longest].columns).alias("grid__key"), axes[longest]
+    others = [a for k, a in enumerate(axes) if k != longest]
+    cells = math.prod(n for k, n in enumerate(sizes) if k != longest)
+    if not cells or not sizes[longest]:
+        return reduce(DataFrame.crossJoin, axes).limit(0)
+    placed, place, stride, values = seen, F.lit(0).cast("long"), 1, []
+    for k, a in enumerate(others):
+        n = sizes[k if k < longest else k + 1]
+        number = (lambda d, c: d.withColumn(c, (F.row_number().over(Window.orderBy(*a.columns)) - 1).cast("long"))) if n <= SHORT_AXIS else numbered_from_zero  # noqa: B023
+        own = staged(number(a, f"grid__{k}").select(F.struct(*a.columns).alias(f"grid__value{k}"), f"grid__{k}"))
+        placed = placed.withColumn(f"grid__value{k}", F.struct(*a.columns)).join(own, f"grid__value{k}")
+        place = place + F.col(f"grid__{k}") * stride
+        values.append((own, stride, n))
+        stride *= n
+    word = lambda x: F.floor(x / WORD).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("grid__place") % WORD).cast("int"))
+    masks = placed.select(key, place.alias("grid__place")).groupBy("grid__key", word(F.col("grid__place")).alias("grid__word")).agg(F.bit_or(bit).alias("grid__mask"))
+    words = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((cells - 1) // WORD).cast("long"))).alias("grid__word")
+    every = keys.select(key, words).join(masks, ["grid__key", "grid__word"], "left")
+    free = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: (F.col("grid__word") * WORD + i < cells) & (F.coalesce(F.bit_get("grid__mask", i), F.lit(0)) == 0))
+    out = every.select("grid__key", "grid__word", F.explode(free).alias("grid__bit")).withColumn("grid__place", F.col("grid__word") * WORD + F.col("grid__bit"))
+    for k, (own, step, n) in enumerate(values):
+        out = out.withColumn(f"grid__{k}", F.floor(F.col("grid__place") / step).cast("long") % n).join(own, f"grid__{k}")
+    columns = {k: f"grid__value{k}.*" for k in range(len(others))}
+    return out.select("grid__key.*", *columns.values()).select(*(c for a in axes for c in a.columns))
 
 
 def graded(rows: DataFrame, key: str, facts: Sequence[DataFrame], cases: Sequence[tuple[Column, str]], otherwise: str) -> DataFrame:
@@ -91,23 +121,22 @@ def graded(rows: DataFrame, key: str, facts: Sequence[DataFrame], cases: Sequenc
 def shared_shingles(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """For each document and item: how many distinct word n-grams they share.
 
-    Documents that have no gram of any item fall out first: 64-bit hashes of all grams meet those of the items (which are
-    broadcast if they are few by count). Only the others' grams are written out as words, and joined by these.
+    Documents that have no gram of any item fall out first: texts that share one share a fingerprint of it, of which there are few
+    (those of the items are broadcast if they are few by count). Only the others' grams are written out as words, and joined by these.
     """
 
-    def grams(df: DataFrame, key: str, form) -> DataFrame:
+    def grams(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
         rows = df.select(key, words.alias("helper__w")).where(F.size("helper__w") >= size)
         at = F.sequence(F.lit(1), F.size("helper__w") - (size - 1))
-        return rows.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: form(F.slice("helper__w", i, F.lit(size)))))).alias("gram"))
+        return rows.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("helper__w", i, F.lit(size)), " ")))).alias("gram"))
 
-    hashes = staged(grams(items, item_key, F.xxhash64).select("gram").distinct())
-    few = hashes.count() <= broadcast_rows
-    near = staged(grams(docs, doc_key, F.xxhash64).join(F.broadcast(hashes) if few else hashes, "gram", "left_semi").select(doc_key).distinct())
+    marks = staged(fingerprints(items, item_key, text, size).select("fingerprint").distinct())
+    few = marks.count() <= broadcast_rows
+    near = staged(fingerprints(docs, doc_key, text, size).join(F.broadcast(marks) if few else marks, "fingerprint", "left_semi").select(doc_key).distinct())
     near = F.broadcast(near) if near.count() <= broadcast_rows else near
-    joined = lambda g: F.array_join(g, " ")
-    own = grams(docs.select(doc_key, text).join(near, doc_key, "left_semi"), doc_key, joined)
-    return own.join(grams(items, item_key, joined), "gram").groupBy(doc_key, item_key).agg(F.count("*").alias("n_shared"))
+    own = grams(docs.select(doc_key, text).join(near, doc_key, "left_semi"), doc_key)
+    return own.join(grams(items, item_key), "gram").groupBy(doc_key, item_key).agg(F.count("*").alias("n_shared"))
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int = 8) -> DataFrame:
@@ -133,11 +162,15 @@ def cited_subset(files: DataFrame, cited: DataFrame, key: str) -> tuple[DataFram
 
 
 def record_differences(a: DataFrame, b: DataFrame, key: str, json: str) -> DataFrame:
-    """Fields of JSON records that differ (key, field, defect); a record on one side only has a null field. The order of an object's keys does not matter."""
-    left, right = (d.select(key, F.from_json(json, "map<string, string>").alias(f"helper__{s}")) for d, s in ((a, "l"), (b, "r")))
+    """Fields of JSON records that differ (key, field, defect); a record on one side only has a null field.
+
+    Values are compared at any depth and with their types; the order of an object's keys does not matter.
+    """
+    fields = lambda d: F.transform_values(F.try_variant_get(variant(F.col(json)), "$", "map<string, variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    left, right = (d.select(key, fields(d).alias(f"helper__{s}"), F.lit(True).alias(f"helper__{s}_there")) for d, s in ((a, "l"), (b, "r")))
     both = left.join(right, key, "full_outer")
     names = F.array_union(F.map_keys("helper__l"), F.map_keys("helper__r"))
-    gone = F.when(F.col("helper__r").isNull(), "missing").when(F.col("helper__l").isNull(), "unexpected")
+    gone = F.when(F.col("helper__r_there").isNull(), "missing").when(F.col("helper__l_there").isNull(), "unexpected").when(F.col("helper__l").isNull() != F.col("helper__r").isNull(), "differs")
     whole = both.select(key, F.lit(None).cast("string").alias("field"), gone.alias("defect"))
     each = both.where("helper__l IS NOT NULL AND helper__r IS NOT NULL").select(key, F.explode(names).alias("field"), "helper__l", "helper__r")
     in_l, in_r = F.map_contains_key("helper__l", F.col("field")), F.map_contains_key("helper__r", F.col("field"))

@@ -6,12 +6,15 @@ Each function takes records (entity, json) and gives findings; a finding's entit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.exprs import iso_timestamp
-from sievework.operators.contracts import RECORD, Field, citation_findings, elements, field_citation_findings, flattening_findings, variant, violations
+from sievework.functions.exprs import blank, iso_timestamp
+from sievework.operators.contracts import RECORD, Field, citation_findings, elements, field_citation_findings, flattening_findings, record_of, variant, violations
 from sievework.operators.findings import Rule, check, union
+from sievework.sources.staging import staged
 
 #: The domains of the contracts.
 MODES = ("idea", "extract", "greenfield", "evolve", "impact", "scope")
@@ -45,6 +48,7 @@ def _optional(name: str, kind: str, domain: tuple[str, ...] = ()) -> Field:
     return Field(name, kind, required=False, nullable=True, domain=domain)
 
 
+#: The fields of each kind of record.
 ENRICHMENT = (
     _optional("priority", "string", PRIORITY),
     _optional("moscow", "string", MOSCOW),
@@ -127,26 +131,32 @@ def _shared(rows: DataFrame, entity: str, json: str, gate: str) -> list[DataFram
 
 def _ids(record: Column, epics: str | None, features: str) -> Column:
     """The feature ids of all objects in a list, or in that list of all objects of ``epics``; '?' where one has none."""
-    objects = lambda x, path: F.filter(F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.array().cast("array<variant>")), lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
+    objects = lambda x, path: F.filter(F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.array().cast("array<variant>")), lambda e: F.try_variant_get(e, "$", "map<string, variant>").isNotNull())
     ids = lambda x: F.transform(objects(x, f"$.{features}"), lambda f: F.coalesce(F.try_variant_get(f, "$.feature_id", "string"), F.lit("?")))
     return F.flatten(F.transform(objects(record, f"$.{epics}"), ids)) if epics else ids(record)
 
 
 def duplicate_features(rows: DataFrame, entity: str, json: str, gate: str, epics: str | None, features: str) -> DataFrame:
     """One finding for each record in which a feature id occurs twice, with these ids."""
-    ids = _ids(variant(F.col(json)), epics, features)
+    ids = _ids(record_of(rows, json), epics, features)
     own = rows.select(F.col(entity).alias("entity_id"), F.array_sort(ids).alias("ids"))
     before = F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0)))
     twice = F.array_distinct(F.filter(F.zip_with("ids", F.concat(F.array(F.lit(None).cast("string")), before), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
     return check(own, "entity_id", gate, [Rule("duplicate_feature", F.size(twice) > 0, F.array_join(twice, ","))])
 
 
+def read_once(rows: DataFrame, entity: str, json: str) -> DataFrame:
+    """entity (as text) and json as VARIANT, written: a record's text is read once, however many of its parts are checked."""
+    return staged(rows.select(F.col(entity).cast("string").alias(entity), record_of(rows, json).alias(json)))
+
+
 def roadmap_findings(rows: DataFrame, entity: str, json: str, gate: str = "roadmap") -> DataFrame:
     """A whole roadmap; its flat list of features must hold the ids of the epics' features equally often."""
+    rows = read_once(rows, entity, json)
+    record = F.col(json)
     epics = elements(rows, entity, json, "epics")
-    record = variant(F.col(json))
-    flat = rows.select(F.col(entity).cast("string").alias("entity_id"), _ids(record, "epics", "features").alias("whole"), _ids(record, None, "feature_spec_inputs").alias("parts"))
-    flat = flat.where(F.coalesce(F.schema_of_variant(F.try_variant_get(record, "$.epics", "variant")).startswith("ARRAY") & F.schema_of_variant(F.try_variant_get(record, "$.feature_spec_inputs", "variant")).startswith("ARRAY"), F.lit(False)))
+    both = F.try_variant_get(record, "$.epics", "array<variant>").isNotNull() & F.try_variant_get(record, "$.feature_spec_inputs", "array<variant>").isNotNull()
+    flat = rows.where(both).select(F.col(entity).alias("entity_id"), _ids(record, "epics", "features").alias("whole"), _ids(record, None, "feature_spec_inputs").alias("parts"))
     return union(
         violations(_by_text(rows, entity), entity, json, gate, ROADMAP),
         violations(epics, "entity_id", "json", gate, EPIC),
@@ -160,7 +170,7 @@ def roadmap_findings(rows: DataFrame, entity: str, json: str, gate: str = "roadm
 
 def plan_findings(rows: DataFrame, entity: str, json: str, gate: str = "plan") -> DataFrame:
     """A plan of epics with stubs; its mode is extract, also where none is given."""
-    rows = _by_text(rows, entity)
+    rows = read_once(rows, entity, json)
     at = F.try_variant_get(RECORD, "$.phase_a_completed_at", "variant")
     kind = F.schema_of_variant(at)
     told = kind.isNotNull() & (kind != "VOID") & ~kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
@@ -178,7 +188,8 @@ def plan_findings(rows: DataFrame, entity: str, json: str, gate: str = "plan") -
 
 
 def batch_findings(rows: DataFrame, entity: str, json: str, gate: str = "batch") -> DataFrame:
-    rows = _by_text(rows, entity)
+    """A batch of enrichments, and each of them."""
+    rows = read_once(rows, entity, json)
     return union(
         violations(rows, entity, json, gate, BATCH),
         enrichment_findings(elements(rows, entity, json, "enrichments"), "entity_id", "json", gate),
@@ -220,22 +231,31 @@ def structure_floors(rows: DataFrame, entity: str, json: str, gate: str, epics:
     return check(n, entity, gate, [Rule("too_few_epics", F.col("roadmap__n.epics") < epics, F.col("roadmap__n.epics")), Rule("too_few_features", F.col("roadmap__n.features") < features, F.col("roadmap__n.features"))])
 
 
+def _cites(name: str) -> Callable[[Column], Column]:
+    """Whether a list or an object of that name holds anything."""
+    held = lambda x, kind: F.coalesce(F.size(F.try_variant_get(x, f"$.{name}", kind)), F.lit(0)) > 0
+    return lambda x: held(x, "array<variant>") | held(x, "map<string, variant>")
+
+
+#: What a plan without sources must not have, at any level.
+CITING = ("source_documents", "field_citations", "source_citations", "cited_docs")
+
+
 def nothing_claimed(rows: DataFrame, entity: str, json: str, gate: str, assumptions: int = 3) -> DataFrame:
-    """A plan without sources: no coverage score, no citations at any level, and some assumptions that say something."""
-    record = variant(F.col(json))
-    said = F.size(F.filter(F.coalesce(F.try_variant_get(record, "$.assumptions", "array<variant>"), F.array().cast("array<variant>")), lambda a: F.trim(F.coalesce(F.try_variant_get(a, "$.statement", "string"), F.lit(""))) != ""))
-    cites = lambda key: rf'"{key}"\s*:\s*(\[\s*[^\]\s]|\{{\s*[^}}\s])'
-    score = F.get_json_object(json, "$.coverage_score")
-    return check(
-        rows,
-        entity,
-        gate,
-        [
-            Rule("coverage_claimed", score.isNotNull(), score),
-            *(Rule("cites", F.col(json).rlike(cites(k)), F.lit(k)) for k in ("source_documents", "field_citations", "source_citations", "cited_docs")),
-            Rule("too_few_assumptions", said < assumptions, said),
-        ],
-    )
+    """A plan without sources: no coverage score, no citations at any level, and some assumptions that say something.
+
+    The levels are the plan, its epics and flat features, and the features or stubs of epics; an empty list or object cites nothing.
+    """
+    own = rows.select(F.col(entity).alias("plan__e"), record_of(rows, json).alias("plan__v"))
+    record, nothing = F.col("plan__v"), F.array().cast("array<variant>")
+    under = lambda x, name: F.coalesce(F.try_variant_get(x, f"$.{name}", "array<variant>"), nothing)
+    said = F.size(F.filter(under(record, "assumptions"), lambda a: ~blank(_string(a, "statement"))))
+    epics = under(record, "epics")
+    levels = F.concat(F.array(record), epics, under(record, "feature_spec_inputs"), F.flatten(F.transform(epics, lambda e: F.concat(under(e, "features"), under(e, "feature_stubs")))))
+    score = F.try_variant_get(record, "$.coverage_score", "string")
+    own = own.withColumn("plan__levels", levels).withColumn("plan__said", said)
+    cites = [Rule("cites", F.exists("plan__levels", _cites(n)), F.lit(n)) for n in CITING]
+    return check(own, "plan__e", gate, [Rule("coverage_claimed", score.isNotNull(), score), *cites, Rule("too_few_assumptions", F.col("plan__said") < assumptions, F.col("plan__said"))])
 
 
 def selection_findings(rows: DataFrame, entity: str, json: str, gate: str, mode: str = "scope") -> DataFrame:
@@ -259,8 +279,7 @@ def _string(x: Column, name: str) -> Column:
 
 def requirement_units(rows: DataFrame, entity: str, json: str) -> DataFrame:
     """entity, unit and text of all that states requirements: epics, their features or stubs, and the rationale."""
-    record = variant(F.col(json))
-    own = rows.select(entity, record.alias("roadmap__r"))
+    own = rows.select(entity, record_of(rows, json).alias("roadmap__r"))
     epics = own.select(entity, F.posexplode(F.try_variant_get("roadmap__r", "$.epics", "array<variant>")).alias("place", "e"))
     named = lambda kind, x, key: F.concat(F.lit(f"{kind}:"), F.coalesce(_string(x, key), F.col("place").cast("string")))
     of_epics = epics.select(entity, named("epic", F.col("e"), "id").alias("unit"), _text(F.col("e"), "name", "bounded_context", "description").alias("text"))
@@ -269,14 +288,13 @@ def requirement_units(rows: DataFrame, entity: str, json: str) -> DataFrame:
     limits = F.array_join(F.filter(F.transform(F.try_variant_get("f", "$.constraints", "array<variant>"), lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))), lambda c: c.isNotNull()), "\n")
     parts = [F.nullif(_string(F.col("f"), n), F.lit("")) for n in ("title", "intent", "description", "bounded_context")]
     of_features = features.select(entity, named("feature", F.col("f"), "feature_id").alias("unit"), F.concat_ws("\n", *parts, F.nullif(limits, F.lit(""))).alias("text"))
-    why = own.select(entity, F.lit("priority_rationale").alias("unit"), _string(F.col("roadmap__r"), "priority_rationale").alias("text")).where(F.trim("text") != "")
+    why = own.select(entity, F.lit("priority_rationale").alias("unit"), _string(F.col("roadmap__r"), "priority_rationale").alias("text")).where(~blank(F.col("text")))
     return union(of_epics, of_features, why)
 
 
 def license_statements(rows: DataFrame, entity: str, json: str) -> DataFrame:
     """entity and text of each assumption's statement and of each open question."""
-    record = variant(F.col(json))
-    own = rows.select(entity, record.alias("roadmap__r"))
+    own = rows.select(entity, record_of(rows, json).alias("roadmap__r"))
     said = own.select(entity, F.explode(F.try_variant_get("roadmap__r", "$.assumptions", "array<variant>")).alias("x")).select(entity, _string(F.col("x"), "statement").alias("text"))
     asked = own.select(entity, F.explode(F.try_variant_get("roadmap__r", "$.open_questions", "array<variant>")).alias("x")).select(entity, F.when(F.schema_of_variant("x") == "STRING", F.try_variant_get("x", "$", "string")).alias("text"))
     return said.unionAll(asked).where("text IS NOT NULL")
@@ -286,16 +304,16 @@ def selected_features(rows: DataFrame, entity: str, json: str) -> DataFrame:
     """entity, place, feature_id, title, bounded_context and depends_on of every feature in the epics, in their order."""
     epics = children_of(rows, entity, json, "epics")
     found = children_of(epics, entity, "json", "features", "place")
-    x = variant(F.col("json"))
+    x = F.col("json")
     needs = F.filter(F.transform(F.coalesce(F.try_variant_get(x, "$.depends_on", "array<variant>"), F.array().cast("array<variant>")), lambda d: F.when(F.schema_of_variant(d) == "STRING", F.try_variant_get(d, "$", "string"))), lambda d: d.isNotNull())
     out = found.select(entity, F.struct("place", "inner").alias("place"), _string(x, "feature_id").alias("feature_id"), F.coalesce(_string(x, "title"), F.lit("")).alias("title"), F.coalesce(_string(x, "bounded_context"), F.lit("")).alias("bounded_context"), needs.alias("depends_on"))
     return out.where("feature_id IS NOT NULL")
 
 
 def children_of(rows: DataFrame, entity: str, json: str, field: str, *keys: str) -> DataFrame:
-    inner = F.try_variant_get(variant(F.col(json)), f"$.{field}", "array<variant>")
-    name = "inner" if keys else "place"
-    return rows.select(entity, *keys, F.posexplode(inner).alias(name, "roadmap__c")).select(entity, *keys, name, F.to_json("roadmap__c").alias("json"))
+    """The elements of a list (json, as VARIANT) with their place in it."""
+    inner = F.try_variant_get(record_of(rows, json), f"$.{field}", "array<variant>")
+    return rows.select(entity, *keys, F.posexplode(inner).alias("inner" if keys else "place", "json"))
 
 
 def reference_features(selected: DataFrame, entity: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.exprs import first_present, iso_timestamp, null_unless_any, seconds_between
 from sievework.functions.records import strict_json
+from sievework.operators.ordering import exact_medians
 
 
 def numbered(trials: DataFrame, groups: Sequence[str], started: Column, tie: Column, forced: Column | None = None) -> DataFrame:
@@ -40,8 +41,19 @@ def trial_rows(trials: DataFrame, items: DataFrame | None = None) -> DataFrame:
 
 
 def median_baseline(results: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    return results.groupBy(*groups).agg(F.median(value).alias("baseline"), F.count("*").alias("n_reps"))
+    """The exact median and the number of repetitions of each group; a group may be of any size."""
+    n = results.groupBy(*groups).agg(F.count("*").alias("n_reps"))
+    return _with(n, exact_medians(results, groups, value, "baseline").drop("n"), groups)
 
 
 def latency(results: DataFrame, groups: Sequence[str], seconds: str, digits: int = 2) -> DataFrame:
-    return results.groupBy(*groups).agg(*(F.round(f(seconds), digits).alias(n) for f, n in ((F.min, "min_s"), (F.median, "median_s"), (F.max, "max_s"))), F.count("*").alias("n"))
+    """Least, median and largest duration of each group, which may be of any size."""
+    own = results.groupBy(*groups).agg(F.round(F.min(seconds), digits).alias("min_s"), F.round(F.max(seconds), digits).alias("max_s"), F.count("*").alias("n"))
+    both = _with(own, exact_medians(results, groups, seconds, "median_s").drop("n"), groups)
+    return both.select(*groups, "min_s", F.round("median_s", digits).alias("median_s"), "max_s", "n")
+
+
+def _with(a: DataFrame, b: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """A join by groups, of which null is one."""
+    b = b.select(F.struct(*groups).alias("rollout__g"), *(c for c in b.columns if c not in groups))
+    return a.withColumn("rollout__g", F.struct(*groups)).join(b, "rollout__g").drop("rollout__g")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.exprs import header_counts, header_field, task_type
+from sievework.functions.exprs import blank, blocks_of, header_counts, header_field, stripped, task_type
+from sievework.functions.scenario_files import scenario_parts
 from sievework.operators.anchors import Anchor, first_matches
 from sievework.operators.findings import Rule, check, union
-from sievework.operators.lines import classified, lines
+from sievework.operators.lines import lines, out_of_place
 
 #: Confidences, what people answer, the categories of scenarios and how a summary names them.
 CONFIDENCE = ("high", "medium", "low")
@@ -27,6 +28,7 @@ SUMMARY = {
     "assumptions": r"^\*\*Assumptions\*\*:\s*(\d+)\s+total\s*\((\d+)\s+high\s*/\s*(\d+)\s+medium\s*/\s*(\d+)\s+low",
 }
 HEADER_FIELDS = ("Feature", "Stack", "Assumptions", "Generated")
+MISPLACED = ("no_feature_block", "multiple_feature_blocks", "text_before_feature", "step_outside_scenario", "malformed_tag_line", "rule_block_not_in_contract", "unterminated_docstring")
 TASK_TAG = r"^\s*@task:\S+\s*$"
 
 
@@ -35,44 +37,40 @@ def scenarios(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     Tags and comments above a scenario belong to it, as do the comments inside it.
     """
-    rows = classified(lines(texts, key, text), key).where(~F.col("quoted"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    is_scenario = F.col("kind").isin("block:Scenario", "block:Scenario Outline")
-    # A tag or comment above a scenario counts with the scenario that comes next, if only such lines are between.
-    rows = rows.withColumn("above", F.col("kind").isin("tag", "comment", "blank"))
-    after = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next_kind", F.first(F.when(~F.col("above"), F.col("kind")), ignorenulls=True).over(after))
-    begun = F.sum(is_scenario.cast("int")).over(w)
-    leads = F.col("above") & F.col("next_kind").isin("block:Scenario", "block:Scenario Outline")
-    rows = rows.withColumn("place", begun + leads.cast("int"))
-    inside = (F.col("place") > 0) & (leads | F.coalesce(F.col("block").isin("Scenario", "Scenario Outline", "Examples"), F.lit(False)))
-    line = F.trim("line")
-    of = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(kind, F.struct("line_no", value.alias("x"))))), lambda s: s["x"])
-    return rows.where(inside).groupBy(key, "place").agg(
-        F.max(F.when(is_scenario, F.trim(F.regexp_replace("line", r"^\s*Scenario(?: Outline)?:", "")))).alias("scenario"),
-        F.flatten(of(F.col("kind") == "tag", F.split(line, r"\s+"))).alias("tags"),
-        of(F.col("kind") == "comment", line).alias("comments"),
-        of(F.col("kind") == "step", line).alias("steps"),
-    )
+    return scenarios_of(scenario_parts(texts, key, text), key)
+
+
+def scenarios_of(parts: DataFrame, key: str) -> DataFrame:
+    """The same for parts that were read before."""
+    return parts.where("part = 'scenario'").select(key, "place", F.col("name").alias("scenario"), "tags", "comments", "steps")
 
 
 def requirement_units(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, unit and text of the feature, the background and each scenario; comments and tags state nothing."""
-    rows = classified(lines(texts, key, text), key).where(F.col("quoted") | ~F.col("kind").isin("comment", "tag", "blank", "quote_mark"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    place = F.sum(F.col("kind").isin("block:Scenario", "block:Scenario Outline").cast("int")).over(w)
-    part = F.when(place > 0, F.concat(F.lit("scenario:"), place)).when(F.col("block") == "Background", "background").otherwise("feature")
-    joined = rows.withColumn("unit", part).groupBy(key, "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("x")))), lambda s: s["x"]), "\n").alias("text"))
-    name = F.trim(F.regexp_extract("text", r"^Scenario(?: Outline)?:(.*)", 1))
-    title = r"^(Feature|Background|Scenario Outline|Scenario):\s*"
-    return joined.select(key, F.when(F.col("unit").startswith("scenario:"), F.concat(F.lit("scenario:"), name)).otherwise(F.col("unit")).alias("unit"), F.regexp_replace("text", title, "").alias("text")).where(F.trim("text") != "")
+    unit = F.when(F.col("part") == "scenario", F.concat(F.lit("scenario:"), "name")).otherwise(F.col("part"))
+    told = F.when(F.col("part") == "feature", F.concat_ws("\n", F.coalesce("name", F.lit("")), F.when(F.col("text") != "", F.col("text")))).otherwise(F.col("text"))
+    rows = scenario_parts(texts, key, text).where(F.col("part").isin("feature", "background", "scenario")).select(key, unit.alias("unit"), told.alias("text"))
+    return rows.where(~((F.col("unit") == "feature") & blank(F.col("text"))))
+
+
+def manifest_licenses(entries: DataFrame, key: str) -> DataFrame:
+    """key and text of what licenses requirements: the assumptions of a manifest."""
+    return entries.where("assumption IS NOT NULL").select(key, F.col("assumption").alias("text"))
 
 
 def structure_findings(found: DataFrame, texts: DataFrame, key: str, text: str, story: Sequence[str] = ("As a", "I want", "So that")) -> DataFrame:
-    """Files with a byte order mark or without the lines of a story, and scenarios (of ``scenarios``) without a Then."""
-    whole = [Rule("byte_order_mark", F.col(text).startswith("﻿"))] + [Rule("story_line_missing", ~F.col(text).rlike(rf"(?m)^\s*{s}\b"), F.lit(s)) for s in story]
-    then = F.exists("steps", lambda s: s.startswith("Then "))
-    return union(check(texts, key, "structure", whole), check(found, key, "structure", [Rule("no_then", ~then, F.col("scenario"))]))
+    """Files with a byte order mark, without scenarios or without a part of the story in the feature's description, all that is out of
+    place but for wrapped steps, and scenarios (of ``scenarios``) without steps or without a Then."""
+    parts = scenario_parts(texts, key, text)
+    feature = parts.where("part = 'feature'").select(key, F.lower(F.translate("text", "\n", " ")).alias("structure__story"))
+    n = found.groupBy(key).agg(F.count("*").alias("structure__n"))
+    whole = texts.select(key, F.col(text).startswith("\ufeff").alias("structure__bom")).join(feature, key, "left").join(n, key, "left")
+    told = F.coalesce("structure__story", F.lit(""))
+    rules = [Rule("byte_order_mark", F.col("structure__bom")), Rule("no_scenarios", F.coalesce("structure__n", F.lit(0)) == 0), *(Rule("story_line_missing", ~F.contains(told, F.lit(s.lower())), F.lit(s)) for s in story)]
+    placed = check(out_of_place(parts, key).where("defect <> 'wrapped_step_continuation'"), key, "structure", [Rule(d, F.col("defect") == d, F.col("line_no")) for d in MISPLACED])
+    then = F.exists("steps", lambda s: F.substring_index(s, " ", 1) == "Then")
+    own = [Rule("no_steps", F.size("steps") == 0, F.col("scenario")), Rule("no_then", ~then, F.col("scenario"))]
+    return union(check(whole, key, "structure", rules), placed, check(found, key, "structure", own))
 
 
 def category_findings(found: DataFrame, key: str, least: int = 8) -> DataFrame:
@@ -99,14 +97,14 @@ def banned_language(found: DataFrame, key: str, banned: Sequence[Anchor]) -> Dat
 
 
 def implementation_comments(texts: DataFrame, key: str, text: str) -> DataFrame:
-    return lines(texts, key, text).where(F.col("line").rlike(r"^\s*#\s*Implementation\s*:")).select(key, "line_no", F.trim("line").alias("line"))
+    return lines(texts, key, text).where(F.col("line").rlike(r"^\s*#\s*Implementation\s*:")).select(key, "line_no", stripped(F.col("line")).alias("line"))
 
 
 def header_block(text: Column) -> Column:
     """A struct of the fields in the comments before the feature; of several the last counts."""
     head = F.regexp_extract(text, r"(?s)\A(.*?)(?:^|\n)\s*Feature:", 1)
     own = F.when(head == "", text).otherwise(head)
-    fields = [F.trim(header_field(own, rf"^\s*#+\s*{f}:(.*)$", last=True)).alias(f.lower()) for f in HEADER_FIELDS]
+    fields = [stripped(header_field(own, rf"^\s*#+\s*{f}:(.*)$", last=True)).alias(f.lower()) for f in HEADER_FIELDS]
     return F.struct(header_field(own, r"^\s*#+\s*(Generated by.*?)\s*$", last=True).alias("generated_by"), *fields)
 
 
@@ -114,15 +112,15 @@ def manifest_findings(manifests: DataFrame, entries: DataFrame, key: str, scenar
     """manifests: key, feature, generated, stack (string), review_required (boolean); entries: key, place (from 1) and ENTRY_FIELDS; scenario_names: key, scenario."""
     top = [Rule("top_level_field", F.col(c).isNull(), F.lit(c)) for c in ("feature", "generated", "stack", "review_required")]
     should = F.format_string("ASSUM-%03d", F.col("place").cast("int"))
-    blank = [Rule("entry_field", F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.concat_ws(":", F.coalesce("id", F.concat(F.lit("#"), "place")), F.lit(c))) for c in ENTRY_FIELDS]
+    empty = [Rule("entry_field", blank(F.col(c)), F.concat_ws(":", F.coalesce("id", F.concat(F.lit("#"), "place")), F.lit(c))) for c in ENTRY_FIELDS]
     answer = F.col("human_response")
     domain = [
         Rule("id_not_sequential", F.col("id") != should, F.col("id")),
         Rule("confidence_enum", ~F.col("confidence").isin(*CONFIDENCE), F.col("id")),
         Rule("human_response_enum", ~answer.isin(*ANSWERS) & ~answer.startswith(OVERRIDDEN), F.col("id")),
     ]
-    lost = entries.where(F.trim("scenario") != "").join(scenario_names.select(key, "scenario").distinct(), [key, "scenario"], "left_anti")
-    return union(check(manifests, key, gate, top), check(entries, key, gate, blank + domain), check(lost, key, gate, [Rule("scenario_not_in_feature", F.lit(True), F.col("id"))]))
+    lost = entries.where(~blank(F.col("scenario"))).join(scenario_names.select(key, "scenario").distinct(), [key, "scenario"], "left_anti")
+    return union(check(manifests, key, gate, top), check(entries, key, gate, empty + domain), check(lost, key, gate, [Rule("scenario_not_in_feature", F.lit(True), F.col("id"))]))
 
 
 def automatic_findings(manifests: DataFrame, entries: DataFrame, key: str, gate: str = "automatic") -> DataFrame:
@@ -247,8 +245,29 @@ def mode_findings(tasks: DataFrame, gate: str = "modes", from_complexity: int =
     return check(tasks, "task", gate, [Rule("mode_assignment", mode != should, mode)])
 
 
+def plan_facts(plans: DataFrame, files: DataFrame, key: str, folder: str = "tasks/backlog", needed: Sequence[str] = ("README.md", "IMPLEMENTATION-GUIDE.md"), guide: str = "IMPLEMENTATION-GUIDE.md", drawn_from: int = 3) -> DataFrame:
+    """What ``plan_floors`` asks of plans (key, slug, json of the plan's YAML), from their files (key, path, text).
+
+    n_tasks and n_waves come from the plan; has_diagram: the guide has a flow chart and, from ``drawn_from`` tasks on, a graph of the
+    tasks; has_lint: each implementation task's file speaks of lint; files_missing are those that the folder of the slug lacks.
+    """
+    plan = F.from_json("json", "struct<tasks: array<struct<id: string, file_path: string, task_type: string>>, orchestration: struct<parallel_groups: array<string>>>")
+    none = F.array().cast("array<string>")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    own = plans.select(key, "slug", plan.alias("p")).select(key, "slug", F.col("p.tasks").alias("tasks"), size("p.tasks").alias("n_tasks"), size("p.orchestration.parallel_groups").alias("n_waves"))
+    at = lambda name: F.concat(F.lit(folder + "/"), "slug", F.lit("/"), name)
+    wanted = own.select(key, "slug", F.explode(F.array(*map(F.lit, needed))).alias("name")).select(key, "name", at(F.col("name")).alias("path"))
+    lost = wanted.join(files.select(key, "path"), [key, "path"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("files_missing"))
+    begins = lambda word: F.exists(blocks_of(F.col("text"), "mermaid"), lambda b: F.ltrim(b).startswith(word))
+    drawn = own.select(key, "n_tasks", at(F.lit(guide)).alias("path")).join(files, [key, "path"]).select(key, (begins("flowchart") & ((F.col("n_tasks") < drawn_from) | begins("graph TD"))).alias("has_diagram"))
+    tasks = own.select(key, F.explode("tasks").alias("t")).select(key, F.col("t.file_path").alias("path"), "t.task_type").where(F.coalesce("task_type", F.lit("feature")).isin("feature", "refactor"))
+    linted = tasks.join(files, [key, "path"], "left").groupBy(key).agg(F.bool_and(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("lint"))).alias("has_lint"))
+    out = own.select(key, "n_tasks", "n_waves").join(drawn, key, "left").join(linted, key, "left").join(lost, key, "left")
+    return out.select(key, "n_tasks", "n_waves", F.coalesce("has_diagram", F.lit(False)).alias("has_diagram"), F.coalesce("has_lint", F.lit(True)).alias("has_lint"), F.coalesce("files_missing", none).alias("files_missing"))
+
+
 def plan_floors(plans: DataFrame, key: str, gate: str = "floors", tasks: int = 3, waves: int = 2) -> DataFrame:
-    """plans (key, n_tasks, n_waves, has_diagram, has_lint, files_missing)."""
+    """plans (key, n_tasks, n_waves, has_diagram, has_lint, files_missing), as ``plan_facts`` makes them."""
     return check(plans, key, gate, [
         Rule("too_few_tasks", F.col("n_tasks") < tasks, F.col("n_tasks")),
         Rule("too_few_waves", F.col("n_waves") < waves, F.col("n_waves")),

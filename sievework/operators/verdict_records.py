@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.contracts import variant
-from sievework.operators.findings import Rule, check, keys_as_findings, union
+from sievework.functions.exprs import blank
+from sievework.operators.contracts import record_of, variant
+from sievework.operators.findings import Rule, check, failures, found_in
 
 
 @dataclass(frozen=True)
@@ -36,39 +37,36 @@ def _string(x: Column, name: str) -> Column:
 def verdict_findings(rows: DataFrame, entity: str, json: str, gate: str, grammar: Grammar = VERDICT, load_error: str | None = None) -> DataFrame:
     """What is wrong with each verdict; a record that could not be loaded has the one finding unloadable.
 
-    Findings that are no list end the check of a record. A finding's detail begins with its place.
+    Findings that are no list end the check of a record. A finding's detail begins with its place. A record is read once and checked in one pass.
     """
-    record = variant(F.col(json))
-    listed = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.findings", "variant")).startswith("ARRAY"), F.lit(False))
-    error = F.col(load_error) if load_error else F.lit(None).cast("string")
-    object_error = F.when(~F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False)), F.lit("not_object"))
-    own = rows.select(F.col(entity).alias("entity_id"), record.alias("v"), F.coalesce(error, object_error).alias("error"))
-    loaded = own.where("error IS NULL").select("entity_id", _string(F.col("v"), "verdict").alias("verdict"), listed.alias("listed"), F.try_variant_get("v", "$.findings", "array<variant>").alias("items"))
-    some = F.col("listed") & (F.size("items") > 0)
-    whole = check(
-        loaded,
-        "entity_id",
-        gate,
+    own = rows.select(F.col(entity).alias("entity_id"), (F.col(load_error) if load_error else F.lit(None).cast("string")).alias("error"), record_of(rows, json).alias("v"))
+    is_object = F.try_variant_get("v", "$", "map<string, variant>").isNotNull()
+    error = F.coalesce("error", F.when(~F.coalesce(is_object, F.lit(False)), F.lit("not_object")))
+    own = own.select("entity_id", error.alias("error"), _string(F.col("v"), "verdict").alias("verdict"), F.try_variant_get("v", "$.findings", "array<variant>").alias("items"))
+    listed, some = F.col("items").isNotNull(), F.size("items") > 0
+    whole = failures(
         [
             Rule("verdict_enum", ~F.coalesce(F.col("verdict").isin(grammar.accepting, grammar.rejecting), F.lit(False)), F.col("verdict")),
-            Rule("findings_shape", ~F.col("listed")),
-            Rule(f"{grammar.accepting}_with_findings", (F.col("verdict") == grammar.accepting) & some),
-            Rule(f"{grammar.rejecting}_without_findings", (F.col("verdict") == grammar.rejecting) & F.col("listed") & (F.size("items") == 0)),
-        ],
+            Rule("findings_shape", ~listed),
+            Rule(f"{grammar.accepting}_with_findings", (F.col("verdict") == grammar.accepting) & listed & some),
+            Rule(f"{grammar.rejecting}_without_findings", (F.col("verdict") == grammar.rejecting) & listed & ~some),
+        ]
     )
-    each = loaded.where("listed").select("entity_id", F.posexplode("items").alias("place", "x"))
-    is_object = F.coalesce(F.schema_of_variant("x").startswith("OBJECT"), F.lit(False))
-    at = F.concat(F.lit("findings["), F.col("place"), F.lit("]"))
-    rules = [Rule("finding_shape", ~is_object, at), Rule(f"{grammar.class_field}_enum", is_object & ~F.coalesce(_string(F.col("x"), grammar.class_field).isin(*grammar.classes), F.lit(False)), at)]
-    rules += [Rule(f"finding_{t}", is_object & (F.trim(F.coalesce(_string(F.col("x"), t), F.lit(""))) == ""), at) for t in grammar.texts]
-    broken = check(own, "entity_id", gate, [Rule("unloadable", F.col("error").isNotNull(), F.col("error"))])
-    return union(broken, whole, check(each, "entity_id", gate, rules))
+
+    def single(x: Column, place: Column) -> Column:
+        at, named = F.concat(F.lit("findings["), place, F.lit("]")), F.try_variant_get(x, "$", "map<string, variant>").isNotNull()
+        rules = [Rule("finding_shape", ~named, at), Rule(f"{grammar.class_field}_enum", named & ~F.coalesce(_string(x, grammar.class_field).isin(*grammar.classes), F.lit(False)), at)]
+        return failures([*rules, *(Rule(f"finding_{t}", named & blank(_string(x, t)), at) for t in grammar.texts)])
+
+    each = F.flatten(F.transform(F.coalesce("items", F.array().cast("array<variant>")), single))
+    broken = failures([Rule("unloadable", F.col("error").isNotNull(), F.col("error"))])
+    return found_in(own, "entity_id", gate, F.when(F.col("error").isNotNull(), broken).otherwise(F.concat(whole, each)))
 
 
 def other_verdicts(rows: DataFrame, entity: str, json: str, gate: str, verdict: str) -> DataFrame:
     """Records whose verdict is not the one that must be given."""
-    own = F.get_json_object(json, "$.verdict")
-    return check(rows, entity, gate, [Rule("other_verdict", ~own.eqNullSafe(F.lit(verdict)), own)])
+    own = rows.select(F.col(entity).alias("verdict__e"), _string(record_of(rows, json), "verdict").alias("verdict__own"))
+    return check(own, "verdict__e", gate, [Rule("other_verdict", ~F.col("verdict__own").eqNullSafe(F.lit(verdict)), F.col("verdict__own"))])
 
 
 def found_text(json: Column, grammar: Grammar = VERDICT) -> Column:
@@ -86,15 +84,14 @@ def found_classes(json: Column, grammar: Grammar = VERDICT) -> Column:
 
 def bundle_findings(rows: DataFrame, entity: str, json: str, gate: str, ids: Sequence[str], evidence: Sequence[str], allowed: Sequence[str], own_id: str = "bundle_id") -> DataFrame:
     """Bundles (entity is their directory): ids and evidence that are missing (null counts as there), another id than the directory, and fields that nothing allows."""
-    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    missing = lambda names: F.array_except(F.array(*map(F.lit, names)), keys)
-    other = F.array_sort(F.array_except(keys, F.array(*map(F.lit, [*ids, *evidence, *allowed]))))
-    theirs = F.get_json_object(json, f"$.{own_id}")
-    return union(
-        keys_as_findings(rows, entity, gate, "id_missing", missing(ids)),
-        keys_as_findings(rows, entity, gate, "evidence_missing", missing(evidence)),
-        check(rows, entity, gate, [Rule("other_id", ~theirs.eqNullSafe(F.col(entity).cast("string")), theirs), Rule("unknown_field", F.size(other) > 0, F.array_join(other, ","))]),
-    )
+    rows = rows.select(F.col(entity).alias("bundle__entity"), record_of(rows, json).alias("bundle__v"))
+    rows = rows.withColumn("bundle__keys", F.coalesce(F.map_keys(F.try_variant_get("bundle__v", "$", "map<string, variant>")), F.array().cast("array<string>")))
+    missing = lambda names: F.array_except(F.array(*map(F.lit, names)), F.col("bundle__keys"))
+    other = F.array_sort(F.array_except("bundle__keys", F.array(*map(F.lit, [*ids, *evidence, *allowed]))))
+    theirs = _string(F.col("bundle__v"), own_id)
+    lost = lambda names, defect: F.transform(missing(names), lambda n: F.struct(F.lit(defect).alias("defect"), n.alias("detail")))
+    rules = [Rule("other_id", ~theirs.eqNullSafe(F.col("bundle__entity").cast("string")), theirs), Rule("unknown_field", F.size(other) > 0, F.array_join(other, ","))]
+    return found_in(rows, "bundle__entity", gate, F.concat(lost(ids, "id_missing"), lost(evidence, "evidence_missing"), failures(rules)))
 
 
 # Results of a checker: an envelope (json) and an exit code.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.operators.ordering import with_running
 from sievework.operators.anchors import Anchor, matched_groups
 
 #: What a failed gate means for a run.
@@ -148,9 +149,7 @@ def catch_rates(expected_and_found: DataFrame, bad: Column, flagged: Column, *gr
 def first_survivors(rows: DataFrame, group: Sequence[str], order: Sequence[Column], passed: Column, most: int) -> DataFrame:
     """The first ``most`` rows of each group that pass, and the rows left out before the last of them.
 
-    status is kept or excluded; rows after the last survivor are not looked at.
+    status is kept or excluded; rows after the last survivor are not looked at. A group may be of any size.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    n = F.sum(passed.cast("int")).over(w)
-    out = rows.withColumn("verdict__n", n).withColumn("verdict__p", passed)
+    out = with_running(rows.withColumn("verdict__p", F.coalesce(passed, F.lit(False))), group, order, F.col("verdict__p").cast("int"), "verdict__n", peers=True)
     return out.where((F.col("verdict__n") < most) | ((F.col("verdict__n") == most) & F.col("verdict__p"))).withColumn("status", F.when(F.col("verdict__p"), "kept").otherwise("excluded")).drop("verdict__n", "verdict__p")

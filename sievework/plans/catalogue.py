@@ -116,14 +116,15 @@ def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q04_grounding",
     """SELECT 'supplier' AS corpus, l_suppkey AS key FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey)
-    UNION ALL SELECT 'customer', user_id FROM (SELECT DISTINCT user_id FROM events) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)""",
+    UNION ALL SELECT 'customer', user_id FROM (SELECT DISTINCT user_id FROM events) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)
+    UNION ALL SELECT 'benchmark', doc_id FROM (SELECT DISTINCT doc_id FROM labels) WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE item_id = doc_id)""",
 )
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(corpus: str, cited: str, cites: str, key: str) -> DataFrame:
         found = relations.ungrounded(table(spark, sf_dir, cited).select(F.col(cites).alias("key")), table(spark, sf_dir, corpus).select(F.col(key).alias("key")), "key")
         return found.select(F.lit(corpus).alias("corpus"), "key")
 
-    return of("supplier", "lineitem", "l_suppkey", "s_suppkey").unionAll(of("customer", "events", "user_id", "c_custkey"))
+    return of("supplier", "lineitem", "l_suppkey", "s_suppkey").unionAll(of("customer", "events", "user_id", "c_custkey")).unionAll(of("benchmark", "labels", "doc_id", "item_id"))
 
 
 @query("q05_anchor_matches", f"SELECT doc_id, group_id, ord, regexp_extract(text, pattern) AS matched FROM documents, {_values_sql(ANCHORS)} WHERE regexp_matches(text, pattern)")
@@ -574,7 +575,11 @@ def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.ungrounded(cited.select(F.col("name")), talk.select(F.concat(F.lit("turn-"), F.col("turn")).alias("name")), "name")
 
 
-@query("q48_response_payloads")
+@query(
+    "q48_response_payloads",
+    """SELECT CASE WHEN conv_id % 4 = 3 THEN 'unparseable' ELSE 'ok' END AS state, CASE conv_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'fence' WHEN 2 THEN 'leading' ELSE 'none' END AS source,
+    CASE WHEN conv_id % 4 < 2 THEN 'ok' ELSE 'no_think_block' END AS thinking, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL""",
+)
 def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade over responses that wrap each conversation turn in several ways."""
     talk = table(spark, sf_dir, "conversations").where("role = 'assistant'")

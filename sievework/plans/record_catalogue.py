@@ -27,8 +27,8 @@ def _counted_sql(parts: list[tuple[str, str, str, str]], gate: str, source: str)
     return f"SELECT '{gate}' AS gate, defect, detail, count(*) AS n, count(DISTINCT e) AS n_entities FROM ({rows}) GROUP BY defect, detail"
 
 
-def features(parts: DataFrame) -> DataFrame:
-    """A feature record for each part; what is broken in it follows from its size."""
+def features(parts: DataFrame, *also: str) -> DataFrame:
+    """A feature record for each part (and other columns of it); what is broken in it follows from its size."""
     size = F.col("p_size")
     text = "string"
     record = F.to_json(
@@ -45,7 +45,7 @@ def features(parts: DataFrame) -> DataFrame:
             F.when(size == 20, F.struct(F.array(F.struct(F.lit("doc").alias("document"), F.array(F.lit("1")).alias("section_path"), F.lit(9).alias("line_start"), F.lit(3).alias("line_end"))).alias("title"))).alias("field_citations"),
         )
     )
-    return parts.select(F.col("p_partkey").alias("entity"), "p_size", record.alias("json"))
+    return parts.select(F.col("p_partkey").alias("entity"), "p_size", *also, record.alias("json"))
 
 
 _FEATURE_RULES = [
@@ -62,35 +62,41 @@ def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(roadmaps.feature_findings(features(table(spark, sf_dir, "part")), "entity", "json", "feature"))
 
 
+#: Parts in a plan; so a record is bounded, and there are more of them with more parts.
+PLAN = 50
+
+
 def _lists_of(rows: DataFrame, key: str, json: str = "json", order: str = "entity") -> DataFrame:
-    """key and a JSON list of its records, in order; the groups are brands."""
+    """key and a JSON list of its records, in order; the groups are plans of ``PLAN`` parts."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, json))), lambda x: x[json])
     return rows.groupBy(key).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("list"))
 
 
 @query(
     "q53_roadmap_contract",
-    """WITH f AS (SELECT p_brand AS b, p_type AS t, p_partkey AS k, p_size AS s FROM part), d AS (
+    f"""WITH f AS (SELECT p_partkey // {PLAN} AS b, p_size AS s FROM part), d AS (
     SELECT 'missing_key' AS defect, 'title' AS detail, b, 2 AS n FROM f WHERE s = 3 UNION ALL SELECT 'missing_key', 'suggested_context_files', b, 2 FROM f WHERE s = 13
     UNION ALL SELECT 'too_few_sentences', 'description', b, 2 FROM f WHERE s <= 10 UNION ALL SELECT 'not_in_domain', 'priority', b, 2 FROM f WHERE s % 4 = 3 UNION ALL SELECT 'lines_out_of_order', '', b, 2 FROM f WHERE s = 20
-    UNION ALL SELECT 'not_in_domain', 'mode', b, 1 FROM (SELECT DISTINCT b FROM f) WHERE b = 'Brand#1'
+    UNION ALL SELECT 'not_in_domain', 'mode', b, 1 FROM (SELECT DISTINCT b FROM f) WHERE b % 10 = 1
     UNION ALL SELECT 'not_the_same', '', b, 1 FROM (SELECT DISTINCT b FROM f WHERE s = 50))
-    SELECT b AS brand, defect, detail, sum(n) AS n FROM d GROUP BY ALL""",
+    SELECT CAST(b AS VARCHAR) AS plan, defect, detail, sum(n) AS n FROM d GROUP BY ALL""",
 )
 def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roadmaps of brands: an epic for each type; the flat list lacks the features of size 50 where a brand has some."""
+    """Roadmaps of plans: an epic for each type; the flat list lacks the features of size 50 where a plan has some."""
     parts = table(spark, sf_dir, "part")
-    own = features(parts).join(parts.select(F.col("p_partkey").alias("entity"), "p_brand", "p_type"), "entity")
-    epics = own.groupBy("p_brand", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity", "json"))), lambda x: x["json"]), ",").alias("fs"))
+    plan = F.floor(F.col("p_partkey") / PLAN).alias("plan")
+    own = features(parts.select("*", plan), "plan", "p_type")
+    epics = own.groupBy("plan", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity", "json"))), lambda x: x["json"]), ",").alias("fs"))
     head = F.to_json(F.struct(F.col("p_type").alias("id"), F.col("p_type").alias("name"), F.col("p_type").alias("bounded_context"), F.col("p_type").alias("description"), F.array(F.lit("d")).alias("source_documents")))
-    epics = epics.withColumn("h", head).select("p_brand", F.col("p_type").alias("entity"), F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"features":['), "fs", F.lit("]}")).alias("json"))
-    epics = _lists_of(epics, "p_brand").withColumnRenamed("list", "epics")
-    flat = _lists_of(own.where("p_size <> 50"), "p_brand").withColumnRenamed("list", "flat")
-    mode = F.when(F.col("p_brand") == "Brand#1", "other").otherwise("extract")
-    top = F.to_json(F.struct(F.col("p_brand").alias("project_name"), mode.alias("mode"), F.lit("why").alias("priority_rationale"), F.array().cast("array<string>").alias("constraints_and_dependencies"), F.array().cast("array<string>").alias("open_questions")))
-    maps = epics.join(flat, "p_brand").withColumn("h", top).select(F.col("p_brand").alias("entity"), F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"epics":'), "epics", F.lit(',"feature_spec_inputs":'), "flat", F.lit("}")).alias("json"))
+    epics = epics.withColumn("h", head).select("plan", F.col("p_type").alias("entity"), F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"features":['), "fs", F.lit("]}")).alias("json"))
+    epics = _lists_of(epics, "plan").withColumnRenamed("list", "epics")
+    listed = own.withColumn("json", F.when(F.col("p_size") != 50, F.col("json")))
+    flat = listed.groupBy("plan").agg(F.concat(F.lit("["), F.array_join(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("entity", "json"))), lambda x: x["json"])), ","), F.lit("]")).alias("flat"))
+    mode = F.when(F.col("plan") % 10 == 1, "other").otherwise("extract")
+    top = F.to_json(F.struct(F.col("plan").cast("string").alias("project_name"), mode.alias("mode"), F.lit("why").alias("priority_rationale"), F.array().cast("array<string>").alias("constraints_and_dependencies"), F.array().cast("array<string>").alias("open_questions")))
+    maps = epics.join(flat, "plan").withColumn("h", top).select(F.col("plan").alias("entity"), F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"epics":'), "epics", F.lit(',"feature_spec_inputs":'), "flat", F.lit("}")).alias("json"))
     found = roadmaps.roadmap_findings(maps, "entity", "json")
-    return found.groupBy(F.substring_index("entity_id", ".", 1).alias("brand"), "defect", "detail").agg(F.count("*").alias("n"))
+    return found.groupBy(F.substring_index("entity_id", ".", 1).alias("plan"), "defect", "detail").agg(F.count("*").alias("n"))
 
 
 def verdicts_of(orders: DataFrame) -> DataFrame:
@@ -143,25 +149,23 @@ def q56(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q57_frontmatter",
-    """WITH t AS (SELECT c_nationkey AS plan, c_custkey AS task, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer), d AS (
+    """WITH t AS (SELECT c_custkey AS task, c_mktsegment AS seg, c_custkey % 40 + 1 AS r FROM customer), d AS (
     SELECT task, 'task_file_missing' AS defect FROM t WHERE task % 10 = 0 UNION ALL SELECT task, 'frontmatter_unparseable' FROM t WHERE task % 10 = 1 UNION ALL SELECT task, 'frontmatter_id_mismatch' FROM t WHERE task % 10 = 2
     UNION ALL SELECT task, 'task_type_missing' FROM t WHERE task % 10 = 3 UNION ALL SELECT task, 'task_type_invalid' FROM t WHERE seg = 'BUILDING' AND task % 10 > 3 OR seg = 'BUILDING' AND task % 10 = 2
     UNION ALL SELECT task, 'wave_mismatch' FROM t WHERE r % 2 = 0 AND task % 10 > 1) SELECT defect, count(*) AS n, min(task) AS first_task, max(task) AS last_task FROM d GROUP BY defect""",
 )
 def q57(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans of nations, tasks of customers; the files say wave 1, and every second task is in wave 2."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
-    c = c.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).withColumn("task", F.col("c_custkey").cast("string"))
+    """Plans of forty customers each, tasks of customers; the files say wave 1, and every second task is in wave 2."""
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.floor(key / 40).alias("plan"), "c_custkey", "c_mktsegment", (key % 40 + 1).alias("r"), key.cast("string").alias("task"))
     m = F.col("c_custkey") % 10
     path = F.concat(F.lit("tasks/"), "task", F.lit(".md")).alias("file_path")
-    tasks = c.select("c_nationkey", "task", path)
-    json = F.to_json(F.struct(F.when(m == 2, "other").otherwise(F.col("task")).alias("id"), F.when(m != 3, F.col("c_mktsegment")).alias("task_type"), F.col("c_nationkey").cast("string").alias("feature_id"), F.lit(1).alias("wave")))
-    fronts = c.where(m != 0).select("c_nationkey", path, F.when(m != 1, json).alias("json"))
-    waves = c.groupBy("c_nationkey", F.when(F.col("r") % 2 == 0, 2).otherwise(1).alias("place")).agg(F.collect_list("task").alias("wave"))
-    plans = c.select("c_nationkey").distinct().select("c_nationkey", F.col("c_nationkey").cast("string").alias("plan_id"))
-    found = specs.frontmatter_findings(tasks, fronts, waves, plans, "c_nationkey", ("AUTOMOBILE", "FURNITURE", "MACHINERY", "HOUSEHOLD"))
+    tasks = c.select("plan", "task", path)
+    json = F.to_json(F.struct(F.when(m == 2, "other").otherwise(F.col("task")).alias("id"), F.when(m != 3, F.col("c_mktsegment")).alias("task_type"), F.col("plan").cast("string").alias("feature_id"), F.lit(1).alias("wave")))
+    fronts = c.where(m != 0).select("plan", path, F.when(m != 1, json).alias("json"))
+    waves = c.groupBy("plan", F.when(F.col("r") % 2 == 0, 2).otherwise(1).alias("place")).agg(F.collect_list("task").alias("wave"))
+    plans = c.select("plan").distinct().select("plan", F.col("plan").cast("string").alias("plan_id"))
+    found = specs.frontmatter_findings(tasks, fronts, waves, plans, "plan", ("AUTOMOBILE", "FURNITURE", "MACHINERY", "HOUSEHOLD"))
     number = F.col("entity_id").cast("long")
     return found.groupBy("defect").agg(F.count("*").alias("n"), F.min(number).alias("first_task"), F.max(number).alias("last_task"))
 
@@ -225,7 +229,7 @@ def q60(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q61_floor_and_lost_rows",
     """WITH g AS (SELECT c_mktsegment AS family, o_orderpriority AS task, o_orderkey AS row_id, o_orderstatus = 'F' AS ok FROM orders JOIN customer ON c_custkey = o_custkey), s AS (
-    SELECT family, task, count(*) FILTER (ok) AS solved, count(*) AS total, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)) FILTER (NOT ok) AS lost FROM g GROUP BY ALL)
+    SELECT family, task, count(*) FILTER (ok) AS solved, count(*) AS total, CASE WHEN count(*) FILTER (NOT ok) <= 1000 THEN string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)) FILTER (NOT ok) ELSE CAST(count(*) FILTER (NOT ok) AS VARCHAR) END AS lost FROM g GROUP BY ALL)
     SELECT family AS entity_id, 'floor' AS gate, CASE WHEN family = 'BUILDING' THEN 'oracle_not_total' WHEN task = '2-HIGH' THEN 'no_baseline' ELSE 'below_floor' END AS defect,
     CASE WHEN family <> 'BUILDING' AND task = '2-HIGH' THEN task ELSE concat(task, ':', lost) END AS detail FROM s WHERE CASE WHEN family = 'BUILDING' THEN solved < total WHEN task = '2-HIGH' THEN true ELSE task = '1-URGENT' END""",
 )
@@ -266,18 +270,19 @@ _UNIT_ANCHORS = (Anchor("ring", 1, "ring"), Anchor("red", 1, "red"), Anchor("eco
 
 
 def _plan_records(parts: DataFrame) -> DataFrame:
-    """A plan of each brand: a feature for each part, and an assumption for every part of size 9."""
+    """Plans of ``PLAN`` parts: a feature for each part, and an assumption for every part of size 9."""
+    parts = parts.withColumn("plan", F.floor(F.col("p_partkey") / PLAN).cast("string"))
     feature = F.struct(F.col("p_partkey").cast("string").alias("feature_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.array(F.when(F.col("p_size") == 7, "limit")).alias("constraints"))
     said = F.array_compact(F.collect_list(F.when(F.col("p_size") == 9, F.struct(F.concat(F.lit("we need a "), "p_name").alias("statement")))))
-    own = parts.groupBy("p_brand").agg(F.collect_list(feature).alias("features"), said.alias("assumptions"))
-    json = F.to_json(F.struct(F.array(F.struct(F.col("p_brand").alias("id"), F.col("p_brand").alias("name"), "features")).alias("epics"), "assumptions", F.array(F.lit("who?")).alias("open_questions"), F.lit("all of it").alias("priority_rationale")))
-    return own.select(F.col("p_brand").alias("entity"), json.alias("json"))
+    own = parts.groupBy("plan").agg(F.collect_list(feature).alias("features"), said.alias("assumptions"))
+    json = F.to_json(F.struct(F.array(F.struct(F.col("plan").alias("id"), F.concat(F.lit("plan "), "plan").alias("name"), "features")).alias("epics"), "assumptions", F.array(F.lit("who?")).alias("open_questions"), F.lit("all of it").alias("priority_rationale")))
+    return own.select(F.col("plan").alias("entity"), json.alias("json"))
 
 
 @query(
     "q64_requirement_units",
-    """SELECT p_brand AS entity, concat('feature:', p_partkey) AS unit, concat(p_name, chr(10), p_type, CASE WHEN p_size = 7 THEN concat(chr(10), 'limit') ELSE '' END) AS text FROM part
-    UNION ALL SELECT DISTINCT p_brand, concat('epic:', p_brand), p_brand FROM part UNION ALL SELECT DISTINCT p_brand, 'priority_rationale', 'all of it' FROM part""",
+    """SELECT CAST(p_partkey // 50 AS VARCHAR) AS entity, concat('feature:', p_partkey) AS unit, concat(p_name, chr(10), p_type, CASE WHEN p_size = 7 THEN concat(chr(10), 'limit') ELSE '' END) AS text FROM part
+    UNION ALL SELECT DISTINCT CAST(p_partkey // 50 AS VARCHAR), concat('epic:', CAST(p_partkey // 50 AS VARCHAR)), concat('plan ', CAST(p_partkey // 50 AS VARCHAR)) FROM part UNION ALL SELECT DISTINCT CAST(p_partkey // 50 AS VARCHAR), 'priority_rationale', 'all of it' FROM part""",
 )
 def q64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roadmaps.requirement_units(_plan_records(table(spark, sf_dir, "part")), "entity", "json")
@@ -285,10 +290,10 @@ def q64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q65_licensed_units",
-    """WITH a AS (SELECT p_brand AS entity, concat('feature:', p_partkey) AS unit, g.group_id, coalesce(nullif(regexp_extract(concat(p_name, chr(10), p_type), g.p1), ''), regexp_extract(concat(p_name, chr(10), p_type), g.p2)) AS matched
+    """WITH a AS (SELECT CAST(p_partkey // 50 AS VARCHAR) AS entity, concat('feature:', p_partkey) AS unit, g.group_id, coalesce(nullif(regexp_extract(concat(p_name, chr(10), p_type), g.p1), ''), regexp_extract(concat(p_name, chr(10), p_type), g.p2)) AS matched
         FROM part, (VALUES ('ring', 'ring', 'ring'), ('red', 'red', 'red'), ('economy', 'ECONOMY', 'ECONOMY'), ('bolt', 'bolt', 'blue')) g(group_id, p1, p2)),
     h AS (SELECT * FROM a WHERE matched <> ''), own AS (SELECT DISTINCT entity, group_id FROM h),
-    s AS (SELECT p_brand AS entity, p_partkey, g.group_id FROM part, (VALUES ('ring', 'ring', 'ring'), ('red', 'red', 'red'), ('economy', 'ECONOMY', 'ECONOMY'), ('bolt', 'bolt', 'blue')) g(group_id, p1, p2)
+    s AS (SELECT CAST(p_partkey // 50 AS VARCHAR) AS entity, p_partkey, g.group_id FROM part, (VALUES ('ring', 'ring', 'ring'), ('red', 'red', 'red'), ('economy', 'ECONOMY', 'ECONOMY'), ('bolt', 'bolt', 'blue')) g(group_id, p1, p2)
         WHERE p_size = 9 AND (contains(p_name, p1) OR contains(p_name, p2))),
     ok AS (SELECT entity, p_partkey FROM s JOIN own USING (entity, group_id) GROUP BY ALL HAVING count(*) <= 2), l AS (SELECT DISTINCT entity, group_id FROM s JOIN ok USING (entity, p_partkey))
     SELECT entity, unit, group_id, matched FROM h ANTI JOIN l USING (entity, group_id)""",
@@ -300,7 +305,7 @@ def q65(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.unlicensed(units, said, "entity", "text", _UNIT_ANCHORS).select("entity", "unit", "group_id", "matched")
 
 
-@query("q66_selection", "SELECT p_brand AS entity, CAST(p_partkey AS VARCHAR) AS feature_id, p_name AS title, '' AS bounded_context, 0 AS n_needs FROM part")
+@query("q66_selection", "SELECT CAST(p_partkey // 50 AS VARCHAR) AS entity, CAST(p_partkey AS VARCHAR) AS feature_id, p_name AS title, '' AS bounded_context, 0 AS n_needs FROM part")
 def q66(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = roadmaps.selected_features(_plan_records(table(spark, sf_dir, "part")), "entity", "json")
     return roadmaps.reference_features(chosen, "entity").select("entity", "feature_id", "title", "bounded_context", F.size("depends_on").alias("n_needs"))

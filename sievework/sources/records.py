@@ -5,6 +5,11 @@ All scans are distributed reads of a glob; a file that is missing or broken beco
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +26,14 @@ def texts(spark: SparkSession, glob: str, key_pattern: str, *keys: str) -> DataF
 def folders(spark: SparkSession, root: str, needed: str) -> DataFrame:
     """name and complete of every folder under the root: whether it holds the file ``needed``; empty folders are there too.
 
-    A listing of one level, by the file system that holds the root.
+    Two listings, by the file system that holds the root: of its folders, and of the files of that name in them.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = [(s.getPath().getName(), found.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), needed))) for s in found.listStatus(path) if s.isDirectory()]
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = system.globStatus(jvm.org.apache.hadoop.fs.Path(path, f"*/{needed}")) or []
+    complete = {s.getPath().getParent().getName() for s in held}
+    rows = [(name, name in complete) for name in (s.getPath().getName() for s in system.listStatus(path) if s.isDirectory())]
     return spark.createDataFrame(rows, "name string, complete boolean").orderBy("name")
 
 
@@ -111,10 +118,32 @@ def checksum_list(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob).where(F.trim("value") != "").select(parts[0].alias("sha256"), F.ltrim(parts[1], F.lit("*")).alias("name"))
 
 
+#: Bytes of a file that are read at a time.
+CHUNK_BYTES = 8 << 20
+
+
 def file_hashes(spark: SparkSession, glob: str, key_pattern: str, key: str) -> DataFrame:
-    """The key and SHA-256 of the bytes of each file."""
-    rows = spark.read.format("binaryFile").load(glob)
-    return rows.select(F.regexp_extract("path", key_pattern, 1).alias(key), F.sha2("content", 256).alias("sha256"))
+    """The key and SHA-256 of the bytes of each file; files of any size, each read by one task as a stream."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            sums = []
+            for path in b["path"].to_pylist():
+                system, where = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(where) as f:
+                    while part := f.read(CHUNK_BYTES):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(sums, pa.string())], names=["path", "sha256"])
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [(re.sub("^file:/+", "file:///", s.getPath().toString()),) for s in found if s.isFile()]  # Spark's own scans leave out empty files
+    rows = spark.createDataFrame(names, "path string").repartition("path").mapInArrow(hashed, "path string, sha256 string")
+    return rows.select(F.regexp_extract("path", key_pattern, 1).alias(key), "sha256")
 
 
 def json_lines(spark: SparkSession, glob: str) -> DataFrame:

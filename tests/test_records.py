@@ -358,7 +358,7 @@ def test_responses_and_programs(spark):
     assert records.split_thinking("</think>x")[0] == "no_think_block" and records.split_thinking("</think><think>")[0] == "think_block_out_of_order"
     assert records.split_thinking("<think>a</think>b<think>c</think>")[0] == "several_think_blocks" and records.split_thinking("x<think>a</think>y") == ("ok", "a", "xy")
     assert records.program_of("```py\nx\n```") == "x\n" and records.program_of(" ") is None
-    assert records.balanced_object('a {x} {"b": {"c": "}"}} d') == '{"b": {"c": "}"}}'
+    assert records.balanced_object('a {x} {"b": {"c": "}"}} d') == "{x}" and records.balanced_object('a {"b": {"c": "}"}} d {x}') == '{"b": {"c": "}"}}'
     text = "a ```json\n{1}\n``` ```dcl\nb // c\n```"
     row = spark.createDataFrame([(text, "line\n@t\nlast")], "t string, u string").select(
         exprs.first_fence(F.col("t")), exprs.blocks_of(F.col("t"), "dcl"), exprs.without_comments(F.lit("a // b")), exprs.missing_parts(F.col("t"), ["json", "zz"]), exprs.lines_without(F.col("u"), "^@"), exprs.tail(F.lit("abc"), 2),
