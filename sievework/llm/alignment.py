@@ -33,7 +33,7 @@ from sievework.llm.common import pack, staged, unpack
 from sievework.llm.kernels import gathered, pretoken_codes, strings, utf8
 
 #: Bytes of text in a chunk, unless one text has more.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Groups that make more pairs than this have equal ids counted before they are paired.
 MANY = 1 << 12
 NONE, A_END, B_END, BOTH = b"-AB*"

@@ -1,7 +1,7 @@
 """Staged tables and document blocks that several operators share.
 
 A *block* is a set of documents picked by a hash of their id and text, of about ``BLOCK_BYTES`` of text; rows that
-are alike are spread over several blocks once they hold ``ALIKE_BYTES``. Operators that need one fact about every
+are alike are spread over several blocks once they hold ``ALIKE_BYTES`` together, in whatever tasks they lie. Operators that need one fact about every
 distinct word (or q-gram) of the corpus first make the distinct keys of each block, deal those to *parts* by key, settle
 each key once, and send the answers back to the blocks. So a frequent key costs one row for each block and never one for
 each occurrence. Words have ``PARTS`` parts at most, however many blocks there are, and a part's messages are
@@ -78,7 +78,25 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield from _by_block(held, n)
 
-    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(packed, PACKED).repartition(min(n, TASKS), "block")
+    return _with_turns(docs).mapInArrow(packed, PACKED).repartition(min(n, TASKS), "block")
+
+
+def _with_turns(docs: DataFrame) -> DataFrame:
+    """The rows with their key, and a turn that goes up with every ``ALIKE_BYTES`` of rows that are alike.
+
+    Rows that are alike and hold so much are counted over all tasks, taken once and made again with running numbers, so neither
+    their order nor their partitions matter.
+    """
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    size = F.octet_length("text")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(size).alias("size")).where((F.col("n") > 1) & (F.col("n") * F.col("size") >= ALIKE_BYTES))
+    many = staged(many.select("key"))
+    if many.isEmpty():
+        return keyed.withColumn("turn", F.lit(0).cast("long"))
+    rest = keyed.join(many, "key", "left_anti").select("doc_id", "text", "key", F.lit(0).cast("long").alias("turn"))
+    once = keyed.join(many, "key", "left_semi").groupBy("doc_id", "text", "key").agg(F.count("*").alias("n"))
+    again = once.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rest.unionAll(again.select("doc_id", "text", "key", F.floor(F.col("k") * size / ALIKE_BYTES).cast("long").alias("turn")))
 
 
 # Messages (part, block, data) between blocks and parts where a part has to see all of its messages at once.
@@ -156,16 +174,11 @@ class Exchange:
         return sorted(x for data in table["data"] for x in pickle.loads(data.as_buffer()))
 
 
-def _blocks(keys: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
-    """The block of each row: by its key, and by a number that goes up with every ALIKE_BYTES of rows with that key."""
+def _blocks(keys: np.ndarray, turns: np.ndarray, n: int) -> np.ndarray:
+    """The block of each row, by its key and turn."""
     from sievework.llm.kernels import mixed
 
-    order = np.argsort(keys, kind="stable")
-    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    start = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-    turn = np.empty(len(keys), np.int64)
-    turn[order] = (np.arange(len(keys)) - start) * sizes[order] // ALIKE_BYTES
-    return (mixed(keys.astype(np.uint64) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int32)
+    return (mixed(keys.astype(np.uint64) + turns.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int32)
 
 
 def _by_block(held: list[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +187,7 @@ def _by_block(held: list[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     if not table.num_rows:
         return
-    blocks = _blocks(table["key"].to_numpy(), np.diff(utf8(table["text"])[1]), n)
+    blocks = _blocks(table["key"].to_numpy(), table["turn"].to_numpy(), n)
     order = np.argsort(blocks, kind="stable")
     table, blocks = table.take(pa.array(order)), blocks[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
@@ -214,7 +227,7 @@ def dealt(words: list[bytes], which: Iterable[int], n: int) -> list[list[int]]:
 
 def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
     """Sizes and joined bytes of words."""
-    return pack(np.array([len(w) for w in words], np.uint32)), zstandard.ZstdCompressor(level=6).compress(b"".join(words))
+    return pack(np.array([len(w) for w in words], np.uint32)), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
 
 
 def unpack_words(sizes: bytes | pa.Scalar, joined: bytes | pa.Scalar) -> list[bytes]:

@@ -13,7 +13,7 @@ about the square root of the vocabulary: the probability of a token is that of i
 each normalised by a batched matrix product.
 
 In each round every block starts from the same model and takes numpy gradient steps that tell its tokens from noise (of
-groups, and of tokens of the same group); the models are averaged by their number of tokens in whole numbers, so neither the
+groups, and of tokens of the same group); each of its tokens is a target in one of the rounds, and in all of them in a small corpus; the models are averaged by their number of tokens in whole numbers, so neither the
 order nor the partitions matter. Blocks and their number follow from the documents alone: the same documents
 give the same model and scores on every cluster.
 
@@ -42,8 +42,8 @@ from sievework.llm.kernels import LOWER, word_codes
 FOLDS, HELD = 7, 2
 BLOCK_BYTES = 8 << 20
 CONTEXT, WIDTH, TAIL = 3, 16, 8
-#: All rounds together take steps for ``EPOCHS`` times the tokens of each block.
-ROUNDS, EPOCHS, BATCH, RATE = 2, 0.6, 1024, 0.1
+#: In each round a block takes steps over its own share of its tokens, so that all rounds together have every token as a target once.
+ROUNDS, BATCH, RATE = 2, 1024, 0.1
 #: Noise samples that count for each token, and the groups drawn for a batch.
 NOISE, SHARED_NOISE, GROUP_NOISE = 8.0, 32, 3
 #: Steps of a block in a round, at least; a corpus of a few documents is gone over several times.
@@ -268,8 +268,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens: np.ndarray, begin: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """Noise-contrastive gradient steps (AdaGrad) over the tokens in a random order; gives all parameters in one array."""
+def targets(tokens: int, block: int, number: int) -> np.ndarray:
+    """The places of a block's tokens that a round goes over, in random order: each place in one of the rounds."""
+    return np.random.RandomState(block).permutation(tokens)[number::ROUNDS]
+
+
+def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens: np.ndarray, begin: np.ndarray, order: np.ndarray, seed: int) -> np.ndarray:
+    """Noise-contrastive gradient steps (AdaGrad) over the places in ``order``; gives all parameters in one array.
+
+    The last step is filled up with other places, and where there are few, all are gone over until ``MIN_STEPS`` are taken.
+    """
+    steps = max(MIN_STEPS, math.ceil(len(order) / BATCH))
     p = Parameters(vocabulary, start)
     width = vocabulary.width
     q = vocabulary.shares()
@@ -291,7 +300,6 @@ def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens:
             array[rows] += gradient * (RATE / np.sqrt(squares[rows]))
 
     dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-    order = np.zeros(0, np.int64)
     for _ in range(steps):
         while len(order) < BATCH:
             order = np.concatenate([order, random.permutation(len(tokens))])
@@ -299,12 +307,12 @@ def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens:
         w = tokens[at]
         by_token, first, row = _runs(w, len(p.bias))  # tokens of a group are neighbours, so this brings groups together too
         at, w = at[by_token], w[by_token]
-        c, g = around[:, at], w // width
-        held = p.context[c]  # CONTEXT x BATCH x WIDTH
+        c, g = around.take(at, axis=1), w // width
+        held = p.context.take(c, axis=0)  # CONTEXT x BATCH x WIDTH
         guess = np.einsum("jbd,jd->bd", held, p.position)
         # Groups: noise that the whole batch shares.
         noise = np.minimum(np.searchsorted(group_ends, random.random_sample(SHARED_NOISE)), len(group_ends) - 1)
-        vg, vn = p.group[g], p.group[noise]
+        vg, vn = p.group.take(g, axis=0), p.group[noise]
         up = _sigmoid(group_offset[g] - dot(guess, vg) - p.group_bias[g])
         down = (NOISE / SHARED_NOISE) * _sigmoid(guess @ vn.T + p.group_bias[noise] - group_offset[noise])
         back = up[:, None] * vg - down @ vn
@@ -315,14 +323,14 @@ def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens:
         drawn = low[:, None] + random.random_sample((len(group), GROUP_NOISE)) * (token_ends[(group + 1) * width] - low)[:, None]
         other = np.clip(np.searchsorted(token_ends, drawn, "right") - 1, 0, vocabulary.size - 1)
         of = np.repeat(np.arange(len(group)), np.diff(np.append(edge, BATCH)))
-        vw = p.token[w]
+        vw = p.token.take(w, axis=0)
         up_own = _sigmoid(offset[w] - dot(guess, vw) - p.bias[w])
         back += up_own[:, None] * vw
         apart = []
         for k in range(GROUP_NOISE):
             o = other[:, k]
-            vo = p.token[o][of]
-            away = _sigmoid(dot(guess, vo) + (p.bias[o] - offset[o])[of])
+            vo = p.token[o].take(of, axis=0)
+            away = _sigmoid(dot(guess, vo) + (p.bias[o] - offset[o]).take(of))
             back -= away[:, None] * vo
             apart.append((o, -np.add.reduceat(away[:, None] * guess, edge, axis=0), -np.add.reduceat(away, edge)))
         for o, vectors, biases in apart:  # a token may be drawn again
@@ -337,7 +345,7 @@ def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens:
         step("group", noise_row, np.add.reduceat(-(down.T @ guess)[by_noise], start_at, axis=0))
         step("group_bias", noise_row, np.add.reduceat(-down.sum(0)[by_noise], start_at))
         by_context, start_at, context_row = _runs(c.ravel(), len(p.bias))
-        step("context", context_row, np.add.reduceat((p.position[:, None, :] * back).reshape(-1, WIDTH)[by_context], start_at, axis=0))
+        step("context", context_row, np.add.reduceat((p.position[:, None, :] * back).reshape(-1, WIDTH).take(by_context, axis=0), start_at, axis=0))
         step("position", np.arange(CONTEXT), np.einsum("jbd,bd->jd", held, back) / 16)  # every token moves these, so they go slower
     return p.values
 
@@ -439,7 +447,7 @@ def train_round(blocks: DataFrame, vocabulary: Vocabulary, start: np.ndarray | N
                 tokens, begin = _training(ids, unpack(sizes, np.int64), unpack(tokens, np.uint32))
                 if not len(tokens):
                     continue
-                x = contrastive_steps(vocabulary, start, tokens, begin, max(MIN_STEPS, math.ceil(EPOCHS * len(tokens) / ROUNDS / BATCH)), block * ROUNDS + number)
+                x = contrastive_steps(vocabulary, start, tokens, begin, targets(len(tokens), block, number), block * ROUNDS + number)
                 own = 1 + len(tokens) // 1024
                 x = np.rint(x / UNIT).astype(np.int64) * own
                 total, weight = (x if total is None else total + x), weight + own

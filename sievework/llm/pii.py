@@ -2,8 +2,9 @@
 
 One Aho-Corasick pass finds at-signs, schemes, plus signs, digits and identifier cues; small parsers expand
 each anchor to the left and right and validate what they find. Base kinds are email, ip, card and phone;
-the method adds url_user (credentials in an address), iban and account (a number after a cue: 6 to 17 digits that are neither a
-date nor a telephone number, and no IBAN with a wrong checksum).
+the method adds url_user (credentials in an address), iban (after a cue, as long as its country says) and account (a number after a
+cue: 6 to 17 digits that are neither a date nor a telephone number, and no IBAN with a wrong checksum). Of what follows a number only
+parts that have digits of their own belong to it.
 
 Defined results: null or empty text has no spans; repeated rows give repeated rows; ids may be null; an empty table gives no rows;
 spans of different kinds may overlap, those at one place come in the order of the kinds; a text of any length is searched
@@ -30,9 +31,16 @@ CUES = ("account", "acct", "konto", "cuenta", "compte", "iban", "passport", "ssn
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[\x20]*(?:(?:no|nr|number)\.?)?[\x20]*[:#=]?[\x20]*([A-Z]{0,2}[0-9](?:[\x20-]?[0-9A-Z]){5,30})(?![0-9A-Za-z])")
+_LEAD = re.compile(r"[\x20]*(?:(?:no|nr|number)\.?)?[\x20]*[:#=]?[\x20]*(?=[A-Z]{0,2}[0-9])")
+_NUMBER = re.compile(r"[A-Z]{0,2}[0-9][0-9A-Z]{0,30}(?:[\x20-][A-Z]{0,2}[0-9][0-9A-Z]{0,30}){0,15}(?![0-9A-Za-z])")
 _USER = re.compile(r"([A-Za-z0-9._%+-]+):([^\s:/@]+)@[A-Za-z0-9.-]+")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}")
+#: How many characters an IBAN has, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH_OF = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 #: Numbers that are no account: dates, and telephone numbers without a plus.
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-\x20]?(?:0[1-9]|1[0-2])[-\x20]?(?:0[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0[1-9]|[12][0-9]|3[01])[-\x20](?:0[1-9]|1[0-2])[-\x20](?:19|20)[0-9]{2}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?:[0-9]{3}[-\x20])?[0-9]{3}[-\x20][0-9]{4}")
@@ -123,13 +131,27 @@ def phones(text: str, plus: list[int]) -> list[Span]:
     return [(m.start(), 3, m.end()) for m in found if m and 10 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
-def number_kind(value: str) -> int | None:
-    """Whether what follows a cue is an IBAN (5), an account (6) or neither."""
-    if _IBAN.fullmatch(value):
-        return 5 if iban_valid(re.sub("[ -]", "", value)) else None
-    if _DATE.match(value) or _LOCAL_PHONE.fullmatch(value):
+def _iban_end(text: str, start: int) -> int:
+    """Where as many characters as the country's IBANs have end, with single blanks between them; 0 if there are not so many."""
+    left, p = _LENGTH_OF.get(text[start : start + 2], 0), start
+    while left and p < len(text):
+        if text[p] == " " and text[p - 1] != " ":
+            p += 1
+        elif text[p].isascii() and (text[p].isdigit() or text[p].isupper()):
+            p, left = p + 1, left - 1
+        else:
+            return 0
+    return p if p > start and not left and not text[p : p + 1].isalnum() else 0
+
+
+def number_at(text: str, start: int) -> Span | None:
+    """What begins after a cue: an IBAN (5), an account (6) or neither. What has an IBAN's form but not its checksum is neither."""
+    if _IBAN.match(text, start) and (end := _iban_end(text, start)):
+        return (start, 5, end) if iban_valid(text[start:end].replace(" ", "")) else None
+    m = _NUMBER.match(text, start)
+    if not m or _DATE.match(m[0]) or _LOCAL_PHONE.fullmatch(m[0]):
         return None
-    return 6 if LEAST_DIGITS <= sum(c.isdigit() for c in value) <= MOST_DIGITS else None
+    return (start, 6, m.end()) if LEAST_DIGITS <= sum(c.isdigit() for c in m[0]) <= MOST_DIGITS else None
 
 
 def spans(text: str) -> list[Span]:
@@ -149,8 +171,8 @@ def spans(text: str) -> list[Span]:
         if m := _USER.match(text, p):
             out.append((m.start(), 4, m.end()))
     for p in cues if digits else ():
-        if (m := _NUMBER.match(text, p)) and (kind := number_kind(m[1])):
-            out.append((m.start(1), kind, m.end(1)))
+        if (m := _LEAD.match(text, p)) and (found := number_at(text, m.end())):
+            out.append(found)
     return sorted(set(out))
 
 

@@ -2,7 +2,8 @@
 
 Besides assignments, access keys and long hex strings, strings of ``MIN_RANDOM`` characters or more that a
 BPE vocabulary spends many tokens on (under ``MAX_RATIO`` characters a token) are taken for random, unless
-they are digests of a known length, UUIDs, dates, plain numbers or names in one letter case without digits.
+they are digests of a known length, UUIDs, dates, plain numbers or names in one letter case without digits. Words that - and _ join (slugs,
+file names, identifiers) cost many tokens too, so words, numbers and short forms of both between such marks are no evidence (``evidence``).
 A run of characters is tested in what the fixed forms leave of it: as a whole (with digits, and without / . = inside), in all
 windows of tokens of each segment between / . and =, and in windows over several segments if they hold both letter cases and digits, as
 base64 does and most paths don't. So words around a random string don't hide it; a window is widened to the next of / . =.
@@ -40,12 +41,20 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.+/_=-]+")
+#: Digests as pages write them.
+_INTEGRITY = r"sha(?:256|384|512)-[A-Za-z0-9+/]{43,86}={0,2}"
 #: Forms that are left out wherever they stand by themselves; the rest of the run is tested.
 _APART = re.compile(
     r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_]?[0-9][0-9.+-]*Z?)?|"
     + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in DIGEST_LENGTHS)
-    + r")(?![A-Za-z0-9])"
+    + r")(?![A-Za-z0-9])|(?<![A-Za-z0-9])"
+    + _INTEGRITY
 )
+#: What stands between - and _ in names: words, numbers, versions and short codes.
+_ORDINARY = re.compile("[A-Z]{1,15}|[A-Z]?[a-z]{1,15}|[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15})+|[0-9]+|0x[0-9a-fA-F]{1,16}|[A-Za-z]{1,8}[0-9]{1,6}|[0-9]{1,6}[A-Za-z]{1,4}")
+_JOINTS = re.compile("[-_/.=]")
+#: So many characters of a string must not be of an ordinary form.
+LEAST_EVIDENCE = 16
 _PARTED = "/.="
 _PARTS = re.compile("[/.]|=(?!=*$)")
 _SEGMENT = re.compile("[^/.=]{20,}")
@@ -61,13 +70,20 @@ def _of_all_kinds(value: str) -> bool:
     return any(c.islower() for c in value) and any(c.isupper() for c in value) and any(c.isdigit() for c in value)
 
 
+def evidence(value: str) -> int:
+    """The characters of a string without the parts of an ordinary form between its marks."""
+    parts = _JOINTS.split(value)
+    ordinary = [p for p in parts if not p or _ORDINARY.fullmatch(p)]
+    return len(value) - sum(map(len, ordinary)) - min(len(ordinary), len(parts) - 1)
+
+
 def looks_random(value: str, vocabulary: Vocabulary) -> bool:
     """Whether the vocabulary spends so many tokens on it that it can't be made of words."""
     if len(value) < MIN_RANDOM or not _mixed(value):
         return False
     if _KNOWN.fullmatch(value) or (len(value) in DIGEST_LENGTHS and re.fullmatch("[0-9a-fA-F]+", value)):
         return False
-    return len(value) < MAX_RATIO * len(vocabulary.encoding().encode_ordinary(value))
+    return evidence(value) >= LEAST_EVIDENCE and len(value) < MAX_RATIO * len(vocabulary.encoding().encode_ordinary(value))
 
 
 def _window(tokens: list[int], gains: list[float]) -> tuple[int, int] | None:
@@ -100,7 +116,7 @@ def _windows(value: str, vocabulary: Vocabulary, telling: Callable[[str], bool])
         i, j = x + w[0], x + w[1]
         left += [(x, i), (j, y)]
         a, b = ends[i], ends[j]
-        if telling(value[a:b]):
+        if telling(value[a:b]) and evidence(value[a:b]) >= LEAST_EVIDENCE:
             while a and value[a - 1] not in _PARTED and value[a] not in _PARTED:
                 a -= 1
             while b < len(value) and value[b] not in _PARTED and value[b - 1] not in _PARTED:

@@ -237,10 +237,10 @@ def test_contexts_end_at_the_beginning():
 
 
 def test_equal_rows_are_spread_over_blocks():
-    keys, sizes = np.full(50_000, 7, np.int64), np.full(50_000, 300)
-    found = common._blocks(keys, sizes, 8)
+    keys, turns = np.full(50_000, 7, np.int64), np.arange(50_000) * 300 // common.ALIKE_BYTES
+    found = common._blocks(keys, turns, 8)
     assert len(set(found.tolist())) >= 6
-    few = common._blocks(np.array([7, 8, 7, 9]), np.full(4, 300), 8)
+    few = common._blocks(np.array([7, 8, 7, 9]), np.zeros(4, np.int64), 8)
     assert few[0] == few[2]  # a few equal rows stay together
 
 
@@ -540,3 +540,37 @@ def test_very_long_texts(spark):
     assert [(x["doc_id"], x["n_matched"]) for x in contamination.find(docs, item).collect()] == [(2, 200)]
     none = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.predictions(docs, none).count() == 4
+
+
+def test_equal_rows_of_many_tasks_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.llm import common
+
+    rows = spark.range(40, numPartitions=8).select(F.lit(5).cast("long").alias("doc_id"), F.repeat(F.lit("word "), F.lit(40_000)).alias("text"))
+    rows = rows.unionAll(spark.range(30).select("id", F.concat(F.lit("other "), "id").alias("text")))
+    layouts = []
+    for parts in (1, 8):
+        found = common.in_blocks(rows.repartition(parts), 16).select("block", F.explode("ids").alias("id")).groupBy("block", "id").count().collect()
+        layouts.append({(r["block"], r["id"]): r["count"] for r in found})
+    assert layouts[0] == layouts[1] and sum(layouts[0].values()) == 70
+    assert len([1 for _, i in layouts[0] if i == 5]) >= 4
+
+
+def test_every_training_token_is_a_target():
+    from sievework.llm import lm
+
+    for n in (0, 1, 7, 10_000):
+        places = np.concatenate([lm.targets(n, 3, k) for k in range(lm.ROUNDS)])
+        assert sorted(places.tolist()) == list(range(n))
+
+
+def test_language_model_does_not_depend_on_the_partitions_of_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.llm import lm
+
+    long = spark.range(24).select(F.lit(9).cast("long").alias("doc_id"), F.repeat(F.lit("one two three "), F.lit(10_000)).alias("text"))
+    docs = long.unionAll(spark.range(60).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("some words of "), F.col("id").cast("string"), F.lit(" one two")).alias("text")))
+    scores = [sorted((r["doc_id"], r["score"]) for r in lm.scored(docs.repartition(k), block_bytes=1 << 20).collect()) for k in (1, 8)]
+    assert scores[0] == scores[1] and len(scores[0]) == 84

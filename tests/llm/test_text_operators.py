@@ -269,3 +269,46 @@ def test_context_totals(request, name):
 def test_no_documents(nothing):
     for found in (pii.digests(nothing), secrets.digests(nothing, vocabulary()), lengths.context_totals(nothing, vocabulary())):
         assert found.count() == 0
+
+
+def test_account_and_iban_bounds():
+    kinds = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.spans(t) if k > 4]
+    for text, want in {
+        "account 123456 AND MORE WORDS": [("account", "123456")],
+        "Account 1234567 EUR": [("account", "1234567")],
+        "acct no 12-34-56 IS CLOSED NOW": [("account", "12-34-56")],
+        "iban DE89 3704 0044 0532 0130 00 BIC DEUTDEFF": [("iban", "DE89 3704 0044 0532 0130 00")],
+        "IBAN: GB82WEST12345698765432.": [("iban", "GB82WEST12345698765432")],
+        "iban NO93 8601 1117 947 and 2 more": [("iban", "NO93 8601 1117 947")],
+        "iban DE89 3704 0044 0532 0130 01": [],
+        "iban DE89 3704 0044 0532 0130 00X": [],
+        "account DE12 3456 78": [("account", "DE12 3456 78")],
+        "ssn AB123456 CD99": [("account", "AB123456 CD99")],
+        "konto 1234567a": [],
+        "iban": [],
+        "passport C01X00T478": [("account", "C01X00T478")],
+    }.items():
+        assert kinds(text) == want, text
+
+
+NAMES = (
+    "some-article-title-id12345", "how-to-fix-error-code-0x80070057", "best-laptops-2024-review-guide", "node_modules_cache_v2_linux_x64", "My-First-Blog-Post-About-Rust-2021", "ISBN-978-3-16-148410-0-ABC",
+    "https://ex.org/IMG_20240115_123456_edited_final", "org.apache.commons.lang3.StringUtils", "/usr/local/lib/python3.11/site-packages/numpy/core", "C:/Users/Anna/Documents/Report_Final_v3.docx", "camelCaseFunctionNameWithManyWords", "libstdc++.so.6.0.30", "ubuntu-22.04.3-live-server-amd64.iso",
+    "data-science-101-intro-to-pandas-dataframes", "com.example.myapplication.MainActivity", "AbstractSingletonProxyFactoryBean", "2024-01-15T12-34-56_backup_full.tar.gz", "release-notes-v2.3.1-rc4-hotfix-2", "REQ-2023-00017-AMENDMENT-B", "user_profile_picture_128x128_thumb",
+    "https://shop.example.com/products/blue-running-shoes-size-42-eu?ref=home", "test_should_return_404_when_not_found", "en-US,en;q=0.9,de-DE;q=0.8", "feature/JIRA-12345-add-login-button", "SELECT_COUNT_FROM_TABLE_WHERE_ID_1",
+)
+
+
+def test_names_are_no_secrets_and_random_strings_are():
+    r = random.Random(11)
+    vocab = vocabulary()
+    assert not [n for n in NAMES if any(k == 3 for _, k, _ in secrets.spans(f"see {n} now", vocab))]
+    digest = "sha384-" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(64))
+    assert secrets.spans(f'integrity="{digest}"', vocab) == []
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, size, least in ((letters, 20, 190), (letters + "-_", 32, 190), (letters + "-_", 43, 195), (letters + "+/", 40, 195)):
+        found = sum(any(k == 3 for _, k, _ in secrets.spans("key " + "".join(r.choice(alphabet) for _ in range(size)) + " end", vocab)) for _ in range(200))
+        assert found >= least, (alphabet[-2:], size, found)
+    words = [w for w in re.findall(r"[a-z]{3,9}", " ".join(NAMES))]
+    slugs = [r.choice("-_").join(r.choice([r.choice(words), r.choice(words).capitalize(), str(r.randint(0, 9999)), f"v{r.randint(1, 20)}"]) for _ in range(r.randint(4, 8))) for _ in range(500)]
+    assert sum(any(k == 3 for _, k, _ in secrets.spans(x, vocab)) for x in slugs) <= 2
