@@ -43,11 +43,11 @@ FOLDS, HELD = 7, 2
 BLOCK_BYTES = 8 << 20
 CONTEXT, WIDTH, TAIL = 3, 16, 8
 #: In each round a block takes steps over its own share of its tokens, so that all rounds together have every token as a target once.
-ROUNDS, BATCH, RATE = 2, 1024, 0.1
+ROUNDS, BATCH, RATE = 2, 2048, 0.06
 #: Noise samples that count for each token, and the groups drawn for a batch.
-NOISE, SHARED_NOISE, GROUP_NOISE = 8.0, 32, 3
+NOISE, SHARED_NOISE, GROUP_NOISE = 8.0, 24, 3
 #: Steps of a block in a round, at least; a corpus of a few documents is gone over several times.
-MIN_STEPS = 250
+MIN_STEPS = 150
 #: Parameters are averaged as multiples of this, in slices of so many.
 UNIT, SLICE = 2.0**-24, 1 << 17
 _DEALS = 64
@@ -353,7 +353,9 @@ def contrastive_steps(vocabulary: Vocabulary, start: np.ndarray | None, tokens:
 def log10_chances(vocabulary: Vocabulary, p: Parameters, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log10 of the normalised probability of each token after its context."""
     width = vocabulary.width
-    guess = np.einsum("jbd,jd->bd", p.context[around], p.position)
+    guess = np.zeros((len(tokens), WIDTH), np.float32)
+    for j in range(CONTEXT):
+        guess += (p.context * p.position[j]).take(around[j], axis=0)
 
     def chance(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
         if logits.max(initial=0) > 80 or logits.min(initial=0) < -80:
@@ -370,7 +372,7 @@ def log10_chances(vocabulary: Vocabulary, p: Parameters, tokens: np.ndarray, aro
         own = order[a:b]
         first = int(g[own[0]]) * width
         last = min(first + width, vocabulary.size)
-        out[own] += chance(guess[own] @ p.token[first:last].T + p.bias[first:last], tokens[own] - first)
+        out[own] += chance(guess.take(own, axis=0) @ p.token[first:last].T + p.bias[first:last], tokens[own] - first)
     return out.astype(np.float64) / math.log(10)
 
 
@@ -500,7 +502,7 @@ def fit(blocks: DataFrame, vocabulary: Vocabulary) -> Model:
 # Scores.
 
 #: Tokens that are scored at a time.
-AT_A_TIME = 1 << 14
+AT_A_TIME = 1 << 16
 
 
 def scores(blocks: DataFrame, model: Model) -> DataFrame:
