@@ -36,9 +36,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars counts the new text."""
+    """Secrets are masked in the text; n_chars, if there is such a column, counts the new text."""
     ship_package(spark)
     found = secrets.masked(docs, bpe.public_vocabulary())
+    if "n_chars" not in docs.columns:
+        return found.select(docs.columns)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
