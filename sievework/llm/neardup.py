@@ -4,9 +4,10 @@ Documents become sets of word shingles. Equal sets are one class, named by its s
 ``COORDINATES`` minwise tokens. ``TREES`` independent trees branch the classes by chosen minwise tokens: the
 first level follows one coordinate of the tree, each later level one or two coordinates that a hash of the
 node picks (1 / threshold of them on average). Nodes of up to ``LEAF`` classes are compared exhaustively by their
-minwise tokens; larger nodes branch on, and what has not come apart after ``LEVELS`` levels is tied to the
-node's smallest class. That gives candidate clusters; in these the full sets are compared, so that every link
-is exact. A pair at the threshold is missed by all trees with a chance of about 0.25**16 in small nodes.
+minwise tokens; of larger nodes, all classes are compared with the smallest. What is alike is tied to it and has its label. A node
+of which all but ``LEAF`` classes are tied is through, as these are compared with all of it, in chunks. So a group of copies that differ
+doesn't go down the trees again and again. Other nodes branch on, and what has not come apart after ``LEVELS`` levels is tied to the
+node's smallest class. That gives candidate clusters; in these the full sets are compared, so that every link is exact. A pair at the threshold is missed by all trees with a chance of about 0.25**16 in small nodes.
 
 Within a cluster some pivots are compared with all members at once, so that a group of m copies that differ costs about m
 comparisons. What they leave apart is compared by prefixes: the shingles of a set in order of their frequency in the cluster, of which
@@ -36,6 +37,8 @@ from sievework.llm.kernels import LOWER, byte_values, mixed, prefix, slices, spa
 
 WORDS, THRESHOLD = 5, 75
 COORDINATES, TREES, LEVELS, LEAF = 64, 16, 4, 64
+#: Classes of a large node that are compared at a time with those that are not tied.
+CHUNK = 2048
 #: Pairs whose minwise tokens agree in a smaller share are no candidates: 4.6 standard deviations below the threshold.
 CANDIDATE = 0.5
 CLUSTER_SHINGLES = 4_000_000
@@ -43,6 +46,8 @@ CLUSTER_SHINGLES = 4_000_000
 PIVOTS = 32
 #: Tables of nodes of 16 bytes a row are sent to all tasks up to this size.
 BROADCAST_ROWS = 1_000_000
+#: Tables of sketches (256 bytes a row) up to this one.
+BROADCAST_SKETCHES = 60_000
 
 _random = np.random.RandomState(8)
 _TIMES = _random.randint(0, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,14 +125,24 @@ def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         tokens = _sketches(b["sketch"])[:, :TREES].astype(np.uint64)
         nodes = mixed(tokens + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(33)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.T.ravel().astype(np.int64)), pa.array(np.tile(b["rep"].to_numpy(), TREES))], names=["node", "rep"])
+        rep = pa.array(np.tile(b["rep"].to_numpy(), TREES))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.T.ravel().astype(np.int64)), rep, rep], names=["node", "rep", "label"])
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class of a large node beside the node's smallest: alike by their sketches, tied if so or if they have one label already; what is tied takes its label."""
+    for b in batches:
+        alike = (_sketches(b["sketch"]) == _sketches(b["pivot"])).mean(1) >= CANDIDATE
+        label, of_pivot = b["label"].to_numpy(), b["pivot_label"].to_numpy()
+        tied = alike | (label == of_pivot)
+        yield pa.RecordBatch.from_arrays([b["node"], b["rep"], pa.array(np.where(tied, of_pivot, label)), b["least"], pa.array(alike), pa.array(tied)], names=["node", "rep", "label", "least", "alike", "tied"])
 
 
 def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tokens, rep = _sketches(b["sketch"]), b["rep"].to_numpy()
+        tokens, rep, label = _sketches(b["sketch"]), b["rep"].to_numpy(), b["label"].to_numpy()
         node = b["node"].to_numpy().astype(np.uint64)
-        out, of = [], []
+        out, of, labels = [], [], []
         for k in (1, 2):
             pick = mixed(node * np.uint64(k) + np.uint64(k))
             coordinate = TREES + pick % np.uint64(COORDINATES - TREES)
@@ -135,7 +150,8 @@ def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = np.take_along_axis(tokens, coordinate.astype(np.int64)[:, None], 1)[:, 0].astype(np.uint64)
             out.append(mixed(node ^ mixed(token + (coordinate << np.uint64(33))))[taken])
             of.append(rep[taken])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.concatenate(of))], names=["node", "rep"])
+            labels.append(label[taken])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.concatenate(of)), pa.array(np.concatenate(labels))], names=["node", "rep", "label"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -193,33 +209,71 @@ def _leaf_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _apart_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each class that is not tied with the others of its chunk, one for each of their labels."""
+    for table, at in whole_groups(batches, "chunk"):
+        tokens, rep, label, tied = _sketches(table["sketch"]), table["rep"].to_numpy(), table["label"].to_numpy(), table["tied"].to_numpy()
+        a, b = [rep[:0]], [rep[:0]]
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            for u in np.flatnonzero(~tied[s:e]) + s:
+                like = np.flatnonzero(((tokens[s:e] == tokens[u]).mean(1) >= CANDIDATE) & (label[s:e] != label[u])) + s
+                first = like[np.unique(label[like], return_index=True)[1]]
+                a.append(np.full(len(first), rep[u]))
+                b.append(rep[first])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _rest_edges(rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """Candidate pairs in large nodes of which up to LEAF classes are not tied: these are compared with all of the node, in chunks of it that each have them."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    own = F.when(F.col("tied"), F.array(F.pmod(F.xxhash64("rep"), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    dealt = rows.select("node", "rep", "label", "tied", F.explode(own).alias("k")).select(F.xxhash64("node", "k").alias("chunk"), "rep", "label", "tied")
+    with_sketches = dealt.repartition(n, "rep").join(classes, "rep")
+    return with_sketches.repartition(n, "chunk").sortWithinPartitions("chunk", "rep").mapInArrow(_apart_edges, "a long, b long")
+
+
+def _small(df: DataFrame, n: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if n <= most else df
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that tie together all that the trees bring together; classes has rep and sketch."""
-    rows = staged(classes.mapInArrow(_first_nodes, "node long, rep long"))
+    """Pairs (a, b) of classes that tie together all that the trees bring together; classes has rep and sketch.
+
+    Rows are (node, rep, label); classes with one label are tied by pairs that are found already.
+    """
+    rows = staged(classes.mapInArrow(_first_nodes, "node long, rep long, label long"))
     edges = None
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range(LEVELS + 1):
-        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
+        pivot = F.min(F.struct("rep", "label"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), pivot["rep"].alias("least"), pivot["label"].alias("pivot_label"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = staged(sizes.where("n > 1 AND low < high").drop("low", "high"))  # a node of one label has no more to find
         most, of_large = sizes.agg(F.max("n"), F.count_if(F.col("n") > LEAF)).first()
         if most is None:
             break
         # Large nodes are told by a broadcast, so that only the rows of leaves are dealt by their node.
-        told = rows.join(_small(sizes.where(F.col("n") > LEAF).select("node", "least"), of_large), "node", "left")
+        large = sizes.where(F.col("n") > LEAF).select("node", "least", "pivot_label")
+        told = rows.join(_small(large, of_large), "node", "left")
         crowded = told.where("least IS NOT NULL")
         in_leaves = told.where("least IS NULL").select("node", "rep").join(sizes.where(F.col("n") <= LEAF).select("node"), "node")
         leaves = in_leaves.join(classes, "rep")
         found = leaves.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
-        if level == LEVELS and most > LEAF:
-            found = found.unionAll(crowded.select(F.col("least").alias("a"), F.col("rep").alias("b")))
         edges = found if edges is None else edges.unionAll(found)
         if most <= LEAF:
             break
+        if level == LEVELS:
+            edges = edges.unionAll(crowded.select(F.col("least").alias("a"), F.col("rep").alias("b")))
+            break
         # Dealt by class, so that no task branches most of a large node.
-        rows = staged(crowded.select("node", "rep").repartition(n, "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long").distinct())
+        pivots = large.select("node", F.col("least").alias("rep")).join(classes, "rep").select("node", F.col("sketch").alias("pivot"))
+        beside = crowded.repartition(n, "rep").join(classes, "rep").join(_small(pivots, of_large, BROADCAST_SKETCHES), "node")
+        judged = staged(beside.mapInArrow(_tied, "node long, rep long, label long, least long, alike boolean, tied boolean"))
+        edges = edges.unionAll(judged.where("alike AND rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+        apart = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("tied")).alias("n_apart")).where("n_apart > 0")
+        told = judged.join(_small(apart, of_large), "node")
+        edges = edges.unionAll(_rest_edges(told.where(F.col("n_apart") <= LEAF), classes, n))
+        branching = told.where(F.col("n_apart") > LEAF).select("node", "rep", "label")
+        rows = staged(branching.repartition(n, "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long, label long").distinct())
     if edges is None:
         return classes.sparkSession.createDataFrame([], "a long, b long")
     return edges.where("a <> b").distinct()

@@ -309,6 +309,27 @@ def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+@pytest.mark.parametrize(("leaf", "chunk"), [(4, 16), (2, 500), (64, 2048)])
+def test_tied_nodes_keep_their_links(spark, monkeypatch, leaf, chunk):
+    """A group of copies that differ beside some texts that link with few of them, with each other, or with nothing."""
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        t[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    for i in range(12):  # ever further from the copies, each near the one before
+        rows.append((500 + i, " ".join(base[10 * (i + 1) :] + [f"y{k}" for k in range(10 * (i + 1))])))
+    for i in range(6):  # half of the template and nothing else in common
+        rows.append((600 + i, " ".join(base[:100] + [f"z{i}_{k}" for k in range(100)])))
+    rows += [(700, rows[-1][1] + " more"), (701, rows[0][1]), (702, None)]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def brute_labels(sets):
     label = list(range(len(sets)))
     for i in range(len(sets)):
@@ -519,6 +540,12 @@ def test_pipeline_keeps_other_columns(spark, request, tmp_path, name):
     assert len(out) == n and (n > 0) == (name == "awkward")
 
 
+def test_secrets_stage_without_length(spark, sample):
+    docs = sample.select("doc_id", "text").limit(5)
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, "")
+    assert out.columns == ["doc_id", "text"] and out.count() == 5
+
+
 def test_very_long_texts(spark):
     """One document of three million characters beside short ones."""
     r = random.Random(2)
