@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -242,7 +243,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     Rows are (node, rep, label); classes with one label are tied by pairs that are found already.
     """
     rows = staged(classes.mapInArrow(_first_nodes, "node long, rep long, label long"))
-    edges = None
+    leaves, rests, ties = [], [], []
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level in range(LEVELS + 1):
         pivot = F.min(F.struct("rep", "label"))
@@ -255,27 +256,30 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         large = sizes.where(F.col("n") > LEAF).select("node", "least", "pivot_label")
         told = rows.join(_small(large, of_large), "node", "left")
         crowded = told.where("least IS NOT NULL")
-        in_leaves = told.where("least IS NULL").select("node", "rep").join(sizes.where(F.col("n") <= LEAF).select("node"), "node")
-        leaves = in_leaves.join(classes, "rep")
-        found = leaves.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
-        edges = found if edges is None else edges.unionAll(found)
+        leaves.append(told.where("least IS NULL").select("node", "rep").join(sizes.where(F.col("n") <= LEAF).select("node"), "node"))
         if most <= LEAF:
             break
         if level == LEVELS:
-            edges = edges.unionAll(crowded.select(F.col("least").alias("a"), F.col("rep").alias("b")))
+            ties.append(crowded.select(F.col("least").alias("a"), F.col("rep").alias("b")))
             break
         # Dealt by class, so that no task branches most of a large node.
         pivots = large.select("node", F.col("least").alias("rep")).join(classes, "rep").select("node", F.col("sketch").alias("pivot"))
         beside = crowded.repartition(n, "rep").join(classes, "rep").join(_small(pivots, of_large, BROADCAST_SKETCHES), "node")
         judged = staged(beside.mapInArrow(_tied, "node long, rep long, label long, least long, alike boolean, tied boolean"))
-        edges = edges.unionAll(judged.where("alike AND rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+        ties.append(judged.where("alike AND rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
         apart = judged.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("tied")).alias("n_apart")).where("n_apart > 0")
         told = judged.join(_small(apart, of_large), "node")
-        edges = edges.unionAll(_rest_edges(told.where(F.col("n_apart") <= LEAF), classes, n))
+        rests.append(told.where(F.col("n_apart") <= LEAF))
         branching = told.where(F.col("n_apart") > LEAF).select("node", "rep", "label")
         rows = staged(branching.repartition(n, "rep").join(classes, "rep").mapInArrow(_next_nodes, "node long, rep long, label long").distinct())
-    if edges is None:
+    if not leaves:
         return classes.sparkSession.createDataFrame([], "a long, b long")
+    # Nodes of all levels have numbers of their own, so they are dealt and compared together.
+    in_leaves = reduce(DataFrame.unionByName, leaves).join(classes, "rep")
+    edges = in_leaves.repartition(n, "node").sortWithinPartitions("node", "rep").mapInArrow(_leaf_edges, "a long, b long")
+    if rests:
+        edges = edges.unionAll(_rest_edges(reduce(DataFrame.unionByName, rests), classes, n))
+    edges = reduce(DataFrame.unionAll, ties, edges)
     return edges.where("a <> b").distinct()
 
 
