@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm import bpe, common, contamination, lm, neardup, pii, quality, secrets, substrings, toxicity
 
+import recall
+
 
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -295,6 +297,11 @@ def test_components(request, spark, name, limit):
             assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_recall_of_a_fixed_set_of_queries_against_all_rows(spark):
+    total, found = recall.recall(spark, "/root/testdata/sf0.1/documents.parquet")
+    assert total > 50 and found == total
+
+
 def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
     r = random.Random(6)
     common = [f"c{i}" for i in range(40)]
