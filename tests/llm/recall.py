@@ -8,7 +8,7 @@ import os
 import re
 import sys
 
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
 
 EVERY = 50
 
@@ -21,7 +21,7 @@ def shingles(text):
 
 def links(path):
     """All pairs (query id, other id) at a similarity of 0.75 or more: each row meets the queries that share a shingle with it."""
-    rows = lambda: ((r["doc_id"], r["text"]) for b in pq.ParquetFile(path).iter_batches(1024, columns=["doc_id", "text"]) for r in b.to_pylist())
+    rows = lambda: ((r["doc_id"], r["text"]) for b in ds.dataset(path).to_batches(columns=["doc_id", "text"]) for r in b.to_pylist())
     size, of = {}, collections.defaultdict(list)
     for i, text in rows():
         if i is not None and i % EVERY == 0 and (own := shingles(text)):
