@@ -19,7 +19,7 @@ def scenario_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     No or several features, rules, junk on tag lines, quotes that never end, steps and text in the wrong place.
     """
-    return out_of_place(scenario_parts(texts, key, text), key)
+    return out_of_place(scenario_parts(texts, key, text, ("part", "line", "name", "text", "defect"), ("defect",)), key)
 
 
 def out_of_place(parts: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from sievework.functions.exprs import blank, blocks_of, header_counts, header_fi
 from sievework.functions.scenario_files import scenario_parts
 from sievework.operators.anchors import Anchor, first_matches
 from sievework.operators.findings import Rule, check, union
-from sievework.operators.lines import lines, out_of_place
+from sievework.operators.lines import out_of_place
 
 #: Confidences, what people answer, the categories of scenarios and how a summary names them.
 CONFIDENCE = ("high", "medium", "low")
@@ -32,12 +32,14 @@ MISPLACED = ("no_feature_block", "multiple_feature_blocks", "text_before_feature
 TASK_TAG = r"^\s*@task:\S+\s*$"
 
 
-def scenarios(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place (from 1), scenario, tags, comments and steps of every scenario.
+def scenarios(texts: DataFrame, key: str, text: str, *columns: str) -> DataFrame:
+    """key, place (from 1), scenario, tags, comments and steps of every scenario; or only some of these columns.
 
     Tags and comments above a scenario belong to it, as do the comments inside it.
     """
-    return scenarios_of(scenario_parts(texts, key, text), key)
+    asked = columns or ("place", "scenario", "tags", "comments", "steps")
+    parts = scenario_parts(texts, key, text, ["name" if c == "scenario" else c for c in asked], ("scenario",))
+    return parts.select(key, *(F.col("name").alias("scenario") if c == "scenario" else c for c in asked))
 
 
 def scenarios_of(parts: DataFrame, key: str) -> DataFrame:
@@ -49,7 +51,7 @@ def requirement_units(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, unit and text of the feature, the background and each scenario; comments and tags state nothing."""
     unit = F.when(F.col("part") == "scenario", F.concat(F.lit("scenario:"), "name")).otherwise(F.col("part"))
     told = F.when(F.col("part") == "feature", F.concat_ws("\n", F.coalesce("name", F.lit("")), F.when(F.col("text") != "", F.col("text")))).otherwise(F.col("text"))
-    rows = scenario_parts(texts, key, text).where(F.col("part").isin("feature", "background", "scenario")).select(key, unit.alias("unit"), told.alias("text"))
+    rows = scenario_parts(texts, key, text, ("part", "name", "text"), ("feature", "background", "scenario")).select(key, unit.alias("unit"), told.alias("text"))
     return rows.where(~((F.col("unit") == "feature") & blank(F.col("text"))))
 
 
@@ -58,15 +60,16 @@ def manifest_licenses(entries: DataFrame, key: str) -> DataFrame:
     return entries.where("assumption IS NOT NULL").select(key, F.col("assumption").alias("text"))
 
 
-def structure_findings(found: DataFrame, texts: DataFrame, key: str, text: str, story: Sequence[str] = ("As a", "I want", "So that")) -> DataFrame:
+def structure_findings(found: DataFrame, texts: DataFrame, key: str, text: str, story: Sequence[str] = ("As a", "I want", "So that"), parts: DataFrame | None = None) -> DataFrame:
     """Files with a byte order mark, without scenarios or without a part of the story in the feature's description, all that is out of
-    place but for wrapped steps, and scenarios (of ``scenarios``) without steps or without a Then."""
-    parts = scenario_parts(texts, key, text)
-    feature = parts.where("part = 'feature'").select(key, F.lower(F.translate("text", "\n", " ")).alias("structure__story"))
-    n = found.groupBy(key).agg(F.count("*").alias("structure__n"))
-    whole = texts.select(key, F.col(text).startswith("\ufeff").alias("structure__bom")).join(feature, key, "left").join(n, key, "left")
+    place but for wrapped steps, and scenarios (of ``scenarios``) without steps or without a Then. ``parts`` are those of the texts, if they were read before."""
+    parts = scenario_parts(texts, key, text, ("part", "line", "name", "text", "defect"), ("header", "mark", "feature", "defect")) if parts is None else parts
+    own = F.when(F.col("part") == "feature", F.lower(F.translate("text", "\n", " ")))
+    files = parts.where("part IN ('header', 'mark', 'feature')").select(key, own.alias("story"), (F.col("part") == "mark").alias("bom"), F.lit(0).alias("n"))
+    files = files.unionByName(found.select(key, F.lit(None).cast("string").alias("story"), F.lit(None).cast("boolean").alias("bom"), F.lit(1).alias("n")))
+    whole = files.groupBy(key).agg(F.max("story").alias("structure__story"), F.bool_or("bom").alias("structure__bom"), F.sum("n").alias("structure__n"))
     told = F.coalesce("structure__story", F.lit(""))
-    rules = [Rule("byte_order_mark", F.col("structure__bom")), Rule("no_scenarios", F.coalesce("structure__n", F.lit(0)) == 0), *(Rule("story_line_missing", ~F.contains(told, F.lit(s.lower())), F.lit(s)) for s in story)]
+    rules = [Rule("byte_order_mark", F.col("structure__bom")), Rule("no_scenarios", F.col("structure__n") == 0), *(Rule("story_line_missing", ~F.contains(told, F.lit(s.lower())), F.lit(s)) for s in story)]
     placed = check(out_of_place(parts, key).where("defect <> 'wrapped_step_continuation'"), key, "structure", [Rule(d, F.col("defect") == d, F.col("line_no")) for d in MISPLACED])
     then = F.exists("steps", lambda s: F.substring_index(s, " ", 1) == "Then")
     own = [Rule("no_steps", F.size("steps") == 0, F.col("scenario")), Rule("no_then", ~then, F.col("scenario"))]
@@ -96,8 +99,11 @@ def banned_language(found: DataFrame, key: str, banned: Sequence[Anchor]) -> Dat
     return first_matches(found.select(key, "scenario", F.explode("steps").alias("step")), "step", banned)
 
 
-def implementation_comments(texts: DataFrame, key: str, text: str) -> DataFrame:
-    return lines(texts, key, text).where(F.col("line").rlike(r"^\s*#\s*Implementation\s*:")).select(key, "line_no", stripped(F.col("line")).alias("line"))
+def implementation_comments(texts: DataFrame, key: str, text: str, *also: str) -> DataFrame:
+    """key (and other columns), line_no and line."""
+    at = F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
+    rows = texts.where(F.contains(F.col(text), F.lit("Implementation"))).select(key, *also, at).where(F.col("line").rlike(r"^\s*#\s*Implementation\s*:"))
+    return rows.select(key, *also, (F.col("line_no") + 1).alias("line_no"), stripped(F.col("line")).alias("line"))
 
 
 def header_block(text: Column) -> Column:
