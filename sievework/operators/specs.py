@@ -12,6 +12,7 @@ from sievework.functions.scenario_files import scenario_parts
 from sievework.operators.anchors import Anchor, first_matches
 from sievework.operators.findings import Rule, check, union
 from sievework.operators.lines import out_of_place
+from sievework.sources.staging import staged
 
 #: Confidences, what people answer, the categories of scenarios and how a summary names them.
 CONFIDENCE = ("high", "medium", "low")
@@ -256,19 +257,20 @@ def plan_facts(plans: DataFrame, files: DataFrame, key: str, folder: str = "task
 
     n_tasks and n_waves come from the plan; has_diagram: the guide has a flow chart and, from ``drawn_from`` tasks on, a graph of the
     tasks; has_lint: each implementation task's file speaks of lint; files_missing are those that the folder of the slug lacks.
+    Files may be many more than their table's size tells, so no side is broadcast unless its size has been measured.
     """
     plan = F.from_json("json", "struct<tasks: array<struct<id: string, file_path: string, task_type: string>>, orchestration: struct<parallel_groups: array<string>>>")
     none = F.array().cast("array<string>")
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    own = plans.select(key, "slug", plan.alias("p")).select(key, "slug", F.col("p.tasks").alias("tasks"), size("p.tasks").alias("n_tasks"), size("p.orchestration.parallel_groups").alias("n_waves"))
+    own = staged(plans.select(key, "slug", plan.alias("p")).select(key, "slug", F.col("p.tasks").alias("tasks"), size("p.tasks").alias("n_tasks"), size("p.orchestration.parallel_groups").alias("n_waves")))  # read by all branches below, parsed once
     at = lambda name: F.concat(F.lit(folder + "/"), "slug", F.lit("/"), name)
     wanted = own.select(key, "slug", F.explode(F.array(*map(F.lit, needed))).alias("name")).select(key, "name", at(F.col("name")).alias("path"))
-    lost = wanted.join(files.select(key, "path"), [key, "path"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("files_missing"))
+    lost = wanted.join(files.select(key, "path").hint("merge"), [key, "path"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("files_missing"))
     begins = lambda word: F.exists(blocks_of(F.col("text"), "mermaid"), lambda b: F.ltrim(b).startswith(word))
-    drawn = own.select(key, "n_tasks", at(F.lit(guide)).alias("path")).join(files, [key, "path"]).select(key, (begins("flowchart") & ((F.col("n_tasks") < drawn_from) | begins("graph TD"))).alias("has_diagram"))
+    drawn = own.select(key, "n_tasks", at(F.lit(guide)).alias("path")).join(files.hint("merge"), [key, "path"]).select(key, (begins("flowchart") & ((F.col("n_tasks") < drawn_from) | begins("graph TD"))).alias("has_diagram"))
     tasks = own.select(key, F.explode("tasks").alias("t")).select(key, F.col("t.file_path").alias("path"), "t.task_type").where(F.coalesce("task_type", F.lit("feature")).isin("feature", "refactor"))
-    linted = tasks.join(files, [key, "path"], "left").groupBy(key).agg(F.bool_and(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("lint"))).alias("has_lint"))
-    out = own.select(key, "n_tasks", "n_waves").join(drawn, key, "left").join(linted, key, "left").join(lost, key, "left")
+    linted = tasks.join(files.hint("merge"), [key, "path"], "left").groupBy(key).agg(F.bool_and(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("lint"))).alias("has_lint"))
+    out = own.select(key, "n_tasks", "n_waves").join(drawn.hint("merge"), key, "left").join(linted.hint("merge"), key, "left").join(lost.hint("merge"), key, "left")
     return out.select(key, "n_tasks", "n_waves", F.coalesce("has_diagram", F.lit(False)).alias("has_diagram"), F.coalesce("has_lint", F.lit(True)).alias("has_lint"), F.coalesce("files_missing", none).alias("files_missing"))
 
 

@@ -296,3 +296,10 @@ def test_waves_of_q57_are_numbered_in_whole_nations():
     from sievework.plans import catalogue, record_catalogue  # noqa: F401
 
     assert "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)" in catalogue.oracle_sql()["q57_frontmatter"]
+
+
+def test_files_of_plans_are_not_broadcast_by_their_tables_size(spark):
+    from sievework.plans import catalogue, contract_catalogue  # noqa: F401
+
+    plan = catalogue.queries()["q100_plan_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
