@@ -6,8 +6,9 @@ All scans are distributed reads of a glob; a file that is missing or broken beco
 from __future__ import annotations
 
 import hashlib
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,28 +123,73 @@ def checksum_list(spark: SparkSession, glob: str) -> DataFrame:
 CHUNK_BYTES = 8 << 20
 
 
-def file_hashes(spark: SparkSession, glob: str, key_pattern: str, key: str) -> DataFrame:
-    """The key and SHA-256 of the bytes of each file; files of any size, each read by one task as a stream."""
+def _from_files(paths: DataFrame, read: Callable, schema: str) -> DataFrame:
+    """The rows (tuples after the path) that ``read`` gives for the stream of each file; what is in work at a time is bounded by ``CHUNK_BYTES`` or one row."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        kind = pa.schema([(c.split()[0], pa.string()) for c in schema.split(", ")])
+        held, size = [], 0
         for b in batches:
-            sums = []
             for path in b["path"].to_pylist():
                 system, where = fs.FileSystem.from_uri(path)
-                digest = hashlib.sha256()
                 with system.open_input_stream(where) as f:
-                    while part := f.read(CHUNK_BYTES):
-                        digest.update(part)
-                sums.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b["path"], pa.array(sums, pa.string())], names=["path", "sha256"])
+                    for found in read(f):
+                        held.append((path, *found))
+                        size += sum(map(len, held[-1]))
+                        if size >= CHUNK_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=kind)
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=kind)
+
+    return paths.mapInArrow(rows, schema)
+
+
+def files_in(spark: SparkSession, folders: str) -> DataFrame:
+    """path of every file in the folders of a glob, empty files too. The driver lists the folders, and tasks what is in them."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for folder in b["folder"].to_pylist():
+                system, where = fs.FileSystem.from_uri(folder)
+                names = [i.base_name for i in system.get_file_info(fs.FileSelector(where)) if i.is_file]
+                names = [n for n in names if not n.startswith(("_", "."))]  # as Spark's own scans
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string())], names=["path"])
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [(re.sub("^file:/+", "file:///", s.getPath().toString()),) for s in found if s.isDirectory()]
+    return spark.createDataFrame(names, "folder string").repartition(max(1, len(names))).mapInArrow(listed, "path string")
+
 
+def texts_in(spark: SparkSession, folders: str, key_pattern: str, *keys: str) -> DataFrame:
+    """What ``texts`` gives, for the files in the folders of a glob: for many small files, as no list of them goes through the driver."""
+    rows = _from_files(files_in(spark, folders), lambda f: [(f.read().decode("utf-8", "replace"),)], "path string, value string")
+    return rows.select("path", "value", *(F.regexp_extract("path", key_pattern, i + 1).alias(k) for i, k in enumerate(keys)))
+
+
+def hashes_of(paths: DataFrame, key_pattern: str, key: str) -> DataFrame:
+    """The key and SHA-256 of the bytes of each file; files of any size, each read by one task as a stream."""
+
+    def hashed(f) -> list[tuple[str]]:
+        digest = hashlib.sha256()
+        while part := f.read(CHUNK_BYTES):
+            digest.update(part)
+        return [(digest.hexdigest(),)]
+
+    return _from_files(paths, hashed, "path string, sha256 string").select(F.regexp_extract("path", key_pattern, 1).alias(key), "sha256")
+
+
+def file_hashes(spark: SparkSession, glob: str, key_pattern: str, key: str) -> DataFrame:
+    """``hashes_of`` the files of a glob, which the driver lists."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
     names = [(re.sub("^file:/+", "file:///", s.getPath().toString()),) for s in found if s.isFile()]  # Spark's own scans leave out empty files
-    rows = spark.createDataFrame(names, "path string").repartition("path").mapInArrow(hashed, "path string, sha256 string")
-    return rows.select(F.regexp_extract("path", key_pattern, 1).alias(key), "sha256")
+    return hashes_of(spark.createDataFrame(names, "path string").repartition("path"), key_pattern, key)
 
 
 def json_lines(spark: SparkSession, glob: str) -> DataFrame:
@@ -152,6 +198,12 @@ def json_lines(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), strict_json(F.col("value")).alias("json"))
 
 
+def json_lines_in(spark: SparkSession, folders: str) -> DataFrame:
+    """What ``json_lines`` gives, for the files (gzip by their names) in the folders of a glob; each is read as a stream."""
+    rows = _from_files(files_in(spark, folders), lambda f: ((x.rstrip("\n"),) for x in io.TextIOWrapper(f, "utf-8", "replace")), "path string, value string")
+    return rows.where(F.trim("value") != "").select("path", strict_json(F.col("value")).alias("json"))
+
+
 def retrieval_items(lines: DataFrame) -> DataFrame:
     """For each file the number of items over its good lines; null if none could be parsed."""
     items = F.coalesce(F.size(F.from_json(F.get_json_object("json", "$.items"), "array<string>")), F.lit(0))

@@ -16,6 +16,7 @@ from sievework.functions.scenario_files import scenario_parts
 from sievework.operators import anchors, benchmarks, contracts, graphs, instruments, lines, ordering, relations, roadmaps, rollouts, specs, verdict_records, verdicts
 from sievework.operators.anchors import Anchor
 from sievework.sources import records as scans
+from sievework.sources import sinks
 
 SPEC = """# Generated by tool
 # Stack: none
@@ -303,3 +304,20 @@ def test_files_of_plans_are_not_broadcast_by_their_tables_size(spark):
 
     plan = catalogue.queries()["q100_plan_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_files_of_rows_are_written_and_scanned_by_tasks(spark, tmp_path):
+    root = f"file://{tmp_path}/rows"
+    rows = spark.createDataFrame([(str(k), f'{{"items": [{k}, 2]}}\r\n\n{{"items": \n{{}}') for k in range(40)], "name string, value string")
+    sinks.write_files(rows, "name", "value", root, ".jsonl.gz")
+    sinks.write_files(rows, "name", "value", f"{root}-plain")
+    assert not any(p.is_dir() and p.name.startswith("name=") for p in tmp_path.rglob("*"))  # no folder for each row
+    key = r"name=(\d+)\."
+    lines_ = scans.json_lines_in(spark, f"{root}/*").withColumn("name", F.regexp_extract("path", key, 1)).collect()
+    assert collections.Counter((r["name"], r["json"]) for r in lines_) == collections.Counter((str(k), j) for k in range(40) for j in (f'{{"items": [{k}, 2]}}', None, "{}"))
+    assert {(r["name"], r["value"]) for r in scans.texts_in(spark, f"{root}-plain/*", key, "name").collect()} == {tuple(r) for r in rows.collect()}
+    (tmp_path / "rows-plain" / "000").mkdir(exist_ok=True)
+    (tmp_path / "rows-plain" / "000" / "name=99.txt").write_bytes(b"")
+    sums = {r["name"]: r["sha256"] for r in scans.hashes_of(scans.files_in(spark, f"{root}-plain/*"), key, "name").collect()}
+    assert sums == {r["name"]: hashlib.sha256(r["value"].encode()).hexdigest() for r in rows.collect()} | {"99": hashlib.sha256(b"").hexdigest()}
+    assert scans.texts_in(spark, f"{root}-none/*", key, "name").count() == 0
