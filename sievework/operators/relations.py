@@ -166,17 +166,19 @@ def record_differences(a: DataFrame, b: DataFrame, key: str, json: str) -> DataF
 
     Values are compared at any depth and with their types; the order of an object's keys does not matter.
     """
-    fields = lambda d: F.transform_values(F.try_variant_get(variant(F.col(json)), "$", "map<string, variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
-    left, right = (d.select(key, fields(d).alias(f"helper__{s}"), F.lit(True).alias(f"helper__{s}_there")) for d, s in ((a, "l"), (b, "r")))
-    both = left.join(right, key, "full_outer")
-    names = F.array_union(F.map_keys("helper__l"), F.map_keys("helper__r"))
+    fields = lambda c: F.transform_values(F.try_variant_get(variant(F.col(c)), "$", "map<string, variant>"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    left, right = (d.select(key, F.col(json).alias(f"helper__{s}"), F.lit(True).alias(f"helper__{s}_there")) for d, s in ((a, "l"), (b, "r")))
+    # Texts are joined, which are smaller than their fields; what reads them is then spread by key, however few parts a file has.
+    both = left.join(right, key, "full_outer").withColumns({c: fields(c) for c in ("helper__l", "helper__r")})
     gone = F.when(F.col("helper__r_there").isNull(), "missing").when(F.col("helper__l_there").isNull(), "unexpected").when(F.col("helper__l").isNull() != F.col("helper__r").isNull(), "differs")
-    whole = both.select(key, F.lit(None).cast("string").alias("field"), gone.alias("defect"))
-    each = both.where("helper__l IS NOT NULL AND helper__r IS NOT NULL").select(key, F.explode(names).alias("field"), "helper__l", "helper__r")
-    in_l, in_r = F.map_contains_key("helper__l", F.col("field")), F.map_contains_key("helper__r", F.col("field"))
-    same = F.col("helper__l")[F.col("field")].eqNullSafe(F.col("helper__r")[F.col("field")])
-    defect = F.when(~in_r, "missing").when(~in_l, "unexpected").when(~same, "differs")
-    return whole.unionAll(each.select(key, "field", defect.alias("defect"))).where("defect IS NOT NULL")
+    found = lambda field, defect: F.struct(field.cast("string").alias("field"), defect.alias("defect"))
+    in_l, in_r = (lambda n, m=m: F.map_contains_key(m, n) for m in ("helper__l", "helper__r"))
+    same = lambda n: F.col("helper__l")[n].eqNullSafe(F.col("helper__r")[n])
+    names = F.array_union(F.map_keys("helper__l"), F.map_keys("helper__r"))
+    each = F.transform(names, lambda n: found(n, F.when(~in_r(n), "missing").when(~in_l(n), "unexpected").when(~same(n), "differs")))
+    # One array for each record, so that both sides are read and joined once.
+    whole = F.when(gone.isNotNull(), F.array(found(F.lit(None), gone))).otherwise(F.filter(each, lambda x: x["defect"].isNotNull()))
+    return both.select(key, F.explode(whole).alias("helper__d")).select(key, "helper__d.field", "helper__d.defect")
 
 
 def contamination_verdict(docs: DataFrame, held: DataFrame, controls: Sequence[DataFrame], doc_key: str, item_key: str, text: str, size: int) -> str:
