@@ -61,7 +61,8 @@ _FEATURE_RULES = [
 
 @query("q52_feature_contract", _counted_sql(_FEATURE_RULES, "feature", "part"))
 def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(roadmaps.feature_findings(features(table(spark, sf_dir, "part")), "entity", "json", "feature"))
+    records_ = features(table(spark, sf_dir, "part").repartition("p_partkey"))  # a small table of much work
+    return _counted(roadmaps.feature_findings(roadmaps.read_once(records_, "entity", "json"), "entity", "json", "feature"))
 
 
 #: Parts in a plan; so a record is bounded, and there are more of them with more parts.

@@ -321,3 +321,48 @@ def test_files_of_rows_are_written_and_scanned_by_tasks(spark, tmp_path):
     sums = {r["name"]: r["sha256"] for r in scans.hashes_of(scans.files_in(spark, f"{root}-plain/*"), key, "name").collect()}
     assert sums == {r["name"]: hashlib.sha256(r["value"].encode()).hexdigest() for r in rows.collect()} | {"99": hashlib.sha256(b"").hexdigest()}
     assert scans.texts_in(spark, f"{root}-none/*", key, "name").count() == 0
+
+
+def python_steps(df):
+    """How many steps of the plan run Python."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_records_are_read_once_for_their_differences(spark):
+    a, b = (spark.createDataFrame(rows, "k int, json string") for rows in ([(1, '{"a": 1, "b": null}'), (2, "["), (3, "{}"), (5, "[")], [(1, '{"b": null, "a": 1.5, "c": NaN}'), (2, "{}"), (4, "{}"), (5, "x")]))
+    found = relations.record_differences(a, b, "k", "json")
+    assert python_steps(found) == 1
+    assert {tuple(r) for r in found.collect()} == {(1, "a", "differs"), (1, "c", "unexpected"), (2, None, "differs"), (3, None, "missing"), (4, None, "unexpected")}
+
+
+def test_python_values_of_long_texts_are_held_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    held, most = [0], [0]
+
+    def f(text):
+        held[0] += 1
+        return text
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(pa, name)
+
+        def array(self, values, kind):
+            most[0], held[0] = max(most[0], held[0]), 0
+            return pa.array(values, kind)
+
+    monkeypatch.setattr(records, "pa", Watched())
+    monkeypatch.setattr(records.F, "arrow_udf", lambda rows, schema: rows)
+    apply = records._column(f, pa.string(), "string")
+    texts = pa.array(["x" * 100_000, None] * 100)
+    assert apply(texts).equals(texts) and most[0] <= 12
+    assert apply(texts[:0]).equals(texts[:0])
+
+
+def test_feature_contract_reads_its_records_once(spark, monkeypatch):
+    from sievework.plans import record_catalogue
+
+    read, read_once = [], roadmaps.read_once
+    monkeypatch.setattr(roadmaps, "read_once", lambda *a: read.append(read_once(*a)) or read[-1])
+    assert python_steps(record_catalogue.q52(spark, "/root/testdata/sf0.001")) == 0 and len(read) == 1
