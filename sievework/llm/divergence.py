@@ -35,6 +35,8 @@ MOST_TERMS = 200
 BILLION = 10**9
 #: Bytes of text whose terms are counted together.
 GATHERED_BYTES = 16 << 20
+#: Bytes of these whose terms are in work at a time, at some twenty bytes each; one text at least.
+COUNTED_BYTES = 4 << 20
 SLICE_ROWS = 1 << 16
 TILE_GROUPS = 128
 #: Cells that a comparison of two tiles holds at a time.
@@ -70,8 +72,8 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.
     return codes, coded.dictionary.take(pa.array(used)), np.searchsorted(off, bounds[term], "right") - 1
 
 
-def _counted(held: list[pa.RecordBatch]) -> pa.Table:
-    """For each group and term of some rows: how often it occurs, and in how many rows."""
+def _counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group and term of some rows: how often it occurs, and in how many rows; a batch for each ``COUNTED_BYTES`` of them."""
     table = pa.Table.from_batches(held)
     groups = pa.table([table["lang"], table["source"]], names=["lang", "source"])
     key = pc.binary_join_element_wise(pc.cast(pc.binary_length(groups["lang"]), pa.string()), groups["lang"], groups["source"], ":").combine_chunks()
@@ -79,8 +81,7 @@ def _counted(held: list[pa.RecordBatch]) -> pa.Table:
     group = coded.indices.to_numpy()
     first = np.unique(group, return_index=True)[1]
     data, off = utf8(table["text"])
-    out = []
-    for i, j in slices(off, GATHERED_BYTES):
+    for i, j in slices(off, COUNTED_BYTES):
         codes, terms, row = _terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
         # A row for each document and term, and from these a row for each group and term.
         seen, n = np.unique(row * len(terms) + codes, return_counts=True)
@@ -90,8 +91,7 @@ def _counted(held: list[pa.RecordBatch]) -> pa.Table:
         picked = pa.array(first[of])
         total = np.zeros(len(cells), np.int64)
         np.add.at(total, at, n)
-        out.append(pa.table([groups["lang"].take(picked), groups["source"].take(picked), terms.take(pa.array(codes)), pa.array(total), pa.array(np.bincount(at, minlength=len(cells)))], names=["lang", "source", "term", "n", "docs"]))
-    return pa.concat_tables(out)
+        yield from pa.table([groups["lang"].take(picked), groups["source"].take(picked), terms.take(pa.array(codes)), pa.array(total), pa.array(np.bincount(at, minlength=len(cells)))], names=["lang", "source", "term", "n", "docs"]).to_batches()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
             held.append(b)
             size += b.nbytes
             if size >= GATHERED_BYTES:
-                yield from _counted(held).to_batches()
+                yield from _counted(held)
                 held, size = [], 0
         if held:
-            yield from _counted(held).to_batches()
+            yield from _counted(held)
 
     return docs.mapInArrow(rows, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -233,3 +234,18 @@ def test_shares_are_exact_for_large_counts():
         total = r.randint(1, 10 ** r.randint(1, 15))
         count = r.randint(0, total - 1)
         assert divergence.shares(np.array([count]), np.array([total]))[0] == 1 + 10**9 * (count + 1) // total
+
+
+def test_terms_are_counted_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", 100)
+    texts, sources = ["One two\nTWO é", None, "", "two " * 60] * 10, ["a", "b", "a", "b"] * 10
+    held = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(["x"] * 40), pa.array(sources)], names=["text", "lang", "source"])
+    n, docs, parts = collections.Counter(), collections.Counter(), 0
+    for b in divergence._counted([held]):
+        parts += 1
+        for r in b.to_pylist():
+            n[r["source"], r["term"]] += r["n"]
+            docs[r["source"], r["term"]] += r["docs"]
+    assert parts > 10
+    assert n == {("a", "one"): 10, ("a", "two"): 20, ("a", "é"): 10, ("b", "two"): 600}
+    assert docs == {("a", "one"): 10, ("a", "two"): 10, ("a", "é"): 10, ("b", "two"): 10}
