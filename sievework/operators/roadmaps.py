@@ -279,7 +279,7 @@ def _string(x: Column, name: str) -> Column:
 
 def requirement_units(rows: DataFrame, entity: str, json: str) -> DataFrame:
     """entity, unit and text of all that states requirements: epics, their features or stubs, and the rationale."""
-    own = rows.select(entity, record_of(rows, json).alias("roadmap__r"))
+    own = staged(rows.select(entity, record_of(rows, json).alias("roadmap__r")))  # three branches read it
     epics = own.select(entity, F.posexplode(F.try_variant_get("roadmap__r", "$.epics", "array<variant>")).alias("place", "e"))
     named = lambda kind, x, key: F.concat(F.lit(f"{kind}:"), F.coalesce(_string(x, key), F.col("place").cast("string")))
     of_epics = epics.select(entity, named("epic", F.col("e"), "id").alias("unit"), _text(F.col("e"), "name", "bounded_context", "description").alias("text"))

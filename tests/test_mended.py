@@ -366,3 +366,10 @@ def test_feature_contract_reads_its_records_once(spark, monkeypatch):
     read, read_once = [], roadmaps.read_once
     monkeypatch.setattr(roadmaps, "read_once", lambda *a: read.append(read_once(*a)) or read[-1])
     assert python_steps(record_catalogue.q52(spark, "/root/testdata/sf0.001")) == 0 and len(read) == 1
+
+
+def test_requirement_units_read_their_records_once(spark):
+    rows = spark.createDataFrame([(1, '{"epics": [{"id": "e", "features": [{"title": "t"}]}], "priority_rationale": "why"}')], "k int, json string")
+    found = roadmaps.requirement_units(rows, "k", "json")
+    assert python_steps(found) == 0  # what is read was written before
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "epic:e", ""), (1, "feature:0", "t"), (1, "priority_rationale", "why")]
