@@ -15,9 +15,19 @@ from sievework.operators.ordering import numbered_from_zero
 from sievework.sources.staging import staged
 
 
+def _only_first(key: str, first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Keys (not null) that only the first table has, and in how many rows.
+
+    All are counted in one aggregate: in a join, Spark broadcasts a side whose file is small, however many keys it has, or sorts every row.
+    """
+    both = reduce(DataFrame.unionAll, (d.select(key, F.lit(k == 0).alias("helper__first")) for k, d in enumerate((first, *others))))
+    counts = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if("helper__first").alias("helper__n"), F.bool_and("helper__first").alias("helper__only"))
+    return counts.where("helper__only").select(F.col(key).cast(first.schema[key].dataType).alias(key), "helper__n")
+
+
 def ungrounded(cited: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Distinct cited keys that the corpus does not have."""
-    return cited.select(key).where(F.col(key).isNotNull()).distinct().join(corpus.select(key), key, "left_anti")
+    return _only_first(key, cited, corpus).select(key)
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -41,11 +51,20 @@ def pin_findings(pinned: DataFrame, present: DataFrame, key: str, content: str =
 
 
 def incomplete(expected: DataFrame, key: str, *answers: DataFrame) -> DataFrame:
-    """Expected keys that none of the answers has."""
-    out = expected.select(key)
-    for a in answers:
-        out = out.join(a.select(key), key, "left_anti")
-    return out
+    """Expected keys that none of the answers has, each as often as it is expected; an answer is never to null."""
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("helper__n")))
+    return _only_first(key, expected, *answers).select(key, each).select(key).unionAll(expected.select(key).where(F.col(key).isNull()))
+
+
+def completeness(expected: DataFrame, given: DataFrame, key: str, answers: Column) -> DataFrame:
+    """Both in one aggregate: expected keys that no given row answers (unanswered), and distinct given keys that are not expected (foreign)."""
+    columns = lambda d, first, answered: d.select(key, F.lit(first).alias("helper__first"), answered.alias("helper__answered"))
+    both = columns(expected, True, F.lit(False)).unionAll(columns(given, False, answers)).where(F.col(key).isNotNull())
+    counts = both.groupBy(key).agg(F.count_if("helper__first").alias("helper__n"), F.bool_or("helper__answered").alias("helper__answered"))
+    defect = F.when(F.col("helper__n") == 0, "foreign").when(F.coalesce("helper__answered", F.lit(False)), None).otherwise("unanswered")
+    found = counts.select(key, defect.alias("defect"), F.greatest("helper__n", F.lit(1)).alias("helper__n")).where("defect IS NOT NULL")
+    each = found.select(key, "defect", F.explode(F.sequence(F.lit(1).cast("long"), F.col("helper__n")))).select(key, "defect")
+    return each.unionAll(expected.where(F.col(key).isNull()).select(key, F.lit("unanswered").alias("defect")))
 
 
 def swapped(selection: DataFrame, reference: DataFrame, key: str, compared: Sequence[str], normal=lambda c: c) -> DataFrame:

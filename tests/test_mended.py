@@ -373,3 +373,15 @@ def test_requirement_units_read_their_records_once(spark):
     found = roadmaps.requirement_units(rows, "k", "json")
     assert python_steps(found) == 0  # what is read was written before
     assert sorted(tuple(r) for r in found.collect()) == [(1, "epic:e", ""), (1, "feature:0", "t"), (1, "priority_rationale", "why")]
+
+
+def test_missing_and_foreign_keys_are_counted_without_a_join(spark):
+    rows = lambda values, schema="key long": spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
+    expected, given = rows([1, 1, 2, 3, 4, None]), rows([(1, 10), (2, 40), (2, 1), (3, None), (8, 50), (8, 1), (9, 1), (None, 40)], "key int, n int")
+    large = given.where("n > 30")
+    missing, foreign, both = relations.incomplete(expected, "key", large, given.where("n = 40")), relations.ungrounded(given, expected, "key"), relations.completeness(expected, given, "key", F.col("n") > 30)
+    assert collections.Counter(r.key for r in missing.collect()) == {1: 2, 3: 1, 4: 1, None: 1}
+    assert sorted(r.key for r in foreign.collect()) == [8, 9] and foreign.schema["key"].dataType == given.schema["key"].dataType
+    assert collections.Counter(map(tuple, both.collect())) == {(1, "unanswered"): 2, (3, "unanswered"): 1, (4, "unanswered"): 1, (None, "unanswered"): 1, (8, "foreign"): 1, (9, "foreign"): 1}
+    # However small the files of the keys are, they are neither broadcast nor sorted as a whole.
+    assert not any("Join" in d._jdf.queryExecution().executedPlan().toString() for d in (missing, foreign, both))
