@@ -265,10 +265,15 @@ def q62(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q63(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that cite documents in four ways, at several depths."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.collect_list(F.struct(F.array(F.concat(F.lit("p"), "l_partkey", F.lit(".md")), F.lit("x.txt")).alias("suggested_context_files"), F.array("l_returnflag", F.lit(" ")).alias("cited_docs"), F.struct(F.array(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("filename"))).alias("source_documents")).alias("inner"))).alias("lines")
-    )
-    json = F.to_json(F.struct(F.col("o_orderpriority").alias("document"), "lines"))
+    # Keys alone are sorted and shuffled; the records are made of them afterwards.
+    keys = F.collect_list(F.struct("l_partkey", "l_returnflag", "l_suppkey")).alias("keys")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(keys)
+
+    def line(k: Column) -> Column:
+        source = F.struct(F.concat(F.lit("s"), k["l_suppkey"]).alias("filename"))
+        return F.struct(F.array(F.concat(F.lit("p"), k["l_partkey"], F.lit(".md")), F.lit("x.txt")).alias("suggested_context_files"), F.array(k["l_returnflag"], F.lit(" ")).alias("cited_docs"), F.struct(F.array(source).alias("source_documents")).alias("inner"))
+
+    json = F.to_json(F.struct(F.col("o_orderpriority").alias("document"), F.transform("keys", line).alias("lines")))
     rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select("o_orderkey", F.explode(records.cited(json)).alias("c"))
     return rows.select("o_orderkey", "c.name", "c.kind")
 

@@ -385,3 +385,19 @@ def test_missing_and_foreign_keys_are_counted_without_a_join(spark):
     assert collections.Counter(map(tuple, both.collect())) == {(1, "unanswered"): 2, (3, "unanswered"): 1, (4, "unanswered"): 1, (None, "unanswered"): 1, (8, "foreign"): 1, (9, "foreign"): 1}
     # However small the files of the keys are, they are neither broadcast nor sorted as a whole.
     assert not any("Join" in d._jdf.queryExecution().executedPlan().toString() for d in (missing, foreign, both))
+
+
+def test_cited_records_are_made_after_their_keys_are_collected(spark):
+    from sievework.plans import record_catalogue
+
+    plan = record_catalogue.q63(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    collected = re.findall(r"partial_collect_list\(.*", plan)
+    assert collected and not any("suggested_context_files" in c for c in collected)
+
+
+def test_citations_come_back_flat(spark):
+    deep = '{"a": [[{"document": "d", "x": {"cited_docs": ["c", " ", {"filename": "f"}, {"filename": 1}, null]}}]], "document": ["no"], "suggested_context_files": ["a.md", "b.txt", 3]}'
+    texts = [deep, None, "[]", "no json", '{"a": {"document": "lost"}, "a": {"document": "kept"}}', '{"document": "d", "x": {"document": "d"}}', '{"source_documents": {"filename": "f"}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, json string").repartition(1).select("k", records.cited(F.col("json")).alias("c")).collect()
+    found = {r.k: None if r.c is None else [tuple(x) for x in r.c] for r in rows}
+    assert found == {0: [("a.md", "suggested_context_files"), ("c", "cited_docs"), ("d", "document"), ("f", "cited_docs")], 1: None, 2: [], 3: [], 4: [("kept", "document")], 5: [("d", "document")], 6: []}
